@@ -1,0 +1,54 @@
+import itertools
+import zlib
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from quire.llm import token_files
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_files_hold_the_library_s_ids(spark, hard_docs, hard_rows):
+    manifest = token_files.write_tokens(hard_docs, VOCABULARY, 2, length=64, shards=3)
+    got = {r.doc_id: r for r in token_files.read_documents(manifest, with_ids=True).collect()}
+    library = Tokenizer.from_file(VOCABULARY)
+    library.encode_special_tokens = True
+    start = 0
+    for doc_id, text, *_ in hard_rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids + [2]
+        row = got[doc_id]
+        assert (row.ids, row.start, row.n_tokens) == (ids, start, len(ids)), doc_id
+        assert row.ids_crc32 == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+        start += len(ids)
+
+
+def test_sequences_are_equal_length_views_and_masks_end_with_the_stream(spark, hard_docs):
+    manifest = token_files.write_tokens(hard_docs, VOCABULARY, 2, length=32, shards=1).collect()
+    shard = token_files.TokenShard(manifest[0].path)
+    n = manifest[0].n_tokens
+    rows = -(-n // 32)
+    stream = shard.span(0, n)
+    assert len(stream) == n
+    for i in (0, 1, rows // 2, rows - 2):
+        assert (shard.sequence(i) == stream[i * 32 : i * 32 + 32]).all() and shard.mask(i).all()
+        assert shard.sequence(i).base is not None
+    assert shard.mask(rows - 1).sum() == n - 32 * (rows - 1)
+    assert not shard.sequence(rows - 1)[n - 32 * (rows - 1) :].any()
+
+
+def test_empty_table_and_null_ids(spark, no_docs):
+    assert token_files.read_documents(token_files.write_tokens(no_docs, VOCABULARY, 2)).collect() == []
+    odd = spark.createDataFrame([(None, "a"), (None, "a"), (3, None)], "doc_id long, text string")
+    got = token_files.read_documents(token_files.write_tokens(odd, VOCABULARY, 2, shards=2)).collect()
+    assert sorted((r.doc_id is None, r.start, r.n_tokens) for r in got) == [(False, 4, 1), (True, 0, 2), (True, 2, 2)]
+
+
+def test_fast_path_equals_the_whole_pipeline_for_latin_words():
+    with open(VOCABULARY, "rb") as f:
+        encoder = token_files.WordEncoder(f.read())
+    assert encoder.by_word
+    letters = "aZÄßé.!$|(&-"
+    for word in map("".join, itertools.product(letters, repeat=3)):
+        assert encoder._word(word.encode()) == encoder._whole(word), word
