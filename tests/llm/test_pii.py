@@ -1,0 +1,72 @@
+import random
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quire.llm import pii
+
+
+def plain(text):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append(("email", *m.span()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 13 <= len(d) <= 19 and sum(d[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2]) == 0 or 13 <= len(d) <= 19 and (sum(d[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2])) % 10 == 0:
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append(("phone", *m.span()))
+    return out
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet="ab0123459.@+- ()%é", max_size=60))
+def test_base_spans_against_the_plain_patterns(text):
+    assert pii.base_spans(text) == plain(text)
+
+
+def test_base_spans_on_joined_numbers():
+    rng = random.Random(1)
+    for _ in range(300):
+        text = " ".join(pii._example(rng)[0] for _ in range(2))
+        assert pii.base_spans(text) == plain(text)
+
+
+def test_run_together_numbers_are_added():
+    text = "x +1 (269) 555-3296 4524132264652876 and"
+    base, spans = pii.detector().spans(text)
+    assert base == [] and ("phone", 2, 19) in spans and ("card", 20, 36) in spans and len(spans) == 2
+
+
+def test_held_out_accuracy():
+    rng, found = random.Random(12345), {"hit": 0, "miss": 0, "false": 0}
+    for _ in range(600):
+        text, truth = pii._example(rng)
+        base, spans = pii.detector().spans(text)
+        added = [s for s in spans if s not in base]
+        covered = [t for t in truth if any(s[0] == t[0] and s[1] <= t[1] and t[2] <= s[2] for s in spans)]
+        found["hit"] += len(covered)
+        found["miss"] += len(truth) - len(covered)
+        found["false"] += sum(not any(s[1] < t[2] and t[1] < s[2] for t in truth) for s in added)
+    assert found["hit"] / (found["hit"] + found["miss"]) > 0.95
+    assert found["false"] / found["hit"] < 0.02
+
+
+def test_find_and_redact(spark, hard_docs, no_docs):
+    rows = [(1, "write to bob.42@mail8.example.com from 10.0.0.1", 1), (2, None, 2), (None, "call +1 (988) 555-2485.", 3), (3, "é card 4111 1111 1111 1111 é", 4), (3, "é card 4111 1111 1111 1111 é", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    got = sorted(((r.doc_id or -1, r.n_email, r.n_ip, r.n_card, r.n_phone, r.spans) for r in pii.find(docs).collect()))
+    assert got == [(-1, 0, 0, 0, 1, "phone:5:22"), (1, 1, 1, 0, 0, "email:9:33,ip:39:47"), (2, 0, 0, 0, 0, ""), (3, 0, 0, 1, 0, "card:7:26"), (3, 0, 0, 1, 0, "card:7:26")]
+    assert sorted((r.doc_id or -1, r.text, r.spans) for r in pii.redact(docs).collect() if r.text) == [(-1, "call [PHONE].", 3), (1, "write to [EMAIL] from [IP]", 1), (3, "é card [CARD] é", 4), (3, "é card [CARD] é", 4)]
+    assert pii.find(no_docs).count() == 0 == pii.redact(no_docs).count()
+    assert pii.find(hard_docs).where("spans <> ''").count() == 0
+
+
+def test_long_runs_end_soon():
+    for text in ("1" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "+" + "1 " * 100_000, "4 " * 100_000, "a@" * 20_000):
+        pii.detector().spans(text)
