@@ -1,11 +1,203 @@
-"""The registered queries of the document-extraction operators and their SQL."""
+"""The registered queries of the document-extraction operators, over the derived layout relations."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quire.operators import images, layout, page_ranges, paths, requests, results
+from quire.plans.oracle import oracle_sql
+from quire.sources import fixtures as fx
 
-def oracle_sql() -> dict:
-    return {}
+__all__ = ["oracle_sql", "queries"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.lines(fx.runs(spark, sf_dir))
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.page_texts(layout.all_pages(fx.doc_pages(spark, sf_dir)), lines(spark, sf_dir))
+
+
+def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.full_texts(page_texts(spark, sf_dir))
+
+
+def stream_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.stream_page_texts(layout.all_pages(fx.doc_pages(spark, sf_dir)), fx.runs(spark, sf_dir))
+
+
+def _painted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.paint_ordinals(fx.paint_ops(spark, sf_dir))
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.resolve_objects(_painted(spark, sf_dir), fx.image_objects(spark, sf_dir))
+
+
+def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.valid_images(_resolved(spark, sf_dir))
+
+
+def _ordered(spark: SparkSession, sf_dir: str, errors: bool = False) -> DataFrame:
+    painted = _valid(spark, sf_dir).select("doc_id", "page", images.image_y(F.col("y")).alias("y"), "index")
+    failed = fx.page_errors(spark, sf_dir) if errors else None
+    return layout.reading_order(layout.items(lines(spark, sf_dir), painted, failed))
+
+
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ordered(spark, sf_dir).select("doc_id", "page", "item_ord", "type", "y")
+
+
+def page_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ordered(spark, sf_dir).select("doc_id", "page", "item_ord", "type", "text", "index")
+
+
+def content_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.content_parts(_ordered(spark, sf_dir, errors=True)).select("doc_id", "ord", "type", "text", "mime_type")
+
+
+def range_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = page_ranges.selected(fx.page_specs(spark)).select("spec_id", F.explode("parts").alias("p"))
+    return found.select("spec_id", "p.part_no", F.when(F.col("p.error").isNull(), F.lit("ok")).otherwise(F.lit("error")).alias("status"), "p.start_page", "p.end_page")
+
+
+def range_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_ranges.selected(fx.page_specs(spark)).select("spec_id", F.explode("target").alias("page"))
+
+
+def range_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = page_ranges.selected(fx.page_specs(spark)).where("spec_error is not null")
+    name = F.concat(F.lit("doc-"), F.col("spec_id").cast("string"))
+    return found.select("spec_id", page_ranges.specification_error(name, F.col("spec_error")).alias("error"))
+
+
+def array_spec_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.page_arrays(spark).select("spec_id", F.explode(page_ranges.pages_of_array(F.col("pages"))).alias("page"))
+
+
+def array_spec_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.page_arrays(spark).select("spec_id", page_ranges.array_valid(F.col("pages")).alias("valid"), page_ranges.array_error(F.col("pages")).alias("error"))
+
+
+def spec_charset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.charset_cases(spark).select("spec_id", page_ranges.charset_valid(F.col("spec")).alias("valid"))
+
+
+def _selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_ranges.resolve(page_ranges.selected(fx.spec_of_documents(spark, sf_dir)), full_text=True)
+
+
+def selected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selection(spark, sf_dir).select("doc_id", F.explode("valid").alias("page"))
+
+
+def invalid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selection(spark, sf_dir).select("doc_id", F.explode("invalid").alias("page"))
+
+
+def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    warned = _selection(spark, sf_dir).select("doc_id", page_ranges.warning(F.col("invalid"), F.col("num_pages")).alias("warning"))
+    return warned.where("warning is not null")
+
+
+def all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.all_pages(fx.doc_pages(spark, sf_dir))
+
+
+def page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.doc_pages(spark, sf_dir)
+
+
+def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.metadata_pairs(fx.doc_metadata(spark, sf_dir))
+
+
+def source_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.sources(spark, sf_dir).select("src_idx", requests.source_label(F.col("path"), F.col("url")).alias("source"))
+
+
+def source_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.validity(fx.sources(spark, sf_dir))
+
+
+def source_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.sources(spark, sf_dir).select("src_idx", requests.source_kind(F.col("path"), F.col("url")).alias("kind"))
+
+
+def path_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.sources(spark, sf_dir).select("src_idx", paths.path_status(F.col("path"), fx.ROOT).alias("p")).select("src_idx", "p.status", "p.resolved")
+
+
+def missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = fx.sources(spark, sf_dir).select("src_idx", "path", paths.path_status(F.col("path"), fx.ROOT)["resolved"].alias("resolved"))
+    return requests.missing_files(resolved, fx.files(spark, sf_dir))
+
+
+def source_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.source_status(fx.sources(spark, sf_dir), fx.files(spark, sf_dir), fx.ROOT)
+
+
+def results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.status_json(source_results(spark, sf_dir))
+
+
+def paint_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _painted(spark, sf_dir).select("doc_id", "page", "op_pos", "index")
+
+
+def image_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir).select("doc_id", "page", "index", "origin")
+
+
+def valid_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _valid(spark, sf_dir).select("doc_id", "page", "index", "width", "height")
+
+
+def image_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.image_info(_valid(spark, sf_dir))
+
+
+def image_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return image_info(spark, sf_dir).select("doc_id", "page", "index", "format")
+
+
+def image_y(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _painted(spark, sf_dir).select("doc_id", "page", "index", images.image_y(F.col("y")).alias("y"))
+
+
+def pixel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.pixel_statistics(_valid(spark, sf_dir))
+
+
+def png_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _valid(spark, sf_dir).withColumn("data", images.pack_bytes("data"))
+    return found.select("doc_id", "page", "index", images.png_udf("data", "width", "height", "kind").alias("png"))
+
+
+def page_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.error_text(fx.page_errors(spark, sf_dir))
+
+
+def batch_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even documents by their page specification, odd ones in full: one result of the batch each page."""
+    texts = page_texts(spark, sf_dir)
+    pages = selected_pages(spark, sf_dir).where("doc_id % 2 = 0").select("doc_id", F.col("page").cast("int").alias("page"), F.lit("pages").alias("mode"))
+    whole = all_pages(spark, sf_dir).where("doc_id % 2 = 1").select("doc_id", "page", F.lit("full_text").alias("mode"))
+    return pages.unionByName(whole).join(texts, ["doc_id", "page"]).select(F.col("doc_id").alias("src_idx"), "mode", "page", "text")
+
+
+_NAMES = (
+    "full_text page_texts stream_page_texts lines reading_order content_parts page_contents range_parts range_pages range_errors array_spec_pages spec_charset array_spec_valid "
+    "selected_pages invalid_pages all_pages warnings page_count metadata source_label source_exclusive path_status source_kind missing_files paint_ordinals image_resolution "
+    "valid_images image_info image_only image_y pixel_stats png_images page_errors source_results results_json batch_mixed"
+)
+
+
+def queries() -> dict[str, Query]:
+    return {name: globals()[name] for name in _NAMES.split()}

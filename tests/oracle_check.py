@@ -1,0 +1,39 @@
+"""Comparison of a registered query with its SQL on the same tables, whatever the order of rows."""
+
+import math
+import os
+
+import duckdb
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def duck(sf_dir):
+    con = duckdb.connect()
+    for name in TABLES:
+        path = f"{sf_dir}/{name}.parquet"
+        if os.path.exists(path):
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}')")
+    return con
+
+
+def _plain(value):
+    if hasattr(value, "item"):
+        value = value.item()
+    return None if isinstance(value, float) and math.isnan(value) else value
+
+
+def rows_of(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted((tuple(_plain(row[i]) for i in order) for row in rows), key=repr)
+
+
+def compare(spark, sf_dir, query, sql):
+    """Both sides' sorted columns and rows."""
+    frame = query(spark, sf_dir)
+    got = rows_of(frame.columns, [tuple(r) for r in frame.collect()])
+    cursor = duck(sf_dir).execute(sql)
+    names = [d[0] for d in cursor.description]
+    want = rows_of(names, cursor.fetchall())
+    assert sorted(frame.columns) == sorted(names)
+    return got, want
