@@ -102,7 +102,7 @@ def encode_png(data: bytes, width: int, height: int, kind: int | None) -> str:
 
 @F.pandas_udf(StringType())
 def png_udf(data: pd.Series, width: pd.Series, height: pd.Series, kind: pd.Series) -> pd.Series:
-    return pd.Series([encode_png(bytes(d), int(w), int(h), None if pd.isna(k) else int(k)) for d, w, h, k in zip(data, width, height, kind)], dtype=object)
+    return pd.Series([None if d is None else encode_png(bytes(d), int(w), int(h), None if pd.isna(k) else int(k)) for d, w, h, k in zip(data, width, height, kind)], dtype=object)
 
 
 @F.pandas_udf(BinaryType())
