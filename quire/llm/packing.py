@@ -4,7 +4,8 @@ Several sequence lengths are permitted. A document longer than the greatest is c
 length and a rest. Pieces go in falling length: each into the open bin that it fills best (least room left);
 where none has room, a new bin is opened at the capacity whose cost, shared over what it can still be filled
 with from the pieces that remain, is least. In the end each bin is downsized to the least permitted capacity
-that holds its contents. A bin costs its capacity plus OVERHEAD positions (the fixed price of a sequence).
+that holds its contents. A bin of c positions costs OVERHEAD + c + c**2 / ATTENTION: the fixed price of a
+sequence, the price of its positions padded or not, and that of attention, which grows with the square.
 
 Documents are dealt by a hash of id and text into blocks of about BLOCK_ROWS documents, and each block is
 packed as a whole by one task, so memory and time a task don't grow with the input and the loss by cutting into
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITIES = (512, 1024, 2048, 4096)
-OVERHEAD = 32
+OVERHEAD, ATTENTION = 32, 16_384
 BLOCK_ROWS = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,22 +32,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 class Packer:
     """Best-fit over integer lengths; open bins are found by the least room that suffices in a bit set."""
 
-    def __init__(self, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> None:
+    def __init__(self, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, attention: int = ATTENTION) -> None:
         self.capacities = tuple(sorted(set(capacities)))
         if not self.capacities or self.capacities[0] < 1:
             raise ValueError("capacities are positive")
-        self.overhead = overhead
+        self.overhead, self.attention = overhead, attention
 
     def fit(self, contents: int) -> int:
         return next(c for c in self.capacities if c >= contents)
 
+    def cost(self, capacity: int) -> float:
+        return self.overhead + capacity + capacity * capacity / self.attention
+
     def opening(self, length: int, remaining: list[int]) -> int:
         """The capacity to open for a piece; remaining[c] is the total length of later pieces of at most c."""
         best, least = self.capacities[-1], math.inf
         for c in self.capacities:
             if c >= length:
                 filled = length + min(c - length, remaining[c - length])
-                share = (self.fit(filled) + self.overhead) / filled
+                share = self.cost(self.fit(filled)) / filled
                 if share < least - 1e-12:
                     best, least = c, share
         return best
@@ -91,7 +95,7 @@ class Packer:
         return [(b, at, sizes[b]) for b, at in placed]
 
 
-def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, attention: int = ATTENTION, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, n_words, piece (from 0), piece_words, bin_id, offset, capacity: a row for each piece.
 
     bin_id is block * 2**32 + bin; offset is the piece's first position within its bin."""
@@ -99,7 +103,7 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: in
     sized = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), F.xxhash64("doc_id", "text").alias("deal"))
     blocks = max(1, math.ceil(docs.count() / block_rows))
     dealt = sized.select("doc_id", "n_words", "deal", F.pmod(F.xxhash64("deal", F.lit(11)), F.lit(blocks)).cast("int").alias("block"))
-    packer = Packer(capacities, overhead)
+    packer = Packer(capacities, overhead, attention)
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["n_words", "deal", "doc_id"], ascending=[False, True, True], kind="stable")
