@@ -87,5 +87,26 @@ def queries() -> dict[str, Query]:
     return {name: value for name, value in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+_OP1 = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+wins AS (SELECT doc_id, unnest(list_transform(range(0, len(ws) - 34), lambda i: i)) AS i, unnest(list_transform(range(0, len(ws) - 34), lambda i: md5(array_to_string(ws[i + 1:i + 35], ' ')))) AS h FROM w WHERE len(ws) >= 35),
+twice AS (SELECT h FROM wins GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM wins WHERE h IN (SELECT h FROM twice)),
+lists AS (SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_removed,
+sha256(array_to_string(CASE WHEN ks IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ks, i - 1)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN lists USING (doc_id)
+"""
+
+_OP10 = r"""
+WITH a AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)</article>', 1), '</?(?:p|h1)(?:\s[^>]*)?>') AS parts FROM pages),
+b AS (SELECT page_id, url, list_transform(parts, lambda p: regexp_replace(regexp_replace(p, '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')) AS raw FROM a),
+c AS (SELECT page_id, url, list_transform(raw, lambda p: regexp_replace(replace(replace(regexp_replace(p, '&quot;?', '"', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g')) AS plain FROM b),
+d AS (SELECT page_id, url, array_to_string(list_filter(list_transform(plain, lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'))), lambda p: p <> ''), chr(10) || chr(10)) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query: not the forest, the trees, the tokenizers, XXH64 or what approximates."""
+    return {"op1_substring_dedup": _OP1, "op10_html_text": _OP10}
