@@ -41,6 +41,9 @@ _HINT = re.compile(r"[0-9@]")
 _GROUP = re.compile(r"[0-9]++")
 _WORDED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\s?[\[(]\s?at\s?[\])]\s?[A-Za-z0-9-]{1,63}(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[A-Za-z0-9-]{1,63})+", re.I)
 
+#: Candidates scored at once, so that a text full of numbers needs no great matrix.
+_SLAB = 10_000
+
 Span = tuple[str, int, int]
 
 
@@ -106,28 +109,29 @@ def candidates(text: str) -> list[Span]:
     if "at" in text.lower() and ("(" in text or "[" in text):
         out += [("email", m.start(), m.end()) for m in _WORDED.finditer(text)]
     groups = [(m.start(), m.end()) for m in _GROUP.finditer(text)]
-    for i, (a, _) in enumerate(groups):
+    for i, (a, first) in enumerate(groups):
+        if i + 3 < len(groups) and all(text[groups[k][1] : groups[k + 1][0]] == "." for k in range(i, i + 3)):
+            out.append(("ip", a, groups[i + 3][1]))
+        led = a > 0 and text[a - 1] == "+"
+        if first - a < 2 and not led:
+            continue  # no number but one with a country code begins with a lone digit
         n = 0
-        for j in range(i, min(i + 16, len(groups))):
+        for j in range(i, min(i + 8, len(groups))):
             s, e = groups[j]
             gap = text[groups[j - 1][1] : s] if j > i else ""
-            if j > i and (len(gap) > 3 or gap.strip(" ().-")):
+            if j > i and (len(gap) > 3 or gap.strip(" ().-") or e - s < 2):
                 break
             n += e - s
             if n > 19:
                 break
             inner = text[a:e]
-            if j - i == 3 and all(text[groups[k][1] : groups[k + 1][0]] == "." for k in range(i, j)):
-                out.append(("ip", a, e))
             if n >= 13 and "(" not in inner and "." not in inner:
                 out.append(("card", a, e))
-            if 7 <= n <= 15 and "." not in inner.strip("."):
+            if 7 <= n <= 15 and ("." not in inner or j - i >= 2):
                 lead = a - 1 if a and text[a - 1] in "+(" else a
                 if text[lead] == "(" and lead and text[lead - 1] == "+":
                     lead -= 1
                 out.append(("phone", lead, e))
-            elif 7 <= n <= 15 and j - i >= 2:
-                out.append(("phone", a - 1 if a and text[a - 1] == "+" else a, e))
     return [s for s in dict.fromkeys(out) if s[1] < s[2]]
 
 
@@ -253,7 +257,7 @@ class Detector:
         proposals = [s for s in candidates(text) if not any(s[1] < b and a < s[2] for _, a, b in base)] if len(base) <= 64 else self._free(text, base)
         if not proposals:
             return []
-        p = self.trees.probability(np.array([features(text, s) for s in proposals]))
+        p = np.concatenate([self.trees.probability(np.array([features(text, s) for s in proposals[i : i + _SLAB]])) for i in range(0, len(proposals), _SLAB)])
         chosen: list[Span] = []
         taken = set()
         for q, s in sorted(zip(p.tolist(), proposals), key=lambda t: (-t[0], t[1][1] - t[1][2], t[1])):
