@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 K, PROJECTIONS, CONFIDENCE, SEED = 5, 8, 0.995, 31
 BLOCK_ROWS, QUERY_ROWS, LEAF = 12_000, 2_000, 64
+_SLAB = 20_000
 
 
 def chi_square_cdf(x: np.ndarray | float, degrees: int) -> np.ndarray:
@@ -73,40 +74,85 @@ class KdTree:
         self.high = np.stack([points[r].max(axis=0) for r in self.leaves])
 
     def distances(self, q: np.ndarray) -> np.ndarray:
-        """Squared distance of a projected query to each leaf's box."""
-        gap = np.maximum(self.low - q, 0) + np.maximum(q - self.high, 0)
-        return (gap * gap).sum(axis=1)
+        """Squared distances of projected queries (rows) to the leaves' boxes."""
+        out = np.empty((len(q), len(self.leaves)))
+        for i in range(0, len(q), _SLAB // 64):
+            part = q[i : i + _SLAB // 64, None, :]
+            gap = np.maximum(self.low - part, 0) + np.maximum(part - self.high, 0)
+            out[i : i + _SLAB // 64] = (gap * gap).sum(axis=2)
+        return out
+
+
+class _Best:
+    """The k best of each query so far, by exact score and then by the smaller id."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> None:
+        self.ids, self.vectors, self.norms, self.query_ids, self.queries, self.k = ids, vectors, norms, query_ids, queries, k
+        self.lengths = np.sqrt((queries * queries).sum(axis=1))
+        self.scores = np.full((len(queries), k), -np.inf)
+        self.rows = np.full((len(queries), k), -1, dtype=np.int64)
+
+    def offer(self, q: np.ndarray, rows: np.ndarray) -> None:
+        """Candidates (query, row), which may be many of one query."""
+        other = self.ids[rows] != self.query_ids[q]
+        q, rows = q[other], rows[other]
+        if not len(q):
+            return
+        scores = np.empty(len(q))
+        for i in range(0, len(q), _SLAB):
+            part = slice(i, i + _SLAB)
+            scores[part] = (self.vectors[rows[part]] * self.queries[q[part]]).sum(axis=1) / (self.norms[rows[part]] * self.lengths[q[part]])
+        touched = np.unique(q)
+        held_q, held = np.repeat(touched, self.k), self.rows[touched].ravel()
+        some = held >= 0
+        q = np.concatenate((q, held_q[some]))
+        rows = np.concatenate((rows, held[some]))
+        scores = np.concatenate((scores, self.scores[touched].ravel()[some]))
+        order = np.lexsort((self.ids[rows], -scores, q))
+        q, rows, scores = q[order], rows[order], scores[order]
+        first = np.flatnonzero(np.diff(q, prepend=-1))
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        top = place < self.k
+        self.rows[q[top], place[top]], self.scores[q[top], place[top]] = rows[top], scores[top]
 
 
 def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K, confidence: float = CONFIDENCE) -> list[tuple[int, int, float]]:
-    """(query_id, vec_id, score) of the k nearest found in this block for each query."""
+    """(query_id, vec_id, score) of the k nearest found in this block for each query.
+
+    Queries advance together: each round every query that goes on takes its next leaves, and queries that
+    take the same leaf share one product with its vectors."""
     plane = projection(vectors.shape[1])
     norms = np.sqrt((vectors * vectors).sum(axis=1))
     units = vectors / norms[:, None]
     tree = KdTree(units @ plane)
     stop = chi_square_quantile(confidence, plane.shape[1])
-    out: list[tuple[int, int, float]] = []
-    for own, q in zip(query_ids.tolist(), queries):
-        length = math.sqrt(float((q * q).sum()))
-        far = tree.distances((q / length) @ plane)
-        order = np.argsort(far, kind="stable")
-        best_scores, best_ids = np.empty(0), np.empty(0, dtype=np.int64)
-        at, step = 0, 2
-        while at < len(order):
-            if len(best_ids) >= k:
-                kth = max(0.0, 2 - 2 * best_scores[k - 1])
-                # equal vectors project to one point: a leaf at distance 0 may hold ties and is always read
-                if far[order[at]] > stop * kth + 1e-12:
-                    break
-            rows = np.concatenate([tree.leaves[i] for i in order[at : at + step]])
-            at, step = at + step, min(2 * step, 32)
-            rows = rows[ids[rows] != own]
-            scores = (vectors[rows] * q).sum(axis=1) / (norms[rows] * length)
-            best_scores, best_ids = np.concatenate((best_scores, scores)), np.concatenate((best_ids, ids[rows]))
-            keep = np.lexsort((best_ids, -best_scores))[:k]
-            best_scores, best_ids = best_scores[keep], best_ids[keep]
-        out += [(own, int(i), float(s)) for i, s in zip(best_ids, best_scores)]
-    return out
+    best = _Best(ids, vectors, norms, query_ids, queries, k)
+    asked = queries / best.lengths[:, None]
+    far = tree.distances(asked @ plane)
+    order = np.argsort(far, axis=1, kind="stable")
+    far = np.take_along_axis(far, order, axis=1)
+    going, at, step = np.arange(len(queries)), 0, 2
+    while at < far.shape[1] and len(going):
+        # equal vectors project to one point: leaves at distance 0 may hold ties and are always read
+        kth = best.scores[going, k - 1]
+        reach = np.where(np.isfinite(kth), stop * np.maximum(0.0, 2 - 2 * kth) + 1e-12, np.inf)
+        going, kth, reach = (x[far[going, at] <= reach] for x in (going, kth, reach))
+        next_far = far[going, at : at + step]
+        q, column = np.nonzero(next_far <= reach[:, None])
+        leaf = order[going[q], at + column]
+        by_leaf = np.argsort(leaf, kind="stable")
+        q, leaf = q[by_leaf], leaf[by_leaf]
+        edges = np.flatnonzero(np.diff(leaf, prepend=-1, append=-2))
+        found_q, found_rows = [], []
+        for a, b in zip(edges[:-1], edges[1:]):
+            members, rows = q[a:b], tree.leaves[leaf[a]]
+            near, which = np.nonzero(asked[going[members]] @ units[rows].T >= kth[members, None] - 1e-9)
+            found_q.append(going[members[near]])
+            found_rows.append(rows[which])
+        if found_q:
+            best.offer(np.concatenate(found_q), np.concatenate(found_rows))
+        at, step = at + step, min(2 * step, 64)
+    return [(int(own), int(ids[r]), float(s)) for own, rows, scores in zip(query_ids, best.rows, best.scores) for r, s in zip(rows, scores) if r >= 0]
 
 
 def usable(vectors: DataFrame) -> DataFrame:

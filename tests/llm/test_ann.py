@@ -43,7 +43,7 @@ def test_stopping_test_reads_less_than_all():
     assert sorted(np.concatenate(tree.leaves).tolist()) == list(range(4000))
     for q in vectors[:20]:
         unit = q / np.linalg.norm(q)
-        far = plain(tree, unit @ ann.projection(32))
+        far = plain(tree, (unit @ ann.projection(32))[None])[0]
         near = np.sort(2 - 2 * (vectors @ unit) / np.linalg.norm(vectors, axis=1))[5]
         read.append((far <= ann.chi_square_quantile(ann.CONFIDENCE, ann.PROJECTIONS) * near).mean())
     assert np.mean(read) < 0.5
