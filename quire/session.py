@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -74,6 +75,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The intermediate tables of one run in the shared folder: kept under names, dropped when their readers are done."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder = spark, scratch_path(spark, name)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df and read it back; shuffle files of jobs that have ended go once the driver's references to them are collected."""
+        df.write.parquet(f"{self.folder}/{name}")
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            discard(self.spark, f"{self.folder}/{name}")
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove an intermediate table whose rows nothing reads any more."""
     jvm = spark.sparkContext._jvm
