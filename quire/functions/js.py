@@ -34,5 +34,4 @@ def strip_space(s: Column) -> Column:
 def integer_prefix(s: Column) -> Column:
     """The integer that s begins with after white space, else null."""
     found = F.regexp_extract(s, f"^[{WHITE_SPACE}]*([+-]?[0-9]+)", 1)
-    number = F.coalesce(found.try_cast("long"), F.when(found.startswith("-"), F.lit(-GREATEST)).otherwise(F.lit(GREATEST)))
-    return F.when(found != "", number)
+    return F.when(found != "", F.coalesce(found.try_cast("long"), F.lit(GREATEST)))

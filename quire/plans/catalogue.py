@@ -102,8 +102,8 @@ def invalid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    warned = _selection(spark, sf_dir).select("doc_id", page_ranges.warning(F.col("invalid"), F.col("num_pages")).alias("warning"))
-    return warned.where("warning is not null")
+    warned = _selection(spark, sf_dir).where(page_ranges.exceeds(F.col("ranges"), F.col("num_pages")))
+    return warned.select("doc_id", page_ranges.warning(F.col("invalid"), F.col("num_pages")).alias("warning"))
 
 
 def all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
