@@ -17,8 +17,10 @@ Rows of equal doc_id are ordered by their text.
 
 from __future__ import annotations
 
+import array
 import os
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -32,9 +34,10 @@ from quire.llm.batches import bounded, column, texts_of
 from quire.session import scratch_path
 
 LENGTH, BATCH = 2048, 64
-#: Words kept with their ids by a worker; the table is emptied when full.
-CACHE_WORDS = 250_000
+#: Words kept with their ids by a worker, in two generations: a full one becomes the old one, whose words return when met again.
+CACHE_WORDS = 1_000_000
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+")
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[^A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
@@ -58,46 +61,68 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(content.decode("utf-8"))
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.code = next(c for c in "HIL" if array.array(c).itemsize == self.dtype.itemsize)
         described = f"{self.tokenizer.normalizer}{self.tokenizer.pre_tokenizer}"
         self.by_word = "Lowercase()" in described and "Removed, invert=True" in described and r"[^\s\p{L}\p{N}]+" in described
         self.letters = _byte_alphabet()
         self.words: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def _pack(self, ids) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+    def _pack(self, ids: list[int]) -> bytes:
+        packed = array.array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def _whole(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "surrogatepass")
+        text = word.decode("utf-8")
+        if word.isalpha():  # ASCII letters: one piece
+            return self._pack([t.id for t in self.model.tokenize(text.lower())])
         if not _PLAIN.fullmatch(text):
             return self._whole(text)
-        tokenize, letters, ids = self.tokenizer.model.tokenize, self.letters, []
+        ids: list[int] = []
         for part in _PARTS.findall(text.lower()):
-            shown = part if part.isascii() else "".join([letters[b] for b in part.encode("utf-8")])
-            ids += [t.id for t in tokenize(shown)]
+            shown = part if part.isascii() else "".join([self.letters[b] for b in part.encode("utf-8")])
+            ids += [t.id for t in self.model.tokenize(shown)]
         return self._pack(ids)
 
     def encode(self, raw: bytes) -> bytes:
         """The packed ids of one whole text."""
         if not self.by_word:
             return self._whole(raw.decode("utf-8"))
-        known, out = self.words, []
         # words end at ASCII white space; other white space inside a word is left to the library
-        for word in raw.split():
-            ids = known.get(word)
-            if ids is None:
-                if len(known) >= CACHE_WORDS:
-                    known.clear()
-                ids = self._word(word)
-                if len(word) <= 64:
-                    known[word] = ids
-            out.append(ids)
+        words = raw.split()
+        out = list(map(self.words.get, words))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    out[i] = self._met(words[i])
         return b"".join(out)
 
+    def _met(self, word: bytes) -> bytes:
+        """Ids of a word that isn't in the young generation."""
+        ids = self.words.get(word) or self.old.get(word)
+        if ids is None:
+            low = word.lower()
+            core = low.rstrip(_MARKS)
+            if core and len(core) < len(low) and core[-1:].isalnum():  # marks after a letter or digit are a piece of their own
+                ids = self._met(core) + self._met(low[len(core) :])
+            elif low != word and word.isascii():
+                ids = self._met(low)
+            else:
+                ids = self._word(word)
+        if len(word) <= 64:
+            if len(self.words) >= CACHE_WORDS // 2:
+                self.old, self.words = self.words, {}
+            self.words[word] = ids
+        return ids
+
 
 _encoders: dict[int, WordEncoder] = {}
 
