@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import re
+import time
 import zlib
 from dataclasses import dataclass, field
 
@@ -24,6 +25,8 @@ _NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)\Z")
 #: Nested forms and containers deeper than this are damage or an attack.
 MAX_DEPTH = 60
 PAINT_IMAGE = 89
+#: Seconds of decoding images on one page after which further images count as absent.
+IMAGE_SECONDS = 10.0
 
 
 class PdfError(ValueError):
@@ -701,8 +704,8 @@ class _State:
 class _Interpreter:
     """Runs the content of one page."""
 
-    def __init__(self, doc: Document, with_images: bool) -> None:
-        self.doc, self.with_images = doc, with_images
+    def __init__(self, doc: Document, with_images: bool, image_seconds: float) -> None:
+        self.doc, self.with_images, self.seconds_left = doc, with_images, image_seconds
         self.out, self.state, self.saved = PageLayout(), _State(), []
         self.tm = self.line = UNIT
         self.fonts: dict[int, Font] = {}
@@ -792,7 +795,7 @@ class _Interpreter:
         if kind == "Image":
             self.out.paints.append((PAINT_IMAGE, name, [float(v) for v in self.state.ctm]))
             if self.with_images and name not in self.out.images:
-                self.out.images[name] = image_object(self.doc, target)
+                self._decode(name, target)
         elif kind == "Form" and depth < MAX_DEPTH // 4:
             saved, held = self.state.copy(), len(self.saved)
             matrix = self.doc.get(target.info.get("Matrix"))
@@ -813,15 +816,25 @@ class _Interpreter:
         name = f"inline_{begin}"
         self.out.paints.append((PAINT_IMAGE, name, [float(v) for v in self.state.ctm]))
         if self.with_images:
-            self.out.images[name] = image_object(self.doc, Stream(info, lexer.data[begin:end]))
+            self._decode(name, Stream(info, lexer.data[begin:end]))
+
+    def _decode(self, name: str, stream: Stream) -> None:
+        """Add an image object, without data once the page's time for images is used up or where it can't be decoded."""
+        began = time.monotonic()
+        absent = {"width": None, "height": None, "kind": None, "data": None}
+        try:
+            self.out.images[name] = image_object(self.doc, stream) if self.seconds_left > 0 else absent
+        except (PdfError, ValueError, TypeError, KeyError, IndexError, AttributeError, zlib.error):
+            self.out.images[name] = absent
+        self.seconds_left -= time.monotonic() - began
 
 
-def page_layout(doc: Document, number: int, with_images: bool = False) -> PageLayout:
+def page_layout(doc: Document, number: int, with_images: bool = False, image_seconds: float = IMAGE_SECONDS) -> PageLayout:
     """The layout of a page (from 1)."""
     page, get = doc.pages[number - 1], doc.get
     contents = get(page.get("Contents"), [])
     parts = [get(c) for c in contents] if isinstance(contents, list) else [contents]
     body = b"\n".join([doc.decoded(c) for c in parts if isinstance(c, Stream)])
-    worker = _Interpreter(doc, with_images)
+    worker = _Interpreter(doc, with_images, image_seconds)
     worker.run(body, get(page.get("Resources"), {}))
     return worker.out
