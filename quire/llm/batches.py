@@ -49,3 +49,11 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 def with_row_key(docs: DataFrame, name: str = "_k") -> DataFrame:
     """A 64-bit key of the row's id and text; rows equal in both share it and are treated alike."""
     return docs.withColumn(name, F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.coalesce(F.col("text"), F.lit(""))))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -16,24 +16,22 @@ unique side, which Spark splits by its own measure of the partitions.
 
 Results: words are those of the whole text, null and empty texts have none. Texts shorter than the window lose
 nothing. Windows are judged on the input. Rows equal in id and text are documents of their own, repeat each
-other, and are treated alike. Other columns are kept by deduplicate() whatever their names, but for a leading
-underscore and `k`.
+other, and are treated alike. Other columns are kept by deduplicate() whatever their names.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.batches import bounded, column, map_batches, texts_of, with_row_key
+from quire.llm.batches import bounded, column, free_name, map_batches, texts_of, with_row_key
 from quire.llm.textops import WindowHasher, leftmost_minimum, mix, word_bounds, word_hashes
-from quire.session import discard, scratch_path
+from quire.session import Scratch
 
 WINDOW, FIRST = 35, 9
 _U = np.uint64
@@ -105,51 +103,36 @@ def _doubled(docs: DataFrame, requests: DataFrame, window: int, first: int) -> D
     return map_batches(joined, work, "g long, s long, n long, near byte, head long, tail long, windows array<long>")
 
 
-class _Tables:
-    """Tables of one run in the shared folder, dropped when their readers are done."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.folder = spark, scratch_path(spark, "substrings")
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.folder}/{name}")
-        # shuffle files of finished jobs go once the driver's references to them are collected
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
-
-    def drop(self, name: str) -> None:
-        discard(self.spark, f"{self.folder}/{name}")
-
-
 def repeated_windows(docs: DataFrame, window: int = WINDOW, first: int = FIRST) -> DataFrame:
     """_k, hits: by row key the anchors and the bits of those distances back from them at which a repeated window starts. docs has _k and text."""
     if not 2 * first <= window <= 4 * first or window - first + 1 > 31:
         raise ValueError("the window is two to four times the first length and at most 30 words longer")
-    tables = _Tables(docs.sparkSession)
+    tables = Scratch(docs.sparkSession, "substrings")
     level1 = tables.keep(anchors(docs, window, first), "level1")
-    several = level1.groupBy("g").count().where("count > 1").select("g")
+    # a counted side is a table of its own, so that both sides of its join come from plain shuffles, whose skewed parts Spark splits
+    several = tables.keep(level1.groupBy("g").count().where("count > 1").select("g"), "several")
     alive = tables.keep(level1.join(several, "g"), "alive")
     tables.drop("level1")
     spans = tables.keep(alive.groupBy("g", "s", "near", "far").agg(F.count("*").alias("n"), F.min(F.struct("_k", "at")).alias("of")), "spans")
-    unlike = spans.groupBy("g").count().where("count > 1").select("g")
+    unlike = tables.keep(spans.groupBy("g").count().where("count > 1").select("g"), "unlike")
     requests = spans.join(unlike, "g").select("g", "s", "near", "far", "n", "of._k", "of.at")
     level2 = tables.keep(_doubled(docs, requests, window, first), "level2")
-    heads = level2.where("head is not null").groupBy("g", "head").agg(F.sum("n").alias("c")).where("c > 1").select("g", "head", F.lit(True).alias("by_head"))
-    tails = level2.where("tail is not null").groupBy("g", "tail").agg(F.sum("n").alias("c")).where("c > 1").select("g", "tail", F.lit(True).alias("by_tail"))
+    heads = tables.keep(level2.where("head is not null").groupBy("g", "head").agg(F.sum("n").alias("c")).where("c > 1").select("g", "head", F.lit(True).alias("by_head")), "heads")
+    tails = tables.keep(level2.where("tail is not null").groupBy("g", "tail").agg(F.sum("n").alias("c")).where("c > 1").select("g", "tail", F.lit(True).alias("by_tail")), "tails")
     survive = level2.join(heads, ["g", "head"], "left").join(tails, ["g", "tail"], "left").where("by_head or by_tail")
     each = survive.select("g", "s", "n", "near", "by_head", "by_tail", F.posexplode("windows").alias("i", "w")).withColumn("back", F.col("i") + F.col("near"))
     # a window that starts `first` or more words before the anchor holds the half before it, any other the half after it
     level3 = tables.keep(each.where(F.when(F.col("back") >= first, F.col("by_head")).otherwise(F.col("by_tail"))).select("g", "s", "n", "w", F.col("back").cast("byte").alias("back")), "level3")
-    twice = level3.groupBy("g", "w").agg(F.sum("n").alias("c")).where("c > 1").select("g", "w")
+    twice = tables.keep(level3.groupBy("g", "w").agg(F.sum("n").alias("c")).where("c > 1").select("g", "w"), "twice")
     bit = F.expr("shiftleft(1, cast(back as int))")
     partly = level3.where("n = 1").join(twice, ["g", "w"]).groupBy("g", "s").agg(F.bit_or(bit).alias("bits"))
     wholly = spans.where("n > 1").select("g", "s", F.expr("shiftleft(1, cast(far as int) + 1) - shiftleft(1, cast(near as int))").alias("bits"))
     bits = tables.keep(partly.unionByName(wholly), "bits")
-    for name in ("level2", "level3", "spans"):
-        tables.drop(name)
+    tables.drop("several", "spans", "unlike", "level2", "heads", "tails", "level3", "twice")
     hits = alive.select("g", "s", "_k", "at").join(bits, ["g", "s"]).select("_k", "at", "bits").distinct()
-    return tables.keep(hits.groupBy("_k").agg(F.collect_list(F.struct("at", "bits")).alias("_hits")), "hits")
+    out = tables.keep(hits.groupBy("_k").agg(F.collect_list(F.struct("at", "bits")).alias("_hits")), "hits")
+    tables.drop("alive", "bits")
+    return out
 
 
 def removed_words(n: int, hits: list[dict] | None, window: int) -> np.ndarray:
@@ -189,8 +172,10 @@ def removals(docs: DataFrame, window: int = WINDOW, first: int = FIRST) -> DataF
 
 def _applied(docs: DataFrame, window: int, first: int, digest: bool) -> DataFrame:
     bounded(docs.sparkSession)
-    keyed = with_row_key(docs)
-    joined = keyed.join(repeated_windows(keyed.select("_k", "text"), window, first), "_k", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_hits")
+    key, hits = free_name(docs, "_k"), free_name(docs, "_hits")
+    keyed = with_row_key(docs, key)
+    found = repeated_windows(keyed.select(F.col(key).alias("_k"), "text"), window, first).select(F.col("_k").alias(key), F.col("_hits").alias(hits))
+    joined = keyed.join(found, key, "left").select(*[F.col(f"`{c}`") for c in docs.columns], hits)
     where, names = docs.columns.index("text"), docs.columns
 
     def cut(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:

@@ -60,9 +60,19 @@ def test_hard_rows(hard_docs, hard_rows):
 def test_text_is_cut_and_columns_stay(spark, no_docs):
     passage = " ".join(f"p{i}" for i in range(40))
     rows = [(1, f"first  line\n{passage}\n\nlast", 7, "x"), (None, passage, None, "y"), (2, "short", 1, None), (3, None, 2, "z")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int, at string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _k int, _hits string")
     got = {r.doc_id: tuple(r) for r in substring_dedup.deduplicate(docs).collect()}
     assert got == {1: (1, "first  line\nlast", 7, "x"), None: (None, "", None, "y"), 2: (2, "short", 1, None), 3: (3, None, 2, "z")}
     assert substring_dedup.deduplicate(no_docs).count() == 0 == substring_dedup.removals(no_docs).count()
     same = spark.createDataFrame([(5, passage), (5, passage)], "doc_id long, text string")
     assert [(r.n_words, r.n_removed) for r in substring_dedup.removals(same).collect()] == [(40, 40)] * 2
+
+
+def test_large_groups_of_copies(spark):
+    rng = random.Random(21)
+    passage = [f"c{i}" for i in range(50)]
+    copy = " ".join(f"k{i}" for i in range(80))
+    texts = [copy] * 300 + [" ".join([f"u{n}x{i}" for i in range(rng.randint(0, 30))] + passage + [f"v{n}x{i}" for i in range(rng.randint(0, 30))]) for n in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.removals(docs).collect()}
+    assert got == dict(enumerate(brute(texts, 35)))
