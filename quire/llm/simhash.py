@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.batches import column, map_batches, texts_of, with_row_key
-from quire.session import materialise
+from quire.llm.batches import column, free_name, map_batches, texts_of, with_row_key
+from quire.session import Scratch, materialise
 
 SHINGLE, RADIUS = 3, 2
 _SLAB = 1 << 15
@@ -70,7 +70,10 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("the variants are those within one bit, so the radius is 1 or 2")
     # 65 variants of one value, emitted by a native generator
     flips = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
-    met = fps.select("fp", F.explode(flips).alias("variant"))
+    # each row becomes 65, so the few small partitions that they have fit into would be few long tasks; dealt by a hash of
+    # the value, as dealing by the value itself is taken for done and merged again
+    spread = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
+    met = spread.select("fp", F.explode(flips).alias("variant"))
     star = met.groupBy("variant").agg(F.min("fp").alias("a"), F.max("fp").alias("z"), F.collect_list("fp").alias("members")).where("a < z")
     pairs = star.select("a", F.explode("members").alias("b")).where("a < b").distinct()
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
@@ -80,30 +83,32 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.where("fp > variant").join(fps.select(F.col("fp").alias("variant")), "variant", "left_semi").select(F.col("variant").alias("a"), F.col("fp").alias("b"))
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: each node of the links that reaches a smaller one, with the smallest that it reaches.
 
-    Every round is written to the shared folder, so lineage stays short and a lost executor costs one round.
+    Every round is written to the shared folder, so lineage stays short and a lost executor costs one round; a
+    round's table goes when the next is written.
     """
-    spark = edges.sparkSession
-    edges = materialise(edges.select("a", "b").where("a <> b"), name)
+    tables, round_ = Scratch(edges.sparkSession, "components"), 0
+    edges = tables.keep(edges.select("a", "b").where("a <> b"), "links-0")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large-star: greater neighbours hang on the smallest neighbour
         large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
-        large = materialise(large, name)
+        large = tables.keep(large, f"large-{round_}")
         # small-star: smaller neighbours, and the node, hang on the smallest
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("p"), "a", "b")
         small = small.select("p", F.col("a").alias("q")).union(small.select("p", F.col("b").alias("q"))).where("p < q").distinct().select(F.col("p").alias("a"), F.col("q").alias("b"))
-        small = materialise(small, name)
+        edges = tables.keep(small, f"links-{round_ + 1}")
+        tables.drop(f"large-{round_}", f"links-{round_}")
+        round_ += 1
         # settled when each node hangs on one root and no root hangs on another
-        several = small.groupBy("b").count().where("count > 1").limit(1).count()
-        nested = several or small.select("a").distinct().join(small.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count()
-        edges = small
+        several = edges.groupBy("b").count().where("count > 1").limit(1).count()
+        nested = several or edges.select("a").distinct().join(edges.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count()
         if not nested:
-            return small.select(F.col("b").alias("node"), F.col("a").alias("root"))
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -124,5 +129,6 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     that with the smallest row key; of rows equal in id and text, one)."""
     found = near_duplicates(docs, shingle, radius)
     keep = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "_k"))["_k"].alias("_k"))
-    kept = with_row_key(docs).join(keep.select("_k"), "_k", "left_semi")
-    return kept.dropDuplicates(["_k"]).select(*docs.columns)
+    key = free_name(docs, "_k")
+    kept = with_row_key(docs, key).join(keep.select(F.col("_k").alias(key)), key, "left_semi")
+    return kept.dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -86,7 +86,7 @@ def test_deduplicate_keeps_one_of_each_group(spark, hard_docs, hard_rows):
 def test_nulls_copies_and_clashing_names(spark, no_docs):
     assert simhash.near_duplicates(no_docs).collect() == []
     rows = [(None, "a b c d", 1), (None, "a b c d", 1), (4, "a b c d", 2), (4, "a b c d", 2), (None, "q r s t u v", 3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _k int")
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_duplicates(docs).collect())
     assert got == [(-1, -1), (-1, 4), (-1, 4), (4, 4), (4, 4)]
-    assert sorted((r.doc_id or -1, r.text) for r in simhash.deduplicate(docs).collect()) == [(-1, "q r s t u v"), (4, "a b c d")]
+    assert sorted((r.doc_id or -1, r.text, r._k) for r in simhash.deduplicate(docs).collect()) == [(-1, "q r s t u v", 3), (4, "a b c d", 2)]
