@@ -13,6 +13,7 @@ matrix, and image objects.
 from __future__ import annotations
 
 import base64
+import math
 import re
 import time
 import zlib
@@ -25,8 +26,6 @@ _NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)\Z")
 #: Nested forms and containers deeper than this are damage or an attack.
 MAX_DEPTH = 60
 PAINT_IMAGE = 89
-#: Seconds of decoding images on one page after which further images count as absent.
-IMAGE_SECONDS = 10.0
 
 
 class PdfError(ValueError):
@@ -819,7 +818,7 @@ class _Interpreter:
             self._decode(name, Stream(info, lexer.data[begin:end]))
 
     def _decode(self, name: str, stream: Stream) -> None:
-        """Add an image object, without data once the page's time for images is used up or where it can't be decoded."""
+        """Add an image object, without data where it can't be decoded or once a caller's limit of seconds is used up."""
         began = time.monotonic()
         absent = {"width": None, "height": None, "kind": None, "data": None}
         try:
@@ -829,8 +828,8 @@ class _Interpreter:
         self.seconds_left -= time.monotonic() - began
 
 
-def page_layout(doc: Document, number: int, with_images: bool = False, image_seconds: float = IMAGE_SECONDS) -> PageLayout:
-    """The layout of a page (from 1)."""
+def page_layout(doc: Document, number: int, with_images: bool = False, image_seconds: float = math.inf) -> PageLayout:
+    """The layout of a page (from 1); every image is decoded unless the caller limits the page's seconds for them."""
     page, get = doc.pages[number - 1], doc.get
     contents = get(page.get("Contents"), [])
     parts = [get(c) for c in contents] if isinstance(contents, list) else [contents]
