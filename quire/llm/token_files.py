@@ -50,7 +50,8 @@ def _byte_alphabet() -> list[str]:
 
 class WordEncoder:
     """Ids by the tokenizers library. White space always ends a piece of this vocabulary, so a text's ids are
-    those of its words; each different word is encoded once while it is in the table.
+    those of its words; each different word is encoded once while it is in the table. A text that may hold an added
+    token of the vocabulary goes through the whole pipeline, which gives such a token its own id.
 
     Words of Latin-1 letters and ASCII marks need no normalisation but lower case, so their pieces go to the
     library's model at once; every other word goes through the library's whole pipeline."""
@@ -60,13 +61,16 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(content.decode("utf-8"))
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.code = next(c for c in "HIL" if array.array(c).itemsize == self.dtype.itemsize)
         described = f"{self.tokenizer.normalizer}{self.tokenizer.pre_tokenizer}"
         self.by_word = "Lowercase()" in described and "Removed, invert=True" in described and r"[^\s\p{L}\p{N}]+" in described
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        # found in lower case whatever their case; other letters that become an ASCII one are those of k and i only
+        self.by_word = self.by_word and all(t.content.isascii() and not (t.normalized and set("ki") & set(t.content.lower())) for t in added)
+        self.added = re.compile(b"|".join(re.escape(t.content.lower().encode()) for t in added) or rb"(?!)")
         self.letters = _byte_alphabet()
         self.words: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -94,7 +98,7 @@ class WordEncoder:
 
     def encode(self, raw: bytes) -> bytes:
         """The packed ids of one whole text."""
-        if not self.by_word:
+        if not self.by_word or self.added.search(raw.lower()):
             return self._whole(raw.decode("utf-8"))
         # words end at ASCII white space; other white space inside a word is left to the library
         words = raw.split()

@@ -52,3 +52,16 @@ def test_fast_path_equals_the_whole_pipeline_for_latin_words():
     letters = "aZÄßé.!$|(&-"
     for word in map("".join, itertools.product(letters, repeat=3)):
         assert encoder._word(word.encode()) == encoder._whole(word), word
+
+
+def test_added_tokens_have_the_untouched_library_s_ids(spark):
+    texts = ["end <|endoftext|> of", "<|endoftext|>", "a<|startoftext|>B c", "x <|STARTOFTEXT|> <|EndOfText|> y", "<|endoftext|><|endoftext|>.", "no <| endoftext |> at all", "end<|endoftext|>\u0338 é"]
+    library = Tokenizer.from_file(VOCABULARY)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in token_files.read_documents(token_files.write_tokens(docs, VOCABULARY, 2, shards=2), with_ids=True).collect()}
+    start = 0
+    for doc_id, text in enumerate(texts):
+        ids = library.encode(text, add_special_tokens=False).ids + [2]
+        assert (got[doc_id].ids, got[doc_id].start) == (ids, start), text
+        start += len(ids)
+    assert got[0].ids == [806, 49407, 539, 2]
