@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import packing, pii, quality, simhash, substring_dedup
+from quire.llm import near_copies, packing, pii, quality, substring_dedup
 from quire.session import scratch_path, ship
 
 #: SQL can't express the forest or the trees; the stages are tested against brute force.
@@ -28,9 +28,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest doc_id."""
+    """One document of each group of near copies (similarity 0.8 of 5-word shingles) stays, that with the smallest doc_id."""
     ship(spark)
-    return simhash.deduplicate(docs)
+    return near_copies.deduplicate(docs)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
