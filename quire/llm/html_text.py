@@ -6,7 +6,9 @@ equivalence class. A class is valid for the template if it spans at least MIN_SU
 its tokens stand once a page, so that they keep one order and nest by their paths; the valid classes, nested,
 are the template, and what lies between their tokens are slots. The slot of the article element, or else the
 innermost container whose slot holds most of the host's free text, is extracted. Slots of menus, headers,
-footers, sidebars, notices, adverts, forms and comments are left out by name. A page that lacks the host's
+footers, sidebars, notices, adverts, forms and comments are left out by their tag, or by a whole class, id or role
+unless nearly all free text of the page is in them; a class, id or role of several words that has one of these
+names among them counts only where links outweigh free text. Ids of headings name their topic and don't count. A page that lacks the host's
 slot is a host of its own.
 
 A vector is kept as the exclusive or of a hash of (page, count) and its support; both are summed up in the
@@ -35,47 +37,79 @@ from quire.session import materialise
 MIN_SUPPORT, MOST = 0.8, 0.6
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'/])([^\s=\"'/>]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg math".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br".split())
+_RAW = frozenset("script style textarea title noscript template iframe svg annotation annotation-xml".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mmultiscripts mstyle mpadded mphantom menclose mfenced mtable mtr mtd".split())
 _CONTAINERS = frozenset("html body main article section div td center".split())
 _JUNK_TAGS = frozenset("head nav header footer aside form menu dialog button select option fieldset".split()) | _RAW
 _JUNK_WORDS = frozenset("ad ads advert adverts advertisement sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside comment comments disqus replies cookie cookies consent notice notices popup modal newsletter subscribe form search".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("html body main article section div td th ul ol dl table nav header footer aside form blockquote".split())
 
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+#: Above this share of a page's free text no name makes an element junk; one of several words not even above the second.
+NEARLY_ALL, HALF = 0.9, 0.5
+
 ROOT = 1
 
 
 class _Element:
-    __slots__ = ("junk", "link", "name", "path")
+    __slots__ = ("above", "free", "junk", "link", "linked", "name", "part", "path", "whole")
 
-    def __init__(self, name: str, path: int, junk: bool, link: bool) -> None:
-        self.name, self.path, self.junk, self.link = name, path, junk, link
+    def __init__(self, name: str, path: int, above: _Element | None, whole: bool = False, part: bool = False) -> None:
+        self.name, self.path, self.above, self.whole, self.part = name, path, above, whole, part
+        self.junk = name in _JUNK_TAGS or (above is not None and above.junk)
+        self.link = name == "a" or (above is not None and above.link)
+        self.free = self.linked = 0  # words below outside junk tags
 
 
-def _named_junk(name: str, attributes: str) -> tuple[str, bool]:
-    """The token's label, and whether its name or its classes, id and role mark it as no part of an article."""
-    label, junk = name, name in _JUNK_TAGS
+def _named(name: str, attributes: str) -> tuple[str, bool, bool]:
+    """The token's label, and whether a whole class, id or role is a junk word, or a part of one between hyphens."""
+    label, whole, part = name, False, False
     if attributes and "=" in attributes:
-        found = sorted((k.lower(), (a or b or c).lower()) for k, a, b, c in _ATTRIBUTE.findall(attributes))
+        found = sorted((k, (a or b or c).lower()) for k, a, b, c in ((m[0].lower(), *m[1:]) for m in _ATTRIBUTE.findall(attributes)) if k in ("class", "id", "role"))
         if found:
             label += "".join(f"[{k}={v}]" for k, v in found)
             if name not in ("html", "body", "article", "main"):
-                junk = junk or any(w in _JUNK_WORDS for k, v in found for part in v.split() for w in re.split(r"[-_]", part))
-    return label, junk
+                names = [x for k, v in found if k != "id" or name not in _HEADINGS for x in v.split()]
+                whole = any(x in _JUNK_WORDS for x in names)
+                part = any(w in _JUNK_WORDS for x in names for w in re.split(r"[-_]", x))
+    return label, whole, part
 
 
-def events(page: str) -> Iterator[tuple[str, object, str]]:
+def events(page: str) -> Iterator[tuple[str, _Element, str]]:
     """("open", element, ""), ("close", element, ""), ("text", innermost element, text) and ("break", element, "") for br."""
-    root = _Element("#root", ROOT, False, False)
+    found = list(_parsed(page))
+    for kind, element, text in found:
+        if kind == "text" and not element.junk:
+            n = len(text.split())
+            element.free += 0 if element.link else n
+            element.linked += n if element.link else 0
+        elif kind == "close":
+            element.above.free += element.free
+            element.above.linked += element.linked
+    root = found[0][1].above or found[0][1] if found else None
+    most = root.free if root else 0
+    for event in found:
+        if event[0] == "open":
+            element = event[1]
+            whole = element.whole and not element.free > NEARLY_ALL * most
+            part = element.part and not element.whole and element.linked >= element.free and not element.free > HALF * most
+            element.junk = element.junk or element.above.junk or whole or part
+        yield event
+
+
+def _parsed(page: str) -> Iterator[tuple[str, _Element, str]]:
+    """The events with junk by tags alone."""
+    root = _Element("#root", ROOT, None)
     stack = [root]
     at = 0
 
-    def close_to(k: int) -> Iterator[tuple[str, object, str]]:
+    def close_to(k: int) -> Iterator[tuple[str, _Element, str]]:
         while len(stack) > k:
             yield "close", stack.pop(), ""
 
@@ -113,9 +147,9 @@ def events(page: str) -> Iterator[tuple[str, object, str]]:
                 elif stack[k].name in _SCOPE and stack[k].name not in shut:
                     break
         above = stack[-1]
-        label, junk = _named_junk(name, m[3])
+        label, whole, part = _named(name, m[3])
         path = xxhash.xxh64_intdigest(label, above.path & 0xFFFFFFFF) ^ (above.path << 1 & 0xFFFFFFFFFFFFFFFF)
-        element = _Element(name, path, above.junk or junk, above.link or name == "a")
+        element = _Element(name, path, above, whole, part)
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
             at = len(page) if end is None else end.start()
@@ -206,33 +240,34 @@ def extract(page: str | None, main: int | None) -> str:
 
 
 def template_tokens(pages: DataFrame) -> DataFrame:
-    """By host and path: pages (support), vector, once (never twice in a page), free, linked, depth, name, junk."""
+    """By host and path: pages (support), vector, once (never twice in a page), free, linked, depth, name, junk (pages where it is)."""
 
     def work(batch: pa.RecordBatch) -> dict:
         sums: dict[tuple[str, int], list] = {}
         for url, page, key in zip(column(batch, "url").to_pylist(), column(batch, "html").to_pylist(), column(batch, "_k").to_pylist()):
             host, tally = host_of(url), _Tally(page or "")
             for path, (count, free, linked, depth, name, junk) in [(ROOT, tally.root), *tally.seen.items()]:
-                row = sums.setdefault((host, path), [0, 0, True, 0, 0, depth, name, junk])
+                row = sums.setdefault((host, path), [0, 0, True, 0, 0, depth, name, 0])
                 row[0] += 1
                 row[1] ^= xxhash.xxh64_intdigest(f"{key},{count}", 7)
                 row[2] &= count == 1
                 row[3] += free
                 row[4] += linked
+                row[7] += junk
         keys, rows = list(sums), list(sums.values())
         signed = lambda values: pa.array(np.array(values, dtype=np.uint64).view(np.int64))
         return {"host": [k[0] for k in keys], "path": signed([k[1] for k in keys]), "pages": [r[0] for r in rows], "vector": signed([r[1] for r in rows]), "once": [r[2] for r in rows], "free": [r[3] for r in rows], "linked": [r[4] for r in rows], "depth": [r[5] for r in rows], "name": [r[6] for r in rows], "junk": [r[7] for r in rows]}
 
     keyed = pages.select("url", "html", F.xxhash64("page_id", "url", "html").alias("_k"))
-    parts = map_batches(keyed, work, "host string, path long, pages long, vector long, once boolean, free long, linked long, depth int, name string, junk boolean")
-    return parts.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.expr("bit_xor(vector)").alias("vector"), F.expr("bool_and(once)").alias("once"), F.sum("free").alias("free"), F.sum("linked").alias("linked"), F.min("depth").alias("depth"), F.min("name").alias("name"), F.expr("bool_or(junk)").alias("junk"))
+    parts = map_batches(keyed, work, "host string, path long, pages long, vector long, once boolean, free long, linked long, depth int, name string, junk long")
+    return parts.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.expr("bit_xor(vector)").alias("vector"), F.expr("bool_and(once)").alias("once"), F.sum("free").alias("free"), F.sum("linked").alias("linked"), F.min("depth").alias("depth"), F.min("name").alias("name"), F.sum("junk").alias("junk"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, main: the path of each host's main slot."""
     tokens = template_tokens(pages)
     # a class is the tokens of one host with one occurrence vector; its size and support are over the class
-    classes = tokens.where("once").groupBy("host", "vector", "pages").agg(F.count("*").alias("size"), F.sum("free").alias("class_free"), F.collect_list(F.when(F.col("name").isin(*sorted(_CONTAINERS)) & ~F.col("junk"), F.struct("path", "free", "linked", "depth", "name"))).alias("tokens"))
+    classes = tokens.where("once").groupBy("host", "vector", "pages").agg(F.count("*").alias("size"), F.sum("free").alias("class_free"), F.collect_list(F.when(F.col("name").isin(*sorted(_CONTAINERS)) & (2 * F.col("junk") <= F.col("pages")), F.struct("path", "free", "linked", "depth", "name"))).alias("tokens"))
     totals = tokens.where(F.col("path") == ROOT).select("host", F.col("pages").alias("host_pages"))
     valid = classes.join(totals, "host").where(F.col("pages") >= MIN_SUPPORT * F.col("host_pages"))
     slots = valid.select("host", F.explode("tokens").alias("t")).select("host", "t.*")

@@ -37,3 +37,19 @@ def test_nulls_odd_pages_and_copies(spark):
     got = sorted((r.page_id or 0, r.text) for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
     assert got == [(0, "a\n\nb c d"), (1, ""), (2, ""), (3, "plain & simple"), (3, "plain & simple"), (5, "deep"), (6, "one é€")]
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_names_in_slugs_drop_no_text():
+    prose = "long free text of the page " * 10
+    text = lambda page: html_text.extract(page, None)
+    assert text(f'<div class="post has-sidebar"><p>{prose}</div>') == prose.strip()
+    assert text(f'<body><div class="no-sidebar content"><p>{prose}</div>') == prose.strip()
+    inside = '<section id="search-and-rescue"><h2 id="how-to-form-a-company">How</h2><p>s</section><div class="entry-header"><h1>Title</h1></div><p data-id="ad-7">seven<p title="x class=ad">eight'
+    assert text(f"<article>{inside}<p>{prose}</article>").split("\n\n") == ["How", "s", "Title", "seven", "eight", prose.strip()]
+    assert text("<article><p>so <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> holds</article>") == "so x=2 holds"
+
+
+def test_names_with_their_text_still_drop():
+    prose = "long free text of the page " * 10
+    junk = '<div class="ad">buy</div><div class="comments"><p>first!</div><div role="search">find</div><div class="site-nav"><a>one</a> <a>two</a></div>'
+    assert html_text.extract(f"<article><p>{prose}</p>{junk}</article>", None) == prose.strip()
