@@ -59,26 +59,41 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return map_batches(with_row_key(docs.select("doc_id", "text")), work, "doc_id long, _k long, name long, n long, prefix array<long>")
 
 
+def _possible(pairs: DataFrame, shared: str) -> DataFrame:
+    """Names (a, b) of the pairs (x, y) that may be similar enough, given at least the number of shared prefix shingles.
+
+    The whole prefix of the set whose prefix ends first is known to be in the other set or not, and of n shingles no
+    more than n - least may be missing there."""
+    least = "(4 * (x.n + y.n) + 8) div 9"
+    fit = " or ".join(f"{s}.n div 5 + 1 - ({shared}) <= {s}.n - {least}" for s in "xy")
+    return pairs.where(fit).select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b"))
+
+
 def candidates(sets: DataFrame) -> DataFrame:
-    """Different pairs (a, b), a < b, of names that meet on a shingle of their prefixes and are near in size: all pairs
-    of groups of up to GROUP, some of greater ones."""
+    """Different pairs (a, b), a < b, of names that meet on shingles of their prefixes and may be similar enough: all
+    such pairs of groups of up to GROUP, some of greater ones."""
     met = sets.select(F.struct("n", "name").alias("s"), F.explode("prefix").alias("h"))
-    groups = met.groupBy("h").agg(F.sort_array(F.collect_list("s")).alias("m")).where("size(m) > 1").select("m")
+    groups = materialise(met.groupBy("h").agg(F.sort_array(F.collect_list("s")).alias("m")).where("size(m) > 1").select("m"), "groups")
     # element i with all before it, or in a greater group with the two before it and the first of its GROUP (of the last, where it is one)
     some = f"concat(slice(m, greatest(1, i - 1), least(2, i)), array(m[i - if(pmod(i, {GROUP}) = 0, {GROUP}, pmod(i, {GROUP}))]))"
     partners = f"if(size(m) <= {GROUP}, slice(m, 1, i), {some})"
     pairs = groups.select(F.expr(f"explode(flatten(transform(sequence(1, size(m) - 1), i -> transform({partners}, x -> struct(x as x, m[i] as y)))))").alias("p"))
-    fit = pairs.where("p.x.name <> p.y.name and 5 * p.x.n >= 4 * p.y.n")
-    return fit.select(F.least("p.x.name", "p.y.name").alias("a"), F.greatest("p.x.name", "p.y.name").alias("b")).distinct()
+    counted = pairs.where("5 * p.x.n >= 4 * p.y.n").groupBy("p.x", "p.y").agg(F.count("*").alias("seen"))
+    # what a pair shares in greater groups is at most what the one with fewer shingles there has
+    great = groups.where(f"size(m) > {GROUP}").select(F.explode("m").alias("s")).groupBy("s.name").agg(F.count("*").alias("g"))
+    for side in "xy":
+        counted = counted.join(great.select(F.col("name").alias(f"{side}_name"), F.col("g").alias(f"{side}_g")), F.col(f"{side}.name") == F.col(f"{side}_name"), "left")
+    return _possible(counted, "seen + least(coalesce(x_g, 0), coalesce(y_g, 0))")
 
 
 def apart(sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs (a, b), a < b, of groups greater than GROUP that meet on a shingle, are near in size and have two roots."""
+    """All pairs (a, b), a < b, of names of two roots that meet in groups greater than GROUP alone and may be similar
+    enough; pairs that meet in another group too were all candidates before."""
     rooted = sets.join(roots, sets.name == roots.node, "left").select("n", "name", F.coalesce("root", "name").alias("root"), "prefix")
     met = rooted.select(F.struct("n", "name", "root").alias("s"), F.explode("prefix").alias("h"))
     great = met.groupBy("h").agg(F.collect_list("s").alias("m")).where(f"size(m) > {GROUP} and size(array_distinct(m.root)) > 1").select("m", F.explode("m").alias("x"))
     pairs = great.select("x", F.expr("explode(filter(m, y -> y.root <> x.root and (y.n > x.n or y.n = x.n and y.name > x.name) and 5 * x.n >= 4 * y.n)) as y"))
-    return pairs.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b")).distinct()
+    return _possible(pairs.groupBy("x", "y").agg(F.count("*").alias("seen")), "seen")
 
 
 def links(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
