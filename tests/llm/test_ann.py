@@ -20,7 +20,7 @@ def test_recall_against_brute_force(spark):
     rows = [(int(i), np.array(v, dtype=float)) for i, v in zip(frame.vec_id, frame.embedding)]
     queries = [r for r in rows if r[0] % 50 == 0]
     want = brute(rows, queries, 5)
-    got = ann.nearest(table, table.where("vec_id % 50 = 0"), block_rows=700, query_rows=25).toPandas()
+    got = ann.nearest(table, table.where("vec_id % 50 = 0"), block_rows=150, chunk_visits=25).toPandas()
     assert got.groupby("query_id").size().eq(5).all() and set(got.query_id) == set(want)
     hits = sum(len(set(part.vec_id) & {i for i, _ in want[q]}) for q, part in got.groupby("query_id"))
     assert hits / (5 * len(want)) >= 0.98
@@ -33,6 +33,44 @@ def test_recall_against_brute_force(spark):
         assert part["rank"].tolist() == [1, 2, 3, 4, 5] and part.score.is_monotonic_decreasing
 
 
+def test_cells_hold_every_point_and_reach_them():
+    rng = np.random.default_rng(2)
+    points = np.concatenate((rng.normal(size=(3000, 8)), np.zeros((500, 8)), rng.normal(size=(40, 8)).repeat(30, axis=0)))
+    cells = ann.Cells(points[::3], 30)
+    home = cells.of(points)
+    assert 2 < cells.count <= 30 and set(home) <= set(range(cells.count)) and np.bincount(home).max() < 900
+    queries, reach = rng.normal(size=(20, 8)), rng.uniform(0.1, 4, size=20)
+    row, cell = cells.reached(queries, reach)
+    met = set(zip(row.tolist(), cell.tolist()))
+    assert len(met) == len(row) < 20 * cells.count
+    for q in range(20):  # every point within reach lies in a cell that was reached
+        near = ((points - queries[q]) ** 2).sum(axis=1) <= reach[q]
+        assert {(q, c) for c in home[near].tolist()} <= met
+    assert {(q, cells.of(queries)[q]) for q in range(20)} <= met
+    row, _ = cells.reached(queries, np.full(20, np.inf))
+    assert len(row) == 20 * cells.count
+    assert ann.Cells(np.zeros((50, 8)), 4).count == 1
+
+
+def test_clusters_visit_few_cells(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(200, 32))
+    data = centres[rng.integers(0, 200, 4000)] + 0.02 * rng.normal(size=(4000, 32))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(data)] + [(4000 + i, data[0].tolist(), 0) for i in range(1500)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    got = ann.nearest(table, table.where("vec_id % 50 = 0"), block_rows=100, chunk_visits=10).toPandas()
+    vectors = [(i, np.array(v)) for i, v, _ in rows]
+    want = brute(vectors, [v for v in vectors if v[0] % 50 == 0], 5)
+    assert sum(len({i for i, _ in want[q]} & set(part.vec_id)) for q, part in got.groupby("query_id")) >= 0.98 * 5 * len(want)
+    copies = got[got.query_id == 4000].sort_values("rank")  # 1,501 rows share this vector
+    assert copies.vec_id.tolist() == [0, 4001, 4002, 4003, 4004]
+    tree = ann.Cells((data / np.linalg.norm(data, axis=1)[:, None]) @ ann.projection(32), 40)
+    unit = data / np.linalg.norm(data, axis=1)[:, None]
+    kth = np.sort(unit[:100] @ unit.T, axis=1)[:, -6]
+    row, _ = tree.reached(unit[:100] @ ann.projection(32), ann.within(kth, ann.chi_square_quantile(ann.CONFIDENCE, ann.PROJECTIONS)))
+    assert len(row) < 100 * 40 / 4
+
+
 def test_stopping_test_reads_less_than_all():
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(40, 32))
