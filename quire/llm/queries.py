@@ -59,8 +59,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import sharding
 
-    docs = sharding.old_shards_by_file(_table(spark, sf_dir, "documents"))
-    placed = sharding.reshard(docs)
+    placed = sharding.reshard(_table(spark, sf_dir, "documents"))
     return placed.select("doc_id", F.col("shard_size").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -1,28 +1,42 @@
 """Resharding by minimum-cost flow: from old shard sizes and new capacities to block transfers that move the
 fewest bytes, then the rewrite of the files concerned.
 
-Every document belongs to a block: its old shard and one of a fixed number of hash buckets. Only the sizes of
-the blocks (a bounded table: BLOCKS in all) reach the driver. A flow network joins old shards to new ones; a
-byte that stays in the shard of the same number costs nothing, a byte that moves costs one, capacities are the
-new shards' equal shares. Successive shortest paths solve it, the flow between two shards is filled with whole
-blocks, and the last differences are evened out by the smallest moves. Then documents are written once, to
-their new shards' files, with their slots.
+An old shard is one input file. File i stays at home in shard i; a file beyond the number of shards is at home in
+the shard that holds least when it comes, in falling size, for a shard may consist of several files and a file that
+changes its number alone moves nothing. A flow network joins homes to shards: a byte that stays costs nothing, a
+byte that moves costs one, capacities are the shards' equal shares. Files of one home have the same costs, so they
+are one source and the network has SHARDS sources whatever the number of files. Successive shortest paths solve it.
 
-Law: `bytes` (sizes near equal, to about one block or one document, whichever is greater).
+What leaves a home is taken from its greatest files, as few as hold it. Only these files are affected: their rows
+fall into hash blocks, BLOCKS in all, the flow is filled with whole blocks, and the last differences are evened out
+by the smallest moves. Affected files are rewritten without what leaves, and what moves is written beside the
+files of its new shard; no other file is read for the rewrite or written. The manifest names the files left alone.
+
+Law: `bytes` (sizes near equal: to SLACK of the share where a shard is left alone, else to about one block or one
+document, whichever is greater).
+
+On the driver: one row a file (as Spark's own listing has), the sizes of at most BLOCKS blocks, two arrays of SHARDS
+by SHARDS. Tasks hold blocks of one shard; they are dealt to partitions by number, not by hash.
 
 Results: null text has size 16 and the checksum of an empty text. A null doc_id is dealt by its text. Repeated
-rows share a block. More old shards than OLD_SHARDS are taken together by a hash of their names.
+rows share a block. A very long text is one row of its block. An empty table gives no rows. Columns of the input
+that have the name of a result get the suffix _input; any other name is kept.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.session import scratch_path
 
-SHARDS, BLOCKS, OLD_SHARDS, ROW_BYTES = 40, 10_240, 256, 16
+SHARDS, BLOCKS, ROW_BYTES, SLACK = 40, 10_240, 16, 0.002
+RESULTS = ("shard", "slot", "shard_size", "shard_crc32", "old_shard")
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost: np.ndarray) -> np.ndarray:
@@ -74,42 +88,89 @@ def min_cost_flow(supply: list[int], demand: list[int], cost: np.ndarray) -> np.
     return flow
 
 
-def plan_transfers(blocks: list[tuple[int, int, int]], shards: int) -> dict[tuple[int, int], int]:
-    """(old, bucket) -> new shard, for blocks (old, bucket, bytes); old shard i keeps number i where i < shards."""
-    if not blocks:
-        return {}
-    n_old = max(b[0] for b in blocks) + 1
-    sizes = np.zeros(n_old, dtype=np.int64)
-    for old, _, size in blocks:
-        sizes[old] += size
-    total = int(sizes.sum())
-    capacity = [total // shards + (j < total % shards) for j in range(shards)]
-    cost = np.ones((n_old, shards), dtype=np.int64)
-    cost[np.arange(min(n_old, shards)), np.arange(min(n_old, shards))] = 0
-    flow = min_cost_flow(sizes.tolist(), capacity, cost)
-    target: dict[tuple[int, int], int] = {}
+@dataclass
+class Transfers:
+    """What moves: by home and shard the bytes, the home of each file, the affected files, the shards left as they are."""
+
+    flow: np.ndarray
+    homes: list[int]
+    affected: list[int]
+    settled: np.ndarray
+
+    @property
+    def moved(self) -> int:
+        return int(self.flow.sum() - np.trace(self.flow))
+
+
+def plan_transfers(sizes: list[int], shards: int, slack: float = SLACK) -> Transfers:
+    """The cheapest flow from files of these sizes to equal shards, and the files it has to touch."""
+    homes = list(range(min(len(sizes), shards))) + [0] * max(0, len(sizes) - shards)
+    held = np.zeros(shards, dtype=np.int64)
+    held[: len(sizes[:shards])] = sizes[:shards]
+    least = [(int(h), j) for j, h in enumerate(held)]
+    heapq.heapify(least)
+    for i in sorted(range(shards, len(sizes)), key=lambda i: (-sizes[i], i)):
+        size, j = heapq.heappop(least)
+        homes[i] = j
+        heapq.heappush(least, (size + sizes[i], j))
+        held[j] += sizes[i]
+    share = held.sum() / shards
+    settled = np.abs(held - share) <= slack * share
+    open_ = np.flatnonzero(~settled)
+    demand = held.copy()
+    if len(open_):
+        rest = int(held[open_].sum())
+        demand[open_] = [rest // len(open_) + (k < rest % len(open_)) for k in range(len(open_))]
+    flow = min_cost_flow(held.tolist(), demand.tolist(), 1 - np.eye(shards, dtype=np.int64))
+    affected = []
+    by_home: list[list[int]] = [[] for _ in range(shards)]
+    for i, j in enumerate(homes):
+        by_home[j].append(i)
+    for j in range(shards):
+        out = int(flow[j].sum() - flow[j, j])
+        for i in sorted(by_home[j], key=lambda i: (-sizes[i], i)):
+            if out <= 0:
+                break
+            affected.append(i)
+            out -= sizes[i]
+    return Transfers(flow, homes, sorted(affected), settled)
+
+
+def place_blocks(plan: Transfers, sizes: list[int], blocks: list[tuple[int, int, int]]) -> dict[tuple[int, int], int]:
+    """(file, bucket) -> shard, for the blocks (file, bucket, bytes) of the affected files."""
+    shards = len(plan.flow)
     held = np.zeros(shards, dtype=np.int64)
-    for old in range(n_old):
-        own = sorted(((size, bucket) for o, bucket, size in blocks if o == old), reverse=True)
-        wanted = flow[old].astype(np.int64).copy()
-        for size, bucket in own:  # the greatest blocks first, to where most is still wanted; home wins ties
+    touched = set(plan.affected)
+    for i, j in enumerate(plan.homes):
+        if i not in touched:
+            held[j] += sizes[i]
+    target: dict[tuple[int, int], int] = {}
+    by_home: list[list[tuple[int, int, int]]] = [[] for _ in range(shards)]
+    for i, bucket, size in blocks:
+        by_home[plan.homes[i]].append((size, i, bucket))
+    stay = held.copy()
+    for home, own in enumerate(by_home):
+        wanted = plan.flow[home].astype(np.int64).copy()
+        wanted[home] -= stay[home]
+        for size, i, bucket in sorted(own, reverse=True):  # the greatest blocks first, to where most is still wanted; home wins ties
             j = int(wanted.argmax())
-            if old < shards and wanted[old] == wanted[j]:
-                j = old
-            target[(old, bucket)] = j
+            if wanted[home] == wanted[j]:
+                j = home
+            target[(i, bucket)] = j
             wanted[j] -= size
             held[j] += size
-    even_out(blocks, target, held)
+    even_out(blocks, target, held, plan.settled)
     return target
 
 
-def even_out(blocks: list[tuple[int, int, int]], target: dict[tuple[int, int], int], held: np.ndarray, rounds: int = 4000) -> None:
-    """Move the block that most reduces the gap between the fullest and the emptiest shard, while that helps."""
+def even_out(blocks: list[tuple[int, int, int]], target: dict[tuple[int, int], int], held: np.ndarray, settled: np.ndarray | None = None) -> None:
+    """Move the block that most reduces the gap between the fullest and the emptiest shard, as long as one does; each move lessens the sum of squares, so it ends."""
     members: list[dict[tuple[int, int], int]] = [{} for _ in held]
     for old, bucket, size in blocks:
         members[target[(old, bucket)]][(old, bucket)] = size
-    for _ in range(rounds):
-        high, low = int(held.argmax()), int(held.argmin())
+    open_ = np.flatnonzero(~settled) if settled is not None else np.arange(len(held))
+    while len(open_) > 1:
+        high, low = int(open_[held[open_].argmax()]), int(open_[held[open_].argmin()])
         gap = int(held[high] - held[low])
         fits = [(abs(gap - 2 * size), key) for key, size in members[high].items() if 0 < size < gap]
         if not fits:
@@ -122,47 +183,81 @@ def even_out(blocks: list[tuple[int, int, int]], target: dict[tuple[int, int], i
         held[low] += size
 
 
-def old_shards_by_file(docs: DataFrame) -> DataFrame:
-    """doc_id and text of docs with _old: the number of the file that holds the row, in order of the files' names (one row a file reaches the driver)."""
-    docs = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("_file"))
-    names = sorted(r[0] for r in docs.select("_file").distinct().collect())
-    if len(names) > OLD_SHARDS:
-        return docs.withColumn("_old", F.pmod(F.xxhash64("_file"), F.lit(OLD_SHARDS)).cast("int")).drop("_file")
-    numbers = F.create_map(*[F.lit(x) for i, name in enumerate(names) for x in (name, i)]) if names else None
-    return docs.withColumn("_old", numbers[F.col("_file")] if names else F.lit(0)).drop("_file")
+def _dealt(spark: SparkSession, n: int) -> list[int]:
+    """For each partition number below n an integer that Spark's hash partitioning puts there."""
+    found = spark.range(n * (16 + 2 * math.ceil(math.log(n + 1)))).select(F.col("id").cast("int").alias("x")).groupBy(F.expr(f"pmod(hash(x), {n})").alias("p")).agg(F.min("x").alias("x")).collect()  # n rows
+    place = {r.p: r.x for r in found}
+    return [place.get(p, p) for p in range(n)]
 
 
-def reshard(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, folder: str | None = None) -> DataFrame:
-    """Write docs (with _old, the number of the old shard) to `shards` shards and return the written rows.
+def reshard(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, folder: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Bring docs, read from files and with nothing but columns dropped since, to `shards` shards and return all rows.
 
-    Columns: those of docs but _old (one that has a name of these gets the suffix _input), and shard_size,
-    shard_crc32, shard, slot, old_shard; the folder has one directory a shard."""
+    Columns: those of docs (one that has the name of a result gets the suffix _input), and shard_size, shard_crc32,
+    shard, slot (gapless in each shard), old_shard (the number of the file, in order of names). In `folder`: rows/
+    with one directory a shard for what was rewritten, manifest/ with a row a file left alone (shard, path, first
+    slot, rows, bytes) and summary/ with the bytes moved, the least that had to move, and the bytes rewritten."""
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "shards")
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    for name in ("shard", "slot", "shard_size", "shard_crc32", "old_shard"):
-        docs = docs.withColumnRenamed(name, f"{name}_input")
-    n_old = (docs.agg(F.max("_old")).first()[0] or 0) + 1
-    buckets = max(1, blocks // n_old)
-    held = docs.withColumn("shard_size", F.length(text).cast("long") + ROW_BYTES).withColumn("_bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.crc32(text)), F.lit(5)), F.lit(buckets)).cast("int"))
-    sizes = held.groupBy("_old", "_bucket").agg(F.sum("shard_size").alias("s"), F.count("*").alias("n")).collect()  # at most BLOCKS rows, or one an old shard
-    target = plan_transfers([(r._old, r._bucket, r.s) for r in sizes], shards)
-    # first slots: blocks of a shard in order of (old, bucket), from their counts
-    counts = {(r._old, r._bucket): r.n for r in sizes}
-    first, filled = {}, [0] * shards
-    for key in sorted(target):
-        first[key] = filled[target[key]]
-        filled[target[key]] += counts[key]
-    rows = [(old, bucket, j, first[(old, bucket)]) for (old, bucket), j in target.items()]
-    plan = spark.createDataFrame(rows, "_old int, _bucket int, shard int, _first long")
-    placed = held.join(F.broadcast(plan), ["_old", "_bucket"])  # at most BLOCKS rows, or one an old shard
-    # a task holds whole blocks of one shard; several tasks a shard where there are more tasks than shards
+    taken = {c.lower() for c in docs.columns} | set(RESULTS)
+    columns = {}
+    for c in docs.columns:
+        columns[c] = c
+        while columns[c].lower() in RESULTS or (columns[c] != c and columns[c].lower() in taken):
+            columns[c] += "_input"
+        taken.add(columns[c].lower())
+    text, key = columns[text], columns[key]
+    names = []
+    for name in ("file", "bucket", "first", "lane", "crc", "row"):
+        while (name := f"_{name}").lower() in taken:
+            pass
+        names.append(name)
+    file_, bucket, first, lane, crc, row = names
+    raw = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    named = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in columns.items()], F.col("_metadata.file_path").alias(file_), F.col("_metadata.row_index").alias(row))
+    sized = named.withColumn("shard_size", F.length(raw).cast("long") + ROW_BYTES)
+    listed = sorted((tuple(r) for r in sized.groupBy(file_).agg(F.sum("shard_size"), F.count("*")).collect()))
+    sizes = [r[1] for r in listed]
+    plan = plan_transfers(sizes, shards)
+    touched = [listed[i][0] for i in plan.affected]  # at most about two a shard
+    number = {listed[i][0]: i for i in plan.affected}
+    # the files left alone, first in their shards, by number
+    filled = [0] * shards
+    kept = []
+    for i, (path, size, count) in enumerate(listed):
+        if path not in number:
+            kept.append((path, i, plan.homes[i], filled[plan.homes[i]], count, size))
+            filled[plan.homes[i]] += count
+    # the blocks of the affected files
+    buckets = max(1, blocks // max(1, len(touched)))
+    moving = sized.where(F.col(file_).isin(touched)).withColumn(bucket, F.pmod(F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("string"), F.crc32(raw).cast("string")), F.lit(5)), F.lit(buckets)).cast("int"))
+    found = [tuple(r) for r in moving.groupBy(file_, bucket).agg(F.sum("shard_size"), F.count("*")).collect()] if touched else []  # at most BLOCKS rows, or one an affected file
+    target = place_blocks(plan, sizes, [(number[f], b, s) for f, b, s, _ in found])
+    counts = {(number[f], b): n for f, b, _, n in found}
+    rows, rewritten, moved = [], 0, 0
+    for (i, b), j in sorted(target.items()):
+        rows.append((listed[i][0], b, i, j, filled[j]))
+        filled[j] += counts[(i, b)]
+    for f, b, s, _ in found:
+        rewritten += s
+        moved += s * (target[(number[f], b)] != plan.homes[number[f]])
+    # a task holds whole blocks of one shard, several tasks a shard where there are more tasks than shards
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lanes = max(1, round(parallel / shards))
-    placed = placed.withColumn("_lane", F.col("shard") * lanes + F.pmod(F.col("_bucket"), F.lit(lanes)))
-    order = Window.partitionBy("_lane", "_old", "_bucket").orderBy("doc_id", "_crc")
-    crc = F.crc32(text)
-    out = placed.withColumn("_crc", crc).repartition(shards * lanes, "_lane").withColumn("slot", F.col("_first") + F.row_number().over(order) - 1)
-    out = out.withColumn("old_shard", F.col("_old")).withColumn("shard_crc32", F.col("_crc")).drop("_old", "_bucket", "_first", "_lane", "_crc")
-    out.write.mode("overwrite").partitionBy("shard").parquet(folder)
-    return spark.read.schema(out.schema).parquet(folder)
+    deal = _dealt(spark, shards * lanes) if rows else []
+    placed_rows = [(f, b, i, j, at, deal[j * lanes + b % lanes]) for f, b, i, j, at in rows]
+    where = spark.createDataFrame(placed_rows, f"`{file_}` string, `{bucket}` int, old_shard int, shard int, `{first}` long, `{lane}` int")  # at most BLOCKS rows, or one an affected file
+    order = Window.partitionBy(lane, file_, bucket).orderBy(F.col(f"`{key}`"), crc)
+    out = moving.withColumn(crc, F.crc32(raw)).join(where, [file_, bucket]).repartition(shards * lanes, lane).withColumn("slot", F.col(first) + F.row_number().over(order) - 1)
+    result = [F.col(f"`{c}`") for c in columns.values()]
+    out = out.select(*result, "shard_size", F.col(crc).alias("shard_crc32"), "slot", "old_shard", "shard")
+    out.write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/rows")
+    stays = spark.createDataFrame(kept, "path string, old_shard int, shard int, first_slot long, rows long, bytes long")
+    stays.write.mode("overwrite").parquet(f"{folder}/manifest")
+    least = plan.moved
+    spark.createDataFrame([(moved, least, rewritten, sum(sizes), len(touched), len(listed))], "moved long, least long, rewritten long, bytes long, affected int, files int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/summary")
+    written = spark.read.schema(out.schema).parquet(f"{folder}/rows") if rows else out.limit(0)
+    left = stays.select(F.col("path").alias(file_), "old_shard", "shard", F.col("first_slot").alias(first))
+    alone = sized.where(~F.col(file_).isin(touched)) if touched else sized
+    alone = alone.join(left, file_).select(*result, "shard_size", F.crc32(raw).alias("shard_crc32"), (F.col(first) + F.col(row)).alias("slot"), "old_shard", "shard")
+    return written.unionByName(alone) if kept else written
