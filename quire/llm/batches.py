@@ -47,8 +47,9 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 
 def with_row_key(docs: DataFrame, name: str = "_k") -> DataFrame:
-    """A 64-bit key of the row's id and text; rows equal in both share it and are treated alike."""
-    return docs.withColumn(name, F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.coalesce(F.col("text"), F.lit(""))))
+    """A 128-bit key (binary) of the row's id and text; rows equal in both share it and are treated alike. A null id or text has a key unlike that of any value."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    return docs.withColumn(name, F.unhex(F.md5(F.concat(part("doc_id"), F.lit(" "), part("text")))))
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -1,15 +1,26 @@
-"""Near copies by exact Jaccard similarity of word shingles, with prefix filtering.
-
-A text is the set of its shingles of SHINGLE words (lower case in A-Z, hashed to 64 bits). Two sets of similarity
-4/5 or more share one of the n // 5 + 1 least hashes of each, its prefix; sets that meet on a shingle of their
-prefixes are candidates, and a candidate is a link if the whole sets are similar enough. Texts with one set are
-taken together first. In a group of up to GROUP sets on a shingle every pair is a candidate. In a greater one each
-set first meets its neighbours by size and the first of its GROUP, which joins most of a group of near copies with
-few rows; then every pair of sets that are still apart is a candidate, so that no link between components is missed.
-
-Components of links are those of op3's rounds. Results: word-less texts are one group; a text shorter than the
-shingle is one shingle; of each component the document with the smallest doc_id stays (nulls last, then the
-smallest row key).
+"""Near copies: SimHash by ball hashing first, then every other pair of Jaccard similarity 0.8, exactly.
+
+A text is the set of its shingles of SHINGLE words (lower case in A-Z, hashed to 64 bits); two texts link if
+their sets have a similarity of 4/5 or more. Texts with one set are taken together first. A pair becomes a
+candidate in one of three ways, and every candidate is verified on the whole sets:
+
+1. SimHash: the fingerprints of 5-word shingles meet on their variants (simhash.links), at 2 bits or fewer. This
+   joins most copies, and large groups of them, with few rows.
+2. Two sets of similarity 4/5 share one of the first n // 5 + 1 shingles of each in any one order of all shingles,
+   its prefix. The order is: rare shingles by their hash, then frequent ones (in over GROUP texts) by their hash, so
+   a passage that thousands of unlike documents share is in no prefix unless four fifths of the document are such.
+   On each prefix shingle every set meets the least one.
+3. The components of these links are found, and pairs of different components that share a prefix shingle are
+   candidates; within a component no pair is needed any more. With this no link between components is lost.
+
+What is frequent is counted over prefixes by hash, and over the whole sets of those texts whose prefix holds a
+frequent shingle, until no other text's prefix holds one. Any choice of the frequent shingles gives the same
+result; the choice only saves pairs. No list of a shingle's texts is ever collected: pairs come from joins on
+the shingle, which Spark splits where they are skewed.
+
+Results: word-less texts (null, empty, white space) are one group; a text shorter than the shingle is one shingle;
+of each component the document with the smallest doc_id stays (nulls last, then the smallest row key); of rows equal
+in id and text one stays. An empty table gives an empty one. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,24 +31,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm import simhash
 from quire.llm.batches import column, free_name, map_batches, texts_of, with_row_key
-from quire.llm.simhash import components
-from quire.session import materialise
+from quire.session import Scratch
 
-SHINGLE, GROUP = 5, 16
+SHINGLE, GROUP = 5, 32
+
+
+def _unique(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes.view(np.int64))
 
 
 def shingle_set(raw: bytes) -> np.ndarray:
     """The sorted different hashes of a text's shingles."""
-    words = raw.lower().split()  # bytes.lower() changes A-Z only
-    if not words:
-        return np.empty(0, dtype=np.int64)
-    line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    last = max(1, len(words) - SHINGLE + 1)
-    hashes = [digest(line[a:b], 42) for a, b in zip(starts[:last].tolist(), ends[min(SHINGLE, len(words)) - 1 :].tolist())]
-    return np.unique(np.array(hashes, dtype=np.uint64).view(np.int64))
+    return _unique(simhash.shingle_hashes(raw, SHINGLE))
 
 
 def _lists(sets: list[np.ndarray]) -> pa.Array:
@@ -45,85 +52,126 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets) if sets else np.empty(0, dtype=np.int64)))
 
 
-def _name(found: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(found.astype("<i8").tobytes(), 7)).view(np.int64))
+def _name(found: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(found.astype("<i8").tobytes(), 7)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, _k (row key), name (hash of the set), n (its size) and prefix."""
+    """doc_id, _k (row key), name (128-bit hash of the set), n (its size), prefix (its n // 5 + 1 least hashes) and fp (the fingerprint)."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        sets = [shingle_set(t) for t in texts_of(batch)]
-        return {"doc_id": column(batch, "doc_id"), "_k": column(batch, "_k"), "name": [_name(s) for s in sets], "n": [len(s) for s in sets], "prefix": _lists([s[: len(s) // 5 + 1] for s in sets])}
+        hashes = [simhash.shingle_hashes(t, SHINGLE) for t in texts_of(batch)]
+        sets = [_unique(h) for h in hashes]
+        fps = np.array([simhash.majority(h) for h in hashes], dtype=np.uint64)
+        return {"doc_id": column(batch, "doc_id"), "_k": column(batch, "_k"), "name": [_name(s) for s in sets], "n": [len(s) for s in sets], "prefix": _lists([s[: len(s) // 5 + 1] for s in sets]), "fp": pa.array(fps.view(np.int64))}
+
+    return map_batches(with_row_key(docs.select("doc_id", "text")), work, "doc_id long, _k binary, name binary, n long, prefix array<long>, fp long")
 
-    return map_batches(with_row_key(docs.select("doc_id", "text")), work, "doc_id long, _k long, name long, n long, prefix array<long>")
 
+def _whole(docs: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:
+    """name and whole (the sorted set) of the names asked for; of documents with one set only that of its row key is hashed again."""
+
+    def work(batch: pa.RecordBatch) -> dict:
+        found = [shingle_set(t) for t in texts_of(batch)]
+        return {"name": [_name(s) for s in found], "whole": _lists(found)}
 
-def _possible(pairs: DataFrame, shared: str) -> DataFrame:
-    """Names (a, b) of the pairs (x, y) that may be similar enough, given at least the number of shared prefix shingles.
+    keys = sets.join(names, "name", "left_semi").select("_k")
+    texts = with_row_key(docs.select("doc_id", "text")).join(keys, "_k", "left_semi").dropDuplicates(["_k"]).select("text")
+    return map_batches(texts, work, "name binary, whole array<long>")
+
+
+def prefix_rows(docs: DataFrame, sets: DataFrame, tables: Scratch) -> DataFrame:
+    """name, n, h, least: the prefix shingles that more than one set has, with the least (n, name) of each shingle's sets."""
+    met = tables.keep(sets.select("name", "n", F.explode("prefix").alias("h")), "met")
+    hot = met.groupBy("h").count().where(F.col("count") > GROUP).select("h")
+    told = met.join(hot, "h", "left_semi").select("name").distinct()
+    turn = 0
+    told = tables.keep(told, "told-0")
+    rows = met
+    if told.limit(1).count():
+        while True:
+            whole = tables.keep(_whole(docs, sets, told), f"whole-{turn}")
+            each = met.join(told, "name", "left_anti").select("name", "h").union(whole.select("name", F.explode("whole").alias("h")))
+            frequent = tables.keep(each.groupBy("h").count().where(F.col("count") > GROUP).select("h"), f"frequent-{turn}")
+            more = tables.keep(met.join(told, "name", "left_anti").join(frequent, "h", "left_semi").select("name").distinct(), f"more-{turn}")
+            if not more.limit(1).count():
+                break
+            turn += 1
+            told = tables.keep(told.union(more), f"told-{turn}")
+            tables.drop(f"whole-{turn - 1}", f"frequent-{turn - 1}", f"more-{turn - 1}", f"told-{turn - 1}")
+        late = whole.select("name", F.explode("whole").alias("h")).join(frequent, "h", "left_semi").groupBy("name").agg(F.array_sort(F.collect_list("h")).alias("late"))
+        ordered = whole.join(late, "name", "left").select("name", "whole", F.coalesce("late", F.array().cast("array<long>")).alias("late"))
+        first = ordered.select("name", F.size("whole").cast("long").alias("n"), F.expr("explode(slice(concat(array_except(whole, late), late), 1, size(whole) div 5 + 1))").alias("h"))
+        rows = tables.keep(met.join(told, "name", "left_anti").select("name", "n", "h").union(first), "prefixes")
+    several = tables.keep(rows.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("n", "name")).alias("least")).where("c > 1").select("h", "least"), "several")
+    out = tables.keep(rows.join(several, "h").select("name", "n", "h", "least"), "shared")
+    tables.drop("met", "prefixes", "several", *[f"{x}-{turn}" for x in ("told", "whole", "frequent", "more")])
+    return out
+
+
+def _possible(pairs: DataFrame) -> DataFrame:
+    """Names (a, b) of the pairs (x, y), one row a shared prefix shingle, that may be similar enough.
 
     The whole prefix of the set whose prefix ends first is known to be in the other set or not, and of n shingles no
     more than n - least may be missing there."""
     least = "(4 * (x.n + y.n) + 8) div 9"
-    fit = " or ".join(f"{s}.n div 5 + 1 - ({shared}) <= {s}.n - {least}" for s in "xy")
-    return pairs.where(fit).select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b"))
-
-
-def candidates(sets: DataFrame) -> DataFrame:
-    """Different pairs (a, b), a < b, of names that meet on shingles of their prefixes and may be similar enough: all
-    such pairs of groups of up to GROUP, some of greater ones."""
-    met = sets.select(F.struct("n", "name").alias("s"), F.explode("prefix").alias("h"))
-    groups = materialise(met.groupBy("h").agg(F.sort_array(F.collect_list("s")).alias("m")).where("size(m) > 1").select("m"), "groups")
-    # element i with all before it, or in a greater group with the two before it and the first of its GROUP (of the last, where it is one)
-    some = f"concat(slice(m, greatest(1, i - 1), least(2, i)), array(m[i - if(pmod(i, {GROUP}) = 0, {GROUP}, pmod(i, {GROUP}))]))"
-    partners = f"if(size(m) <= {GROUP}, slice(m, 1, i), {some})"
-    pairs = groups.select(F.expr(f"explode(flatten(transform(sequence(1, size(m) - 1), i -> transform({partners}, x -> struct(x as x, m[i] as y)))))").alias("p"))
-    counted = pairs.where("5 * p.x.n >= 4 * p.y.n").groupBy("p.x", "p.y").agg(F.count("*").alias("seen"))
-    # what a pair shares in greater groups is at most what the one with fewer shingles there has
-    great = groups.where(f"size(m) > {GROUP}").select(F.explode("m").alias("s")).groupBy("s.name").agg(F.count("*").alias("g"))
-    for side in "xy":
-        counted = counted.join(great.select(F.col("name").alias(f"{side}_name"), F.col("g").alias(f"{side}_g")), F.col(f"{side}.name") == F.col(f"{side}_name"), "left")
-    return _possible(counted, "seen + least(coalesce(x_g, 0), coalesce(y_g, 0))")
-
-
-def apart(sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs (a, b), a < b, of names of two roots that meet in groups greater than GROUP alone and may be similar
-    enough; pairs that meet in another group too were all candidates before."""
-    rooted = sets.join(roots, sets.name == roots.node, "left").select("n", "name", F.coalesce("root", "name").alias("root"), "prefix")
-    met = rooted.select(F.struct("n", "name", "root").alias("s"), F.explode("prefix").alias("h"))
-    great = met.groupBy("h").agg(F.collect_list("s").alias("m")).where(f"size(m) > {GROUP} and size(array_distinct(m.root)) > 1").select("m", F.explode("m").alias("x"))
-    pairs = great.select("x", F.expr("explode(filter(m, y -> y.root <> x.root and (y.n > x.n or y.n = x.n and y.name > x.name) and 5 * x.n >= 4 * y.n)) as y"))
-    return _possible(pairs.groupBy("x", "y").agg(F.count("*").alias("seen")), "seen")
-
-
-def links(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The candidates (a, b) whose whole sets have similarity 4/5 or more; sets has one row a name."""
-    pairs = materialise(pairs, "candidates")
-    asked = pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct()
-    rows = materialise(sets.join(asked, "name", "left_semi").select("name", "_k"), "asked")
+    fit = " or ".join(f"{s}.n div 5 + 1 - seen <= {s}.n - {least}" for s in "xy")
+    sized = pairs.where("5 * x.n >= 4 * y.n and 5 * y.n >= 4 * x.n")
+    return sized.groupBy("x", "y").agg(F.count("*").alias("seen")).where(fit).select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b"))
+
+
+def starred(shared: DataFrame) -> DataFrame:
+    """Candidates (a, b), a < b: on each prefix shingle every set and the least one."""
+    return _possible(shared.where("name <> least.name").select(F.col("least").alias("x"), F.struct("n", "name").alias("y")))
+
+
+def ball_pairs(sets: DataFrame) -> DataFrame:
+    """Candidates (a, b), a < b, by SimHash: sets of one fingerprint with the first of them, and the first of linked fingerprints."""
+    first = sets.groupBy("fp").agg(F.min("name").alias("first"))
+    same = sets.join(first, "fp").where("name <> first").select("first", "name")
+    near = simhash.links(first.select("fp"))
+    met = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("p")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("q")), "b").select("p", "q")
+    return same.union(met).select(F.least("first", "name").alias("a"), F.greatest("first", "name").alias("b"))
 
-    def work(batch: pa.RecordBatch) -> dict:
-        found = [shingle_set(t) for t in texts_of(batch)]
-        return {"name": [_name(s) for s in found], "whole": _lists(found)}
 
-    # of documents with one set only that of the row key in rows is hashed again
-    texts = with_row_key(docs.select("doc_id", "text")).join(rows.select("_k"), "_k", "left_semi").select("text")
-    whole = materialise(map_batches(texts, work, "name long, whole array<long>").dropDuplicates(["name"]), "whole")
+def apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Candidates (a, b), a < b, of different components that share a prefix shingle."""
+    rooted = shared.join(roots, shared.name == roots.node, "left").select("h", F.struct("n", "name").alias("s"), F.coalesce("root", "name").alias("root"))
+    mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    left = rooted.join(mixed, "h")
+    pairs = left.select("h", F.col("s").alias("x"), F.col("root").alias("xr")).join(left.select("h", F.col("s").alias("y"), F.col("root").alias("yr")), "h")
+    return _possible(pairs.where("xr <> yr and (x.n < y.n or x.n = y.n and x.name < y.name) and 5 * x.n >= 4 * y.n").select("x", "y"))
+
+
+def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, tables: Scratch, name: str) -> DataFrame:
+    """The candidates (a, b) whose whole sets have similarity 4/5 or more."""
+    pairs = tables.keep(pairs.distinct(), f"{name}-pairs")
+    asked = pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct()
+    whole = tables.keep(_whole(docs, sets, asked), f"{name}-whole")
     left = pairs.join(whole.select(F.col("name").alias("a"), F.col("whole").alias("x")), "a")
     both = left.join(whole.select(F.col("name").alias("b"), F.col("whole").alias("y")), "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
-    return both.where("5 * shared >= 4 * (size(x) + size(y) - shared)").select("a", "b")
+    links = tables.keep(both.where("5 * shared >= 4 * (size(x) + size(y) - shared)").select("a", "b"), f"{name}-links")
+    tables.drop(f"{name}-pairs", f"{name}-whole")
+    return links
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, _k and root (the least set name of the component, which names it) of every document."""
+    tables = Scratch(docs.sparkSession, "near-copies")
+    per_doc = tables.keep(shingle_sets(docs), "sets")
+    sets = per_doc.groupBy("name").agg(F.min("_k").alias("_k"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("fp").alias("fp"))
+    shared = prefix_rows(docs, sets, tables)
+    first = verified(docs, sets, ball_pairs(sets).union(starred(shared)), tables, "first")
+    rest = verified(docs, sets, apart(shared, simhash.components(first)), tables, "rest")
+    roots = simhash.components(first.union(rest))
+    tables.drop("shared")
+    return per_doc.select("doc_id", "_k", "name").join(roots, per_doc.name == roots.node, "left").select("doc_id", "_k", F.coalesce("root", "name").alias("root"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents with one kept of each component."""
-    per_doc = materialise(shingle_sets(docs), "shingle-sets")
-    sets = per_doc.groupBy("name").agg(F.min("_k").alias("_k"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    first = materialise(links(docs, sets, candidates(sets)), "links")
-    rest = links(docs, sets, apart(sets, components(first)))
-    roots = components(first.union(rest))
-    named = per_doc.select("doc_id", "_k", "name").join(roots, per_doc.name == roots.node, "left")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_k")
-    keep = named.groupBy(F.coalesce("root", "name").alias("root")).agg(F.min(order)["_k"].alias("_k"))
+    keep = classes(docs).groupBy("root").agg(F.min(order)["_k"].alias("_k"))
     key = free_name(docs, "_k")
     kept = with_row_key(docs, key).join(keep.select(F.col("_k").alias(key)), key, "left_semi")
     return kept.dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])

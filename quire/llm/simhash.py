@@ -31,29 +31,33 @@ _SLAB = 1 << 15
 _WEIGHT = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
-def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
-    """The unsigned 64-bit fingerprint of one text."""
+def shingle_hashes(raw: bytes, shingle: int) -> np.ndarray:
+    """The XXH64 of each shingle, repeats included; fewer words are one shingle, none give none."""
     words = raw.lower().split()  # bytes.lower() changes A-Z only
     if not words:
-        return 0
-    if len(words) < shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        digest = xxhash.xxh64_intdigest
-        line = b" ".join(words)
-        if shingle == 3:
-            ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-            starts = np.concatenate(([0], ends[:-1] + 1))
-            hashes = [digest(line[a:b], 42) for a, b in zip(starts[:-2].tolist(), ends[2:].tolist())]
-        else:
-            hashes = [digest(b" ".join(words[i : i + shingle]), 42) for i in range(len(words) - shingle + 1)]
+        return np.empty(0, dtype=np.uint64)
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([digest(line, 42)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.array([digest(line[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero without any."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), _SLAB):
-        slab = np.array(hashes[at : at + _SLAB], dtype="<u8")
+        slab = hashes[at : at + _SLAB].astype("<u8")
         counts += np.unpackbits(slab.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(_WEIGHT[2 * counts > len(hashes)].sum(dtype=np.uint64))
 
 
+def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
+    """The unsigned 64-bit fingerprint of one text."""
+    return majority(shingle_hashes(raw, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, _k (row key) and fp (the fingerprint as a signed long)."""
 
@@ -61,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         fps = np.array([fingerprint(t, shingle) for t in texts_of(batch)], dtype=np.uint64)
         return {"doc_id": column(batch, "doc_id"), "_k": column(batch, "_k"), "fp": pa.array(fps.view(np.int64))}
 
-    return map_batches(with_row_key(docs.select("doc_id", "text")), work, "doc_id long, _k long, fp long")
+    return map_batches(with_row_key(docs.select("doc_id", "text")), work, "doc_id long, _k binary, fp long")
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:

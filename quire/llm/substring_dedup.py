@@ -65,18 +65,18 @@ def anchors(docs: DataFrame, window: int = WINDOW, first: int = FIRST) -> DataFr
 
     def work(batch: pa.RecordBatch) -> dict:
         found: list[list[np.ndarray]] = [[] for _ in range(5)]
-        keys: list[np.ndarray] = []
-        for key, raw in zip(column(batch, "_k").to_pylist(), texts_of(batch)):
+        sizes = np.zeros(batch.num_rows, dtype=np.int64)
+        for i, raw in enumerate(texts_of(batch)):
             if len(raw) >= 2 * window - 1:
                 hasher = _hashed(raw)[2]
                 if hasher.n >= window:
                     for held, values in zip(found, _anchors(hasher, window, first)):
                         held.append(values)
-                    keys.append(np.full(len(found[0][-1]), key, dtype=np.int64))
+                    sizes[i] = len(found[0][-1])
         small = [pa.array(np.concatenate(v).astype(np.int32)) if v else pa.array([], pa.int32()) for v in (found[0], found[2], found[3])]
-        return {"g": _long(found[1]), "s": _long(found[4]), "_k": pa.array(np.concatenate(keys)) if keys else pa.array([], pa.int64()), "at": small[0], "near": small[1].cast(pa.int8()), "far": small[2].cast(pa.int8())}
+        return {"g": _long(found[1]), "s": _long(found[4]), "_k": column(batch, "_k").take(pa.array(np.repeat(np.arange(batch.num_rows), sizes))), "at": small[0], "near": small[1].cast(pa.int8()), "far": small[2].cast(pa.int8())}
 
-    return map_batches(docs.select("_k", "text"), work, "g long, s long, _k long, at int, near byte, far byte")
+    return map_batches(docs.select("_k", "text"), work, "g long, s long, _k binary, at int, near byte, far byte")
 
 
 def _doubled(docs: DataFrame, requests: DataFrame, window: int, first: int) -> DataFrame:
