@@ -25,11 +25,88 @@ def test_vectors_do_not_depend_on_partitions(spark):
     rng = random.Random(7)
     rows = [(n, *page(rng, "a.org", n)[:2]) for n in range(30)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
-    a, b = ({(r.path, r.pages, r.vector, r.once, r.free) for r in html_text.template_tokens(frame.repartition(k)).collect()} for k in (1, 7))
+    a, b = ({(r.token, r.pages, r.low, r.high, r.once, r.free) for r in html_text.template_tokens(frame.repartition(k)).collect()} for k in (1, 7))
     assert a == b
-    everywhere = [r for r in a if r[1] == 30 and r[3]]
+    everywhere = [r for r in a if r[1] == 30 and r[4]]
     root = next(r for r in a if r[0] == html_text.ROOT)
-    assert sum(r[2] == root[2] for r in everywhere) >= 8  # html, head, body, nav, ... form one class
+    assert sum(r[2:4] == root[2:4] for r in everywhere) >= 8  # html, head, body, nav, ... form one class
+
+
+def brute_template(pages):
+    """Text runs that stand once on 4/5 of the pages, under elements that do, and share their pages with another such token; by plain comparison of vectors."""
+    counts = []
+    for p in pages:
+        c = {}
+        for token, row in html_text.Page(p).tokens().items():
+            c[token] = (row[0], row[6], row[7])
+        counts.append(c)
+    vectors = {}
+    for t in set().union(*counts):
+        vectors[t] = tuple(c.get(t, (0,))[0] for c in counts)
+    info = {t: v[1:] for c in counts for t, v in c.items()}
+    often = {t for t, v in vectors.items() if sum(x > 0 for x in v) >= 0.8 * len(pages)}
+    kept = {t for t in often if set(vectors[t]) <= {0, 1}}
+
+    def nested(t):
+        return t == html_text.ROOT or (t in kept and nested(info[t][1]))
+
+    texts = set()
+    for t in often:
+        if info[t][0] == "":
+            if t in kept and nested(info[t][1]) and any(vectors[o] == vectors[t] and info[o][0] and nested(o) for o in often):
+                texts.add(t)
+            elif t not in kept and vectors.get(info[t][1]) == vectors[t]:
+                texts.add(t)
+    return texts
+
+
+def frame_page(rng, n, share="Share this with a friend"):
+    words = lambda k: " ".join(f"w{rng.randrange(900)}" for _ in range(k))
+    body = "".join(f"<p>{words(rng.randint(8, 30))}</p>" for _ in range(rng.randint(2, 5)))
+    replies = "".join(f'<section class="note"><h3>{words(2)}</h3><span class="tail">read more</span></section>' for _ in range(rng.randint(1, 4)))
+    promo = "<div class='box'>Our best offers today</div>" if n % 8 else ""
+    return f'<html><body><div class="top"><b>Site of ours</b></div><div class="page"><div class="inner"><h1>{words(4)}</h1>{promo}{body}<div class="tools"><i>{share}</i></div>{replies}</div></div><div class="low">All rights</div></body></html>'
+
+
+def test_the_template_is_that_of_plain_vectors_and_is_left_out(spark):
+    rng = random.Random(11)
+    pages = [frame_page(rng, n) for n in range(24)]
+    frame = spark.createDataFrame([(n, "http://c.org/x", p) for n, p in enumerate(pages)], "page_id long, url string, html string")
+    row = html_text.templates(frame).first()
+    template = html_text.Template(bytes(row.template))
+    want = brute_template(pages)
+    assert set().union(template.constant, *template.text_of) == want and len(want) >= 5
+    got = {r.page_id: r.text for r in html_text.main_text(frame).collect()}
+    for n, p in enumerate(pages):
+        assert "Share this" not in got[n] and "best offers" not in got[n] and "Site of ours" not in got[n] and "read more" not in got[n]
+        assert got[n].split("\n\n") == [" ".join(x) for x in plain_blocks(p)]
+        assert got[n] != html_text.extract(p, None)  # by the page alone the frame stays
+
+
+def plain_blocks(p):
+    import re
+
+    return [x.split() for x in re.findall(r"<(?:p|h1|h3)>([^<]*)<", p)]
+
+
+def test_copies_and_moved_tokens_keep_their_text(spark):
+    rng = random.Random(12)
+    one = frame_page(rng, 1)
+    frame = spark.createDataFrame([(n, "http://d.org/", one) for n in range(9)], "page_id long, url string, html string")
+    assert all(len(r.text) > 60 for r in html_text.main_text(frame).collect())  # the frame would be all
+    swapped = '<html><body><i>B text</i><p>middle of it goes on and on</p><i>A text</i></body></html>'
+    template = html_text.Template(html_text.fit_template([])[1])
+    assert template.fixed(html_text.Page(swapped).tokens()) == set()
+
+
+def test_long_and_deep_pages_are_linear():
+    import time
+
+    began = time.perf_counter()
+    for p in ("<a " * 350_000, "<div>" * 100_000 + "x" + "</div>" * 100_000, "<b>" * 60_000 + "<h1>" * 60_000, "<p><td>" + "<h1>" * 60_000, "<b><div>" + "<i>" * 50_000 + "</b>" * 50_000, '<a "' * 200_000, "<!" * 300_000, "</section>" * 50_000, "x" * 1_000_000):
+        html_text.extract(p, None)
+    assert time.perf_counter() - began < 60
+    assert html_text.extract("<article><p>a&am<!-- x -->p;b</article>", None) == "a&amp;b"
 
 
 def test_nulls_odd_pages_and_copies(spark):
