@@ -2,7 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet to the
 shared folder and gives it, read again, to the next. All stages but the last return the columns of documents.
-Column n_chars follows the text where a stage changes it.
+Column n_chars follows the text where a stage changes it; the last returns training sequences.
+
+Every stage takes null, empty and very long texts, null ids, repeated rows, ties, empty tables and extra columns of any
+name: what each does with them is said in its docstring and that of its operator.
 """
 
 from __future__ import annotations
@@ -16,39 +19,45 @@ from quire.session import scratch_path, ship
 #: SQL can't express the forest or the trees; the stages are tested against brute force.
 ORACLE_SQL = None
 
+VOCABULARY, END_ID = "word_bpe_49k.json", 2
+
 
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or that the isolation forest rejects go."""
+    """Documents that fail the base rules (null and empty texts among them) or that the isolation forest rejects go; equal rows fare alike."""
     ship(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (similarity 0.8 of 5-word shingles) stays, that with the smallest doc_id."""
+    """One document of each group of near copies (similarity 0.8 of 5-word shingles) stays, that with the smallest doc_id (nulls last).
+
+    Of rows equal in id and text one stays; texts without words are one group."""
     ship(spark)
     return near_copies.deduplicate(docs)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 35 words or more that stand elsewhere too are cut out."""
+    """Passages of 35 words or more that stand elsewhere too, in copies of the row as well, are cut out; null texts stay null."""
     ship(spark)
     return _counted(substring_dedup.deduplicate(docs))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
+    """Personal data is replaced by its kind; null texts stay null, equal rows fare alike."""
     ship(spark)
     return _counted(pii.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document with their bins."""
+    """Training sequences: the token ids of every document, packed, with masks and segments. Null texts are an end id; repeated rows are packed each."""
+    import public_tokenizers
+
     ship(spark)
-    return packing.pack(docs)
+    return packing.sequences(docs, public_tokenizers.path(VOCABULARY), END_ID)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup_stage), ("pii", redact_pii), ("packing", pack)]

@@ -7,22 +7,32 @@ with from the pieces that remain, is least. In the end each bin is downsized to
 that holds its contents. A bin of c positions costs OVERHEAD + c + c**2 / ATTENTION: the fixed price of a
 sequence, the price of its positions padded or not, and that of attention, which grows with the square.
 
-Documents are dealt by a hash of id and text into blocks of about BLOCK_ROWS documents, and each block is
+Documents are dealt by a hash of the row into blocks of about BLOCK_ROWS documents, and each block is
 packed as a whole by one task, so memory and time a task don't grow with the input and the loss by cutting into
-blocks is at most one badly filled bin of each capacity a block. Only ids and lengths are shuffled.
-
-Results: a document without words (null, empty) has one piece of length 0 in bin null. Repeated rows are packed
-as often as they come.
+blocks is at most one badly filled bin of each capacity a block. Only ids and lengths are shuffled for it. pack()
+places documents by their words; sequences() encodes them, places their token ids, and brings the ids of each bin
+together into one padded sequence with its mask and segments.
+
+Results: a document without words (null, empty) has one piece of length 0 in bin null in pack(), and is its end id in
+sequences(). Repeated rows are packed as often as they come. Of open bins with equal room the one opened or used last
+takes a piece. A very long text is many full pieces. An empty table gives no rows; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.batches import column, map_batches, texts_of
+from quire.session import materialise
+
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD, ATTENTION = 32, 16_384
 BLOCK_ROWS = 20_000
@@ -65,11 +75,8 @@ class Packer:
         open_rooms = 0
         contents: list[int] = []
         placed: list[tuple[int, int]] = []
-        below: list[int] = []
-        stale = True
         for x in lengths:
             mass[x] -= x
-            stale = True
             suffices = open_rooms >> x
             if suffices:
                 room = x + (suffices & -suffices).bit_length() - 1
@@ -77,13 +84,7 @@ class Packer:
                 if not rooms[room]:
                     open_rooms &= ~(1 << room)
             else:
-                if stale:
-                    below, total = [], 0
-                    for m in mass:
-                        total += m
-                        below.append(total)
-                    stale = False
-                which, room = len(contents), self.opening(x, below)
+                which, room = len(contents), self.opening(x, list(itertools.accumulate(mass)))
                 contents.append(0)
             placed.append((which, contents[which]))
             contents[which] += x
@@ -95,35 +96,85 @@ class Packer:
         return [(b, at, sizes[b]) for b, at in placed]
 
 
-def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, attention: int = ATTENTION, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, n_words, piece (from 0), piece_words, bin_id, offset, capacity: a row for each piece.
-
-    bin_id is block * 2**32 + bin; offset is the piece's first position within its bin."""
+def _placed(sized: DataFrame, rows: int, capacities: tuple[int, ...], overhead: int, attention: int, block_rows: int) -> DataFrame:
+    """row, doc_id, n, piece, length, bin_id, offset, capacity of the pieces of sized (row, doc_id, n, deal): rows of it in all."""
     top = max(capacities)
-    sized = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), F.xxhash64("doc_id", "text").alias("deal"))
-    blocks = max(1, math.ceil(docs.count() / block_rows))
-    dealt = sized.select("doc_id", "n_words", "deal", F.pmod(F.xxhash64("deal", F.lit(11)), F.lit(blocks)).cast("int").alias("block"))
+    blocks = max(1, math.ceil(rows / block_rows))
+    # by the row, not by the text alone: copies are no hot block
+    dealt = sized.select("row", "doc_id", "n", "deal", F.pmod(F.xxhash64("deal", "row"), F.lit(blocks)).cast("int").alias("block"))
     packer = Packer(capacities, overhead, attention)
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["n_words", "deal", "doc_id"], ascending=[False, True, True], kind="stable")
+        frame = frame.sort_values(["n", "deal", "doc_id", "row"], ascending=[False, True, True, True], kind="stable")
         block = int(frame["block"].iloc[0])
-        rows = []
+        found = []
         pieces = []
-        for doc_id, n in zip(frame["doc_id"].tolist(), frame["n_words"].tolist()):
+        for row, doc_id, n in zip(frame["row"].tolist(), frame["doc_id"].tolist(), frame["n"].tolist()):
             full, rest = divmod(n, top)
             for k in range(full):
-                pieces.append((top, doc_id, n, k))
+                pieces.append((top, row, doc_id, n, k))
             if rest:
-                pieces.append((rest, doc_id, n, full))
+                pieces.append((rest, row, doc_id, n, full))
             if not n:
-                rows.append((doc_id, 0, 0, 0, None, 0, 0))
+                found.append((row, doc_id, 0, 0, 0, None, 0, 0))
         pieces.sort(key=lambda p: -p[0])
-        for (length, doc_id, n, k), (which, at, size) in zip(pieces, packer.pack([p[0] for p in pieces])):
-            rows.append((doc_id, n, k, length, (block << 32) + which, at, size))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_words", "piece", "piece_words", "bin_id", "offset", "capacity"])
+        for (length, row, doc_id, n, k), (which, at, size) in zip(pieces, packer.pack([p[0] for p in pieces])):
+            found.append((row, doc_id, n, k, length, (block << 32) + which, at, size))
+        out = pd.DataFrame(found, columns=["row", "doc_id", "n", "piece", "length", "bin_id", "offset", "capacity"])
         for name in ("doc_id", "bin_id"):
             out[name] = pd.array([None if pd.isna(x) else int(x) for x in out[name]], dtype="Int64") if out[name].isna().any() else out[name].astype("int64")
         return out
 
-    return dealt.groupBy("block").applyInPandas(work, "doc_id long, n_words long, piece int, piece_words long, bin_id long, offset long, capacity int")
+    return dealt.groupBy("block").applyInPandas(work, "row long, doc_id long, n long, piece int, length long, bin_id long, offset long, capacity int")
+
+
+def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, attention: int = ATTENTION, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """doc_id, n_words, piece (from 0), piece_words, bin_id, offset, capacity: a row for each piece, lengths in words.
+
+    bin_id is block * 2**32 + bin; offset is the piece's first position within its bin."""
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    sized = docs.select("doc_id", words.alias("n"), F.xxhash64("doc_id", "text").alias("deal"), F.monotonically_increasing_id().alias("row"))
+    placed = _placed(sized, docs.count(), capacities, overhead, attention, block_rows)
+    return placed.select("doc_id", F.col("n").alias("n_words"), "piece", F.col("length").alias("piece_words"), "bin_id", "offset", "capacity")
+
+
+def sequences(docs: DataFrame, vocabulary: str, end_id: int, pad_id: int = 0, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, attention: int = ATTENTION, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The training sequences of docs: texts encoded by the vocabulary, an end id after each, packed and written out.
+
+    bin_id, capacity, n_tokens, ids (capacity of them, pad_id after the last), mask (1 where an id stands, else 0), and
+    segments: doc_id, piece, start and length of each piece in its order. A bin is at most the greatest capacity long,
+    so the pieces that are brought together for it are bounded."""
+    from quire.llm import token_files
+
+    spark = docs.sparkSession
+    with open(vocabulary, "rb") as f:  # a file of the driver; executors get its content
+        sent = spark.sparkContext.broadcast(f.read())
+
+    def encode(batch: pa.RecordBatch) -> dict:
+        encoder = token_files.encoder(sent.value)
+        end = np.array([end_id], dtype=encoder.dtype).tobytes()
+        ids = [np.frombuffer(encoder.encode(t) + end, dtype=encoder.dtype).astype("<u4") for t in texts_of(batch)]
+        return {"doc_id": column(batch, "doc_id"), "deal": column(batch, "deal"), "n": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]}
+
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("deal"))
+    encoded = map_batches(keyed, encode, "doc_id long, deal long, n long, ids binary")
+    encoded = materialise(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
+    placed = _placed(encoded.select("row", "doc_id", "n", "deal"), encoded.count(), capacities, overhead, attention, block_rows)
+    top = max(capacities)
+    cut = F.expr(f"substring(ids, 4 * {top} * piece + 1, cast(4 * length as int))")
+    parts = placed.join(encoded.select("row", "ids"), "row").select("bin_id", "capacity", F.struct("offset", "doc_id", "piece", "length", cut.alias("ids")).alias("p"))
+    bins = parts.groupBy("bin_id", "capacity").agg(F.array_sort(F.collect_list("p")).alias("parts"))
+
+    def write(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"n_tokens": [], "ids": [], "mask": [], "segments": []}
+        for size, parts in zip(column(batch, "capacity").to_pylist(), column(batch, "parts").to_pylist()):
+            held = np.frombuffer(b"".join([p["ids"] for p in parts]), dtype="<u4").astype(np.int32)
+            ids, mask = np.full(size, pad_id, dtype=np.int32), np.zeros(size, dtype=np.int8)
+            ids[: len(held)], mask[: len(held)] = held, 1
+            out["n_tokens"].append(len(held))
+            out["ids"].append(ids)
+            out["mask"].append(mask)
+            out["segments"].append([{"doc_id": p["doc_id"], "piece": p["piece"], "start": p["offset"], "length": p["length"]} for p in parts])
+        return out | {"bin_id": column(batch, "bin_id"), "capacity": column(batch, "capacity")}
+
+    return map_batches(bins, write, "bin_id long, capacity int, n_tokens long, ids array<int>, mask array<tinyint>, segments array<struct<doc_id:long,piece:int,start:long,length:long>>")

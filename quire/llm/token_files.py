@@ -2,17 +2,22 @@
 
 A data set is a folder of shards in ascending doc_id order. A shard `part-NNNNN.tokens.arrow` is an Arrow IPC
 file without compression whose record batches hold `ids`, a fixed-size list of LENGTH unsigned integers of the
-narrowest width that holds the vocabulary, and `mask`, a fixed-size list of LENGTH booleans (false only on the
-padding of the shard's last sequence); sequence i of a shard is found by position alone, memory-mapped, without
-copying. `part-NNNNN.index.arrow` lists the shard's documents: doc_id, offset (of the first id in the shard),
+narrowest width that holds the vocabulary, and `mask`, a fixed-size list of LENGTH bytes (0 only on the padding of
+the shard's last sequence, else 1); sequence i of a shard and its mask are found by position alone, memory-mapped,
+both views of the file without copying. `part-NNNNN.index.arrow` lists the shard's documents: doc_id, offset (of the first id in the shard),
 n_tokens. Each document's ids end with the end id.
 
 Files are written under a name of the attempt and then renamed, and the same shard always has the same
 content, so retried and speculative tasks are harmless. Shards and counts come back through a manifest of one
 row a shard.
 
+Shards are ranges of (doc_id, hash of the text, row), so that neither one id nor copies under one id make a shard
+greater than others; their number follows the bytes of the texts (SHARD_BYTES each, and at least Spark's shuffle
+partitions). A shard is written as it is encoded: a task holds one batch of texts, one of sequences and its index.
+
 Results: null text is empty (one end id). A null doc_id sorts first. Repeated rows are written repeatedly.
-Rows of equal doc_id are ordered by their text.
+Rows of equal doc_id are ordered by the hash of their text. A very long text may span any number of sequences. An
+empty table gives shards without rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ from quire.llm.batches import bounded, column, texts_of
 from quire.session import scratch_path
 
 LENGTH, BATCH = 2048, 64
+SHARD_BYTES = 256 << 20
 #: Words kept with their ids by a worker, in two generations: a full one becomes the old one, whose words return when met again.
 CACHE_WORDS = 1_000_000
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+")
@@ -131,7 +137,8 @@ class WordEncoder:
 _encoders: dict[int, WordEncoder] = {}
 
 
-def _encoder(content: bytes) -> WordEncoder:
+def encoder(content: bytes) -> WordEncoder:
+    """The encoder of a vocabulary file's content, built once in each process."""
     key = zlib.crc32(content)
     if key not in _encoders:
         _encoders[key] = WordEncoder(content)
@@ -161,14 +168,14 @@ class _Sequences:
     def __init__(self, dtype: np.dtype, length: int) -> None:
         self.length, self.item = length, dtype.itemsize
         self.type = {2: pa.uint16(), 4: pa.uint32()}[self.item]
-        self.schema = pa.schema([pa.field("ids", pa.list_(pa.field("item", self.type, False), length), False), pa.field("mask", pa.list_(pa.field("item", pa.bool_(), False), length), False)])
+        self.schema = pa.schema([pa.field("ids", pa.list_(pa.field("item", self.type, False), length), False), pa.field("mask", pa.list_(pa.field("item", pa.uint8(), False), length), False)])
 
     def batch(self, packed: bytes) -> pa.RecordBatch:
         n = len(packed) // self.item
         rows = -(-n // self.length)
         full = packed + bytes((rows * self.length - n) * self.item)
-        mask = np.zeros(rows * self.length, dtype=bool)
-        mask[:n] = True
+        mask = np.zeros(rows * self.length, dtype=np.uint8)
+        mask[:n] = 1
         ids = pa.Array.from_buffers(self.type, rows * self.length, [None, pa.py_buffer(full)])
         return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(v, type=f.type) for v, f in zip((ids, pa.array(mask)), self.schema)], schema=self.schema)
 
@@ -190,14 +197,18 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | No
     folder = folder or scratch_path(spark, "tokens")
     with open(vocabulary, "rb") as f:  # a file of the driver; executors get its content
         sent = spark.sparkContext.broadcast(f.read())
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    keys = ("doc_id", "_h", "_n")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_n"))
+    ordered = rows.repartitionByRange(shards, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         shard, attempt = context.partitionId(), context.taskAttemptId()
-        encoder = _encoder(sent.value)
-        end = np.array([end_id], dtype=encoder.dtype).tobytes()
+        coder = encoder(sent.value)
+        end = np.array([end_id], dtype=coder.dtype).tobytes()
         ids, counts, total = [], [], 0
 
         def stream() -> Iterator[bytes]:
@@ -205,21 +216,21 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | No
             for batch in batches:
                 ids.append(column(batch, "doc_id"))
                 for raw in texts_of(batch):
-                    packed = encoder.encode(raw) + end
-                    counts.append(len(packed) // encoder.dtype.itemsize)
+                    packed = coder.encode(raw) + end
+                    counts.append(len(packed) // coder.dtype.itemsize)
                     total += counts[-1]
                     yield packed
 
         fs, base = _open_fs(folder)
         fs.create_dir(base, recursive=True)
-        form = _Sequences(encoder.dtype, length)
+        form = _Sequences(coder.dtype, length)
         path, index_path = f"{base}/part-{shard:05d}.tokens.arrow", f"{base}/part-{shard:05d}.index.arrow"
         _write(fs, path, form.batches(stream()), form.schema, attempt)
         doc_ids = pa.concat_arrays(ids) if ids else pa.array([], pa.int64())
         n = np.array(counts, dtype=np.int64)
         index = pa.RecordBatch.from_arrays([doc_ids, pa.array(np.cumsum(n) - n), pa.array(n)], names=["doc_id", "offset", "n_tokens"])
         _write(fs, index_path, iter([index]), index.schema, attempt)
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(n)], "n_tokens": [total], "item": [encoder.dtype.itemsize]}, schema=_MANIFEST_ARROW)
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(n)], "n_tokens": [total], "item": [coder.dtype.itemsize]}, schema=_MANIFEST_ARROW)
 
     manifest = ordered.mapInArrow(run, _MANIFEST)
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
@@ -257,8 +268,9 @@ class TokenShard:
         return at.flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length)[i % BATCH]
 
     def mask(self, i: int) -> np.ndarray:
+        """The mask of sequence i (1 where an id stands), a view of the file."""
         at = self._rows(i // BATCH, "mask")
-        return at.flatten().to_numpy(zero_copy_only=False).reshape(-1, self.length)[i % BATCH]
+        return at.flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length)[i % BATCH]
 
     def span(self, offset: int, n: int) -> np.ndarray:
         """n ids from an offset of the shard's stream, across sequences."""

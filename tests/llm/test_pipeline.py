@@ -3,9 +3,12 @@ import re
 import pytest
 
 import corpus_pipeline
-from quire.llm import pii, simhash
+import public_tokenizers
+from tokenizers import Tokenizer
 
-from . import test_simhash, test_substring_dedup
+from quire.llm import packing, pii, simhash
+
+from . import test_near_copies, test_substring_dedup
 
 
 @pytest.fixture(scope="module")
@@ -36,8 +39,7 @@ def test_rules_reject_and_keep(stages):
 
 def test_one_of_each_group_stays(stages):
     before, after = stages["near_dedup"]
-    want = test_simhash.expected(list(zip(before.doc_id.tolist(), before.text.tolist())))
-    assert sorted(after.doc_id) == sorted({c for _, c in want.values()})
+    assert sorted(after.doc_id) == test_near_copies.kept(list(zip(before.doc_id.tolist(), before.text.tolist())))
 
 
 def test_repeated_passages_go(stages):
@@ -56,10 +58,19 @@ def test_no_personal_data_is_left(stages):
     assert (same.text_x == same.text_y)[untouched].all()
 
 
-def test_every_word_is_packed(stages):
+def test_every_token_is_in_one_sequence(stages):
     before, after = stages["packing"]
-    words = {d: len(t.encode().split()) for d, t in zip(before.doc_id, before.text)}
-    assert after.groupby("doc_id").piece_words.sum().to_dict() == words
+    library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.VOCABULARY))
+    found = {}
+    for r in after.itertuples():
+        assert len(r.ids) == len(r.mask) == r.capacity in packing.CAPACITIES and sum(map(int, r.mask)) == r.n_tokens == sum(s["length"] for s in r.segments)
+        assert not any(r.ids[r.n_tokens :]) and all(a["start"] + a["length"] == b["start"] for a, b in zip(r.segments, r.segments[1:]))
+        for s in r.segments:
+            found.setdefault(s["doc_id"], {})[s["piece"]] = list(r.ids[s["start"] : s["start"] + s["length"]])
+    for doc_id, text in zip(before.doc_id, before.text):
+        ids = [x for _, part in sorted(found.pop(doc_id).items()) for x in part]
+        assert ids == library.encode(text, add_special_tokens=False).ids + [corpus_pipeline.END_ID]
+    assert not found
 
 
 def test_run_gives_the_last_stage(spark, stages):

@@ -14,7 +14,6 @@ def test_files_hold_the_library_s_ids(spark, hard_docs, hard_rows):
     manifest = token_files.write_tokens(hard_docs, VOCABULARY, 2, length=64, shards=3)
     got = {r.doc_id: r for r in token_files.read_documents(manifest, with_ids=True).collect()}
     library = Tokenizer.from_file(VOCABULARY)
-    library.encode_special_tokens = True
     start = 0
     for doc_id, text, *_ in hard_rows:
         ids = library.encode(text or "", add_special_tokens=False).ids + [2]
@@ -33,11 +32,20 @@ def test_sequences_are_equal_length_views_and_masks_end_with_the_stream(spark, h
     assert len(stream) == n
     for i in (0, 1, rows // 2, rows - 2):
         assert (shard.sequence(i) == stream[i * 32 : i * 32 + 32]).all() and shard.mask(i).all()
-        assert shard.sequence(i).base is not None
+        assert shard.sequence(i).base is not None and shard.mask(i).base is not None and shard.mask(i).dtype == np.uint8
     assert shard.mask(rows - 1).sum() == n - 32 * (rows - 1)
     assert not shard.sequence(rows - 1)[n - 32 * (rows - 1) :].any()
 
 
+def test_one_id_is_no_hot_shard_and_long_texts_span_sequences(spark):
+    docs = spark.createDataFrame([(7 if i % 3 else None, f"word number {i % 5}") for i in range(600)] + [(8, "long " * 40_000)], "doc_id long, text string")
+    manifest = token_files.write_tokens(docs, VOCABULARY, 2, length=128, shards=4)
+    assert max(r.n_docs for r in manifest.collect()) < 300
+    got = token_files.read_documents(manifest).orderBy("start").collect()
+    assert len(got) == 601 and [r.doc_id for r in got] == [None] * 200 + [7] * 400 + [8] and got[-1].n_tokens == 40_001
+    assert [r.start for r in got[1:]] == [r.start + r.n_tokens for r in got[:-1]]
+
+
 def test_empty_table_and_null_ids(spark, no_docs):
     assert token_files.read_documents(token_files.write_tokens(no_docs, VOCABULARY, 2)).collect() == []
     odd = spark.createDataFrame([(None, "a"), (None, "a"), (3, None)], "doc_id long, text string")
