@@ -3,18 +3,17 @@
 A window is WINDOW consecutive words of one document. Every window chooses the leftmost least hash among its
 9-word windows, its anchor; equal windows choose the same anchor at the same place, so about one position in
 fourteen stands for all windows (level 1). Anchors whose 9 words occur once alone end there. The windows
-of one anchor lie within one span of words. Spans that are equal are counted before anything else, so a text
-with thousands of copies is one span with a count, and all windows of a span that occurs twice are repeated.
-Where one anchor has unlike spans, the length is doubled: the 18 words that begin and those that end with the
+of one anchor lie within one span of words. Spans that are equal are taken together with their count, so a text
+with thousands of copies is asked once. Then the length is doubled: the 18 words that begin and those that end with the
 anchor's nine must repeat too (level 2), and what survives is doubled again, by two overlapping halves, to full
-windows (level 3). No candidates are left after it.
+windows (level 3). Those that occur twice are repeated; no candidates are left after it.
 
 Identity is by two 64-bit hashes together, that of the anchor and that of the span, half or window.
 
 Levels are written to the shared folder; skewed anchors are aggregated before the shuffle and joined with a
 unique side, which Spark splits by its own measure of the partitions.
 
-Results: words are those of the whole text, null and empty texts have none. Texts shorter than the window lose
+Results: words are those of the whole text, however long, null and empty texts have none. An empty table gives no rows. Texts shorter than the window lose
 nothing. Windows are judged on the input. Rows equal in id and text are documents of their own, repeat each
 other, and are treated alike. Other columns are kept by deduplicate() whatever their names.
 """
@@ -114,8 +113,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, first: int = FIRST)
     alive = tables.keep(level1.join(several, "g"), "alive")
     tables.drop("level1")
     spans = tables.keep(alive.groupBy("g", "s", "near", "far").agg(F.count("*").alias("n"), F.min(F.struct("_k", "at")).alias("of")), "spans")
-    unlike = tables.keep(spans.groupBy("g").count().where("count > 1").select("g"), "unlike")
-    requests = spans.join(unlike, "g").select("g", "s", "near", "far", "n", "of._k", "of.at")
+    requests = spans.select("g", "s", "near", "far", "n", "of._k", "of.at")
     level2 = tables.keep(_doubled(docs, requests, window, first), "level2")
     heads = tables.keep(level2.where("head is not null").groupBy("g", "head").agg(F.sum("n").alias("c")).where("c > 1").select("g", "head", F.lit(True).alias("by_head")), "heads")
     tails = tables.keep(level2.where("tail is not null").groupBy("g", "tail").agg(F.sum("n").alias("c")).where("c > 1").select("g", "tail", F.lit(True).alias("by_tail")), "tails")
@@ -125,10 +123,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, first: int = FIRST)
     level3 = tables.keep(each.where(F.when(F.col("back") >= first, F.col("by_head")).otherwise(F.col("by_tail"))).select("g", "s", "n", "w", F.col("back").cast("byte").alias("back")), "level3")
     twice = tables.keep(level3.groupBy("g", "w").agg(F.sum("n").alias("c")).where("c > 1").select("g", "w"), "twice")
     bit = F.expr("shiftleft(1, cast(back as int))")
-    partly = level3.where("n = 1").join(twice, ["g", "w"]).groupBy("g", "s").agg(F.bit_or(bit).alias("bits"))
-    wholly = spans.where("n > 1").select("g", "s", F.expr("shiftleft(1, cast(far as int) + 1) - shiftleft(1, cast(near as int))").alias("bits"))
-    bits = tables.keep(partly.unionByName(wholly), "bits")
-    tables.drop("several", "spans", "unlike", "level2", "heads", "tails", "level3", "twice")
+    bits = tables.keep(level3.join(twice, ["g", "w"]).groupBy("g", "s").agg(F.bit_or(bit).alias("bits")), "bits")
+    tables.drop("several", "spans", "level2", "heads", "tails", "level3", "twice")
     hits = alive.select("g", "s", "_k", "at").join(bits, ["g", "s"]).select("_k", "at", "bits").distinct()
     out = tables.keep(hits.groupBy("_k").agg(F.collect_list(F.struct("at", "bits")).alias("_hits")), "hits")
     tables.drop("alive", "bits")
