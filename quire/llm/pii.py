@@ -39,7 +39,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 
 _GROUP = re.compile(r"[0-9]++")
-_WORDED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\s?[\[(]\s?at\s?[\])]\s?[A-Za-z0-9-]{1,63}(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[A-Za-z0-9-]{1,63})+", re.I)
+_WORDED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?[\[(]\s?at\s?[\])]\s?[A-Za-z0-9-]{1,63}(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[A-Za-z0-9-]{1,63})+", re.I)
 
 #: Candidates scored at once, so that a text full of numbers needs no great matrix.
 _SLAB = 10_000
@@ -109,23 +109,27 @@ def candidates(text: str) -> list[Span]:
     if "at" in text.lower() and ("(" in text or "[" in text):
         out += [("email", m.start(), m.end()) for m in _WORDED.finditer(text)]
     groups = [(m.start(), m.end()) for m in _GROUP.finditer(text)]
+
+    def apart(k: int) -> bool:
+        """Whether group k stands too far from the one before it to belong to one number."""
+        gap = text[groups[k - 1][1] : groups[k][0]] if 0 < k < len(groups) else "...."
+        return len(gap) > 3 or bool(gap.strip(" ().-"))
+
     for i, (a, first) in enumerate(groups):
         if i + 3 < len(groups) and all(text[groups[k][1] : groups[k + 1][0]] == "." for k in range(i, i + 3)):
             out.append(("ip", a, groups[i + 3][1]))
-        led = a > 0 and text[a - 1] == "+"
-        if first - a < 2 and not led:
-            continue  # no number but one with a country code begins with a lone digit
-        n = 0
-        for j in range(i, min(i + 8, len(groups))):
+        n, longest = 0, 0
+        for j in range(i, min(i + 19, len(groups))):  # a group has a digit at least
             s, e = groups[j]
-            gap = text[groups[j - 1][1] : s] if j > i else ""
-            if j > i and (len(gap) > 3 or gap.strip(" ().-") or e - s < 2):
+            if j > i and apart(j):
                 break
-            n += e - s
+            n, longest = n + e - s, max(longest, e - s)
             if n > 19:
                 break
+            if longest == 1 and j > i and not (apart(i) and apart(j + 1)):
+                continue  # of lone digits only a whole run can be one number
             inner = text[a:e]
-            if n >= 13 and "(" not in inner and "." not in inner:
+            if n >= 13 and "(" not in inner:
                 out.append(("card", a, e))
             if 7 <= n <= 15 and ("." not in inner or j - i >= 2):
                 lead = a - 1 if a and text[a - 1] in "+(" else a
@@ -175,14 +179,14 @@ def _example(rng: random.Random) -> tuple[str, list[Span]]:
     def card() -> str:
         lead = rng.choice("3456") + number(rng.choice((11, 13, 14, 14, 14, 14, 17)))
         digits = lead + next(c for c in "0123456789" if luhn(lead + c))
-        if rng.random() < 0.3:
-            sep = rng.choice(" -")
+        if rng.random() < 0.4:
+            sep = rng.choice(" -.")
             digits = sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
         return digits
 
     def phone() -> str:
         a, b, c = number(3), number(3), number(4)
-        return rng.choice((f"+1 ({a}) {b}-{c}", f"+1 ({a}) 555-{c}", f"({a}) {b}-{c}", f"+1-{a}-{b}-{c}", f"+{rng.randint(20, 99)} {rng.randint(10, 999)} {number(3)} {number(4)}", f"{a}-{b}-{c}", f"+{rng.randint(20, 99)}{number(9)}"))
+        return rng.choice((f"+1 ({a}) {b}-{c}", f"+1 ({a}) 555-{c}", f"({a}) {b}-{c}", f"+1-{a}-{b}-{c}", f"+{rng.randint(20, 99)} {rng.randint(10, 999)} {number(3)} {number(4)}", f"{a}-{b}-{c}", f"+{rng.randint(20, 99)}{number(9)}", f"1-800-{b}-{c}", f"0{a} {number(7)}", "0" + " ".join([number(1), *(number(2) for _ in range(4))]), f"+{rng.randint(20, 99)} {number(1)} " + " ".join(number(2) for _ in range(4)), f"{a}.{b}.{c}"))
 
     def ip() -> str:
         return ".".join(str(rng.randint(1, 255)) for _ in range(4))
@@ -201,6 +205,7 @@ def _example(rng: random.Random) -> tuple[str, list[Span]]:
             [("", "order"), ("", bad)], [("", "version"), ("", version)], [("", f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}")],
             [("", f"${number(3)},{number(3)}.{number(2)}")], [("", f"password={key}")], [("", f'token = "{key}"')], [("", f"AKIA{number(6)}XKD{number(7)}")],
             [("", "isbn"), ("", f"978-{number(1)}-{number(4)}-{number(4)}-{number(1)}")], [("", "invoice"), ("", number(rng.choice((8, 10, 12))))], [("", f"{number(2)}.{number(3)}")],
+            [("", " ".join(str(k) for k in range(1, rng.randint(6, 18))))],
             [("", f"{rng.randint(256, 999)}.{number(2)}.{number(2)}.{number(2)}")], [("", "tracking"), ("", number(22))], [("", number(rng.choice((4, 7, 9, 11, 13, 16))))], [("", f"{number(4)} {number(4)}")],
         ))
 

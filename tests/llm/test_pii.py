@@ -43,6 +43,21 @@ def test_run_together_numbers_are_added():
     assert base == [] and ("phone", 2, 19) in spans and ("card", 20, 36) in spans and len(spans) == 2
 
 
+def test_formats_that_no_generator_of_ours_spelled_here():
+    for text, want in (
+        ("call me on 0171 2345678 today", [("phone", 11, 23)]), ("phone 06 12 34 56 78 please", [("phone", 6, 20)]), ("card 4111.1111.1111.1111 ok", [("card", 5, 24)]),
+        ("ring 1-800-555-0199 now", [("phone", 5, 19)]), ("+33 1 42 68 53 00 4111 1111 1111 1111", [("card", 18, 37), ("phone", 0, 17)]), ("in 2023 12 11 we had 5 of 7", []),
+        ("between 1914 and 1918, or 1939-1945", []), ("see 12-15 and 22-39, 100 200 300 400", []), ("a 3 by 4 by 5 box of 1,234.50 or 0.25", []),
+    ):
+        assert pii.detector().spans(text)[1] == want, text
+
+
+def test_lone_digits_are_proposed_in_whole_runs():
+    assert ("phone", 2, 21) in pii.candidates("a 0 1 7 1 2 3 4 5 6 7 b")
+    assert pii.candidates("4 " * 5000) == []
+    assert ("phone", 4, 18) in pii.candidates("tel 1-800-555-0199")
+
+
 def test_held_out_accuracy():
     rng, found = random.Random(12345), {"hit": 0, "miss": 0, "false": 0}
     for _ in range(600):
