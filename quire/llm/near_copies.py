@@ -7,16 +7,18 @@ candidate in one of three ways, and every candidate is verified on the whole set
 1. SimHash: the fingerprints of 5-word shingles meet on their variants (simhash.links), at 2 bits or fewer. This
    joins most copies, and large groups of them, with few rows.
 2. Two sets of similarity 4/5 share one of the first n // 5 + 1 shingles of each in any one order of all shingles,
-   its prefix. The order is: rare shingles by their hash, then frequent ones (in over GROUP texts) by their hash, so
-   a passage that thousands of unlike documents share is in no prefix unless four fifths of the document are such.
-   On each prefix shingle every set meets the least one.
+   its prefix. The order is: rare shingles by their hash, then frequent ones by theirs, so a passage that thousands
+   of unlike documents share, or a common phrase, is in no prefix unless four fifths of the document are such. On
+   each prefix shingle every set meets the least one.
 3. The components of these links are found, and pairs of different components that share a prefix shingle are
    candidates; within a component no pair is needed any more. With this no link between components is lost.
 
-What is frequent is counted over prefixes by hash, and over the whole sets of those texts whose prefix holds a
-frequent shingle, until no other text's prefix holds one. Any choice of the frequent shingles gives the same
-result; the choice only saves pairs. No list of a shingle's texts is ever collected: pairs come from joins on
-the shingle, which Spark splits where they are skewed.
+Frequent is what over GROUP sets have among their least hashes (a quarter more than a prefix, so that most sets know
+a whole prefix of rare ones), and what over GROUP of those sets have at all that know too few, unless another set's
+prefix holds it. Any choice of the frequent shingles gives the same result; the choice only saves pairs. Sets of a
+rare shingle are found by a window over it; those of a frequent one are never brought together but by joins on the
+shingle, which Spark splits where they are skewed. Sets are shuffled under 64 bits of their 128-bit name; a collision
+there only adds candidates.
 
 Results: word-less texts (null, empty, white space) are one group; a text shorter than the shingle is one shingle;
 of each component the document with the smallest doc_id stays (nulls last, then the smallest row key); of rows equal
@@ -28,14 +30,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import simhash
 from quire.llm.batches import column, free_name, map_batches, texts_of, with_row_key
 from quire.session import Scratch
 
-SHINGLE, GROUP = 5, 32
+SHINGLE, GROUP = 5, 16
 
 
 def _unique(hashes: np.ndarray) -> np.ndarray:
@@ -56,101 +58,122 @@ def _name(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.astype("<i8").tobytes(), 7)
 
 
+def _id(name: bytes) -> int:
+    return int.from_bytes(name[:8], "little", signed=True)
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, _k (row key), name (128-bit hash of the set), n (its size), prefix (its n // 5 + 1 least hashes) and fp (the fingerprint)."""
+    """doc_id, _k (row key), name (128-bit hash of the set), id (64 bits of it), n (its size), least (its n // 5 + 1 least hashes
+    and a quarter more) and fp (the fingerprint)."""
 
     def work(batch: pa.RecordBatch) -> dict:
         hashes = [simhash.shingle_hashes(t, SHINGLE) for t in texts_of(batch)]
         sets = [_unique(h) for h in hashes]
+        names = [_name(s) for s in sets]
         fps = np.array([simhash.majority(h) for h in hashes], dtype=np.uint64)
-        return {"doc_id": column(batch, "doc_id"), "_k": column(batch, "_k"), "name": [_name(s) for s in sets], "n": [len(s) for s in sets], "prefix": _lists([s[: len(s) // 5 + 1] for s in sets]), "fp": pa.array(fps.view(np.int64))}
+        return {"doc_id": column(batch, "doc_id"), "_k": column(batch, "_k"), "name": names, "id": [_id(x) for x in names], "n": [len(s) for s in sets], "least": _lists([s[: len(s) // 5 + len(s) // 20 + 4] for s in sets]), "fp": pa.array(fps.view(np.int64))}
 
-    return map_batches(with_row_key(docs.select("doc_id", "text")), work, "doc_id long, _k binary, name binary, n long, prefix array<long>, fp long")
+    return map_batches(with_row_key(docs.select("doc_id", "text")), work, "doc_id long, _k binary, name binary, id long, n int, least array<long>, fp long")
 
 
-def _whole(docs: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:
-    """name and whole (the sorted set) of the names asked for; of documents with one set only that of its row key is hashed again."""
+def _whole(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """id, name and whole (the sorted set) of the texts with these row keys."""
 
     def work(batch: pa.RecordBatch) -> dict:
         found = [shingle_set(t) for t in texts_of(batch)]
-        return {"name": [_name(s) for s in found], "whole": _lists(found)}
+        names = [_name(s) for s in found]
+        return {"id": [_id(x) for x in names], "name": names, "whole": _lists(found)}
 
-    keys = sets.join(names, "name", "left_semi").select("_k")
     texts = with_row_key(docs.select("doc_id", "text")).join(keys, "_k", "left_semi").dropDuplicates(["_k"]).select("text")
-    return map_batches(texts, work, "name binary, whole array<long>")
+    return map_batches(texts, work, "id long, name binary, whole array<long>")
+
+
+def _ordered(known: str) -> str:
+    """The prefix out of the sorted hashes `known` of a set, those in `late` last."""
+    return f"slice(if(late is null, {known}, concat(array_except({known}, late), array_intersect({known}, late))), 1, n div 5 + 1)"
+
+
+def _frequent(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("h").count().where(F.col("count") > GROUP).select("h")
+
+
+def _late(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """id and late, the frequent ones among its rows (id, h)."""
+    return rows.join(frequent, "h", "left_semi").groupBy("id").agg(F.collect_list("h").alias("late"))
 
 
 def prefix_rows(docs: DataFrame, sets: DataFrame, tables: Scratch) -> DataFrame:
-    """name, n, h, least: the prefix shingles that more than one set has, with the least (n, name) of each shingle's sets."""
-    met = tables.keep(sets.select("name", "n", F.explode("prefix").alias("h")), "met")
-    hot = met.groupBy("h").count().where(F.col("count") > GROUP).select("h")
-    told = met.join(hot, "h", "left_semi").select("name").distinct()
-    turn = 0
-    told = tables.keep(told, "told-0")
-    rows = met
-    if told.limit(1).count():
-        while True:
-            whole = tables.keep(_whole(docs, sets, told), f"whole-{turn}")
-            each = met.join(told, "name", "left_anti").select("name", "h").union(whole.select("name", F.explode("whole").alias("h")))
-            frequent = tables.keep(each.groupBy("h").count().where(F.col("count") > GROUP).select("h"), f"frequent-{turn}")
-            more = tables.keep(met.join(told, "name", "left_anti").join(frequent, "h", "left_semi").select("name").distinct(), f"more-{turn}")
-            if not more.limit(1).count():
-                break
-            turn += 1
-            told = tables.keep(told.union(more), f"told-{turn}")
-            tables.drop(f"whole-{turn - 1}", f"frequent-{turn - 1}", f"more-{turn - 1}", f"told-{turn - 1}")
-        late = whole.select("name", F.explode("whole").alias("h")).join(frequent, "h", "left_semi").groupBy("name").agg(F.array_sort(F.collect_list("h")).alias("late"))
-        ordered = whole.join(late, "name", "left").select("name", "whole", F.coalesce("late", F.array().cast("array<long>")).alias("late"))
-        first = ordered.select("name", F.size("whole").cast("long").alias("n"), F.expr("explode(slice(concat(array_except(whole, late), late), 1, size(whole) div 5 + 1))").alias("h"))
-        rows = tables.keep(met.join(told, "name", "left_anti").select("name", "n", "h").union(first), "prefixes")
-    several = tables.keep(rows.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("n", "name")).alias("least")).where("c > 1").select("h", "least"), "several")
-    out = tables.keep(rows.join(several, "h").select("name", "n", "h", "least"), "shared")
-    tables.drop("met", "prefixes", "several", *[f"{x}-{turn}" for x in ("told", "whole", "frequent", "more")])
-    return out
+    """id, n, h, first: the prefix shingles that more than one set has, with the least (n, id) of each shingle's sets."""
+    known = sets.select("id", F.explode("least").alias("h"))
+    frequent = tables.keep(_frequent(known), "frequent")
+    own = sets.join(_late(known, frequent), "id", "left")
+    rare = F.expr("size(least) - coalesce(size(array_intersect(least, late)), 0)")
+    enough = (rare >= F.expr("n div 5 + 1")) | (F.size("least") == F.col("n"))
+    own = tables.keep(own.select("id", "_k", "n", F.when(enough, F.expr(_ordered("least"))).alias("prefix")), "own")
+    rows = own.where("prefix is not null").select("id", "n", F.explode("prefix").alias("h"))
+    whole = tables.keep(_whole(docs, own.where("prefix is null").select("_k")), "whole")
+    every = whole.select("id", F.explode("whole").alias("h"))
+    crowd = tables.keep(_frequent(every), "crowd")
+    # a shingle of another set's prefix stays where it is, or the two would have two orders
+    settled = rows.join(crowd, "h", "left_semi").select("h").distinct()
+    frequent = tables.keep(frequent.union(crowd.join(settled, "h", "left_anti")).distinct(), "all-frequent")
+    more = whole.join(_late(every, frequent), "id", "left").withColumn("n", F.size("whole"))
+    rows = tables.keep(rows.union(more.select("id", "n", F.expr(f"explode({_ordered('whole')})").alias("h"))), "rows")
+    tables.drop("frequent", "own", "whole", "crowd")
+    with_h = Window.partitionBy("h")
+    least = F.min(F.struct("n", "id"))
+    few = rows.join(frequent, "h", "left_anti").withColumn("c", F.count("*").over(with_h)).withColumn("first", least.over(with_h))
+    many = rows.join(frequent, "h", "left_semi")
+    many = many.join(many.groupBy("h").agg(F.count("*").alias("c"), least.alias("first")), "h").select("id", "n", "h", "c", "first")
+    shared = tables.keep(few.unionByName(many).where("c > 1").select("id", "n", "h", "first"), "shared")
+    tables.drop("rows", "all-frequent")
+    return shared
 
 
 def _possible(pairs: DataFrame) -> DataFrame:
-    """Names (a, b) of the pairs (x, y), one row a shared prefix shingle, that may be similar enough.
+    """Ids (a, b) of the pairs (x, y), one row a shared prefix shingle, that may be similar enough.
 
     The whole prefix of the set whose prefix ends first is known to be in the other set or not, and of n shingles no
     more than n - least may be missing there."""
     least = "(4 * (x.n + y.n) + 8) div 9"
     fit = " or ".join(f"{s}.n div 5 + 1 - seen <= {s}.n - {least}" for s in "xy")
     sized = pairs.where("5 * x.n >= 4 * y.n and 5 * y.n >= 4 * x.n")
-    return sized.groupBy("x", "y").agg(F.count("*").alias("seen")).where(fit).select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b"))
+    return sized.groupBy("x", "y").agg(F.count("*").alias("seen")).where(fit).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
 def starred(shared: DataFrame) -> DataFrame:
     """Candidates (a, b), a < b: on each prefix shingle every set and the least one."""
-    return _possible(shared.where("name <> least.name").select(F.col("least").alias("x"), F.struct("n", "name").alias("y")))
+    return _possible(shared.where("id <> first.id").select(F.col("first").alias("x"), F.struct("n", "id").alias("y")))
 
 
 def ball_pairs(sets: DataFrame) -> DataFrame:
     """Candidates (a, b), a < b, by SimHash: sets of one fingerprint with the first of them, and the first of linked fingerprints."""
-    first = sets.groupBy("fp").agg(F.min("name").alias("first"))
-    same = sets.join(first, "fp").where("name <> first").select("first", "name")
+    first = sets.groupBy("fp").agg(F.min("id").alias("first"))
+    same = sets.join(first, "fp").where("id <> first").select("first", F.col("id").alias("other"))
     near = simhash.links(first.select("fp"))
     met = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("p")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("q")), "b").select("p", "q")
-    return same.union(met).select(F.least("first", "name").alias("a"), F.greatest("first", "name").alias("b"))
+    return same.union(met).select(F.least("first", "other").alias("a"), F.greatest("first", "other").alias("b"))
 
 
-def apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
+def apart(sets: DataFrame, shared: DataFrame, roots: DataFrame) -> DataFrame:
     """Candidates (a, b), a < b, of different components that share a prefix shingle."""
-    rooted = shared.join(roots, shared.name == roots.node, "left").select("h", F.struct("n", "name").alias("s"), F.coalesce("root", "name").alias("root"))
+    of = sets.select("id", "name").join(roots, sets.name == roots.node).select("id", "root")
+    rooted = shared.join(of, "id", "left").select("h", F.struct("n", "id").alias("s"), F.coalesce("root", F.encode(F.col("id").cast("string"), "UTF-8")).alias("root"))
     mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
     left = rooted.join(mixed, "h")
     pairs = left.select("h", F.col("s").alias("x"), F.col("root").alias("xr")).join(left.select("h", F.col("s").alias("y"), F.col("root").alias("yr")), "h")
-    return _possible(pairs.where("xr <> yr and (x.n < y.n or x.n = y.n and x.name < y.name) and 5 * x.n >= 4 * y.n").select("x", "y"))
+    return _possible(pairs.where("xr <> yr and x < y and 5 * x.n >= 4 * y.n").select("x", "y"))
 
 
 def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, tables: Scratch, name: str) -> DataFrame:
-    """The candidates (a, b) whose whole sets have similarity 4/5 or more."""
+    """The candidates whose whole sets have similarity 4/5 or more, as links (a, b) between names."""
     pairs = tables.keep(pairs.distinct(), f"{name}-pairs")
-    asked = pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct()
-    whole = tables.keep(_whole(docs, sets, asked), f"{name}-whole")
-    left = pairs.join(whole.select(F.col("name").alias("a"), F.col("whole").alias("x")), "a")
-    both = left.join(whole.select(F.col("name").alias("b"), F.col("whole").alias("y")), "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
-    links = tables.keep(both.where("5 * shared >= 4 * (size(x) + size(y) - shared)").select("a", "b"), f"{name}-links")
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    # of documents with one set only that of its row key is hashed again
+    whole = tables.keep(_whole(docs, sets.join(asked, "id", "left_semi").select("_k")), f"{name}-whole")
+    left = pairs.join(whole.select(F.col("id").alias("a"), F.col("name").alias("p"), F.col("whole").alias("x")), "a")
+    both = left.join(whole.select(F.col("id").alias("b"), F.col("name").alias("q"), F.col("whole").alias("y")), "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
+    links = tables.keep(both.where("5 * shared >= 4 * (size(x) + size(y) - shared)").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")), f"{name}-links")
     tables.drop(f"{name}-pairs", f"{name}-whole")
     return links
 
@@ -158,14 +181,16 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, tables: Scratch
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, _k and root (the least set name of the component, which names it) of every document."""
     tables = Scratch(docs.sparkSession, "near-copies")
-    per_doc = tables.keep(shingle_sets(docs), "sets")
-    sets = per_doc.groupBy("name").agg(F.min("_k").alias("_k"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("fp").alias("fp"))
+    per_doc = tables.keep(shingle_sets(docs), "documents")
+    sets = tables.keep(per_doc.groupBy("name").agg(F.first("id").alias("id"), F.min("_k").alias("_k"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("fp").alias("fp")), "sets")
+    of = tables.keep(per_doc.select("doc_id", "_k", "name"), "names")
+    tables.drop("documents")
     shared = prefix_rows(docs, sets, tables)
     first = verified(docs, sets, ball_pairs(sets).union(starred(shared)), tables, "first")
-    rest = verified(docs, sets, apart(shared, simhash.components(first)), tables, "rest")
+    rest = verified(docs, sets, apart(sets, shared, simhash.components(first)), tables, "rest")
     roots = simhash.components(first.union(rest))
-    tables.drop("shared")
-    return per_doc.select("doc_id", "_k", "name").join(roots, per_doc.name == roots.node, "left").select("doc_id", "_k", F.coalesce("root", "name").alias("root"))
+    tables.drop("shared", "sets")
+    return of.join(roots, of.name == roots.node, "left").select("doc_id", "_k", F.coalesce("root", "name").alias("root"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

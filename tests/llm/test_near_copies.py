@@ -54,3 +54,16 @@ def test_great_groups_and_hard_rows(spark, hard_docs, hard_rows):
     assert got.columns == hard_docs.columns
     wordless = [r[0] for r in hard_rows if not (r[1] or "").encode().split()]
     assert sorted(r.doc_id for r in got.collect()) == sorted([wordless[0]] + kept([(r[0], r[1]) for r in hard_rows if r[0] not in wordless]))
+
+
+def test_frequent_shingles_and_small_sets(spark):
+    """Documents mostly of shared passages, in clusters and not: short of rare shingles, so that their whole sets decide."""
+    rng = random.Random(8)
+    passages = [[f"q{k}x{i}" for i in range(40)] for k in range(4)]
+    rows = []
+    for i in range(90):
+        words = [w for k in rng.sample(range(4), 3) for w in passages[k]] + [f"u{rng.randrange(10**6)}" for _ in range(rng.choice((2, 8, 20, 60)))]
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(rng.choice(passages)[: rng.randint(3, 9)])) for i in range(60)]
+    got = near_copies.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == kept(rows)
