@@ -6,8 +6,9 @@ table, merged cells are compacted away, and rows without a mergeable pair leave
 LONG_PIECE bytes would need as many rounds as merges, each over the whole row, so they use a heap of pairs
 with the same order (rank, position).
 
-Results: null text is an empty text (no ids, empty bytes). Repeated rows give repeated results. Columns of
-the input other than those named are not read.
+Results: null text is an empty text (no ids, empty bytes). Repeated rows give repeated results. A very long text is one
+row of a batch that is cut by bytes; ties of rank go to the leftmost pair. An empty table gives no rows. Columns of
+the input other than those named are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 from quire.llm.batches import column, map_batches
 
 LONG_PIECE = 1024
-#: Pieces kept with their ids by a worker; the table is emptied when full.
-CACHE_PIECES = 200_000
+#: Pieces kept with their ids by a worker, longer ones for one batch only; the table is emptied when full.
+CACHE_PIECES, CACHE_CHARS = 200_000, 256
 _NONE = np.int32(2**31 - 1)
 
 
@@ -45,6 +46,7 @@ class Codec:
                     pairs[(a << 32) | b] = rank
         self._build(pairs)
         self.cache: dict[str, tuple[bytes, int, bytes]] = {}
+        self.passing: list[str] = []
 
     def _build(self, pairs: dict[int, int]) -> None:
         size = 1 << max(4, (4 * max(1, len(pairs))).bit_length())
@@ -180,10 +182,13 @@ class Codec:
 
     def learn(self, pieces: set[str]) -> None:
         """Put the pieces that are not known yet into the table, encoded together."""
+        for p in self.passing:
+            self.cache.pop(p, None)
         new = [p for p in pieces if p not in self.cache]
         if len(self.cache) + len(new) > CACHE_PIECES:
             self.cache.clear()
             new = list(pieces)
+        self.passing = [p for p in new if len(p) > CACHE_CHARS]
         for p, ids in zip(new, self.encode_pieces([p.encode("utf-8") for p in new])):
             got = ids.tolist()
             self.cache[p] = (",".join(map(str, got)).encode(), len(got), self.decode(got))
