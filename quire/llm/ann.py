@@ -238,7 +238,7 @@ class Cells:
 def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row numbers, matrix) of a batch's vectors `v`, by their length."""
     v = column(batch, "v")
-    offsets, flat = v.offsets.to_numpy(), v.values.to_numpy(zero_copy_only=False)
+    offsets, flat = v.offsets.to_numpy(), v.values.to_numpy(zero_copy_only=False).astype(np.float64)
     widths = np.diff(offsets)
     for width in np.unique(widths):
         rows = np.flatnonzero(widths == width)
@@ -249,14 +249,18 @@ def _projected(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.sqrt((matrix * matrix).sum(axis=1))[:, None] @ projection(matrix.shape[1])
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array<double>) of the rows that take part."""
-    v = F.col("embedding").cast("array<double>")
+def usable(vectors: DataFrame, kind: str = "double") -> DataFrame:
+    """vec_id, v (an array of kind, float where the vectors are such: they are widened when computed with) of the rows that take part."""
+    v = F.col("embedding").cast(f"array<{kind}>")
     whole = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return vectors.where(whole).where(finite & F.exists(v, lambda x: x != 0)).select("vec_id", v.alias("v"))
 
 
+def _kind(*frames: DataFrame) -> str:
+    return "float" if all(f.schema["embedding"].dataType.simpleString() == "array<float>" for f in frames) else "double"
+
+
 def distinct_vectors(rows: DataFrame, k: int = K) -> DataFrame:
     """rows (vec_id, v) with the k + 1 smallest ids of each vector, once each."""
     order = Window.partitionBy("v").orderBy("vec_id")
@@ -285,8 +289,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, confidence: floa
     """query_id, rank, vec_id, score: the k nearest of vectors (vec_id, embedding) to each row of queries."""
     spark = bounded(vectors.sparkSession)
     tables = Scratch(spark, "neighbours")
-    rows = tables.keep(distinct_vectors(usable(vectors), k), "rows")
-    asked = tables.keep(usable(queries).dropDuplicates(["vec_id", "v"]), "asked")
+    kind = _kind(vectors, queries)
+    rows = tables.keep(distinct_vectors(usable(vectors, kind), k), "rows")
+    asked = tables.keep(usable(queries, kind).dropDuplicates(["vec_id", "v"]), "asked")
     sent = spark.sparkContext.broadcast(fit_cells(rows, block_rows))  # two numbers and three links a node, under 41 nodes a hundred sample rows
     stop = chi_square_quantile(confidence, PROJECTIONS)
 
@@ -342,7 +347,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, confidence: floa
         both = copies.unionByName(dealt).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "width", "cell", "chunk")
         return both.sortWithinPartitions("width", "cell", "chunk", "asks").mapInArrow(answers, "query_id long, vec_id long, score double")
 
-    place = "vec_id long, v array<double>, {}width int, cell int"
+    place = f"vec_id long, v array<{kind}>, {{}}width int, cell int"
     held = tables.keep(rows.mapInArrow(homes, place.format("")), "held")
     tables.drop("rows")
     own = tables.keep(searched(asked.withColumn("known", F.lit(float("-inf"))).mapInArrow(homes, place.format("known double, "))), "own")
