@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructType
 
 from quire.functions import js
 
@@ -114,3 +114,28 @@ def pack_bytes(values: pd.Series) -> pd.Series:
 def image_info(images: DataFrame) -> DataFrame:
     """doc_id, page, index, width, height, format without the pixels."""
     return images.select("doc_id", "page", "index", "width", "height", image_format(F.col("kind")).alias("format"))
+
+
+def png_statistics(png: str) -> dict:
+    """Width, height, bytes of pixels and their sum, read back from an encoded PNG file as this package writes them."""
+    raw = base64.b64decode(png, validate=True)
+    if raw[:8] != b"\x89PNG\r\n\x1a\n" or raw[12:16] != b"IHDR":
+        raise ValueError("no PNG file")
+    width, height = struct.unpack(">II", raw[16:24])
+    at, packed = 8, b""
+    while at < len(raw):
+        size, kind = struct.unpack(">I", raw[at : at + 4])[0], raw[at + 4 : at + 8]
+        body = raw[at + 8 : at + 8 + size]
+        if struct.unpack(">I", raw[at + 8 + size : at + 12 + size])[0] != zlib.crc32(kind + body):
+            raise ValueError("a damaged PNG file")
+        packed += body if kind == b"IDAT" else b""
+        at += 12 + size
+    rows = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(height, 1 + 4 * width)
+    if rows[:, 0].any():
+        raise ValueError("rows with a filter")
+    return {"width": width, "height": height, "n_bytes": 4 * width * height, "byte_sum": int(rows[:, 1:].sum())}
+
+
+@F.pandas_udf(StructType().add("width", IntegerType()).add("height", IntegerType()).add("n_bytes", LongType()).add("byte_sum", LongType()))
+def png_statistics_udf(png: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([png_statistics(p) for p in png], columns=["width", "height", "n_bytes", "byte_sum"])

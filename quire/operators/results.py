@@ -44,6 +44,12 @@ def status_json(status: DataFrame) -> DataFrame:
     return status.select("src_idx", F.to_json(F.struct("source", "success", "error")).alias("json"))
 
 
+def answers(status: DataFrame, batch: Column) -> DataFrame:
+    """batch, answer: the JSON part of the answer to each batch of sources, in their order. A batch is a request, so it is small."""
+    rows = status.groupBy(batch.alias("batch")).agg(F.array_sort(F.collect_list(F.struct("src_idx", "source", "success", "error"))).alias("rows"))
+    return rows.select("batch", pretty_udf(F.to_json("rows")).alias("answer"))
+
+
 def result_struct(flags: dict[str, bool]) -> Column:
     """struct<source, success, data, error> from flat columns, with the fields that the flags ask for."""
     fields = []
@@ -72,5 +78,6 @@ def pretty(results: list[dict]) -> str:
 
 
 @F.pandas_udf(StringType())
-def pretty_udf(compact: pd.Series) -> pd.Series:
-    return pd.Series([json.dumps(json.loads(x), indent=2, ensure_ascii=False) for x in compact], dtype=object)
+def pretty_udf(rows: pd.Series) -> pd.Series:
+    """pretty() of each array of rows, given as compact JSON."""
+    return pd.Series([pretty([{k: v for k, v in row.items() if k != "src_idx"} for row in json.loads(x)]) for x in rows], dtype=object)

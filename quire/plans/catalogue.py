@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.operators import images, layout, page_ranges, paths, requests, results
 from quire.plans.oracle import oracle_sql
 from quire.sources import fixtures as fx
+from quire.sources import loader
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -28,6 +29,22 @@ def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.full_texts(page_texts(spark, sf_dir))
 
 
+def _decoded_files(spark: SparkSession, sf_dir: str, every_page: bool) -> DataFrame:
+    found = loader.scan(spark, fx.pdf_folder(spark, sf_dir), pathGlobFilter="*.pdf")
+    numbered = found.select(F.regexp_extract("path", "([0-9]+)[.]pdf$", 1).cast("long").alias("doc_id"), "length", "content", F.lit(None).cast("array<long>").alias("target"))
+    return loader.decode(numbered, every_page)
+
+
+def pdf_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page texts out of PDF files: scan, decoding, a row a page, lines, pages."""
+    return loader.page_texts(_decoded_files(spark, sf_dir, every_page=True))
+
+
+def pdf_page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of pages of each PDF file, without decoding a page."""
+    return loader.heads(_decoded_files(spark, sf_dir, every_page=False)).select("doc_id", F.col("num_pages").cast("long").alias("num_pages"))
+
+
 def stream_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.stream_page_texts(layout.all_pages(fx.doc_pages(spark, sf_dir)), fx.runs(spark, sf_dir))
 
@@ -147,6 +164,11 @@ def results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.status_json(source_results(spark, sf_dir))
 
 
+def answers_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers to requests of ten sources each."""
+    return results.answers(source_results(spark, sf_dir), F.expr("src_idx div 10"))
+
+
 def paint_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _painted(spark, sf_dir).select("doc_id", "page", "op_pos", "index")
 
@@ -180,6 +202,11 @@ def png_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "page", "index", images.png_udf("data", "width", "height", "kind").alias("png"))
 
 
+def png_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the PNG files of the images hold when they are decoded again."""
+    return png_images(spark, sf_dir).select("doc_id", "page", "index", images.png_statistics_udf("png").alias("s")).select("doc_id", "page", "index", "s.*")
+
+
 def page_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.error_text(fx.page_errors(spark, sf_dir))
 
@@ -195,7 +222,7 @@ def batch_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = (
     "full_text page_texts stream_page_texts lines reading_order content_parts page_contents range_parts range_pages range_errors array_spec_pages spec_charset array_spec_valid "
     "selected_pages invalid_pages all_pages warnings page_count metadata source_label source_exclusive path_status source_kind missing_files paint_ordinals image_resolution "
-    "valid_images image_info image_only image_y pixel_stats png_images page_errors source_results results_json batch_mixed"
+    "valid_images image_info image_only image_y pixel_stats png_images png_pixels page_errors source_results results_json answers_json batch_mixed pdf_page_texts pdf_page_count"
 )
 
 

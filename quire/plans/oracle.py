@@ -144,6 +144,12 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "missing_files": (("confined", "there"), "SELECT src_idx, 'File not found at ''' || path || '''.' AS error FROM confined WHERE status = 'ok' AND folded NOT IN (SELECT path FROM there)"),
     "source_results": (("outcome",), "SELECT src_idx, source, error IS NULL AS success, error FROM outcome"),
     "results_json": (("outcome",), "SELECT src_idx, '{\"source\":\"' || source || '\",\"success\":' || CASE WHEN error IS NULL THEN 'true' ELSE 'false,\"error\":\"' || error || '\"' END || '}' AS json FROM outcome"),
+    "answers_json": (
+        ("outcome",),
+        """SELECT src_idx // 10 AS batch, '{' || chr(10) || '  "results": [' || chr(10) || string_agg('    {' || chr(10) || '      "source": "' || source || '",' || chr(10) || '      "success": '
+        || CASE WHEN error IS NULL THEN 'true' ELSE 'false,' || chr(10) || '      "error": "' || error || '"' END || chr(10) || '    }', ',' || chr(10) ORDER BY src_idx) || chr(10) || '  ]' || chr(10) || '}' AS answer
+        FROM outcome GROUP BY 1""",
+    ),
     "paint_ordinals": (("painted",), "SELECT doc_id, page, op_pos, index FROM painted"),
     "image_resolution": (("resolved",), "SELECT doc_id, page, index, origin FROM resolved"),
     "valid_images": (("usable",), "SELECT doc_id, page, index, width, height FROM usable"),
@@ -151,7 +157,10 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "image_only": (("usable",), "SELECT doc_id, page, index, format FROM usable"),
     "image_y": (("painted",), "SELECT doc_id, page, index, coalesce(CAST(floor(y + 0.5) AS BIGINT), 0) AS y FROM painted"),
     "pixel_stats": (("usable",), "SELECT doc_id, page, index, CAST(width * height * 4 AS BIGINT) AS n_bytes, CAST(CASE WHEN step = 1 THEN 3 ELSE 1 END * list_sum(data[1:width * height * step]) + CASE WHEN step = 4 THEN 0 ELSE 255 * width * height END AS BIGINT) AS byte_sum FROM usable"),
+    "png_pixels": (("usable",), "SELECT doc_id, page, index, width, height, CAST(width * height * 4 AS BIGINT) AS n_bytes, CAST(CASE WHEN step = 1 THEN 3 ELSE 1 END * list_sum(data[1:width * height * step]) + CASE WHEN step = 4 THEN 0 ELSE 255 * width * height END AS BIGINT) AS byte_sum FROM usable"),
     "page_errors": (("failed_pages",), "SELECT doc_id, page, text FROM failed_pages"),
+    "pdf_page_texts": (("texts",), "SELECT doc_id, page, text FROM texts"),
+    "pdf_page_count": (("doc_pages",), "SELECT doc_id, num_pages FROM doc_pages"),
     "batch_mixed": (("texts", "chosen"), "SELECT t.doc_id AS src_idx, 'pages' AS mode, t.page, t.text FROM texts t JOIN chosen c ON c.doc_id = t.doc_id AND c.page = t.page WHERE t.doc_id % 2 = 0 UNION ALL SELECT doc_id, 'full_text', page, text FROM texts WHERE doc_id % 2 = 1"),
 }
 

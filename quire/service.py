@@ -7,15 +7,17 @@ metadata stays with that source.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import images, layout, page_ranges, paths, requests, results
 from quire.operators.paths import RequestError
+from quire.session import materialise
 from quire.sources import loader
 
 CHARSET = "Page string must contain only numbers, commas, and hyphens."
@@ -104,9 +106,9 @@ def _source_frame(spark: SparkSession, request: Request) -> DataFrame:
 Fetcher = Callable[[str], bytes]
 
 
-def _located(spark: SparkSession, request: Request, refused: set[int], root: str, fetch: Fetcher | None) -> tuple[dict[int, str], dict[int, bytes], dict[int, str]]:
-    """By source: the file's URI, the fetched content, or the error."""
-    wanted, contents, errors = {}, {}, {}
+def _located(spark: SparkSession, request: Request, refused: set[int], root: str, fetch: Fetcher | None) -> tuple[dict[int, str], dict[int, str], dict[int, str]]:
+    """By source: the file's URI, the url to fetch, or the error."""
+    wanted, urls, errors = {}, {}, {}
     for i, s in enumerate(request.sources):
         if i in refused:
             continue
@@ -116,10 +118,7 @@ def _located(spark: SparkSession, request: Request, refused: set[int], root: str
             elif s.url:
                 if fetch is None or not re.match(r"https?://", s.url, re.I):
                     raise RequestError("InvalidRequest", f"Failed to load PDF document from {s.url}. Reason: fetching of urls is off")
-                try:
-                    contents[i] = fetch(s.url)
-                except Exception as e:
-                    raise RequestError("InvalidRequest", f"Failed to load PDF document from {s.url}. Reason: {e or 'Unknown loading error'}") from e
+                urls[i] = s.url
             else:
                 raise RequestError("InvalidParams", f"Source {s.label} missing 'path' or 'url'.")
         except RequestError as e:
@@ -129,7 +128,23 @@ def _located(spark: SparkSession, request: Request, refused: set[int], root: str
         if full not in there:
             errors[i] = str(RequestError("InvalidRequest", f"File not found at '{request.sources[i].path}'."))
             del wanted[i]
-    return {i: there[full] for i, full in wanted.items()}, contents, errors
+    return {i: there[full] for i, full in wanted.items()}, urls, errors
+
+
+def fetched(spark: SparkSession, urls: dict[int, str], fetch: Fetcher) -> DataFrame:
+    """doc_id, content, failure of each url, fetched by the executors, each once: the result is kept in the shared folder."""
+    frame = spark.createDataFrame(list(urls.items()), "doc_id long, url string").repartition(max(1, min(len(urls), spark.sparkContext.defaultParallelism)), "doc_id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for given in frames:
+            for doc_id, url in zip(given["doc_id"], given["url"]):
+                try:
+                    content, failure = fetch(url), None
+                except Exception as e:
+                    content, failure = None, str(e) or "Unknown loading error"
+                yield pd.DataFrame({"doc_id": [doc_id], "content": [content], "failure": [failure]})
+
+    return materialise(frame.mapInPandas(run, "doc_id long, content binary, failure string"), "fetched")
 
 
 def _layout(decoded: DataFrame, with_images: bool) -> tuple[DataFrame, DataFrame]:
@@ -145,7 +160,7 @@ def _columns(request: Request, decoded: DataFrame, ordered: DataFrame, pictures:
     """doc_id and per document: page texts, image info; arrays in their order."""
     text = ordered.where("type = 'text'").groupBy("doc_id", "page").agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY item_ord)").alias("text"))
     pages = loader.selected_pages(decoded).join(text, ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("text", F.lit("")).alias("text"))
-    out = decoded.select("doc_id", "num_pages", "info", "metadata", F.col("error").alias("load_error"))
+    out = loader.heads(decoded).withColumnRenamed("error", "load_error")
     out = out.join(pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("page_texts")), "doc_id", "left")
     if request.flags["include_images"]:
         told = ordered.where("type = 'image'").select("doc_id", "page", "item_ord", "index").join(images.image_info(pictures), ["doc_id", "page", "index"])
@@ -158,19 +173,24 @@ def read_documents(spark: SparkSession, args: object, root: str, fetch: Fetcher
     """(results, parts) of a request.
 
     results: src_idx, source, success, data, error in one row a source; parts: src_idx, page, item_ord, type, text,
-    data (base64 PNG), mime_type. Urls are fetched on the driver's word only: without fetch they are refused."""
+    data (base64 PNG), mime_type. Urls are fetched by the executors with the caller's fetch, which has to be picklable;
+    without it they are refused. What was decoded is kept in the shared folder, so nothing stays cached."""
     request = validate(args)
     asked = _source_frame(spark, request)
     known = {r.doc_id: r for r in asked.collect()}  # a row for each source of the request
     spec_errors = {i: r.error for i, r in known.items() if r.error}
-    files, contents, errors = _located(spark, request, set(spec_errors), root, fetch)
+    files, urls, errors = _located(spark, request, set(spec_errors), root, fetch)
     errors |= spec_errors
     where = spark.createDataFrame(list(files.items()), "doc_id long, uri string")
     flags = request.flags
     on_disk = loader.scan(spark, sorted(set(files.values()))).join(where, F.col("path") == F.col("uri")).select("doc_id", "content") if files else spark.createDataFrame([], "doc_id long, content binary")
-    fetched = spark.createDataFrame([(i, bytearray(c)) for i, c in contents.items()], "doc_id long, content binary")
-    documents = on_disk.unionByName(fetched).join(F.broadcast(asked.select("doc_id", "target")), "doc_id")  # a row for each source
-    decoded = loader.decode(documents, flags["include_full_text"], flags["include_images"]).persist()
+    if urls:
+        got = fetched(spark, urls, fetch)
+        for r in got.where("failure is not null").select("doc_id", "failure").collect():  # a row for each url of the request
+            errors[r.doc_id] = str(RequestError("InvalidRequest", f"Failed to load PDF document from {urls[r.doc_id]}. Reason: {r.failure}"))
+        on_disk = on_disk.unionByName(got.where("failure is null").select("doc_id", "content"))
+    documents = on_disk.join(asked.select("doc_id", "target"), "doc_id")
+    decoded = materialise(loader.decode(documents, flags["include_full_text"], flags["include_images"]), "decoded")
     ordered, pictures = _layout(decoded, flags["include_images"])
     found = _columns(request, decoded, ordered, pictures)
     told = spark.createDataFrame([(i, e) for i, e in errors.items()], "doc_id long, told string")

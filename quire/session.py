@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -47,6 +48,32 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Rows and bytes of one Arrow batch; a batch of long texts or whole files is cut by the bytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Keep Arrow batches small, so that a worker's memory depends on neither partition nor row lengths.
+
+    The one place where the session's settings are changed: they are read when a plan runs, long after it is made, so
+    they can't be given back; stricter ones of the caller stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        given = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(key).lower())
+        if given is None or not 0 < int(given[1]) << 10 * " kmg".index(given[2] or " ") <= most:
+            spark.conf.set(key, str(most))
+    return spark
+
+
+def open_fs(path: str):
+    """File system and path of a shared folder's URI, for workers that write files of their own."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 

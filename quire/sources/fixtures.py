@@ -6,9 +6,13 @@ and image objects; page urls become requested sources.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.session import bound_batches, open_fs, scratch_path
+
 ROOT = "/srv/root"
 #: Page specifications by id.
 SPECS = ["5", "1-3", "1-3,5,7-9", "3,1,2,1,3", " 1 - 3 , 5 ", "2-", "1-3-5", "-5", "5-3", "0", "1,,2", "1,", "1 2", "1-50000", "0-5", "4,4-6,2"]
@@ -42,6 +46,49 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _placed(doc_id: int, text: str) -> list[list[tuple[str, float, float]]]:
+    """The runs of a document by page, as runs() has them; those without a height are left out."""
+    lines = text.split("\n")
+    pages: list[list[tuple[str, float, float]]] = [[] for _ in range((len(lines) - 1) // 5 + 1 + (doc_id % 3 == 0))]
+    for pos, line in enumerate(lines):
+        for wpos, word in enumerate(line.split(" ")):
+            if doc_id % 11 == 0 and wpos == 3:
+                continue
+            shown = "\t\xa0" if doc_id % 13 == 0 and pos % 5 == 2 else word + " "
+            pages[pos // 5].append((shown, 10.0 * wpos, 700.0 - 20 * (pos % 5) + (wpos % 4) * 0.25 - 0.5 - (1000 if doc_id % 7 == 0 else 0)))
+    return pages
+
+
+_folders: dict[tuple[str, str], str] = {}
+
+
+def pdf_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder in the shared space with a PDF file <doc_id>.pdf for each document, whose runs are those of runs(); written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _folders:
+        folder = scratch_path(spark, "pdf")
+
+        def write(frames):
+            from quire.sources import pdf_writer
+
+            fs, base = open_fs(folder)
+            fs.create_dir(base, recursive=True)
+            for frame in frames:
+                for doc_id, text in zip(frame["doc_id"], frame["text"]):
+                    target = f"{base}/{doc_id}.pdf"
+                    part = f"{target}.{uuid.uuid4().hex}.part"  # renamed when whole, so that a repeated task does no harm
+                    with fs.open_output_stream(part) as sink:
+                        sink.write(pdf_writer.write(_placed(int(doc_id), text)))
+                    fs.move(part, target)
+                yield frame[["doc_id"]]
+
+        bound_batches(spark)
+        docs = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null").select("doc_id", "text")
+        docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(write, "doc_id long").write.format("noop").mode("overwrite").save()
+        _folders[key] = folder
+    return _folders[key]
+
+
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, num_pages: the pages of the runs, and a blank last one for every third document."""
     lines = F.size(F.split("text", "\n", -1))

@@ -8,13 +8,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators import layout
 from quire.operators.paths import RequestError
+from quire.session import bound_batches
 
-DECODED = (
-    "doc_id long, num_pages int, info map<string,string>, metadata map<string,string>, error string, "
-    "pages array<struct<page:int,error:string,runs:array<struct<seq:long,str:string,y:double>>,"
-    "paints:array<struct<op_pos:int,fn:int,obj_name:string,y:double>>,objects:array<struct<name:string,width:int,height:int,kind:int,data:binary>>>>"
-)
+#: A file of more bytes is dealt out by page ranges; so many pages make a range.
+PART_BYTES, PART_PAGES = 8 << 20, 64
+
+_RUNS = "array<struct<seq:long,str:string,y:double>>"
+_PAINTS = "array<struct<op_pos:int,fn:int,obj_name:string,y:double>>"
+_OBJECT = "struct<name:string,width:int,height:int,kind:int,data:binary>"
+_HEAD = "struct<num_pages:int,info:map<string,string>,metadata:map<string,string>,error:string>"
+#: A row with the head for each document, a row for each page, and a row for each image object of a page.
+DECODED = f"doc_id long, head {_HEAD}, page int, error string, runs {_RUNS}, paints {_PAINTS}, object {_OBJECT}"
+_COLUMNS = ["doc_id", "head", "page", "error", "runs", "paints", "object"]
 
 
 def scan(spark: SparkSession, paths: list[str] | str, **options: str) -> DataFrame:
@@ -38,83 +45,131 @@ def _printed(value: object) -> str:
     return str(value).lower() if isinstance(value, bool) else str(value)
 
 
-def decode_one(content: bytes, pages: list[int] | None, every_page: bool, with_images: bool) -> dict:
-    """One document's decoded row: an unreadable file is an error, an unreadable page an error of that page, unreadable metadata absent."""
+def decode_one(content: bytes, pages: list[int] | None, every_page: bool, with_images: bool, with_head: bool = True) -> Iterator[dict]:
+    """One document's rows: an unreadable file is an error of its head, an unreadable page an error of that page, unreadable metadata absent."""
     from quire.sources import pdf
 
     try:
         doc = pdf.Document(content)
     except Exception as e:
-        return {"num_pages": None, "info": None, "metadata": None, "pages": None, "error": str(e) or "Unknown loading error"}
-    row: dict = {"num_pages": len(doc.pages), "info": None, "metadata": None, "error": None, "pages": []}
-    try:
-        row["info"] = {k: _printed(v) for k, v in doc.info().items()}
-        row["metadata"] = doc.metadata()
-    except Exception:
-        pass  # what was read before stays, as for any source whose metadata is damaged
-    chosen = [p for p in pages if p <= len(doc.pages)] if pages is not None else list(range(1, len(doc.pages) + 1)) if every_page else []
-    for number in chosen:
+        if with_head:
+            yield {"head": {"num_pages": None, "info": None, "metadata": None, "error": str(e) or "Unknown loading error"}}
+        return
+    if with_head:
+        head: dict = {"num_pages": len(doc.pages), "info": None, "metadata": None, "error": None}
+        try:
+            head["info"] = {k: _printed(v) for k, v in doc.info().items()}
+            head["metadata"] = doc.metadata()
+        except Exception:
+            pass  # what was read before stays, as for any source whose metadata is damaged
+        yield {"head": head}
+    for number in chosen_pages(len(doc.pages), pages, every_page):
         try:
             found = pdf.page_layout(doc, number, with_images)
         except Exception as e:
-            row["pages"].append({"page": number, "error": str(e), "runs": [], "paints": [], "objects": []})
+            yield {"page": number, "error": str(e)}
             continue
-        row["pages"].append(
-            {
-                "page": number,
-                "error": None,
-                "runs": [{"seq": i, "str": s, "y": m[5]} for i, (s, m) in enumerate(found.runs)],
-                "paints": [{"op_pos": i, "fn": code, "obj_name": name, "y": m[5]} for i, (code, name, m) in enumerate(found.paints)] if with_images else [],
-                "objects": [{"name": name} | o for name, o in found.images.items()],
-            }
-        )
-    return row
+        yield {
+            "page": number,
+            "runs": [{"seq": i, "str": s, "y": m[5]} for i, (s, m) in enumerate(found.runs)],
+            "paints": [{"op_pos": i, "fn": code, "obj_name": name, "y": m[5]} for i, (code, name, m) in enumerate(found.paints)] if with_images else [],
+        }
+        for name, o in found.images.items():
+            yield {"page": number, "object": {"name": name} | o}
 
 
-def decode(files: DataFrame, every_page: bool = True, with_images: bool = False) -> DataFrame:
-    """doc_id and the decoded document of each row of files (doc_id, content, target: pages wanted or null).
+def chosen_pages(count: int, pages: list[int] | None, every_page: bool) -> list[int]:
+    return [p for p in pages if p <= count] if pages is not None else list(range(1, count + 1)) if every_page else []
 
-    Only the pages wanted are decoded: the selection goes into the decoder, as nothing prunes behind it."""
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # whole files in a batch
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _frames(rows: Iterator[dict], size: int = 64) -> Iterator[pd.DataFrame]:
+    """Rows in frames of few pages or of one image, so that no frame grows with a document."""
+    held: list[dict] = []
+
+    def frame() -> pd.DataFrame:
+        columns = {c: pd.Series([row.get(c) for row in held], dtype="Int32" if c == "page" else "int64" if c == "doc_id" else object) for c in _COLUMNS}
+        held.clear()
+        return pd.DataFrame(columns)
+
+    for row in rows:
+        held.append(row)
+        if len(held) == size or "object" in row:
+            yield frame()
+    if held:
+        yield frame()
+
+
+def decode(files: DataFrame, every_page: bool = True, with_images: bool = False, part_bytes: int = PART_BYTES, part_pages: int = PART_PAGES) -> DataFrame:
+    """The rows of DECODED for each row of files (doc_id, content, target: pages wanted or null; length if it is known).
+
+    Only the pages wanted are decoded: the selection goes into the decoder, as nothing prunes behind it. A file of over
+    part_bytes bytes is opened once for its number of pages and dealt out by ranges of part_pages of them, so that
+    a great document is decoded by many tasks; smaller ones stay where they were read."""
+    bound_batches(files.sparkSession)
+    size = F.col("length") if "length" in files.columns else F.length("content")
+    plain = files.where(size <= part_bytes).select("doc_id", "content", "target", F.lit(True).alias("first"), F.lit(every_page).alias("every"))
+
+    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from quire.sources import pdf
+
         for frame in frames:
-            rows = []
             for doc_id, content, target in zip(frame["doc_id"], frame["content"], frame["target"]):
+                try:
+                    count = len(pdf.Document(bytes(content)).pages)
+                except Exception:
+                    count = 0
+                pages = chosen_pages(count, None if target is None else [int(p) for p in target], every_page)
+                for at in range(0, max(1, len(pages)), part_pages):
+                    yield pd.DataFrame({"doc_id": [doc_id], "content": [content], "target": [pages[at : at + part_pages]], "first": [at == 0], "every": [False], "part": [at]})
+
+    great = files.where(size > part_bytes).select("doc_id", "content", "target").mapInPandas(parts, "doc_id long, content binary, target array<long>, first boolean, every boolean, part int")
+    dealt = plain.unionByName(great.repartition("doc_id", "part").drop("part"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for doc_id, content, target, first, every in zip(frame["doc_id"], frame["content"], frame["target"], frame["first"], frame["every"]):
                 pages = None if target is None else [int(p) for p in target]
-                rows.append({"doc_id": doc_id} | decode_one(bytes(content), pages, every_page, with_images))
-            yield pd.DataFrame(rows, columns=["doc_id", "num_pages", "info", "metadata", "error", "pages"]).astype({"num_pages": "Int32"})
+                yield from _frames({"doc_id": doc_id} | row for row in decode_one(bytes(content), pages, bool(every), with_images, bool(first)))
+
+    return dealt.mapInPandas(run, DECODED)
+
 
-    return files.select("doc_id", "content", "target").mapInPandas(run, DECODED)
+def heads(decoded: DataFrame) -> DataFrame:
+    """doc_id, num_pages, info, metadata, error: a row a document."""
+    return decoded.where("head is not null").select("doc_id", "head.*")
 
 
 def runs(decoded: DataFrame) -> DataFrame:
     """doc_id, page, seq, str, y."""
-    return _pages(decoded).select("doc_id", "p.page", F.explode("p.runs").alias("r")).select("doc_id", "page", "r.*")
+    return decoded.select("doc_id", "page", F.explode("runs").alias("r")).select("doc_id", "page", "r.*")
 
 
 def paint_ops(decoded: DataFrame) -> DataFrame:
     """doc_id, page, op_pos, fn, obj_name, y."""
-    return _pages(decoded).select("doc_id", "p.page", F.explode("p.paints").alias("o")).select("doc_id", "page", "o.*")
+    return decoded.select("doc_id", "page", F.explode("paints").alias("o")).select("doc_id", "page", "o.*")
 
 
 def image_objects(decoded: DataFrame) -> DataFrame:
     """scope, doc_id, page, name, width, height, kind, data."""
-    return _pages(decoded).select(F.lit("page").alias("scope"), "doc_id", "p.page", F.explode("p.objects").alias("o")).select("scope", "doc_id", "page", "o.*")
+    return decoded.where("object is not null").select(F.lit("page").alias("scope"), "doc_id", "page", "object.*")
 
 
 def page_errors(decoded: DataFrame) -> DataFrame:
     """doc_id, page, message."""
-    return _pages(decoded).where("p.error is not null").select("doc_id", "p.page", F.col("p.error").alias("message"))
+    return decoded.where("error is not null").select("doc_id", "page", F.col("error").alias("message"))
 
 
 def selected_pages(decoded: DataFrame) -> DataFrame:
     """doc_id, page of the pages that were decoded."""
-    return _pages(decoded).select("doc_id", "p.page")
+    return decoded.where("page is not null and object is null").select("doc_id", "page")
 
 
-def _pages(decoded: DataFrame) -> DataFrame:
-    return decoded.select("doc_id", F.explode("pages").alias("p"))
+def page_texts(decoded: DataFrame) -> DataFrame:
+    """doc_id, page, text of every decoded page, from one decoding: a page without runs is a row with a null run."""
+    each = decoded.where("page is not null and object is null").select("doc_id", "page", F.explode_outer("runs").alias("r")).select("doc_id", "page", "r.*")
+    # one exchange by document serves the lines, the pages and their join
+    each = each.repartition("doc_id")
+    return layout.page_texts(each.select("doc_id", "page").distinct(), layout.lines(each))
 
 
 def load_error(source: str, reason: str) -> str:

@@ -1,10 +1,11 @@
-"""A reader for PDF files on the standard library alone, after the public file format.
+"""A reader for PDF files on the standard library and numpy, after the public file format.
 
 It reads cross-reference tables and streams (and rebuilds them from the file where they are broken), object
 streams, the Flate, LZW, ASCIIHex, ASCII85 and RunLength filters with PNG and TIFF predictors, the page tree,
-content streams with forms, simple and composite fonts with ToUnicode maps, and Flate-coded image objects. Encrypted
-files and files without pages raise PdfError. JPEG and other picture codecs have no decoder here: such an
-image is reported as an object without data.
+content streams with forms, simple and composite fonts with ToUnicode maps or predefined encodings of Unicode and the
+national standards, and image objects, JPEG among them, with soft masks, stencils and colour keys. Encrypted files are
+opened with the empty user password; those that need another one and files without pages raise PdfError. JPEG 2000,
+fax and JBIG2 have no decoder here: such an image is reported as an object without data.
 
 The result of a page is the layout relation: text runs with their matrix, painting operations with the current
 matrix, and image objects.
@@ -19,6 +20,10 @@ import time
 import zlib
 from dataclasses import dataclass, field
 
+import numpy as np
+
+from quire.sources import crypt, jpeg
+
 WHITE = b" \t\r\n\x0c\x00"
 _DELIMITERS = b"()<>[]{}/%"
 _REGULAR = re.compile(rb"[^ \t\r\n\x0c\x00()<>\[\]{}/%]+")
@@ -247,7 +252,7 @@ def _predict(data: bytes, parms: dict) -> bytes:
 
 
 _SHORT = {"Fl": "FlateDecode", "LZW": "LZWDecode", "AHx": "ASCIIHexDecode", "A85": "ASCII85Decode", "RL": "RunLengthDecode", "DCT": "DCTDecode", "CCF": "CCITTFaxDecode"}
-_PICTURES = ("DCTDecode", "JPXDecode", "CCITTFaxDecode", "JBIG2Decode")
+_NO_DECODER = ("JPXDecode", "CCITTFaxDecode", "JBIG2Decode")
 
 
 class Document:
@@ -264,9 +269,10 @@ class Document:
         self.cache: dict[int, object] = {}
         self.packed: dict[int, list[tuple[int, int]]] = {}
         self.busy: set[int] = set()
+        self.key: crypt.Decipher | None = None
         self._open()
         if "Encrypt" in self.trailer:
-            raise PdfError("No password given")
+            self._unlock()
         self.pages = self._pages()
         if not self.pages:
             raise PdfError("The document has no pages.")
@@ -284,6 +290,34 @@ class Document:
         except (PdfError, ValueError, TypeError, AttributeError, KeyError, IndexError, zlib.error, RecursionError):
             self._rebuild()
 
+    def _unlock(self) -> None:
+        """Find the key of the empty user password; what was read without it is read again."""
+        rules = self.get(self.trailer["Encrypt"])
+        locked = self.trailer["Encrypt"].number if isinstance(self.trailer["Encrypt"], Ref) else -1
+        try:
+            plain = {k: {n: self.get(v) for n, v in value.items()} if isinstance(value := self.get(v_), dict) else value for k, v_ in rules.items()}
+            plain["CF"] = {k: {n: self.get(x) for n, x in self.get(v).items()} for k, v in plain.get("CF", {}).items()}
+            ids = self.get(self.trailer.get("ID"), [b""])
+            self.key = crypt.unlock(plain, self.get(ids[0], b"") if ids else b"")
+        except (crypt.CryptError, TypeError, ValueError, KeyError, AttributeError, IndexError) as e:
+            raise PdfError("No password given") from e
+        self.locked = locked
+        self.cache, self.packed = {}, {}
+
+    def _opened(self, value: object, number: int, generation: int) -> object:
+        """An object's strings and stream deciphered."""
+        if isinstance(value, bytes) and not isinstance(value, Keyword):
+            return self.key.string(value, number, generation)
+        if isinstance(value, list):
+            return [self._opened(v, number, generation) for v in value]
+        if isinstance(value, dict):
+            return {k: self._opened(v, number, generation) for k, v in value.items()}
+        if isinstance(value, Stream):
+            kind = value.info.get("Type")
+            plain = kind == "XRef" or (kind == "Metadata" and not self.key.metadata) or any(name == "Crypt" for name, _ in self.filters(value.info))
+            return Stream(self._opened(value.info, number, generation), value.raw if plain else self.key.stream(value.raw, number, generation))
+        return value
+
     def _section(self, at: int) -> object:
         lexer = Lexer(self.data, at)
         first = lexer.next()
@@ -393,7 +427,8 @@ class Document:
             self.busy.add(number)
             try:
                 if place[0] == 1:
-                    self.cache[number] = self._object_at(place[1])
+                    found = self._object_at(place[1])
+                    self.cache[number] = self._opened(found, number, value.generation) if self.key and number != self.locked else found
                 else:
                     at = dict(self._pack(place[1])).get(number)
                     self.cache[number] = None if at is None else Lexer(self.cache[-place[1] - 1], at)._value(0)
@@ -409,9 +444,12 @@ class Document:
         parms = parms if isinstance(parms, list) else [parms]
         return [(_SHORT.get(n, n), self.get(parms[i], {}) if i < len(parms) else {}) for i, n in enumerate(map(self.get, names))]
 
-    def decoded(self, stream: Stream) -> bytes:
+    def decoded(self, stream: Stream, until: str = "") -> bytes:
+        """The data of a stream behind its filters, or behind those before the filter `until`."""
         data = stream.raw
         for name, parms in self.filters(stream.info):
+            if name == until:
+                break
             parms = {k: self.get(v) for k, v in parms.items()} if isinstance(parms, dict) else {}
             if name == "FlateDecode":
                 engine = zlib.decompressobj()
@@ -535,12 +573,20 @@ def glyph_text(name: str) -> str:
     return glyph_text(name.split(".")[0]) if "." in name[1:] else ""
 
 
+# fixed values: parts of the names of predefined encodings, and the codec of their codes
+_CMAPS = (
+    ("UTF16", "utf-16-be"), ("UCS2", "utf-16-be"), ("UTF8", "utf-8"), ("UTF32", "utf-32-be"), ("RKSJ", "cp932"), ("GBK2K", "gb18030"), ("GBK", "gbk"), ("GBpc-EUC", "gb2312"),
+    ("GB-EUC", "gb2312"), ("HKscs-B5", "big5hkscs"), ("B5", "big5"), ("KSCms-UHC", "cp949"), ("KSC-EUC", "euc_kr"), ("KSCpc-EUC", "euc_kr"), ("CNS-EUC", "big5"), ("EUC", "euc_jp"),
+)
+
+
 class Font:
     """Codes of a font to text, and their widths in thousandths."""
 
     def __init__(self, doc: Document, info: dict) -> None:
         get = doc.get
         self.wide = get(info.get("Subtype")) == "Type0"
+        self.codec: str | None = None
         self.map: dict[int, str] = {}
         self.widths: dict[int, float] = {}
         self.default = 500.0
@@ -551,6 +597,9 @@ class Font:
             below = get(get(info.get("DescendantFonts"), [{}])[0], {})
             self.default = float(get(below.get("DW"), 1000))
             self._wide_widths([get(x) for x in get(below.get("W"), [])], get)
+            encoding = get(info.get("Encoding"))
+            if not self.map and isinstance(encoding, str):
+                self.codec = next((codec for mark, codec in _CMAPS if mark in str(encoding)), None)
         else:
             first = get(info.get("FirstChar"), 0)
             for i, w in enumerate(get(info.get("Widths"), [])):
@@ -612,6 +661,9 @@ class Font:
 
     def show(self, raw: bytes) -> tuple[str, float, int, int]:
         """Text, width in thousandths, number of codes and of single-byte spaces."""
+        if self.codec:  # text by the encoding itself; its character numbers, and so its widths, stand in no file
+            text = raw.decode(self.codec, "replace")
+            return text, self.default * len(text), len(text), raw.count(b" ") if self.codec != "utf-16-be" else 0
         codes = [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw) - 1, 2)] if self.wide else list(raw)
         text = "".join([self.map.get(c, "") for c in codes])
         return text, sum([self.widths.get(c, self.default) for c in codes]), len(codes), 0 if self.wide else raw.count(b" ")
@@ -642,24 +694,82 @@ def image_object(doc: Document, stream: Stream) -> dict:
     info, get = stream.info, doc.get
     width, height = get(info.get("Width", info.get("W"))), get(info.get("Height", info.get("H")))
     out = {"width": width, "height": height, "kind": None, "data": None}
-    if any(name in _PICTURES for name, _ in doc.filters(info)) or not isinstance(width, int) or not isinstance(height, int):
+    if any(name in _NO_DECODER for name, _ in doc.filters(info)) or not isinstance(width, int) or not isinstance(height, int):
+        return out
+    try:
+        width, height, channels, samples, opaque = _picture(doc, stream, width, height)
+    except jpeg.JpegError:
         return out
-    depth = 1 if get(info.get("ImageMask", info.get("IM"))) else get(info.get("BitsPerComponent", info.get("BPC")), 8)
+    if channels not in (1, 3):
+        return out
+    mask = get(info.get("SMask"))
+    stencil = get(info.get("Mask"))
+    for other, inverted in ((mask, False), (stencil, True)):
+        if isinstance(other, Stream):
+            opaque = _alpha(doc, other, width, height, inverted)
+            break
+    if opaque is not None:
+        colours = np.zeros(width * height * channels, dtype=np.uint8)
+        given = np.frombuffer(samples, dtype=np.uint8)[: len(colours)]
+        colours[: len(given)] = given
+        colours = np.broadcast_to(colours.reshape(height * width, channels), (height * width, 3))
+        return out | {"width": width, "height": height, "kind": 3, "data": np.column_stack((colours, opaque.ravel())).tobytes()}
+    return out | {"width": width, "height": height, "kind": {1: 1, 3: 2}[channels], "data": samples}
+
+
+def _picture(doc: Document, stream: Stream, width: int, height: int) -> tuple[int, int, int, bytes, np.ndarray | None]:
+    """Width, height, channels, samples of one byte each, and what a colour key leaves opaque (255) or not (0)."""
+    info, get = stream.info, doc.get
     space = get(info.get("ColorSpace", info.get("CS")))
     palette = None
     if isinstance(space, list) and space and get(space[0]) in ("Indexed", "I"):
         table = get(space[3])
         palette = (_components(get(space[1]), get), doc.decoded(table) if isinstance(table, Stream) else table)
-    channels = 1 if palette else _components(space, get)
-    samples = _samples(doc.decoded(stream), width, height, channels, depth, scale=palette is None)
+    coded = next((parms for name, parms in doc.filters(info) if name == "DCTDecode"), None)
+    depth = 8
+    if coded is not None:
+        pixels = jpeg.decode(doc.decoded(stream, until="DCTDecode"), get(coded.get("ColorTransform")) if isinstance(coded, dict) else None)
+        height, width, channels = pixels.shape
+        samples = pixels.tobytes()
+    else:
+        depth = 1 if get(info.get("ImageMask", info.get("IM"))) else get(info.get("BitsPerComponent", info.get("BPC")), 8)
+        channels = 1 if palette else _components(space, get)
+        samples = _samples(doc.decoded(stream), width, height, channels, depth, scale=palette is None)
+    opaque = None
+    key = get(info.get("Mask"))
+    if isinstance(key, list) and len(key) == 2 * channels and len(samples) >= width * height * channels:
+        scale = 1 if palette or depth >= 8 else 255 // ((1 << depth) - 1)
+        pixels = np.frombuffer(samples, dtype=np.uint8)[: width * height * channels].reshape(-1, channels)
+        low, high = (np.array([get(v) for v in key[i::2]]) * scale for i in (0, 1))
+        opaque = np.where(((pixels >= low) & (pixels <= high)).all(axis=1), 0, 255).astype(np.uint8)
+    decode = get(info.get("Decode", info.get("D")))
+    if isinstance(decode, list) and len(decode) == 2 * channels and not palette:
+        ends = np.array([float(get(v)) for v in decode])
+        low, high = ends[0::2], ends[1::2]
+        if (low != 0).any() or (high != 1).any():
+            pixels = np.frombuffer(samples, dtype=np.uint8)[: len(samples) // channels * channels].reshape(-1, channels)
+            samples = np.clip(np.rint(255 * low + pixels * (high - low)), 0, 255).astype(np.uint8).tobytes()
     if palette:
         step, table = palette
-        samples = b"".join([table[i * step : i * step + step].ljust(step, b"\0") for i in samples])
-        channels = step
+        colours = np.zeros((256, step), dtype=np.uint8)
+        known = np.frombuffer(table[: 256 * step], dtype=np.uint8)
+        colours.ravel()[: len(known)] = known
+        samples, channels = colours[np.frombuffer(samples, dtype=np.uint8)].tobytes(), step
     if channels == 4:
-        samples = bytes(x for i in range(0, len(samples), 4) for x in ((255 - samples[i]) * (255 - samples[i + 3]) // 255, (255 - samples[i + 1]) * (255 - samples[i + 3]) // 255, (255 - samples[i + 2]) * (255 - samples[i + 3]) // 255))
-        channels = 3
-    return out | {"kind": {1: 1, 3: 2}.get(channels), "data": samples}
+        inks = np.frombuffer(samples, dtype=np.uint8)[: len(samples) // 4 * 4].reshape(-1, 4).astype(np.int64)
+        samples, channels = ((255 - inks[:, :3]) * (255 - inks[:, 3:]) // 255).astype(np.uint8).tobytes(), 3
+    return width, height, channels, samples, opaque
+
+
+def _alpha(doc: Document, stream: Stream, width: int, height: int, inverted: bool) -> np.ndarray:
+    """The opacity of each pixel of a picture from its soft mask, or from a stencil whose set bits hide."""
+    own_width, own_height = doc.get(stream.info.get("Width")), doc.get(stream.info.get("Height"))
+    own_width, own_height, channels, samples, _ = _picture(doc, stream, own_width, own_height)
+    plane = np.zeros(own_width * own_height, dtype=np.uint8)
+    given = np.frombuffer(samples, dtype=np.uint8)[::channels][: len(plane)]
+    plane[: len(given)] = given
+    plane = plane.reshape(own_height, own_width)[np.arange(height) * own_height // height][:, np.arange(width) * own_width // width]
+    return 255 - plane if inverted else plane
 
 
 def _components(space: object, get) -> int:
@@ -676,13 +786,11 @@ def _samples(data: bytes, width: int, height: int, channels: int, depth: int, sc
         return data
     if depth == 16:
         return data[0::2]
-    row, top, out = (width * channels * depth + 7) // 8, (1 << depth) - 1, bytearray()
-    for y in range(height):
-        bits = int.from_bytes(data[y * row : y * row + row].ljust(row, b"\0"), "big")
-        for i in range(width * channels):
-            value = bits >> (row * 8 - depth * (i + 1)) & top
-            out.append(value * 255 // top if scale else value)
-    return bytes(out)
+    row, top = (width * channels * depth + 7) // 8, (1 << depth) - 1
+    bits = np.unpackbits(np.frombuffer(data[: row * height].ljust(row * height, b"\0"), dtype=np.uint8).reshape(height, row), axis=1)
+    fields = bits[:, : width * channels * depth].reshape(height, width * channels, depth)
+    values = (fields.astype(np.int64) << np.arange(depth)[::-1]).sum(axis=2)
+    return (values * 255 // top if scale else values).astype(np.uint8).tobytes()
 
 
 class _State:

@@ -19,10 +19,7 @@ def stream_files(spark: SparkSession, folder: str, pattern: str = "*.pdf", files
 
 def page_texts_of_batch(batch: DataFrame) -> DataFrame:
     """doc_id, page, text of the files of a batch."""
-    from quire.operators import layout
-
-    decoded = loader.decode(batch)
-    return layout.page_texts(loader.selected_pages(decoded), layout.lines(loader.runs(decoded)))
+    return loader.page_texts(loader.decode(batch))
 
 
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
