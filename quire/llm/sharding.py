@@ -246,7 +246,9 @@ def reshard(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, folder:
     lanes = max(1, round(parallel / shards))
     deal = _dealt(spark, shards * lanes) if rows else []
     placed_rows = [(f, b, i, j, at, deal[j * lanes + b % lanes]) for f, b, i, j, at in rows]
-    where = spark.createDataFrame(placed_rows, f"`{file_}` string, `{bucket}` int, old_shard int, shard int, `{first}` long, `{lane}` int")  # at most BLOCKS rows, or one an affected file
+    where = spark.createDataFrame(placed_rows, f"`{file_}` string, `{bucket}` int, old_shard int, shard int, `{first}` long, `{lane}` int")
+    if len(placed_rows) <= 4 * BLOCKS:  # counted, not guessed: the texts needn't be shuffled for the join
+        where = F.broadcast(where)
     order = Window.partitionBy(lane, file_, bucket).orderBy(F.col(f"`{key}`"), crc)
     out = moving.withColumn(crc, F.crc32(raw)).join(where, [file_, bucket]).repartition(shards * lanes, lane).withColumn("slot", F.col(first) + F.row_number().over(order) - 1)
     result = [F.col(f"`{c}`") for c in columns.values()]
