@@ -82,6 +82,21 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import vector_codes
+
+    found = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    rows = vector_codes.with_label_error(found.rows)
+    return rows.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(found.fingerprint()).alias("codebooks_sha256"))
+
+
+def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import delta_lloyd
+
+    found = delta_lloyd.cluster(_table(spark, sf_dir, "embeddings"))
+    return found.with_inertia().select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def queries() -> dict[str, Query]:
     return {name: value for name, value in globals().items() if name.startswith("op") and name[2].isdigit()}
 
