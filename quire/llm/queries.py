@@ -82,6 +82,13 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import toxicity
+
+    scored = toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", F.round("score", 12).alias("score"), "predicted")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import vector_codes
 
