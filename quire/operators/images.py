@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructType
 
 from quire.functions import js
+from quire.session import materialise
 
 #: Operation codes that paint an image.
 PAINT_CODES = (89, 92)
@@ -111,6 +112,33 @@ def pack_bytes(values: pd.Series) -> pd.Series:
     return pd.Series([np.asarray(v, dtype=np.uint8).tobytes() for v in values], dtype=object)
 
 
+#: Bytes of encoded images that are sent to every task at most; a larger dictionary is joined by a shuffle.
+DICTIONARY_SENT = 32 << 20
+
+
+def content_key(data: Column, width: Column, height: Column, kind: Column) -> Column:
+    """128 bits of an image's bytes and shape, as hex."""
+    shape = [c.cast("string") for c in (width, height, F.coalesce(kind, F.lit(0)))]
+    return F.md5(F.concat_ws(":", F.hex(data), *shape).cast("binary"))
+
+
+def dictionary(images: DataFrame) -> DataFrame:
+    """key, placements, width, height, kind, data: each different image of images (data binary) once. Copies are taken together where they are read, before any shuffle."""
+    keyed = images.select(content_key(F.col("data"), F.col("width"), F.col("height"), F.col("kind")).alias("key"), "width", "height", "kind", "data")
+    return keyed.groupBy("key").agg(F.count("*").alias("placements"), *[F.first(c).alias(c) for c in ("width", "height", "kind", "data")])
+
+
+def shared_pngs(images: DataFrame) -> DataFrame:
+    """doc_id, page, index, png of images: each different image is encoded once and joined back.
+
+    The encoded images are kept in the shared folder and weighed: few bytes go to every task; more are joined by a shuffle,
+    where adaptive execution splits an image that stands on a third of all pages."""
+    encoded = materialise(dictionary(images).select("key", png_udf("data", "width", "height", "kind").alias("png")), "pngs")
+    size = encoded.agg(F.sum(F.length("png"))).first()[0] or 0
+    placed = images.select("doc_id", "page", "index", content_key(F.col("data"), F.col("width"), F.col("height"), F.col("kind")).alias("key"))
+    return placed.join(F.broadcast(encoded) if size <= DICTIONARY_SENT else encoded, "key").select("doc_id", "page", "index", "png")
+
+
 def image_info(images: DataFrame) -> DataFrame:
     """doc_id, page, index, width, height, format without the pixels."""
     return images.select("doc_id", "page", "index", "width", "height", image_format(F.col("kind")).alias("format"))

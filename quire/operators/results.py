@@ -17,6 +17,12 @@ def metadata_pairs(documents: DataFrame) -> DataFrame:
     return documents.where("metadata is not null").select("doc_id", F.explode("metadata").alias("key", "value"))
 
 
+def typed_pairs(documents: DataFrame) -> DataFrame:
+    """doc_id, key, kind, value of an information dictionary (info variant): its type as Spark names it, and its JSON. Documents without one have no rows."""
+    told = documents.where("info is not null").lateralJoin(documents.sparkSession.tvf.variant_explode(F.col("info").outer()))
+    return told.select("doc_id", "key", F.schema_of_variant("value").alias("kind"), F.to_json("value").alias("value"))
+
+
 def source_status(sources: DataFrame, files: DataFrame, root: str) -> DataFrame:
     """src_idx, source, success, error by the order of the stages: specification, path, file.
 

@@ -6,6 +6,7 @@ metadata stays with that source.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -14,8 +15,9 @@ from urllib.parse import urlsplit
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantVal
 
-from quire.operators import images, layout, page_ranges, paths, requests, results
+from quire.operators import images, layout, page_ranges, paths, requests, results, sharing, sink
 from quire.operators.paths import RequestError
 from quire.session import materialise
 from quire.sources import loader
@@ -98,9 +100,10 @@ def _source_frame(spark: SparkSession, request: Request) -> DataFrame:
     frame = spark.createDataFrame(rows, "doc_id long, path string, url string, source string, spec string, listed array<long>")
     chosen = page_ranges.selected(frame)
     target = F.coalesce(F.col("target"), page_ranges.pages_of_array(F.col("listed")))
+    ranges = F.coalesce(F.col("ranges"), sharing.ranges_of_pages(page_ranges.pages_of_array(F.col("listed"))))
     message = page_ranges.specification_error(F.col("source"), F.col("spec_error"))
     error = F.when(F.col("spec_error").isNotNull(), F.concat(F.lit(f"MCP error {RequestError.CODES['InvalidParams']}: "), message))
-    return chosen.select("doc_id", "path", "url", "source", target.alias("target"), error.alias("error"))
+    return chosen.select("doc_id", "path", "url", "source", target.alias("target"), ranges.alias("ranges"), error.alias("error"))
 
 
 Fetcher = Callable[[str], bytes]
@@ -123,12 +126,12 @@ def _located(spark: SparkSession, request: Request, refused: set[int], root: str
                 raise RequestError("InvalidParams", f"Source {s.label} missing 'path' or 'url'.")
         except RequestError as e:
             errors[i] = str(e)
-    there = loader.existing(spark, list(wanted.values()))
-    for i, full in list(wanted.items()):
-        if full not in there:
-            errors[i] = str(RequestError("InvalidRequest", f"File not found at '{request.sources[i].path}'."))
-            del wanted[i]
-    return {i: there[full] for i, full in wanted.items()}, urls, errors
+    if wanted:
+        asked = spark.createDataFrame([(i, request.sources[i].path, full, os.path.dirname(full)) for i, full in wanted.items()], "src_idx long, path string, resolved string, folder string")
+        for r in requests.missing_files(asked, loader.listed(asked)).collect():  # a row for each source of the request at most
+            errors[r.src_idx] = str(RequestError("InvalidRequest", r.error))
+            del wanted[r.src_idx]
+    return wanted, urls, errors
 
 
 def fetched(spark: SparkSession, urls: dict[int, str], fetch: Fetcher) -> DataFrame:
@@ -181,16 +184,29 @@ def read_documents(spark: SparkSession, args: object, root: str, fetch: Fetcher
     spec_errors = {i: r.error for i, r in known.items() if r.error}
     files, urls, errors = _located(spark, request, set(spec_errors), root, fetch)
     errors |= spec_errors
-    where = spark.createDataFrame(list(files.items()), "doc_id long, uri string")
     flags = request.flags
-    on_disk = loader.scan(spark, sorted(set(files.values()))).join(where, F.col("path") == F.col("uri")).select("doc_id", "content") if files else spark.createDataFrame([], "doc_id long, content binary")
+    # what several sources ask of one file or url is read and decoded once, the union of their pages, and given to each
+    names = sorted({*files.values(), *urls.values()})
+    number = {name: n for n, name in enumerate(names)}
+    of = spark.createDataFrame([(i, number[name]) for i, name in (files | urls).items()], "doc_id long, file long")
+    nothing = F.array().cast(sharing.RANGES)
+    ranges = F.col("ranges") if flags["include_full_text"] else F.coalesce("ranges", nothing)
+    wanted = asked.join(of, "doc_id").select("doc_id", "file", ranges.alias("ranges"))
+    schema = "doc_id long, path string, length long, content binary"
+    on_disk = spark.createDataFrame([], schema)
+    if files:
+        where = spark.createDataFrame([(number[p], f"file:{p}" if p.startswith("/") else p) for p in set(files.values())], "doc_id long, uri string")
+        on_disk = loader.scan(spark, sorted(set(files.values()))).join(F.broadcast(where), F.col("path") == F.col("uri")).select("doc_id", "path", "length", "content")
     if urls:
-        got = fetched(spark, urls, fetch)
-        for r in got.where("failure is not null").select("doc_id", "failure").collect():  # a row for each url of the request
-            errors[r.doc_id] = str(RequestError("InvalidRequest", f"Failed to load PDF document from {urls[r.doc_id]}. Reason: {r.failure}"))
-        on_disk = on_disk.unionByName(got.where("failure is null").select("doc_id", "content"))
-    documents = on_disk.join(asked.select("doc_id", "target"), "doc_id")
-    decoded = materialise(loader.decode(documents, flags["include_full_text"], flags["include_images"]), "decoded")
+        got = fetched(spark, {number[u]: u for u in set(urls.values())}, fetch)
+        failures = {r.doc_id: r.failure for r in got.where("failure is not null").select("doc_id", "failure").collect()}  # a row for each url of the request
+        for i, url in urls.items():
+            if number[url] in failures:
+                errors[i] = str(RequestError("InvalidRequest", f"Failed to load PDF document from {url}. Reason: {failures[number[url]]}"))
+        on_disk = on_disk.unionByName(got.where("failure is null").select("doc_id", F.lit(None).cast("string").alias("path"), F.lit(0).cast("long").alias("length"), "content"))
+    documents = on_disk.join(F.broadcast(sharing.shared_targets(wanted.select(F.col("file").alias("doc_id"), "ranges"))), "doc_id")
+    once = materialise(loader.decode(documents, flags["include_full_text"], flags["include_images"]), "decoded")
+    decoded = sharing.fan_out(once, wanted)
     ordered, pictures = _layout(decoded, flags["include_images"])
     found = _columns(request, decoded, ordered, pictures)
     told = spark.createDataFrame([(i, e) for i, e in errors.items()], "doc_id long, told string")
@@ -206,10 +222,10 @@ def read_documents(spark: SparkSession, args: object, root: str, fetch: Fetcher
         .withColumn("page_texts", F.when(F.col("target").isNotNull() & some, F.col("page_texts")))
     )
     answer = joined.select(F.col("doc_id").alias("src_idx"), results.result_struct(flags).alias("r")).select("src_idx", "r.*")
-    parts = ordered.join(pictures.select("doc_id", "page", "index", "data", "width", "height", "kind"), ["doc_id", "page", "index"], "left")
-    png = F.when(F.col("type") == "image", images.png_udf("data", "width", "height", "kind")) if flags["include_images"] else F.lit(None).cast("string")
+    # each different image of the request is encoded once, wherever it stands
+    parts = ordered.join(images.shared_pngs(pictures), ["doc_id", "page", "index"], "left") if flags["include_images"] else ordered.withColumn("png", F.lit(None).cast("string"))
     mime = F.when(F.col("type") == "image", F.lit("image/png"))
-    parts = parts.where("type = 'image' or length(text) > 0").select(F.col("doc_id").alias("src_idx"), "page", "item_ord", "type", "text", png.alias("data"), mime.alias("mime_type"))
+    parts = parts.where("type = 'image' or length(text) > 0").select(F.col("doc_id").alias("src_idx"), "page", "item_ord", "type", "text", F.col("png").alias("data"), mime.alias("mime_type"))
     return answer, parts
 
 
@@ -220,16 +236,23 @@ def handle(spark: SparkSession, args: object, root: str, fetch: Fetcher | None =
     for row in rows:
         del row["src_idx"]
         if row.get("data"):
-            row["data"]["info"] = _typed(row["data"].get("info"))
+            row["data"] |= {k: v.toPython() for k, v in row["data"].items() if isinstance(v, VariantVal)}
     content = [{"type": "text", "text": results.pretty(rows)}]
     for p in parts.orderBy("src_idx", "page", "item_ord").collect():
         content.append({"type": "text", "text": p.text} if p.type == "text" else {"type": "image", "data": p.data, "mimeType": p.mime_type})
     return {"content": content}
 
 
-def _typed(info: dict | None) -> dict | None:
-    """Flags of the information dictionary as booleans."""
-    return info and {k: v == "true" if k.startswith("Is") and v in ("true", "false") else v for k, v in info.items()}
+PART = "src_idx long, page int, item_ord int, type string, text string, data string, mime_type string"
+
+
+def write_answer(spark: SparkSession, args: object, root: str, folder: str, fetch: Fetcher | None = None) -> DataFrame:
+    """The answer of one request as files: results as JSON lines, a row a source, and the ordered parts (sink.read_ordered, PART).
+
+    Nothing of it passes through the driver. Returns the parts' manifest."""
+    answer, parts = read_documents(spark, args, root, fetch)
+    answer.repartitionByRange("src_idx").sortWithinPartitions("src_idx").write.json(f"{folder}/results")
+    return sink.write_ordered(parts, folder, ["src_idx", "page", "item_ord"])
 
 
 def input_schema() -> dict:

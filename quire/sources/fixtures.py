@@ -8,40 +8,48 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators import layout
 from quire.session import bound_batches, open_fs, scratch_path
 
 ROOT = "/srv/root"
 #: Page specifications by id.
 SPECS = ["5", "1-3", "1-3,5,7-9", "3,1,2,1,3", " 1 - 3 , 5 ", "2-", "1-3-5", "-5", "5-3", "0", "1,,2", "1,", "1 2", "1-50000", "0-5", "4,4-6,2"]
-CHARSET_CASES = [*SPECS, "1,abc,3", ""]
-ARRAYS = [[1.0, 3.0, 5.0], [3.0, 1.0, 2.0, 1.0, 3.0], [1.0, 0.0, 3.0], [1.0, 2.5, 3.0], [1.0, -1.0, 3.0], []]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lines of a page in these relations, and of a block of pages.
+PAGE_LINES = 5
+_BLOCK_LINES = PAGE_LINES * layout.PAGE_BLOCK
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # one exchange by doc_id of the texts; everything exploded from them and grouped by doc_id and more stays in it
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    # one exchange of the texts, in blocks of pages; what is exploded from them and grouped by doc_id, block and more stays in it
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    numbers = F.sequence(F.lit(0), F.expr(f"cast((size(lines) - 1) div {_BLOCK_LINES} as int)"))
+    blocks = docs.select("doc_id", "lines", F.explode(numbers).alias("block"))
+    cut = blocks.select("doc_id", "block", F.slice("lines", F.col("block") * _BLOCK_LINES + 1, _BLOCK_LINES).alias("lines")).repartition("doc_id", "block")
+    return cut.select("doc_id", "block", F.posexplode("lines").alias("at", "line")).select("doc_id", "block", (F.col("block") * _BLOCK_LINES + F.col("at")).alias("pos"), "line")
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, page, seq, str, y."""
-    words = _lines(spark, sf_dir).select("doc_id", "pos", F.posexplode(F.split("line", " ", -1)).alias("wpos", "word"))
+    """doc_id, block, page, seq, str, y."""
+    words = _lines(spark, sf_dir).select("doc_id", "block", "pos", F.posexplode(F.split("line", " ", -1)).alias("wpos", "word"))
     blank = (F.col("doc_id") % 13 == 0) & (F.col("pos") % 5 == 2)
     lost = (F.col("doc_id") % 11 == 0) & (F.col("wpos") == 3)
     shift = F.when(F.col("doc_id") % 7 == 0, 1000.0).otherwise(0.0)
     height = F.lit(700.0) - 20 * (F.col("pos") % 5) + (F.col("wpos") % 4) * 0.25 - 0.5 - shift
     return words.select(
         "doc_id",
+        "block",
         F.expr("pos div 5 + 1").cast("int").alias("page"),
         (F.col("pos").cast("long") * 100000 + F.col("wpos")).alias("seq"),
-        F.when(blank, F.lit("\t ")).otherwise(F.concat("word", F.lit(" "))).alias("str"),
+        F.when(blank, F.lit("\t\u00a0")).otherwise(F.concat("word", F.lit(" "))).alias("str"),
         F.when(~lost, height).alias("y"),
     )
 
@@ -96,16 +104,40 @@ def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", lines.alias("n")).select("doc_id", pages.cast("long").alias("num_pages"))
 
 
-def page_specs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(SPECS)), "spec_id int, spec string")
+def _listed_spec(number: Column) -> Column:
+    return F.get(F.array(*[F.lit(x) for x in SPECS]), (number % len(SPECS)).cast("int"))
+
+
+def page_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spec_id, spec: a listed specification and a range made of the document's length, which may begin at 0."""
+    first = F.col("n_chars") % 9
+    own = F.concat(F.lit(","), first.cast("string"), F.lit("-"), (first + F.col("doc_id") % 4).cast("string"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("spec_id"), F.concat(_listed_spec(F.col("doc_id")), own).alias("spec"))
+
+
+def charset_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spec_id, spec: figures of an url, its beginning, a listed specification, or nothing."""
+    i = F.col("page_id")
+    figures = F.concat(F.regexp_replace("url", "[^0-9-]", ""), F.lit(", 1"))
+    spec = F.when(i % 13 == 0, F.lit("")).when(i % 3 == 0, figures).when(i % 3 == 1, F.substring("url", 1, 12)).otherwise(_listed_spec(i))
+    return table(spark, sf_dir, "pages").select(i.alias("spec_id"), spec.alias("spec"))
 
 
-def charset_cases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(CHARSET_CASES)), "spec_id int, spec string")
+def page_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spec_id, pages: numbers made of the first five components, some not whole, some below 1, some arrays empty."""
+    v, first = F.col("vec_id"), F.slice("embedding", 1, 5)
+    whole = F.transform(first, lambda e: F.floor(F.abs(e.cast("double")) * 40).cast("double") + 1)
+    signed = F.transform(first, lambda e: F.floor(e.cast("double") * 20).cast("double") + 4)
+    halves = F.transform(first, lambda e: F.floor(F.abs(e.cast("double")) * 20) / 2 + 1)
+    pages = F.when(v % 11 == 0, F.array().cast("array<double>")).when(v % 3 == 0, whole).when(v % 3 == 1, signed).otherwise(halves)
+    return table(spark, sf_dir, "embeddings").select(v.alias("spec_id"), pages.alias("pages"))
 
 
-def page_arrays(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(ARRAYS)), "spec_id int, pages array<double>")
+def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src_idx, doc_id, spec: the turns of three conversations ask one document each, every seventh for all of it."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    spec = F.when(turn % 7 != 3, _listed_spec(conv + 5 * turn))
+    return table(spark, sf_dir, "conversations").select((conv * 1000 + turn).alias("src_idx"), F.expr("conv_id div 3").alias("doc_id"), spec.alias("spec"))
 
 
 def spec_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,6 +205,20 @@ def doc_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 17 != 0, pairs).alias("metadata"))
 
 
+def doc_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, info (variant): texts, whole numbers, flags and lists; none for every seventeenth document."""
+    told = F.struct("lang", "n_chars", (F.col("n_chars") > 1000).alias("is_long"), F.array("source", "lang").alias("tags"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 17 != 0, F.parse_json(F.to_json(told))).alias("info"))
+
+
+def logos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page, index, width, height, kind, data (array<int>): three of four images are one of a few that their label names."""
+    v = F.col("vec_id")
+    shared = F.transform(F.sequence(F.lit(1), F.lit(256)), lambda i: (F.col("label") * 37 + i * 7) % 256)
+    own = F.transform("embedding", lambda e: F.floor(F.abs(e.cast("double")) * 255).cast("int"))
+    return table(spark, sf_dir, "embeddings").select((v % 200).alias("doc_id"), F.lit(1).alias("page"), F.expr("cast(vec_id div 200 as int)").alias("index"), F.lit(8).alias("width"), F.lit(8).alias("height"), (1 + F.col("label") % 3).cast("int").alias("kind"), F.when(v % 4 != 0, shared).otherwise(own).alias("data"))
+
+
 def page_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page, message."""
     return doc_pages(spark, sf_dir).where("doc_id % 31 = 5 and num_pages >= 2").select("doc_id", F.lit(2).alias("page"), F.lit("Failed to get page 2").alias("message"))

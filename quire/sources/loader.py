@@ -2,26 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import js
 from quire.operators import layout
 from quire.operators.paths import RequestError
-from quire.session import bound_batches
+from quire.session import bound_batches, open_fs
+from quire.sources import ranged
 
-#: A file of more bytes is dealt out by page ranges; so many pages make a range.
-PART_BYTES, PART_PAGES = 8 << 20, 64
+#: A file of more bytes is dealt out by shares of its pages, one for so many bytes.
+PART_BYTES = 8 << 20
 
 _RUNS = "array<struct<seq:long,str:string,y:double>>"
 _PAINTS = "array<struct<op_pos:int,fn:int,obj_name:string,y:double>>"
 _OBJECT = "struct<name:string,width:int,height:int,kind:int,data:binary>"
-_HEAD = "struct<num_pages:int,info:map<string,string>,metadata:map<string,string>,error:string>"
+_HEAD = "struct<num_pages:int,info:string,metadata:string,error:string>"
 #: A row with the head for each document, a row for each page, and a row for each image object of a page.
-DECODED = f"doc_id long, head {_HEAD}, page int, error string, runs {_RUNS}, paints {_PAINTS}, object {_OBJECT}"
-_COLUMNS = ["doc_id", "head", "page", "error", "runs", "paints", "object"]
+PAGES = f"head {_HEAD}, page int, error string, runs {_RUNS}, paints {_PAINTS}, object {_OBJECT}"
+DECODED = f"doc_id long, {PAGES}"
+_KEYS = {"doc_id": pa.int64(), "path": pa.string()}
+#: PAGES as Arrow types; tasks have no session to ask for them.
+_ARROW = {
+    "head": pa.struct({"num_pages": pa.int32(), "info": pa.string(), "metadata": pa.string(), "error": pa.string()}),
+    "page": pa.int32(),
+    "error": pa.string(),
+    "runs": pa.list_(pa.struct({"seq": pa.int64(), "str": pa.string(), "y": pa.float64()})),
+    "paints": pa.list_(pa.struct({"op_pos": pa.int32(), "fn": pa.int32(), "obj_name": pa.string(), "y": pa.float64()})),
+    "object": pa.struct({"name": pa.string(), "width": pa.int32(), "height": pa.int32(), "kind": pa.int32(), "data": pa.binary()}),
+}
+#: Pages of a batch of decoded rows at most; an image is a batch of its own.
+_BATCH_PAGES = 64
 
 
 def scan(spark: SparkSession, paths: list[str] | str, **options: str) -> DataFrame:
@@ -29,28 +44,33 @@ def scan(spark: SparkSession, paths: list[str] | str, **options: str) -> DataFra
     return spark.read.format("binaryFile").options(**options).load(paths).select("path", "length", "content")
 
 
-def existing(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """By path the full URI of those that exist as files, asked of the file system that holds them."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    found = {}
-    for p in dict.fromkeys(paths):
-        target = jvm.org.apache.hadoop.fs.Path(p if "://" in p or p.startswith("file:") else f"file://{p}")
-        fs = target.getFileSystem(conf)
-        if fs.exists(target) and fs.getFileStatus(target).isFile():
-            found[p] = fs.getFileStatus(target).getPath().toString()
-    return found
+def listed(folders: DataFrame) -> DataFrame:
+    """path of the files directly in each of folders (folder: plain paths or URIs), listed by the executors; a folder that isn't there has none."""
 
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-def _printed(value: object) -> str:
-    return str(value).lower() if isinstance(value, bool) else str(value)
+        for batch in given:
+            for folder in batch.column(0).to_pylist():
+                store, base = open_fs(folder)
+                prefix = folder[: len(folder) - len(base)] if folder.endswith(base) else ""
+                found = store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if store.get_file_info(base).type == fs.FileType.Directory else []
+                names = [prefix + f.path for f in found if f.is_file]
+                for at in range(0, len(names), 10_000):
+                    yield pa.RecordBatch.from_pydict({"path": names[at : at + 10_000]}, schema=pa.schema([("path", pa.string())]))
 
+    spread = max(1, folders.sparkSession.sparkContext.defaultParallelism)
+    return folders.select("folder").distinct().repartition(spread, "folder").mapInArrow(run, "path string")
 
-def decode_one(content: bytes, pages: list[int] | None, every_page: bool, with_images: bool, with_head: bool = True) -> Iterator[dict]:
-    """One document's rows: an unreadable file is an error of its head, an unreadable page an error of that page, unreadable metadata absent."""
+
+def decode_one(source: bytes | ranged.Source, wanted: Callable[[int], list[int]], with_images: bool, with_head: bool = True, share: tuple[int, int] = (0, 1)) -> Iterator[dict]:
+    """One document's rows: an unreadable file is an error of its head, an unreadable page an error of that page, unreadable metadata absent.
+
+    wanted gives the page numbers for a number of pages; of these the share (number, of how many) is decoded."""
     from quire.sources import pdf
 
     try:
-        doc = pdf.Document(content)
+        doc = pdf.Document(source)
     except Exception as e:
         if with_head:
             yield {"head": {"num_pages": None, "info": None, "metadata": None, "error": str(e) or "Unknown loading error"}}
@@ -58,85 +78,85 @@ def decode_one(content: bytes, pages: list[int] | None, every_page: bool, with_i
     if with_head:
         head: dict = {"num_pages": len(doc.pages), "info": None, "metadata": None, "error": None}
         try:
-            head["info"] = {k: _printed(v) for k, v in doc.info().items()}
-            head["metadata"] = doc.metadata()
+            head["info"] = json.dumps(doc.info(), ensure_ascii=False)
+            head["metadata"] = json.dumps(doc.metadata(), ensure_ascii=False)
         except Exception:
             pass  # what was read before stays, as for any source whose metadata is damaged
         yield {"head": head}
-    for number in chosen_pages(len(doc.pages), pages, every_page):
+    chosen, (number, shares) = wanted(len(doc.pages)), share
+    for page in chosen[number * len(chosen) // shares : (number + 1) * len(chosen) // shares]:
         try:
-            found = pdf.page_layout(doc, number, with_images)
+            found = pdf.page_layout(doc, page, with_images)
         except Exception as e:
-            yield {"page": number, "error": str(e)}
+            yield {"page": page, "error": str(e)}
             continue
         yield {
-            "page": number,
+            "page": page,
             "runs": [{"seq": i, "str": s, "y": m[5]} for i, (s, m) in enumerate(found.runs)],
             "paints": [{"op_pos": i, "fn": code, "obj_name": name, "y": m[5]} for i, (code, name, m) in enumerate(found.paints)] if with_images else [],
         }
         for name, o in found.images.items():
-            yield {"page": number, "object": {"name": name} | o}
+            yield {"page": page, "object": {"name": name} | o}
+        doc.release()
 
 
-def chosen_pages(count: int, pages: list[int] | None, every_page: bool) -> list[int]:
-    return [p for p in pages if p <= count] if pages is not None else list(range(1, count + 1)) if every_page else []
+def _wanted(target: list[int] | None, every_page: bool) -> Callable[[int], list[int]]:
+    return lambda count: [p for p in target if p <= count] if target is not None else list(range(1, count + 1)) if every_page else []
 
 
-def _frames(rows: Iterator[dict], size: int = 64) -> Iterator[pd.DataFrame]:
-    """Rows in frames of few pages or of one image, so that no frame grows with a document."""
+def batches(rows: Iterator[dict], key: str = "doc_id") -> Iterator[pa.RecordBatch]:
+    """Rows in batches of few pages or of one image, so that no batch grows with a document."""
+    schema = pa.schema({key: _KEYS[key]} | _ARROW)
     held: list[dict] = []
 
-    def frame() -> pd.DataFrame:
-        columns = {c: pd.Series([row.get(c) for row in held], dtype="Int32" if c == "page" else "int64" if c == "doc_id" else object) for c in _COLUMNS}
-        held.clear()
-        return pd.DataFrame(columns)
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([row.get(f.name) for row in held], type=f.type) for f in schema], schema=schema)
 
     for row in rows:
         held.append(row)
-        if len(held) == size or "object" in row:
-            yield frame()
+        if len(held) == _BATCH_PAGES or "object" in row:
+            yield batch()
+            held.clear()
     if held:
-        yield frame()
+        yield batch()
 
 
-def decode(files: DataFrame, every_page: bool = True, with_images: bool = False, part_bytes: int = PART_BYTES, part_pages: int = PART_PAGES) -> DataFrame:
-    """The rows of DECODED for each row of files (doc_id, content, target: pages wanted or null; length if it is known).
+def decode(files: DataFrame, every_page: bool = True, with_images: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows of DECODED for each row of files (doc_id, content, target: pages wanted or null; path and length if they are known).
 
     Only the pages wanted are decoded: the selection goes into the decoder, as nothing prunes behind it. A file of over
-    part_bytes bytes is opened once for its number of pages and dealt out by ranges of part_pages of them, so that
-    a great document is decoded by many tasks; smaller ones stay where they were read."""
+    part_bytes bytes whose path is known is dealt out by shares of its pages: only its path is shuffled, each task seeks what
+    its pages need, and the scan doesn't read such contents. Other files stay where they were read."""
     bound_batches(files.sparkSession)
-    size = F.col("length") if "length" in files.columns else F.length("content")
-    plain = files.where(size <= part_bytes).select("doc_id", "content", "target", F.lit(True).alias("first"), F.lit(every_page).alias("every"))
-
-    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from quire.sources import pdf
-
-        for frame in frames:
-            for doc_id, content, target in zip(frame["doc_id"], frame["content"], frame["target"]):
-                try:
-                    count = len(pdf.Document(bytes(content)).pages)
-                except Exception:
-                    count = 0
-                pages = chosen_pages(count, None if target is None else [int(p) for p in target], every_page)
-                for at in range(0, max(1, len(pages)), part_pages):
-                    yield pd.DataFrame({"doc_id": [doc_id], "content": [content], "target": [pages[at : at + part_pages]], "first": [at == 0], "every": [False], "part": [at]})
-
-    great = files.where(size > part_bytes).select("doc_id", "content", "target").mapInPandas(parts, "doc_id long, content binary, target array<long>, first boolean, every boolean, part int")
-    dealt = plain.unionByName(great.repartition("doc_id", "part").drop("part"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for doc_id, content, target, first, every in zip(frame["doc_id"], frame["content"], frame["target"], frame["first"], frame["every"]):
-                pages = None if target is None else [int(p) for p in target]
-                yield from _frames({"doc_id": doc_id} | row for row in decode_one(bytes(content), pages, bool(every), with_images, bool(first)))
-
-    return dealt.mapInPandas(run, DECODED)
+    seekable = {"path", "length"} <= set(files.columns)
+    plain = files.where(F.col("length") <= part_bytes) if seekable else files
+
+    def whole(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in given:
+            for row in batch.to_pylist():
+                yield from batches({"doc_id": row["doc_id"]} | found for found in decode_one(row["content"] or b"", _wanted(row["target"], every_page), with_images))
+
+    def shared(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in given:
+            for row in batch.to_pylist():
+                source = ranged.Ranged(row["path"])
+                found = decode_one(source, _wanted(row["target"], every_page), with_images, row["number"] == 0, (row["number"], row["shares"]))
+                yield from batches({"doc_id": row["doc_id"]} | r for r in found)
+                source.close()
+
+    out = plain.select("doc_id", "content", "target").mapInArrow(whole, DECODED)
+    if not seekable:
+        return out
+    shares = F.ceil(F.col("length") / max(1, part_bytes)).cast("int")
+    great = files.where(F.col("length") > part_bytes).select("doc_id", "path", "target", shares.alias("shares"))
+    great = great.select("*", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("number")).repartition("doc_id", "number")
+    return out.unionByName(great.mapInArrow(shared, DECODED))
 
 
 def heads(decoded: DataFrame) -> DataFrame:
-    """doc_id, num_pages, info, metadata, error: a row a document."""
-    return decoded.where("head is not null").select("doc_id", "head.*")
+    """doc_id, num_pages, info, metadata (both variant: values keep their types), error: a row a document."""
+    told = decoded.where("head is not null").select("doc_id", "head.*")
+    return told.withColumn("info", F.try_parse_json("info")).withColumn("metadata", F.try_parse_json("metadata"))
 
 
 def runs(decoded: DataFrame) -> DataFrame:
@@ -165,11 +185,15 @@ def selected_pages(decoded: DataFrame) -> DataFrame:
 
 
 def page_texts(decoded: DataFrame) -> DataFrame:
-    """doc_id, page, text of every decoded page, from one decoding: a page without runs is a row with a null run."""
+    """doc_id, page, text of every decoded page, from one decoding: a page goes along as a row of its own beside its runs."""
     each = decoded.where("page is not null and object is null").select("doc_id", "page", F.explode_outer("runs").alias("r")).select("doc_id", "page", "r.*")
-    # one exchange by document serves the lines, the pages and their join
-    each = each.repartition("doc_id")
-    return layout.page_texts(each.select("doc_id", "page").distinct(), layout.lines(each))
+    # one exchange by document and block serves the lines and the pages
+    each = layout.with_block(each).repartition("doc_id", "block")
+    # a page's rows end in one group, so pages need no list of their own: those without lines are told by their rows without a run
+    rounded = each.select("doc_id", "block", "page", "seq", F.coalesce("str", F.lit("")).alias("str"), js.round_half_up(F.col("y")).alias("y"))
+    lines = rounded.groupBy("doc_id", "block", "page", "y").agg(F.expr("listagg(str, '') WITHIN GROUP (ORDER BY seq)").alias("line"))
+    shown = F.when(F.col("y").isNotNull() & ~js.is_blank(F.col("line")), F.col("line"))
+    return lines.select("doc_id", "block", "page", "y", shown.alias("line")).groupBy("doc_id", "block", "page").agg(F.coalesce(F.expr("listagg(line, '') WITHIN GROUP (ORDER BY y DESC)"), F.lit("")).alias("text")).select("doc_id", "page", "text")
 
 
 def load_error(source: str, reason: str) -> str:

@@ -18,11 +18,12 @@ import math
 import re
 import time
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 
-from quire.sources import crypt, jpeg
+from quire.sources import crypt, jpeg, ranged
 
 WHITE = b" \t\r\n\x0c\x00"
 _DELIMITERS = b"()<>[]{}/%"
@@ -178,6 +179,25 @@ class Lexer:
         return value
 
 
+def _table(lexer: Lexer) -> tuple[list[tuple[int, int]], dict] | None:
+    """Numbers and places of a cross-reference table, and its trailer; None if there is no table here."""
+    if lexer.next() != b"xref":
+        return None
+    places: list[tuple[int, int]] = []
+    while isinstance(start := lexer.next(), int):
+        count = lexer.next()
+        for i in range(count):
+            offset, _, flag = lexer.next(), lexer.next(), lexer.next()
+            if flag == b"":
+                raise PdfError("the table is cut short")
+            if flag == b"n":
+                places.append((start + i, offset))
+    info = lexer.next()
+    if not isinstance(info, dict):
+        raise PdfError("no trailer")
+    return places, info
+
+
 def _lzw(data: bytes, early: int) -> bytes:
     out, table, width, hold, bits, last = bytearray(), [bytes([i]) for i in range(256)] + [b"", b""], 9, 0, 0, b""
     for byte in data:
@@ -258,12 +278,15 @@ _NO_DECODER = ("JPXDecode", "CCITTFaxDecode", "JBIG2Decode")
 class Document:
     """An opened file: objects by reference, metadata and pages."""
 
-    def __init__(self, data: bytes) -> None:
-        head = data.find(b"%PDF-", 0, 2048)
-        if head < 0:
+    def __init__(self, data: bytes | ranged.Source) -> None:
+        self.source = ranged.Held(data) if isinstance(data, (bytes, bytearray, memoryview)) else data
+        self.base = self.source.read(0, 2048).find(b"%PDF-")  # all places are told from here
+        if self.base < 0:
             raise PdfError("Invalid PDF structure.")
-        self.data = data[head:]
-        self.version = re.match(rb"%PDF-([0-9.]+)", self.data)[1].decode() if re.match(rb"%PDF-([0-9.]+)", self.data) else ""
+        self.start = self._read(0, 2048)
+        version = re.match(rb"%PDF-([0-9.]+)", self.start)
+        self.version = version[1].decode() if version else ""
+        self.kept_bytes = 0
         self.places: dict[int, tuple[int, int]] = {}
         self.trailer: dict = {}
         self.cache: dict[int, object] = {}
@@ -277,10 +300,28 @@ class Document:
         if not self.pages:
             raise PdfError("The document has no pages.")
 
+    def _read(self, at: int, size: int) -> bytes:
+        return self.source.read(self.base + at, size)
+
+    def _windowed(self, at: int, parse: Callable[[Lexer], object]) -> tuple[object, int]:
+        """What parse makes of the bytes from at on, and how many it used."""
+
+        def run(data: bytes, last: bool) -> tuple[object, int]:
+            lexer = Lexer(data)
+            return parse(lexer), lexer.at
+
+        return ranged.windowed(self.source, self.base + at, run)
+
+    def release(self, most: int = 16 << 20) -> None:
+        """Forget the streams that were read once they make up most bytes; they are read again where they are needed."""
+        if self.kept_bytes > most:
+            self.cache = {k: v for k, v in self.cache.items() if not isinstance(v, (Stream, bytes))}
+            self.packed, self.kept_bytes = {}, 0
+
     def _open(self) -> None:
         try:
-            at = self.data.rfind(b"startxref")
-            place = Lexer(self.data, at + 9).next() if at >= 0 else None
+            at = ranged.rfind(self.source, b"startxref")
+            place = Lexer(self.source.read(at + 9, 64)).next() if at >= 0 else None
             seen: set[int] = set()
             while isinstance(place, int) and place not in seen:
                 seen.add(place)
@@ -319,21 +360,11 @@ class Document:
         return value
 
     def _section(self, at: int) -> object:
-        lexer = Lexer(self.data, at)
-        first = lexer.next()
-        if first == b"xref":
-            while True:
-                start = lexer.next()
-                if not isinstance(start, int):
-                    break
-                count = lexer.next()
-                for i in range(count):
-                    offset, _, flag = lexer.next(), lexer.next(), lexer.next()
-                    if flag == b"n":
-                        self.places.setdefault(start + i, (1, offset))
-            info = lexer.next()
-            if not isinstance(info, dict):
-                raise PdfError("no trailer")
+        table, _ = self._windowed(at, _table)
+        if table is not None:
+            places, info = table
+            for number, offset in places:
+                self.places.setdefault(number, (1, offset))
             for key, value in info.items():
                 self.trailer.setdefault(key, value)
             if isinstance(info.get("XRefStm"), int):
@@ -367,11 +398,11 @@ class Document:
     def _rebuild(self) -> None:
         """Find the objects where they stand, the last of a number counts."""
         self.places, self.cache, self.packed = {}, {}, {}
-        for m in re.finditer(rb"(?<![0-9])(\d{1,10})[ \t\r\n]+\d{1,5}[ \t\r\n]+obj\b", self.data):
-            self.places[int(m[1])] = (1, m.start())
+        for place, m in ranged.matches(self.source, re.compile(rb"(?<![0-9])(\d{1,10})[ \t\r\n]{1,20}\d{1,5}[ \t\r\n]{1,20}obj\b")):
+            self.places[int(m[1])] = (1, place - self.base)
         trailer: dict = {}
-        for m in re.finditer(rb"\btrailer\b", self.data):
-            info = Lexer(self.data, m.end()).next()
+        for place, m in ranged.matches(self.source, re.compile(rb"\btrailer\b")):
+            info, _ = self._windowed(place - self.base + len(m[0]), lambda lexer: lexer.next())
             if isinstance(info, dict):
                 trailer |= info
         for number in list(self.places):
@@ -389,22 +420,27 @@ class Document:
         self.trailer = trailer
 
     def _object_at(self, at: int) -> object:
-        lexer = Lexer(self.data, at)
-        if not isinstance(lexer.next(), int) or not isinstance(lexer.next(), int) or lexer.next() != b"obj":
-            raise PdfError("no object at its place")
-        value = lexer._value(0)
+        def parse(lexer: Lexer) -> object:
+            if not isinstance(lexer.next(), int) or not isinstance(lexer.next(), int) or lexer.next() != b"obj":
+                raise PdfError("no object at its place")
+            value = lexer._value(0)
+            lexer.skip()
+            return value
+
+        value, used = self._windowed(at, parse)
         if not isinstance(value, dict):
             return None if isinstance(value, Keyword) else value
-        lexer.skip()
-        if not self.data.startswith(b"stream", lexer.at):
+        begin = at + used
+        mark = self._read(begin, 8)
+        if not mark.startswith(b"stream"):
             return value
-        begin = lexer.at + 6
-        begin += 2 if self.data.startswith(b"\r\n", begin) else 1
+        begin += 8 if mark.endswith(b"\r\n") else 7
         length = self.get(value.get("Length"))
-        if not isinstance(length, int) or not re.compile(rb"[\r\n \t]*endstream").match(self.data, begin + length):
-            end = self.data.find(b"endstream", begin)
-            length = max(0, (len(self.data) if end < 0 else end) - begin)
-        return Stream(value, self.data[begin : begin + length])
+        if not isinstance(length, int) or length < 0 or not re.match(rb"[\r\n \t]*endstream", self._read(begin + length, 32)):
+            end = ranged.find(self.source, b"endstream", self.base + begin) - self.base
+            length = max(0, (self.source.size - self.base if end < 0 else end) - begin)
+        self.kept_bytes += length
+        return Stream(value, self._read(begin, length))
 
     def _pack(self, number: int) -> list[tuple[int, int]]:
         if number not in self.packed:
@@ -495,7 +531,7 @@ class Document:
         form = self.get(root.get("AcroForm"), {})
         out: dict[str, object] = {
             "PDFFormatVersion": str(self.get(root.get("Version"), self.version)),
-            "IsLinearized": b"/Linearized" in self.data[:2048],
+            "IsLinearized": b"/Linearized" in self.start,
             "IsAcroFormPresent": isinstance(form, dict) and bool(self.get(form.get("Fields"), [])),
             "IsXFAPresent": isinstance(form, dict) and "XFA" in form,
         }

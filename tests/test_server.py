@@ -54,15 +54,16 @@ def test_the_process_ends_with_its_input(root):
     assert "serving" in done.stderr
 
 
-def test_great_files_are_dealt_by_page_ranges(spark):
+def test_great_files_are_dealt_by_shares_of_their_pages(spark, tmp_path):
     pages = [[(f"page {n} é😀", 10, 700), ("tail", 10, 20)] for n in range(1, 41)]
     raw = pdf_writer.write(pages)
     assert [s for s, _ in pdf.page_layout(pdf.Document(raw), 7).runs] == ["page 7 é😀", "tail"]
-    rows = [(1, bytearray(raw), None), (2, bytearray(raw), [3, 39, 99]), (3, bytearray(b"nothing"), None), (4, bytearray(build([text_page((1, 1, "x")), None])), None)]
-    files = spark.createDataFrame(rows, "doc_id long, content binary, target array<long>")
+    for n, content in enumerate((raw, raw, b"nothing", build([text_page((1, 1, "x")), None])), 1):
+        (tmp_path / f"{n}.pdf").write_bytes(content)
+    files = loader.scan(spark, str(tmp_path)).selectExpr("cast(regexp_extract(path, '([0-9]+).pdf', 1) as long) as doc_id", "path", "length", "content", "if(path like '%2.pdf', array(3L, 39L, 99L), null) as target")
     found = []
-    for most in (0, 1 << 30):
-        decoded = loader.decode(files, part_bytes=most, part_pages=7)
+    for most in (400, 1 << 30):
+        decoded = loader.decode(files, part_bytes=most)
         heads = {r.doc_id: (r.num_pages, r.error) for r in loader.heads(decoded).collect()}
         runs = sorted((r.doc_id, r.page, r.seq, r.str, r.y) for r in loader.runs(decoded).collect())
         errors = [(r.doc_id, r.page) for r in loader.page_errors(decoded).collect()]
@@ -72,8 +73,12 @@ def test_great_files_are_dealt_by_page_ranges(spark):
     assert heads[1] == (40, None) == heads[2] and heads[3][0] is None and "Invalid PDF" in heads[3][1] and heads[4] == (2, None)
     assert chosen == [(1, n) for n in range(1, 41)] + [(2, 3), (2, 39), (4, 1), (4, 2)] and errors == [(4, 2)]
     assert len(runs) == 85
-    # a row a page: no row holds a whole document
-    assert loader.decode(files, part_bytes=0, part_pages=7).where("doc_id = 1 and page is not null").count() == 40
+    decoded = loader.decode(files, part_bytes=400)
+    # a row a page: no row holds a whole document; no exchange holds contents, and great files' contents aren't read
+    assert decoded.where("doc_id = 1 and page is not null").count() == 40
+    plan = decoded._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and not any("content" in line for line in plan.splitlines() if "Exchange" in line)
+    assert [line for line in plan.splitlines() if "FileScan" in line and "content" not in line]
 
 
 def test_images_are_rows_of_their_own(spark):

@@ -1,0 +1,191 @@
+"""Shared decoding, interval joins, documents in blocks, the ordered sink, the image dictionary and the page source."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quire import service
+from quire.operators import images, layout, sharing, sink
+from quire.plans import catalogue
+from quire.sources import loader, page_source, pdf, pdf_writer, ranged
+
+from .pdf_writer import build, text_page
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_unions_and_interval_joins_against_sets(spark):
+    rng = random.Random(1)
+    ranges = [(d, a, a + rng.choice([0, 1, 3, 70, 300])) for d in range(12) for a in [rng.randint(1, 400) for _ in range(d)]] + [(50, 5, 9)] * 300 + [(50, 10, 10)]
+    frame = spark.createDataFrame(ranges, "doc_id long, first long, last long")
+    wanted = {}
+    for d, a, b in ranges:
+        wanted.setdefault(d, set()).update(range(a, b + 1))
+    got = {}
+    for r in sharing.union_of_ranges(frame).collect():
+        got.setdefault(r.doc_id, []).append((r.first, r.last))
+    for d, found in got.items():
+        found.sort()
+        assert set().union(*(range(a, b + 1) for a, b in found)) == wanted[d]
+        assert all(b + 1 < c for (_, b), (c, _) in zip(found, found[1:]))
+    assert set(got) == set(wanted)
+    rows = spark.createDataFrame([(d, p) for d in range(60) for p in (1, 63, 64, 65, 128, 129, 200, 399)], "doc_id long, page int")
+    union = sharing.union_of_ranges(frame).withColumn("tag", F.lit("t"))
+    met = sharing.within(rows, union)
+    assert sorted((r.doc_id, r.page) for r in met.collect()) == sorted((d, p) for d, ps in wanted.items() for p in (1, 63, 64, 65, 128, 129, 200, 399) if p in ps)
+    assert "tag" in met.columns and "first" not in met.columns
+    assert "Join" in plan_of(met) and "Cartesian" not in plan_of(met)
+
+
+def test_targets_of_requests(spark):
+    asked = [(1, [(1, 3), (9, 9)]), (1, [(2, 5)]), (2, None), (2, [(4, 4)]), (3, []), (4, [(7, 7)]), (4, [])]
+    frame = spark.createDataFrame(asked, f"doc_id long, ranges {sharing.RANGES}")
+    assert {r.doc_id: r.target for r in sharing.shared_targets(frame).collect()} == {1: [1, 2, 3, 4, 5, 9], 2: None, 3: [], 4: [7]}
+
+
+def test_runs_that_nobody_asks_for_meet_no_aggregate(spark, sf_dir):
+    text = plan_of(catalogue.batch_mixed(spark, sf_dir))
+    lines = text.splitlines()
+    first = next(i for i, line in enumerate(lines) if "listagg(str" in line)
+    below = lines[first + 1 :]
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    subtree = below[: next((i for i, line in enumerate(below) if depth(line) <= depth(lines[first])), len(below))]
+    assert any("Join Inner" in line for line in subtree) and not any("Aggregate" in line for line in subtree)
+
+
+def test_a_file_that_two_sources_ask_for_is_decoded_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.pdf").write_bytes(build([text_page((1, 1, f"page {n}")) for n in range(1, 6)]))
+    decoded = []
+    plain = loader.decode
+    monkeypatch.setattr(loader, "decode", lambda *a, **b: decoded.append(plain(*a, **b)) or decoded[-1])
+    sources = [{"path": "a.pdf", "pages": "1-3"}, {"path": "a.pdf", "pages": [2, 5, 9]}, {"path": "a.pdf"}, {"path": "a.pdf", "pages": "4"}]
+    answer, parts = service.read_documents(spark, {"sources": sources}, str(tmp_path))
+    rows = {r.src_idx: r for r in answer.collect()}
+    texts = {i: [p.text for p in rows[i].data.page_texts or []] for i in rows}
+    assert texts == {0: ["page 1", "page 2", "page 3"], 1: ["page 2", "page 5"], 2: [], 3: ["page 4"]}
+    assert rows[1].data.warnings == ["Requested page numbers 9 exceed total pages (5)."] and rows[2].data.num_pages == 5
+    assert len(decoded) == 1 and sorted(r.page for r in loader.selected_pages(decoded[0]).collect()) == [1, 2, 3, 4, 5]
+    answer, _ = service.read_documents(spark, {"sources": sources, "include_full_text": True}, str(tmp_path))
+    assert {r.src_idx: r.data.full_text for r in answer.collect()}[2] == "\n\n".join(f"page {n}" for n in range(1, 6))
+
+
+def test_typed_information_reaches_the_answer(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(build([""], info={"Title": "T", "IsTitle": "true"}))
+    info = service.call_tool(spark, "read_pdf", {"sources": [{"path": "a.pdf"}]}, str(tmp_path))["content"][0]["text"]
+    assert '"IsAcroFormPresent": false' in info and '"IsTitle": "true"' in info
+
+
+def hot_runs(spark):
+    rows = [(1, p, 10 * p + k, f"p{p}w{k} ", 700.0 - k) for p in range(1, 1001) for k in range(3)]
+    rows += [(d, 1, k, f"d{d} ", 5.0) for d in range(2, 2002) for k in range(3)]
+    return spark.createDataFrame(rows, "doc_id long, page int, seq long, str string, y double")
+
+
+def test_a_hot_document_is_many_pieces(spark):
+    runs = hot_runs(spark).repartition(16, "doc_id", layout.block_of())
+    counts = spark.createDataFrame([(1, 1002)] + [(d, 1) for d in range(2, 2002)], "doc_id long, num_pages long")
+    texts = layout.page_texts(layout.all_pages(counts), layout.lines(runs))
+    assert texts.where("doc_id = 1").select("block").distinct().count() == 16
+    assert layout.lines(runs).where("doc_id = 1").select(F.spark_partition_id()).distinct().count() > 4
+    full = {r.doc_id: (r.num_pages, r.full_text) for r in layout.full_texts(texts).where("doc_id < 3").collect()}
+    pages = ["".join(f"p{p}w{k} " for k in range(3)) for p in range(1, 1001)]
+    assert full == {1: (1002, "\n\n".join([*pages, "", ""])), 2: (1, "d2 d2 d2 ")}
+    plan = plan_of(layout.full_texts(texts))
+    assert "Join" not in plan  # pages go along as rows
+
+
+def test_parts_are_numbered_by_blocks(spark):
+    items = layout.items(layout.lines(hot_runs(spark)), spark.createDataFrame([(1, 500, 699, 0)], "doc_id long, page int, y long, index int"))
+    parts = layout.content_parts(layout.reading_order(items))
+    got = parts.where("doc_id = 1").orderBy("ord").select("ord", "page", "type", "text").collect()
+    assert [r.ord for r in got] == list(range(1, 3002)) and [r.page for r in got] == sorted(r.page for r in got)
+    assert [(r.type, r.text) for r in got if r.page == 500] == [("text", "p500w0 "), ("text", "p500w1 "), ("image", None), ("text", "p500w2 ")]
+    windows = [line for line in plan_of(parts).splitlines() if "row_number" in line and "Window" in line]
+    assert windows and all("block" in line or "page" in line.split("windowspecdefinition")[1].split(" ASC")[0].split(" DESC")[0] for line in windows)
+
+
+def test_the_sink_keeps_the_order(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one file
+    rng = random.Random(2)
+    rows = [(s, p, i, f"t{s}-{p}-{i}\n é") for s in range(7) for p in range(1, 60) for i in range(rng.randint(0, 4))]
+    rng.shuffle(rows)
+    parts = spark.createDataFrame(rows, "src_idx long, page int, item_ord int, text string").repartition(5)
+    manifest = sink.write_ordered(parts, f"file:{tmp_path}/out", ["src_idx", "page", "item_ord"])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.count() > 1 and manifest.agg(F.sum("lines")).first()[0] == len(rows)
+    back = sink.read_ordered(spark, f"file:{tmp_path}/out", "src_idx long, page int, item_ord int, text string").orderBy("position").collect()
+    assert [(r.src_idx, r.page, r.item_ord, r.text) for r in back] == sorted(rows) and [r.position for r in back] == list(range(1, len(rows) + 1))
+
+
+def test_an_answer_as_files(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(build([text_page((1, 1, f"page {n}")) for n in range(1, 6)]))
+    args = {"sources": [{"path": "a.pdf", "pages": "2-4"}, {"path": "b.pdf"}, {"path": "a.pdf", "pages": "1"}]}
+    service.write_answer(spark, args, str(tmp_path), f"file:{tmp_path}/answer")
+    back = sink.read_ordered(spark, f"file:{tmp_path}/answer", service.PART).orderBy("position").collect()
+    assert [(r.src_idx, r.page, r.text) for r in back] == [(0, 2, "page 2"), (0, 3, "page 3"), (0, 4, "page 4"), (2, 1, "page 1")]
+    told = spark.read.json(f"file:{tmp_path}/answer/results").orderBy("src_idx").collect()
+    assert [r.success for r in told] == [True, False, True] and "File not found" in told[1].error
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 25])
+def test_a_logo_is_encoded_once(spark, monkeypatch, sent):
+    monkeypatch.setattr(images, "DICTIONARY_SENT", sent)
+    logo = bytearray(range(12))
+    rows = [(d, 1, 0, 2, 2, 2, logo) for d in range(300)] + [(1, 2, 0, 2, 2, 1, logo), (1, 2, 1, 4, 1, 2, logo), (1, 2, 2, 2, 2, None, logo), (1, 2, 3, 2, 2, None, bytearray(b"x"))]
+    found = spark.createDataFrame(rows, "doc_id long, page int, index int, width int, height int, kind int, data binary")
+    assert sorted(r.placements for r in images.dictionary(found).collect()) == [1, 1, 1, 1, 300]
+    got = {(r.doc_id, r.page, r["index"]): r.png for r in images.shared_pngs(found).collect()}
+    assert got == {r[:3]: images.encode_png(bytes(r[6]), *r[3:6]) for r in rows}
+
+
+def great_file(tmp_path):
+    pages = [[(f"page {n} " + "x" * 400, 10, 700)] for n in range(1, 401)]
+    raw = pdf_writer.write(pages)
+    (tmp_path / "great.pdf").write_bytes(raw)
+    (tmp_path / "small.pdf").write_bytes(build([text_page((1, 1, "only"))]))
+    (tmp_path / "bad.pdf").write_bytes(b"nothing")
+    return raw
+
+
+def test_seeking_reads_what_bytes_hold(tmp_path):
+    raw = great_file(tmp_path)
+    source = ranged.Ranged(str(tmp_path / "great.pdf"), block=512, blocks=8)
+    doc, plain = pdf.Document(source), pdf.Document(raw)
+    assert len(doc.pages) == 400 and doc.info() == plain.info()
+    assert all(pdf.page_layout(doc, n).runs == pdf.page_layout(plain, n).runs for n in (1, 77, 400))
+    assert len(source.held) <= 8
+    broken = raw[: raw.rfind(b"startxref")] + b"startxref\n99999999\n%%EOF"
+    (tmp_path / "broken.pdf").write_bytes(b"junk before\n" + broken)
+    assert len(pdf.Document(ranged.Ranged(str(tmp_path / "broken.pdf"), block=512, blocks=8)).pages) == 400
+    for what in (b"%PDF-", b"endstream", b"startxref", b"absent"):
+        assert ranged.find(source, what, 0) == raw.find(what) and ranged.rfind(source, what) == raw.rfind(what)
+
+
+def test_the_page_source_parts_great_files_and_takes_filters(spark, tmp_path):
+    raw = great_file(tmp_path)
+    whole, parted = (page_source.pages(spark, str(tmp_path), part_bytes=b) for b in (1 << 30, len(raw) // 5))
+    key = lambda r: (r.path, r.page, r.str)
+    found = [sorted((r for r in f.select("path", "page", F.explode("runs").alias("r")).select("path", "page", "r.str").collect()), key=key) for f in (whole, parted)]
+    assert found[0] == found[1] and len(found[0]) == 401
+    heads = {r.path.rpartition("/")[2]: (r.head.num_pages, r.head.error is None) for r in parted.where("head is not null").collect()}
+    assert heads == {"great.pdf": (400, True), "small.pdf": (1, True), "bad.pdf": (None, False)}
+    assert parted.rdd.getNumPartitions() >= 6
+    some = parted.where("page > 10 and page <= 12 or page is null").where("page = 11")
+    assert [(r.page, len(r.runs)) for r in some.collect()] == [(11, 1)]
+
+
+def test_only_pages_that_filters_leave_are_decoded(tmp_path, monkeypatch):
+    great_file(tmp_path)
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNotNull, LessThanOrEqual
+
+    reader = page_source.PageReader({"path": str(tmp_path), "part_bytes": "4096"}, None)
+    left = list(reader.pushFilters([GreaterThan(("page",), 4), LessThanOrEqual(("page",), 9), In(("page",), (2, 5, 9, 10)), IsNotNull(("page",)), EqualTo(("path",), "x")]))
+    assert [type(f) for f in left] == [IsNotNull, EqualTo]
+    decoded = []
+    plain = pdf.page_layout
+    monkeypatch.setattr(pdf, "page_layout", lambda doc, n, *a: decoded.append(n) or plain(doc, n, *a))
+    rows = [r for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()]
+    assert sorted(decoded) == [5, 9] == sorted(r["page"] for r in rows)
