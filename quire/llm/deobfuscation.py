@@ -90,31 +90,48 @@ def character_counts(docs: DataFrame) -> np.ndarray:
 class Restorer:
     """Restored words of texts under the model of counts."""
 
-    def __init__(self, counts: np.ndarray, remembered: int = 300_000, told: Callable[[tuple[str, ...]], tuple] | None = None) -> None:
+    def __init__(self, counts: np.ndarray, remembered: int = 600_000, told: Callable[[tuple[str, ...]], tuple] | None = None) -> None:
         """told: what to keep of a token's words (the words themselves if none); it is worked out once for a token that is remembered."""
         self.counts, self.remembered, self.told = counts, remembered, told or (lambda words: words)
         self.total = max(1, int(counts.sum()) // ORDER)
         self._costs: dict[str, float] = {}
         self._words: dict[str, tuple] = {}
+        self._older: dict[str, tuple] = {}  # what was remembered before that, half of all
 
     def cost(self, context: str, ch: str) -> float:
         """-log P(ch | context), context of at most ORDER - 1 characters."""
-        found = self._costs.get(context + ch)
+        key = context + ch
+        found = self._costs.get(key)
         if found is None:
-            p = 1 / 256
-            for at in range(len(context), -1, -1):
-                before = context[at:]
-                seen = int(self.counts[_cell(before)]) if before else 0
-                both = int(self.counts[_cell(before + ch)])
-                if before:
-                    p = (min(both, seen) + _WEIGHT * p) / (seen + _WEIGHT)
-                else:
-                    p = (both + p) / (self.total + 1)
+            both = int(self.counts[_cell(key)])
+            if context:
+                seen = int(self.counts[_cell(context)])
+                p = (min(both, seen) + _WEIGHT * math.exp(-self.cost(context[1:], ch))) / (seen + _WEIGHT)
+            else:
+                p = (both + 1 / 256) / (self.total + 1)
             if len(self._costs) >= 2 * self.remembered:
                 self._costs.clear()
-            found = self._costs[context + ch] = -math.log(p)
+            found = self._costs[key] = -math.log(p)
         return found
 
+    def spelt(self, word: str) -> tuple[str, ...]:
+        """decode() of a word of letters alone: its few readings, with repeated letters or without, are weighed one by one."""
+        readings = [("", 0.0)]
+        for m in _RUNS.finditer(word):
+            options = _readings(m[1], len(m[0]))
+            readings = [(text + emitted, price + more) for text, price in readings for emitted, more in options]
+            if len(readings) > 8:
+                return self.decode(word)
+        best, chosen, costs = math.inf, word, self._costs
+        for text, total in readings:
+            marked = f"{_START}{text}{_END}"
+            for i in range(1, len(marked)):
+                key = marked[max(0, i + 1 - ORDER) : i + 1]
+                total += costs[key] if key in costs else self.cost(key[:-1], key[-1])
+            if total < best:
+                best, chosen = total, text
+        return (chosen,)
+
     def decode(self, written: str) -> tuple[str, ...]:
         """The words of the cheapest path through the lattice of a disguised token or spaced-out group."""
         # states by the last characters: cost, and the path as a linked list, so that long tokens copy nothing
@@ -153,27 +170,27 @@ class Restorer:
 
     def _token(self, token: str) -> tuple[str, ...]:
         token = _EDGE.sub("", token)
-        if _PLAIN.match(token) and not _DOUBLE.search(token):
-            return (token,)
+        if _PLAIN.match(token):
+            return self.spelt(token) if _DOUBLE.search(token) else (token,)
         return self.decode(token) if _LETTER.search(token) else ()
 
     def words(self, text: str) -> set:
         """The distinct restored words of a text, lower case (or what told makes of them). Spaced-out groups are restored as one; their single characters are no words of their own."""
         text = text.lower()
         out: set = set()
-        known = self._words
         for group in set(_SPACED.findall(text)):
             if _LETTER.search(group):
-                out.update(self._new(" ".join(group.split()), self.decode))
+                group = " ".join(group.split())
+                out.update(self._words[group] if group in self._words else self._new(group, self.decode))
         for token in set(text.split()):
-            out.update(known[token] if token in known else self._new(token, self._token))
+            out.update(self._words[token] if token in self._words else self._new(token, self._token))
         return out
 
     def _new(self, token: str, work: Callable[[str], tuple[str, ...]]) -> tuple:
-        found = self.told(work(token))
+        found = self._older[token] if token in self._older else self.told(work(token))
         if len(token) <= 40:  # longer ones don't come again
-            if len(self._words) >= self.remembered:
-                self._words.clear()
+            if len(self._words) >= self.remembered // 2:
+                self._older, self._words = self._words, {}
             self._words[token] = found
         return found
 

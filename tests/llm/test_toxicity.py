@@ -48,6 +48,11 @@ def test_the_cheapest_of_all_paths_is_decoded(restorer, written):
     assert restorer.decode(written) in [w for w, t in best.items() if t < least + 1e-9]
 
 
+@pytest.mark.parametrize("word", ["booot", "letter", "idiiot", "sstupid", "good", "lloosseerr", "ooo", "assist", "aabbccddeeff"])
+def test_spelling_agrees_with_decoding(restorer, word):
+    assert restorer.spelt(word) == restorer.decode(word)
+
+
 def test_disguises(restorer):
     seen = restorer.words
     for text in ("1d10t", "IDIOT!!", "id1ot###", "i d i o t", "i.d.i.o.t", "i-d-i-o-t", "idiiiiot", "id!ot", "«idiot»"):
