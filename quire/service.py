@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import VariantVal
@@ -20,7 +19,7 @@ from pyspark.sql.types import VariantVal
 from quire.operators import images, layout, page_ranges, paths, requests, results, sharing, sink
 from quire.operators.paths import RequestError
 from quire.session import materialise
-from quire.sources import loader
+from quire.sources import loader, web
 
 CHARSET = "Page string must contain only numbers, commas, and hyphens."
 FLAGS = {"include_full_text": False, "include_metadata": True, "include_page_count": True, "include_images": False}
@@ -136,18 +135,7 @@ def _located(spark: SparkSession, request: Request, refused: set[int], root: str
 
 def fetched(spark: SparkSession, urls: dict[int, str], fetch: Fetcher) -> DataFrame:
     """doc_id, content, failure of each url, fetched by the executors, each once: the result is kept in the shared folder."""
-    frame = spark.createDataFrame(list(urls.items()), "doc_id long, url string").repartition(max(1, min(len(urls), spark.sparkContext.defaultParallelism)), "doc_id")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for given in frames:
-            for doc_id, url in zip(given["doc_id"], given["url"]):
-                try:
-                    content, failure = fetch(url), None
-                except Exception as e:
-                    content, failure = None, str(e) or "Unknown loading error"
-                yield pd.DataFrame({"doc_id": [doc_id], "content": [content], "failure": [failure]})
-
-    return materialise(frame.mapInPandas(run, "doc_id long, content binary, failure string"), "fetched")
+    return materialise(web.fetched(spark.createDataFrame(list(urls.items()), "doc_id long, url string"), fetch), "fetched")
 
 
 def _layout(decoded: DataFrame, with_images: bool) -> tuple[DataFrame, DataFrame]:

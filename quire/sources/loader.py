@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,7 +93,7 @@ def decode_one(source: bytes | ranged.Source, wanted: Callable[[int], list[int]]
             continue
         yield {
             "page": page,
-            "runs": [{"seq": i, "str": s, "y": m[5]} for i, (s, m) in enumerate(found.runs)],
+            "runs": found.runs,
             "paints": [{"op_pos": i, "fn": code, "obj_name": name, "y": m[5]} for i, (code, name, m) in enumerate(found.paints)] if with_images else [],
         }
         for name, o in found.images.items():
@@ -104,13 +105,23 @@ def _wanted(target: list[int] | None, every_page: bool) -> Callable[[int], list[
     return lambda count: [p for p in target if p <= count] if target is not None else list(range(1, count + 1)) if every_page else []
 
 
+def _run_lists(pages: list[list[tuple[str, list[float]]] | None]) -> pa.Array:
+    """The runs of pages as a list column, made of flat columns."""
+    sizes = [len(runs or ()) for runs in pages]
+    flat = [run for runs in pages for run in runs or ()]
+    seq = np.concatenate([np.arange(n) for n in sizes]) if sizes else np.empty(0, dtype=np.int64)
+    values = pa.StructArray.from_arrays([pa.array(seq, pa.int64()), pa.array([s for s, _ in flat], pa.string()), pa.array([m[5] for _, m in flat], pa.float64())], fields=list(_ARROW["runs"].value_type))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values, type=_ARROW["runs"], mask=pa.array([runs is None for runs in pages]))
+
+
 def batches(rows: Iterator[dict], key: str = "doc_id") -> Iterator[pa.RecordBatch]:
     """Rows in batches of few pages or of one image, so that no batch grows with a document."""
     schema = pa.schema({key: _KEYS[key]} | _ARROW)
     held: list[dict] = []
 
     def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([row.get(f.name) for row in held], type=f.type) for f in schema], schema=schema)
+        columns = [_run_lists([row.get("runs") for row in held]) if f.name == "runs" else pa.array([row.get(f.name) for row in held], type=f.type) for f in schema]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     for row in rows:
         held.append(row)

@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import math
 import re
+import struct
 import time
 import zlib
 from collections.abc import Callable
@@ -237,38 +238,53 @@ def _run_length(data: bytes) -> bytes:
 
 def _predict(data: bytes, parms: dict) -> bytes:
     kind = parms.get("Predictor", 1)
-    if kind < 2:
+    if kind < 2 or not data:
         return data
     colours, depth, columns = parms.get("Colors", 1), parms.get("BitsPerComponent", 8), parms.get("Columns", 1)
     step, width = max(1, colours * depth // 8), (colours * depth * columns + 7) // 8
-    out = bytearray()
+    pixels = -(-width // step)
+    stride = width if kind == 2 else width + 1
+    rows = -(-len(data) // stride)
+    table = np.zeros((rows, stride), dtype=np.uint8)
+    table.ravel()[: len(data)] = np.frombuffer(data, dtype=np.uint8)
+    body = np.zeros((rows, pixels * step), dtype=np.uint8)
+    body[:, :width] = table[:, stride - width :]
+    body = body.reshape(rows, pixels, step)
     if kind == 2:
-        for at in range(0, len(data), width):
-            row = bytearray(data[at : at + width])
-            if depth == 8:
-                for i in range(step, len(row)):
-                    row[i] = row[i] + row[i - step] & 255
-            out += row
-        return bytes(out)
-    above = bytearray(width)
-    for at in range(0, len(data), width + 1):
-        rule, row = data[at], bytearray(data[at + 1 : at + 1 + width])
-        row += bytes(width - len(row))
-        for i in range(width):
-            left = row[i - step] if i >= step else 0
-            if rule == 1:
-                row[i] = row[i] + left & 255
-            elif rule == 2:
-                row[i] = row[i] + above[i] & 255
-            elif rule == 3:
-                row[i] = row[i] + (left + above[i] >> 1) & 255
-            elif rule == 4:
-                corner = above[i - step] if i >= step else 0
-                guess = left + above[i] - corner
-                row[i] = row[i] + min((abs(guess - left), 0, left), (abs(guess - above[i]), 1, above[i]), (abs(guess - corner), 2, corner))[2] & 255
-        out += row
-        above = row
-    return bytes(out)
+        if depth == 8:
+            body = np.cumsum(body, axis=1, dtype=np.uint8)
+        return body.reshape(rows, -1)[:, :width].tobytes()[: len(data)]
+    rules = table[:, 0]
+    if np.isin(rules, (3, 4)).any():
+        body = _by_diagonals(body, rules)
+    else:  # runs of rows of one rule
+        above = np.zeros((1, pixels, step), dtype=np.uint8)
+        edges = [0, *(np.flatnonzero(np.diff(rules)) + 1).tolist(), rows]
+        for begin, end in zip(edges, edges[1:]):
+            part = body[begin:end]
+            if rules[begin] == 1:
+                part = np.cumsum(part, axis=1, dtype=np.uint8)
+            elif rules[begin] == 2:
+                part = np.cumsum(np.concatenate((above, part)), axis=0, dtype=np.uint8)[1:]
+            body[begin:end], above = part, part[-1:]
+    return body.reshape(rows, -1)[:, :width].tobytes()
+
+
+def _by_diagonals(body: np.ndarray, rules: np.ndarray) -> np.ndarray:
+    """Undo any mixture of row rules (rows x pixels x step): pixels of one diagonal depend on those of the two before it only."""
+    rows, pixels, step = body.shape
+    out = np.zeros((rows + 1, pixels + 1, step), dtype=np.int16)
+    for t in range(rows + pixels - 1):
+        r = np.arange(max(0, t - pixels + 1), min(rows, t + 1))
+        c = t - r
+        left, up, corner = out[r + 1, c], out[r, c + 1], out[r, c]
+        guess = left + up - corner
+        far = np.abs(np.stack((guess - left, guess - up, guess - corner)))
+        paeth = np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], up, corner))
+        rule = rules[r][:, None]
+        predicted = np.select([rule == 1, rule == 2, rule == 3, rule == 4], [left, up, (left + up) >> 1, paeth], 0)
+        out[r + 1, c + 1] = (body[r, c] + predicted) & 255
+    return out[1:, 1:].astype(np.uint8)
 
 
 _SHORT = {"Fl": "FlateDecode", "LZW": "LZWDecode", "AHx": "ASCIIHexDecode", "A85": "ASCII85Decode", "RL": "RunLengthDecode", "DCT": "DCTDecode", "CCF": "CCITTFaxDecode"}
@@ -287,6 +303,7 @@ class Document:
         version = re.match(rb"%PDF-([0-9.]+)", self.start)
         self.version = version[1].decode() if version else ""
         self.kept_bytes = 0
+        self.fonts: dict[int, tuple[Font, dict]] = {}
         self.places: dict[int, tuple[int, int]] = {}
         self.trailer: dict = {}
         self.cache: dict[int, object] = {}
@@ -473,6 +490,12 @@ class Document:
         found = self.cache[number]
         return self.get(found, default) if isinstance(found, Ref) else default if found is None else found
 
+    def font(self, info: dict) -> Font:
+        """The font of a dictionary, made once a document."""
+        if id(info) not in self.fonts:
+            self.fonts[id(info)] = (Font(self, info), info)  # the dictionary is held, so that its id stays its own
+        return self.fonts[id(info)][0]
+
     def filters(self, info: dict) -> list[tuple[str, dict]]:
         names = self.get(info.get("Filter", info.get("F")), [])
         parms = self.get(info.get("DecodeParms", info.get("DP")), [])
@@ -626,6 +649,9 @@ class Font:
         self.map: dict[int, str] = {}
         self.widths: dict[int, float] = {}
         self.default = 500.0
+        #: Byte strings of the lowest and highest code of each code space; none: two bytes a code.
+        self.spaces: list[tuple[bytes, bytes]] = []
+        self.shown: dict[bytes, tuple[str, float, int, int]] = {}
         to_unicode = get(info.get("ToUnicode"))
         if isinstance(to_unicode, Stream):
             self._read_map(doc.decoded(to_unicode))
@@ -634,6 +660,11 @@ class Font:
             self.default = float(get(below.get("DW"), 1000))
             self._wide_widths([get(x) for x in get(below.get("W"), [])], get)
             encoding = get(info.get("Encoding"))
+            if isinstance(encoding, Stream):  # its code spaces are the font's own
+                held, self.spaces = self.map, []
+                self.map = {}
+                self._read_map(doc.decoded(encoding))
+                self.map = held
             if not self.map and isinstance(encoding, str):
                 self.codec = next((codec for mark, codec in _CMAPS if mark in str(encoding)), None)
         else:
@@ -679,7 +710,9 @@ class Font:
             if not isinstance(token, Keyword):
                 held.append(token)
                 continue
-            if token == b"endbfchar":
+            if token == b"endcodespacerange":
+                self.spaces += [(a, b) for a, b in zip(held[0::2], held[1::2]) if isinstance(a, bytes) and isinstance(b, bytes) and len(a) == len(b) > 0]
+            elif token == b"endbfchar":
                 for a, b in zip(held[0::2], held[1::2]):
                     if isinstance(a, bytes) and isinstance(b, bytes):
                         self.map[int.from_bytes(a, "big")] = b.decode("utf-16-be", "replace")
@@ -695,14 +728,35 @@ class Font:
                             self.map[code] = number.to_bytes(max(2, len(to)), "big").decode("utf-16-be", "replace")
             held = []
 
+    def codes(self, raw: bytes) -> list[int]:
+        """The codes of a string of a composite font, by its code spaces."""
+        if all(len(low) == 2 for low, _ in self.spaces):
+            return list(struct.unpack(f">{len(raw) // 2}H", raw[: len(raw) // 2 * 2]))
+        out, at = [], 0
+        shortest = min(len(low) for low, _ in self.spaces)
+        while at < len(raw):
+            size = next((len(low) for low, high in self.spaces if len(raw) - at >= len(low) and all(a <= x <= b for a, x, b in zip(low, raw[at:], high))), shortest)
+            out.append(int.from_bytes(raw[at : at + size], "big"))
+            at += size
+        return out
+
     def show(self, raw: bytes) -> tuple[str, float, int, int]:
-        """Text, width in thousandths, number of codes and of single-byte spaces."""
+        """Text, width in thousandths, number of codes and of single-byte spaces. Short strings are remembered."""
+        found = self.shown.get(raw)
+        if found is None:
+            found = self._show(raw)
+            if len(raw) <= 64 and len(self.shown) < 20_000:
+                self.shown[raw] = found
+        return found
+
+    def _show(self, raw: bytes) -> tuple[str, float, int, int]:
         if self.codec:  # text by the encoding itself; its character numbers, and so its widths, stand in no file
             text = raw.decode(self.codec, "replace")
             return text, self.default * len(text), len(text), raw.count(b" ") if self.codec != "utf-16-be" else 0
-        codes = [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw) - 1, 2)] if self.wide else list(raw)
+        codes = self.codes(raw) if self.wide else list(raw)
         text = "".join([self.map.get(c, "") for c in codes])
-        return text, sum([self.widths.get(c, self.default) for c in codes]), len(codes), 0 if self.wide else raw.count(b" ")
+        single = not self.wide or any(len(low) == 1 for low, _ in self.spaces)
+        return text, sum([self.widths.get(c, self.default) for c in codes]), len(codes), raw.count(b" ") if single else 0
 
 
 Matrix = tuple[float, float, float, float, float, float]
@@ -734,7 +788,7 @@ def image_object(doc: Document, stream: Stream) -> dict:
         return out
     try:
         width, height, channels, samples, opaque = _picture(doc, stream, width, height)
-    except jpeg.JpegError:
+    except (jpeg.JpegError, _NoColour):
         return out
     if channels not in (1, 3):
         return out
@@ -761,6 +815,7 @@ def _picture(doc: Document, stream: Stream, width: int, height: int) -> tuple[in
     if isinstance(space, list) and space and get(space[0]) in ("Indexed", "I"):
         table = get(space[3])
         palette = (_components(get(space[1]), get), doc.decoded(table) if isinstance(table, Stream) else table)
+    declared = 1 if palette else _components(space, get)
     coded = next((parms for name, parms in doc.filters(info) if name == "DCTDecode"), None)
     depth = 8
     if coded is not None:
@@ -769,7 +824,7 @@ def _picture(doc: Document, stream: Stream, width: int, height: int) -> tuple[in
         samples = pixels.tobytes()
     else:
         depth = 1 if get(info.get("ImageMask", info.get("IM"))) else get(info.get("BitsPerComponent", info.get("BPC")), 8)
-        channels = 1 if palette else _components(space, get)
+        channels = declared
         samples = _samples(doc.decoded(stream), width, height, channels, depth, scale=palette is None)
     opaque = None
     key = get(info.get("Mask"))
@@ -808,12 +863,19 @@ def _alpha(doc: Document, stream: Stream, width: int, height: int, inverted: boo
     return 255 - plane if inverted else plane
 
 
+class _NoColour(PdfError):
+    """Colours that aren't converted here: such an image is absent rather than wrong."""
+
+
 def _components(space: object, get) -> int:
+    """Channels of a colour space. Inks by name and Lab need functions that aren't here."""
     name = get(space[0]) if isinstance(space, list) and space else space
+    if name in ("Separation", "DeviceN", "Lab", "Pattern"):
+        raise _NoColour(f"no conversion from {name}")
     if name == "ICCBased":
         stream = get(space[1])
         return get(stream.info.get("N"), 3) if isinstance(stream, Stream) else 3
-    return {"DeviceRGB": 3, "RGB": 3, "CalRGB": 3, "Lab": 3, "DeviceCMYK": 4, "CMYK": 4}.get(name, 1)
+    return {"DeviceRGB": 3, "RGB": 3, "CalRGB": 3, "DeviceCMYK": 4, "CMYK": 4}.get(name, 1)
 
 
 def _samples(data: bytes, width: int, height: int, channels: int, depth: int, scale: bool) -> bytes:
@@ -844,6 +906,11 @@ class _State:
         return other
 
 
+#: One operand or operator: a number, a string of hex digits, a plain string, a name, or a word. Anything else is left to the Lexer.
+_TOKEN = re.compile(rb"[ \t\r\n\x0c\x00]*(?:([+-]?(?:\d+\.?\d*|\.\d+))(?![^ \t\r\n\x0c\x00()<>\[\]{}/%])|<([0-9A-Fa-f]*)>|\(([^()\\\r]*)\)|/([A-Za-z0-9_.+-]*)(?![^ \t\r\n\x0c\x00()<>\[\]{}/%])|([A-Za-z'\"][A-Za-z0-9*]*)(?![^ \t\r\n\x0c\x00()<>\[\]{}/%]))")
+_WORDS = {b"true": True, b"false": False, b"null": None}
+
+
 class _Interpreter:
     """Runs the content of one page."""
 
@@ -851,91 +918,133 @@ class _Interpreter:
         self.doc, self.with_images, self.seconds_left = doc, with_images, image_seconds
         self.out, self.state, self.saved = PageLayout(), _State(), []
         self.tm = self.line = UNIT
-        self.fonts: dict[int, Font] = {}
+        self.named: dict[tuple[str, int], str] = {}
 
     def _show(self, raw: bytes) -> None:
         s = self.state
         if s.font is None or not isinstance(raw, bytes):
             return
         text, width, codes, spaces = s.font.show(raw)
-        where = product((s.size * s.scale, 0, 0, s.size, 0, s.rise), product(self.tm, s.ctm))
+        a, b, c, d, e, f = self.tm
         if text:
-            self.out.runs.append((text, [float(v) for v in where]))
-        self._advance((width / 1000 * s.size + codes * s.char + spaces * s.word) * s.scale)
+            wide, high, rise = s.size * s.scale, s.size, s.rise
+            where = (wide * a, wide * b, high * c, high * d, rise * c + e, rise * d + f)
+            self.out.runs.append((text, [float(v) for v in (where if s.ctm is UNIT else product(where, s.ctm))]))
+        tx = (width / 1000 * s.size + codes * s.char + spaces * s.word) * s.scale
+        self.tm = (a, b, c, d, tx * a + e, tx * b + f)
 
     def _advance(self, tx: float) -> None:
-        self.tm = product((1, 0, 0, 1, tx, 0), self.tm)
+        a, b, c, d, e, f = self.tm
+        self.tm = (a, b, c, d, tx * a + e, tx * b + f)
 
     def _move(self, tx: float, ty: float) -> None:
         self.line = self.tm = product((1, 0, 0, 1, tx, ty), self.line)
 
     def run(self, content: bytes, resources: dict, depth: int = 0) -> None:
-        doc, get, lexer, args = self.doc, self.doc.get, Lexer(content), []
+        args: list = []
+        at, token = 0, _TOKEN.match
         while True:
-            token = lexer.next()
-            if not isinstance(token, Keyword):
-                args.append(token)
-                continue
-            if token == b"":
-                return
-            s, op = self.state, bytes(token)
+            m = token(content, at)
+            if m is None:
+                lexer = Lexer(content, at)
+                value = lexer.next()
+                at = lexer.at
+                if not isinstance(value, Keyword):
+                    args.append(value)
+                    continue
+                if value == b"":
+                    return
+                op = bytes(value)
+            else:
+                at, kind = m.end(), m.lastindex
+                if kind == 1:
+                    word = m[1]
+                    args.append(float(word) if b"." in word else int(word))
+                    continue
+                if kind == 2:
+                    digits = m[2]
+                    args.append(bytes.fromhex((digits if len(digits) % 2 == 0 else digits + b"0").decode()))
+                    continue
+                if kind == 3:
+                    args.append(m[3])
+                    continue
+                if kind == 4:
+                    args.append(Name(m[4].decode()))
+                    continue
+                op = m[5]
+                if op in _WORDS:
+                    args.append(_WORDS[op])
+                    continue
             try:
-                if op == b"q":
-                    self.saved.append(s.copy())
-                elif op == b"Q":
-                    if self.saved:
-                        self.state = self.saved.pop()
-                elif op == b"cm":
-                    s.ctm = product(tuple(args[-6:]), s.ctm)
-                elif op == b"BT":
-                    self.tm = self.line = UNIT
-                elif op == b"Tf":
-                    info = get(get(resources.get("Font"), {}).get(str(args[-2])), {})
-                    if id(info) not in self.fonts:
-                        self.fonts[id(info)] = Font(doc, info)
-                    s.font, s.size = self.fonts[id(info)], float(args[-1])
-                elif op in (b"Tc", b"Tw", b"TL", b"Ts"):
-                    setattr(s, {b"Tc": "char", b"Tw": "word", b"TL": "leading", b"Ts": "rise"}[op], float(args[-1]))
-                elif op == b"Tz":
-                    s.scale = args[-1] / 100
-                elif op == b"Tm":
-                    self.tm = self.line = tuple(args[-6:])
-                elif op == b"Td":
-                    self._move(*args[-2:])
-                elif op == b"TD":
-                    s.leading = -args[-1]
-                    self._move(*args[-2:])
-                elif op == b"T*":
-                    self._move(0, -s.leading)
-                elif op == b"Tj":
-                    self._show(args[-1])
-                elif op == b"'":
-                    self._move(0, -s.leading)
+                if op == b"Tj":
                     self._show(args[-1])
-                elif op == b'"':
-                    s.word, s.char = float(args[-3]), float(args[-2])
-                    self._move(0, -s.leading)
-                    self._show(args[-1])
-                elif op == b"TJ":
-                    for item in args[-1]:
-                        if isinstance(item, bytes):
-                            self._show(item)
-                        else:
-                            self._advance(-item / 1000 * s.size * s.scale)
-                elif op == b"Do":
-                    self._do(str(args[-1]), resources, depth)
+                elif op == b"Tm":
+                    self.tm = self.line = tuple(args) if len(args) == 6 else tuple(args[-6:])
                 elif op == b"BI":
+                    lexer = Lexer(content, at)
                     self._inline(lexer)
+                    at = lexer.at
+                else:
+                    self._operate(op, args, resources, depth)
             except (IndexError, TypeError, ValueError, AttributeError, KeyError):
                 pass  # an operation with bad operands is skipped, as viewers do
             args = []
 
+    def _operate(self, op: bytes, args: list, resources: dict, depth: int) -> None:
+        s, get = self.state, self.doc.get
+        if op == b"q":
+            self.saved.append(s.copy())
+        elif op == b"Q":
+            if self.saved:
+                self.state = self.saved.pop()
+        elif op == b"cm":
+            s.ctm = product(tuple(args[-6:]), s.ctm)
+        elif op == b"BT":
+            self.tm = self.line = UNIT
+        elif op == b"Tf":
+            s.font, s.size = self.doc.font(get(get(resources.get("Font"), {}).get(str(args[-2])), {})), float(args[-1])
+        elif op in (b"Tc", b"Tw", b"TL", b"Ts"):
+            setattr(s, {b"Tc": "char", b"Tw": "word", b"TL": "leading", b"Ts": "rise"}[op], float(args[-1]))
+        elif op == b"Tz":
+            s.scale = args[-1] / 100
+        elif op == b"Td":
+            self._move(*args[-2:])
+        elif op == b"TD":
+            s.leading = -args[-1]
+            self._move(*args[-2:])
+        elif op == b"T*":
+            self._move(0, -s.leading)
+        elif op == b"'":
+            self._move(0, -s.leading)
+            self._show(args[-1])
+        elif op == b'"':
+            s.word, s.char = float(args[-3]), float(args[-2])
+            self._move(0, -s.leading)
+            self._show(args[-1])
+        elif op == b"TJ":
+            for item in args[-1]:
+                if isinstance(item, bytes):
+                    self._show(item)
+                else:
+                    self._advance(-item / 1000 * s.size * s.scale)
+        elif op == b"Do":
+            self._do(str(args[-1]), resources, depth)
+
+    def _name(self, name: str, target: Stream) -> str:
+        """The name of an object on the page: its own, or with a number where forms give one name to several objects."""
+        key = (name, id(target))
+        if key not in self.named:
+            taken = sum(1 for other, _ in self.named if other == name)
+            self.named[key] = f"{name}#{taken + 1}" if taken else name
+        return self.named[key]
+
     def _do(self, name: str, resources: dict, depth: int) -> None:
         target = self.doc.get(self.doc.get(resources.get("XObject"), {}).get(name))
         if not isinstance(target, Stream):
             return
         kind = self.doc.get(target.info.get("Subtype"))
         if kind == "Image":
+            name = self._name(name, target)
             self.out.paints.append((PAINT_IMAGE, name, [float(v) for v in self.state.ctm]))
             if self.with_images and name not in self.out.images:
                 self._decode(name, target)
@@ -956,7 +1065,7 @@ class _Interpreter:
         m = re.compile(rb"[ \t\r\n]EI(?=[ \t\r\n]|\Z)").search(lexer.data, begin)
         end = m.start() if m else len(lexer.data)
         lexer.at = m.end() if m else end
-        name = f"inline_{begin}"
+        name = f"inline_{len(self.out.paints)}"
         self.out.paints.append((PAINT_IMAGE, name, [float(v) for v in self.state.ctm]))
         if self.with_images:
             self._decode(name, Stream(info, lexer.data[begin:end]))

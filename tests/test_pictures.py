@@ -111,3 +111,57 @@ def test_predefined_encodings(encoding, codec):
     font = f"<< /Type /Font /Subtype /Type0 /Encoding /{encoding} /DescendantFonts [<< /DW 1000 >>] >>"
     content = f"BT /F1 1 Tf 1 0 0 1 0 9 Tm <{text.encode(codec).hex()}> Tj ET"
     assert pdf.page_layout(pdf.Document(build([content], fonts=font)), 1).runs[0][0] == text
+
+
+def test_forms_with_one_name_for_two_images():
+    gray = ("/Width 1 /Height 1 /BitsPerComponent 8 /ColorSpace /DeviceGray", b"\x10")
+    black = ("/Width 1 /Height 1 /BitsPerComponent 8 /ColorSpace /DeviceGray", b"\x90")
+    form = lambda n: (f"/Subtype /Form /Resources << /XObject << /Im0 {n} 0 R >> >>", b"/Im0 Do")
+    raw = build(["/Fa Do /Fb Do /Fa Do"], {"Xa": gray, "Xb": black, "Fa": form(4), "Fb": form(5)})
+    raw = raw.replace(b"/Subtype /Image /Subtype /Form", b"/Subtype /Form /Was   /Image ")
+    layout = pdf.page_layout(pdf.Document(raw), 1, with_images=True)
+    assert [name for _, name, _ in layout.paints] == ["Im0", "Im0#2", "Im0"]
+    assert {n: o["data"] for n, o in layout.images.items()} == {"Im0": b"\x10", "Im0#2": b"\x90"}
+
+
+@pytest.mark.parametrize("space", ["[/Separation /Black /DeviceCMYK 9 0 R]", "[/DeviceN [/Cyan] /DeviceCMYK 9 0 R]", "[/Lab << /WhitePoint [1 1 1] >>]", "[/Indexed [/Separation /Black /DeviceCMYK 9 0 R] 1 <0001>]"])
+def test_colours_that_are_not_converted_are_absent(space):
+    found = objects({"A": (f"/Width 2 /Height 1 /BitsPerComponent 8 /ColorSpace {space}", b"\x00\x01\x00\x01\x00\x01")})
+    assert found["A"] == {"width": 2, "height": 1, "kind": None, "data": None}
+
+
+def test_code_spaces_of_composite_fonts():
+    def shown(spaces, raw):
+        font = pdf.Font.__new__(pdf.Font)
+        font.map, font.widths, font.default, font.spaces, font.shown, font.codec, font.wide = {}, {}, 1.0, [], {}, None, True
+        font._read_map(f"{spaces} 3 beginbfchar <41> <0061> <42> <0062> <8140> <0063> endbfchar".encode())
+        return font.show(bytes.fromhex(raw))
+
+    assert shown("1 begincodespacerange <00> <FF> endcodespacerange", "414241")[:3] == ("aba", 3.0, 3)
+    assert shown("2 begincodespacerange <00> <80> <8140> <9FFC> endcodespacerange", "4181404242")[:3] == ("acbb", 4.0, 4)
+    assert shown("", "00418140")[:3] == ("ac", 2.0, 2)
+
+
+def _by_bytes(data, step, width):
+    """Row rules undone a byte at a time, after the PNG specification."""
+    out, above = b"", bytes(width)
+    for at in range(0, len(data), width + 1):
+        rule, row = data[at], bytearray(data[at + 1 : at + 1 + width].ljust(width, b"\0"))
+        for i in range(width):
+            a, b, c = (row[i - step] if i >= step else 0), above[i], (above[i - step] if i >= step else 0)
+            p = a + b - c
+            guess = {0: 0, 1: a, 2: b, 3: (a + b) // 2, 4: min((a, b, c), key=lambda x: abs(p - x))}[rule]
+            row[i] = (row[i] + guess) & 255
+        above = bytes(row)
+        out += above
+    return out
+
+
+@pytest.mark.parametrize(("colours", "depth", "columns"), [(1, 8, 9), (3, 8, 7), (4, 8, 1), (3, 16, 5), (1, 1, 21), (1, 4, 3), (3, 4, 3)])
+@pytest.mark.parametrize("rules", [[0], [1], [2], [1, 1, 2, 2, 0], [3], [4], [0, 4, 2, 3, 1, 4]])
+def test_predictors_agree_with_a_byte_at_a_time(colours, depth, columns, rules):
+    rng = np.random.default_rng(columns)
+    step, width = max(1, colours * depth // 8), (colours * depth * columns + 7) // 8
+    rows = [bytes([rules[i % len(rules)]]) + rng.integers(0, 256, width, dtype=np.uint8).tobytes() for i in range(13)]
+    for data in (b"".join(rows), b"".join(rows)[:-3], b""):
+        assert pdf._predict(data, {"Predictor": 15, "Colors": colours, "BitsPerComponent": depth, "Columns": columns}) == _by_bytes(data, step, width)
