@@ -8,8 +8,8 @@ that classes nest; a class needs two tokens, one of them an element. The valid c
 between their tokens are slots. Text tokens of the template (on hosts of MIN_PAGES pages or more), and text that stands
 wherever its element does (one vector), are frame and not extracted, unless they are most of the slot.
 
-The main slot is that of the article element, or else of the innermost container of the template that holds most of the
-host's free text. Inside it, slots of menus, headers, footers, sidebars, notices, adverts, forms and comments are left
+The main slot is the innermost container of the template that holds most of the host's free text; where an article element
+is one of those that do, it is the slot, whatever is inside. An article's own header stays. Inside the slot, slots of menus, headers, footers, sidebars, notices, adverts, forms and comments are left
 out by their tag, or by a whole class, id or role unless nearly all free text of the page is in them; a class, id or
 role of several words that has one of these names among them counts only where links outweigh free text. Ids of
 headings name their topic and don't count. A page that lacks the host's slot is a host of its own.
@@ -63,11 +63,13 @@ ROOT = 1
 
 
 class _Element:
-    __slots__ = ("above", "depth", "free", "index", "junk", "link", "linked", "name", "part", "path", "tag_junk", "whole")
+    __slots__ = ("above", "article", "depth", "free", "index", "junk", "link", "linked", "name", "part", "path", "tag_junk", "whole")
 
     def __init__(self, name: str, path: int, above: _Element | None, depth: int, index: int, whole: bool = False, part: bool = False) -> None:
         self.name, self.path, self.above, self.depth, self.index, self.whole, self.part = name, path, above, depth, index, whole, part
-        self.tag_junk = name in _JUNK_TAGS or (above is not None and above.tag_junk)
+        self.article = name == "article" or (above is not None and above.article)
+        own_title = name == "header" and self.article  # an article's header holds its title
+        self.tag_junk = (name in _JUNK_TAGS and not own_title) or (above is not None and above.tag_junk)
         self.junk = self.tag_junk
         self.link = name == "a" or (above is not None and above.link)
         self.free = self.linked = 0  # words below, outside what a tag makes junk
@@ -260,14 +262,11 @@ class Page:
 
 
 def choose(rows: list[tuple[int, int, int, int, str]]) -> int | None:
-    """The slot among template containers, given (path, free words, linked words, depth, name): the article with most
-    free text; else the innermost container that holds MOST of the most."""
-    articles = [r for r in rows if r[4] == "article"]
-    if articles:
-        return max(articles, key=lambda r: (r[1], -r[3], -r[0]))[0]
+    """The slot among template containers, given (path, free words, linked words, depth, name): of those that hold MOST of
+    the most text outside links the innermost; an article element among these goes before what is inside it."""
     most = max((r[1] - r[2] for r in rows), default=0)
     fit = [r for r in rows if r[1] - r[2] >= MOST * most]
-    return max(fit, key=lambda r: (r[3], r[1], -r[0]))[0] if fit else None
+    return max(fit, key=lambda r: (r[4] == "article", r[3], r[1], -r[0]))[0] if fit else None
 
 
 class Template:

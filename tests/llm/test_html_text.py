@@ -130,3 +130,24 @@ def test_names_with_their_text_still_drop():
     prose = "long free text of the page " * 10
     junk = '<div class="ad">buy</div><div class="comments"><p>first!</div><div role="search">find</div><div class="site-nav"><a>one</a> <a>two</a></div>'
     assert html_text.extract(f"<article><p>{prose}</p>{junk}</article>", None) == prose.strip()
+
+
+def test_the_template_chooses_the_slot_without_tags_that_tell(spark):
+    """The same pages with article, nav and footer as plain div elements: the slot comes from the host's classes."""
+    rows = []
+    for i in range(8):
+        own = f"Title {i}", " ".join(f"word{i}x{k}" for k in range(60)), f"Second part {i} with words of its own."
+        menu = "".join(f"<li><a href='/{k}'>Entry {k}</a></li>" for k in range(5))
+        rows.append((i, f"http://plain.org/{i}", f"<html><body><div id=top><ul>{menu}</ul></div><div id=a><h1>{own[0]}</h1><p>{own[1]}</p><p>{own[2]}</p></div><div id=end><p>Always the same last words here</p></div></body></html>"))
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\n\n" + " ".join(f"word{i}x{k}" for k in range(60)) + f"\n\nSecond part {i} with words of its own." for i in range(8))
+
+
+def test_an_article_keeps_its_own_header():
+    page = "<body><header><p>Site name</p></header><article><header><h1>Its title</h1></header><p>Words of the article, some more of them.</p></article></body>"
+    assert html_text.extract(page, None) == "Its title\n\nWords of the article, some more of them."
+
+
+def test_an_article_that_holds_little_is_not_the_slot():
+    page = "<body><article><p>teaser</p></article><div><p>" + "long text of the page " * 30 + "</p></div></body>"
+    assert html_text.extract(page, None).startswith("long text of the page")
