@@ -11,7 +11,8 @@ candidate in one of three ways, and every candidate is verified on the whole set
    of unlike documents share, or a common phrase, is in no prefix unless four fifths of the document are such. On
    each prefix shingle every set meets the least one.
 3. The components of these links are found, and pairs of different components that share a prefix shingle are
-   candidates; within a component no pair is needed any more. With this no link between components is lost.
+   candidates; within a component no pair is needed any more. With this no link between components is lost. Pairs whose
+   parity signatures (512 bits of all shingles) prove them unlike never leave the join.
 
 Frequent is what over GROUP sets have among their least hashes (a quarter more than a prefix, so that most sets know
 a whole prefix of rare ones), and what over GROUP of those sets have at all that know too few, unless another set's
@@ -38,6 +39,8 @@ from quire.llm.batches import column, free_name, map_batches, texts_of, with_row
 from quire.session import Scratch
 
 SHINGLE, GROUP = 5, 16
+#: Longs of a set's parity signature.
+SIGNATURE = 8
 
 
 def _unique(hashes: np.ndarray) -> np.ndarray:
@@ -49,6 +52,12 @@ def shingle_set(raw: bytes) -> np.ndarray:
     return _unique(simhash.shingle_hashes(raw, SHINGLE))
 
 
+def signature(found: np.ndarray) -> np.ndarray:
+    """For each of 64 * SIGNATURE bits the parity of the shingles that hash to it: two sets' signatures differ in no more bits than the sets differ in shingles."""
+    odd = np.bincount((found.view(np.uint64) >> np.uint64(7)).astype(np.int64) % (64 * SIGNATURE), minlength=64 * SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _lists(sets: list[np.ndarray]) -> pa.Array:
     offsets = np.cumsum([0] + [len(s) for s in sets])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets) if sets else np.empty(0, dtype=np.int64)))
@@ -64,16 +73,16 @@ def _id(name: bytes) -> int:
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """doc_id, _k (row key), name (128-bit hash of the set), id (64 bits of it), n (its size), least (its n // 5 + 1 least hashes
-    and a quarter more) and fp (the fingerprint)."""
+    and a quarter more), fp (the fingerprint) and sig (the parity signature)."""
 
     def work(batch: pa.RecordBatch) -> dict:
         hashes = [simhash.shingle_hashes(t, SHINGLE) for t in texts_of(batch)]
         sets = [_unique(h) for h in hashes]
         names = [_name(s) for s in sets]
         fps = np.array([simhash.majority(h) for h in hashes], dtype=np.uint64)
-        return {"doc_id": column(batch, "doc_id"), "_k": column(batch, "_k"), "name": names, "id": [_id(x) for x in names], "n": [len(s) for s in sets], "least": _lists([s[: len(s) // 5 + len(s) // 20 + 4] for s in sets]), "fp": pa.array(fps.view(np.int64))}
+        return {"doc_id": column(batch, "doc_id"), "_k": column(batch, "_k"), "name": names, "id": [_id(x) for x in names], "n": [len(s) for s in sets], "least": _lists([s[: len(s) // 5 + len(s) // 20 + 4] for s in sets]), "fp": pa.array(fps.view(np.int64)), "sig": _lists([signature(s) for s in sets])}
 
-    return map_batches(with_row_key(docs.select("doc_id", "text")), work, "doc_id long, _k binary, name binary, id long, n int, least array<long>, fp long")
+    return map_batches(with_row_key(docs.select("doc_id", "text")), work, "doc_id long, _k binary, name binary, id long, n int, least array<long>, fp long, sig array<long>")
 
 
 def _whole(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -122,11 +131,13 @@ def prefix_rows(docs: DataFrame, sets: DataFrame, tables: Scratch) -> DataFrame:
     tables.drop("frequent", "own", "whole", "crowd")
     with_h = Window.partitionBy("h")
     least = F.min(F.struct("n", "id"))
-    few = rows.join(frequent, "h", "left_anti").withColumn("c", F.count("*").over(with_h)).withColumn("first", least.over(with_h))
-    many = rows.join(frequent, "h", "left_semi")
+    # whatever is frequent in prefixes, rare or not at large, is brought together by joins
+    crowded = tables.keep(_frequent(rows), "crowded")
+    few = rows.join(crowded, "h", "left_anti").withColumn("c", F.count("*").over(with_h)).withColumn("first", least.over(with_h))
+    many = rows.join(crowded, "h", "left_semi")
     many = many.join(many.groupBy("h").agg(F.count("*").alias("c"), least.alias("first")), "h").select("id", "n", "h", "c", "first")
     shared = tables.keep(few.unionByName(many).where("c > 1").select("id", "n", "h", "first"), "shared")
-    tables.drop("rows", "all-frequent")
+    tables.drop("rows", "all-frequent", "crowded")
     return shared
 
 
@@ -155,14 +166,23 @@ def ball_pairs(sets: DataFrame) -> DataFrame:
     return same.union(met).select(F.least("first", "other").alias("a"), F.greatest("first", "other").alias("b"))
 
 
+def _differ(x: str, y: str) -> str:
+    """The bits in which two signatures differ, a lower bound of the shingles in which the sets do."""
+    return " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(SIGNATURE))
+
+
 def apart(sets: DataFrame, shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidates (a, b), a < b, of different components that share a prefix shingle."""
-    of = sets.select("id", "name").join(roots, sets.name == roots.node).select("id", "root")
-    rooted = shared.join(of, "id", "left").select("h", F.struct("n", "id").alias("s"), F.coalesce("root", F.encode(F.col("id").cast("string"), "UTF-8")).alias("root"))
+    """Candidates (a, b), a < b, of different components that share a prefix shingle.
+
+    Sets of similarity 4/5 differ in a ninth of their shingles together at most; where the signatures already differ in more
+    the pair leaves the join at once, so a group of near misses gives no rows."""
+    of = sets.select("id", "name", "sig").join(roots, sets.name == roots.node, "left").select("id", "sig", F.coalesce("root", F.encode(F.col("id").cast("string"), "UTF-8")).alias("root"))
+    rooted = shared.select("h", "id", "n").join(of.select("id", "root"), "id")
     mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-    left = rooted.join(mixed, "h")
-    pairs = left.select("h", F.col("s").alias("x"), F.col("root").alias("xr")).join(left.select("h", F.col("s").alias("y"), F.col("root").alias("yr")), "h")
-    return _possible(pairs.where("xr <> yr and x < y and 5 * x.n >= 4 * y.n").select("x", "y"))
+    left = rooted.join(mixed, "h").join(of.select("id", "sig"), "id").select("h", F.struct("n", "id").alias("s"), "root", "sig")
+    one, other = left.select("h", F.col("s").alias("x"), F.col("root").alias("xr"), F.col("sig").alias("xs")), left.select(F.col("h").alias("_h"), F.col("s").alias("y"), F.col("root").alias("yr"), F.col("sig").alias("ys"))
+    fits = F.expr(f"h = _h and x < y and xr <> yr and 5 * x.n >= 4 * y.n and 9 * ({_differ('xs', 'ys')}) <= x.n + y.n")
+    return _possible(one.join(other, fits).select("x", "y"))
 
 
 def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, tables: Scratch, name: str) -> DataFrame:
@@ -182,7 +202,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, _k and root (the least set name of the component, which names it) of every document."""
     tables = Scratch(docs.sparkSession, "near-copies")
     per_doc = tables.keep(shingle_sets(docs), "documents")
-    sets = tables.keep(per_doc.groupBy("name").agg(F.first("id").alias("id"), F.min("_k").alias("_k"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("fp").alias("fp")), "sets")
+    sets = tables.keep(per_doc.groupBy("name").agg(F.first("id").alias("id"), F.min("_k").alias("_k"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("fp").alias("fp"), F.first("sig").alias("sig")), "sets")
     of = tables.keep(per_doc.select("doc_id", "_k", "name"), "names")
     tables.drop("documents")
     shared = prefix_rows(docs, sets, tables)

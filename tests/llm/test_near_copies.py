@@ -1,7 +1,11 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from quire.llm import near_copies
+from quire.llm import near_copies, simhash
+from quire.session import Scratch
 
 
 def shingles(text):
@@ -67,3 +71,28 @@ def test_frequent_shingles_and_small_sets(spark):
     rows += [(100 + i, " ".join(rng.choice(passages)[: rng.randint(3, 9)])) for i in range(60)]
     got = near_copies.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in got.collect()) == kept(rows)
+
+
+def test_signatures_bound_the_difference():
+    rng = np.random.default_rng(9)
+    for n, changed in ((0, 0), (5, 1), (200, 10), (200, 190), (4000, 700)):
+        base = rng.integers(-(2**62), 2**62, n)
+        other = np.concatenate((base[: n - changed], rng.integers(-(2**62), 2**62, changed)))
+        a, b = near_copies._unique(base), near_copies._unique(other)
+        bits = sum(bin(int(x) & (2**64 - 1)).count("1") for x in near_copies.signature(a) ^ near_copies.signature(b))
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
+        assert not changed or bits > 0
+
+
+def test_near_misses_give_no_rows(spark):
+    """A group whose texts share half of their words: every pair shares shingles, none is alike, and the join lets none through."""
+    rng = np.random.default_rng(4)
+    common = [f"c{i}" for i in range(100)]
+    rows = [(i, " ".join(common + [f"w{x}" for x in rng.integers(0, 10**9, 60)])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tables = Scratch(spark, "misses")
+    sets = near_copies.shingle_sets(docs).groupBy("name").agg(*[F.first(c).alias(c) for c in ("id", "_k", "n", "least", "fp", "sig")])
+    shared = near_copies.prefix_rows(docs, sets, tables)
+    none = spark.createDataFrame([], "a binary, b binary")
+    assert near_copies.apart(sets, shared, simhash.components(none)).count() == 0
+    assert near_copies.deduplicate(docs).count() == 120
