@@ -182,8 +182,14 @@ class Restorer:
             if _LETTER.search(group):
                 group = " ".join(group.split())
                 out.update(self._words[group] if group in self._words else self._new(group, self.decode))
+        known = self._words.get
         for token in set(text.split()):
-            out.update(self._words[token] if token in self._words else self._new(token, self._token))
+            found = known(token)
+            if found is None:
+                found = self._new(token, self._token)
+                known = self._words.get  # a new generation may have begun
+            if found:
+                out.update(found)
         return out
 
     def _new(self, token: str, work: Callable[[str], tuple[str, ...]]) -> tuple:

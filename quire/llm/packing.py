@@ -21,8 +21,8 @@ whatever their names.
 
 from __future__ import annotations
 
-import itertools
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -54,12 +54,12 @@ class Packer:
     def cost(self, capacity: int) -> float:
         return self.overhead + capacity + capacity * capacity / self.attention
 
-    def opening(self, length: int, remaining: list[int]) -> int:
-        """The capacity to open for a piece; remaining[c] is the total length of later pieces of at most c."""
+    def opening(self, length: int, remaining: Callable[[int], int]) -> int:
+        """The capacity to open for a piece; remaining(c) is the total length of later pieces of at most c."""
         best, least = self.capacities[-1], math.inf
         for c in self.capacities:
             if c >= length:
-                filled = length + min(c - length, remaining[c - length])
+                filled = length + min(c - length, remaining(c - length))
                 share = self.cost(self.fit(filled)) / filled
                 if share < least - 1e-12:
                     best, least = c, share
@@ -68,15 +68,15 @@ class Packer:
     def pack(self, lengths: list[int]) -> list[tuple[int, int, int]]:
         """(bin, offset, capacity) of each length, all within 1 and the greatest capacity, given in falling order."""
         top = self.capacities[-1]
-        mass = [0] * (top + 1)
-        for x in lengths:
-            mass[x] += x
+        # lengths fall, so the later pieces of at most c are the end of the list from some place on
+        falling = np.array(lengths, dtype=np.int64)
+        before = np.concatenate(([0], falling.cumsum())).tolist()
+        first = np.searchsorted(-falling, -np.arange(top + 1)).tolist()
         rooms: list[list[int]] = [[] for _ in range(top + 1)]
         open_rooms = 0
         contents: list[int] = []
         placed: list[tuple[int, int]] = []
-        for x in lengths:
-            mass[x] -= x
+        for n, x in enumerate(lengths):
             suffices = open_rooms >> x
             if suffices:
                 room = x + (suffices & -suffices).bit_length() - 1
@@ -84,7 +84,7 @@ class Packer:
                 if not rooms[room]:
                     open_rooms &= ~(1 << room)
             else:
-                which, room = len(contents), self.opening(x, list(itertools.accumulate(mass)))
+                which, room = len(contents), self.opening(x, lambda c, later=n + 1: before[-1] - before[max(later, first[c])])
                 contents.append(0)
             placed.append((which, contents[which]))
             contents[which] += x

@@ -43,9 +43,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from quire.llm import packing
 
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    found = packing.sequences(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    ids = F.crc32(F.array_join("ids", ",").cast("binary"))
+    told = F.transform("segments", lambda s: F.concat_ws(":", *[s[c].cast("string") for c in ("doc_id", "piece", "start", "length")]))
+    ones = F.aggregate("mask", F.lit(0).cast("long"), lambda acc, m: acc + m)
+    return found.select("bin_id", "capacity", "n_tokens", ones.alias("mask_ones"), F.transform("segments", lambda s: s["doc_id"]).alias("doc_ids"), F.array_join(told, ",").alias("segments"), ids.alias("ids_crc32"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,18 +4,18 @@ from quire.llm import packing
 
 
 def plain(packer, lengths):
-    """The same rule over plain lists."""
-    bins, placed = [], []
+    """The same rule over plain lists; of bins with one room the one opened or used last is taken."""
+    bins, placed, touched = [], [], []
     for n, x in enumerate(lengths):
-        fitting = [(room, -k) for k, (room, _) in enumerate(bins) if room >= x]
+        fitting = [room for room, _ in bins if room >= x]
         if fitting:
-            least = min(f[0] for f in fitting)
-            which = [k for k, (room, _) in enumerate(bins) if room == least][-1]
+            which = max((k for k, (room, _) in enumerate(bins) if room == min(fitting)), key=lambda k: touched[k])
+            touched[which] = n
         else:
             later = lengths[n + 1 :]
-            remaining = [sum(y for y in later if y <= c) for c in range(packer.capacities[-1] + 1)]
             which = len(bins)
-            bins.append((packer.opening(x, remaining), 0))
+            bins.append((packer.opening(x, lambda c, later=later: sum(y for y in later if y <= c)), 0))
+            touched.append(n)
         room, used = bins[which]
         placed.append((which, used))
         bins[which] = (room - x, used + x)
@@ -38,7 +38,7 @@ def test_invariants_and_least_room_rule():
                 assert packer.fit(parts[-1][1]) == parts[0][2] and len({p[2] for p in parts}) == 1
             rooms = sum(size for parts in held.values() for size in {parts[0][2]})
             assert rooms >= sum(lengths)
-            assert sorted(zip(lengths, (g[2] for g in got))) == sorted(zip(lengths, (g[2] for g in plain(packer, lengths))))
+            assert got == plain(packer, lengths)
 
 
 def test_several_lengths_waste_less_than_one():
@@ -63,3 +63,21 @@ def test_documents_are_whole(spark, hard_docs, hard_rows, no_docs):
     assert packing.pack(no_docs).count() == 0
     odd = spark.createDataFrame([(None, "a b"), (None, "a b"), (None, None)], "doc_id long, text string")
     assert sorted(r.piece_words for r in packing.pack(odd).collect()) == [0, 2, 2]
+
+
+def test_sequences_hold_every_token_once(spark, hard_docs, hard_rows, no_docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain_encoder = Tokenizer.from_file(path)
+    got = packing.sequences(hard_docs, path, 2, pad_id=7, capacities=(16, 64), block_rows=20).collect()
+    pieces = {}
+    for r in got:
+        assert len(r.ids) == len(r.mask) == r.capacity and sum(r.mask) == r.n_tokens == sum(s.length for s in r.segments)
+        assert r.mask == [1] * r.n_tokens + [0] * (r.capacity - r.n_tokens) and set(r.ids[r.n_tokens :]) <= {7}
+        for s in r.segments:
+            pieces.setdefault(s.doc_id, {})[s.piece] = r.ids[s.start : s.start + s.length]
+    for doc_id, text, *_ in hard_rows:
+        assert sum((pieces[doc_id][k] for k in sorted(pieces[doc_id])), []) == [*plain_encoder.encode(text or "", add_special_tokens=False).ids, 2]
+    assert packing.sequences(no_docs, path, 2).count() == 0

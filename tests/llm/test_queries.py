@@ -27,7 +27,18 @@ def test_shards_by_bytes(spark, sf_dir):
         assert sorted(part.slot) == list(range(len(part)))
 
 
-def test_packing_covers_every_word(spark, sf_dir):
-    got = queries.op5_best_fit_packing(spark, sf_dir).toPandas()
-    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
-        assert got[got.doc_id == r.doc_id].piece_words.sum() == len(r.text.encode().split())
+def test_packing_covers_every_token(spark, sf_dir):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = queries.op5_best_fit_packing(spark, sf_dir).collect()
+    held = {}
+    for r in got:
+        segments = [tuple(map(int, s.split(":"))) for s in r.segments.split(",")]
+        assert [s[0] for s in segments] == r.doc_ids and r.n_tokens == r.mask_ones == sum(s[3] for s in segments) <= r.capacity
+        assert [s[2] for s in segments] == [sum(x[3] for x in segments[:i]) for i in range(len(segments))]
+        for doc_id, _, _, length in segments:
+            held[doc_id] = held.get(doc_id, 0) + length
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert held == {r.doc_id: len(encoder.encode(r.text, add_special_tokens=False).ids) + 1 for r in docs}
