@@ -5,8 +5,8 @@ Vectors are normalised, so that the nearest by cosine are the nearest by Euclide
 Gaussian (2-stable) projections map them to a few dimensions. A kd-tree of cells over the projected space, fitted
 on a sample of at most SAMPLE_ROWS rows (the least hashes of vec_id), deals every row to a cell of about BLOCK_ROWS
 rows, and each cell has a finer kd-tree of its own, built once by the task that holds it. A query takes leaves, and
-then cells, by projected distance, and within them points in the order of theirs; a point is verified at full length
-when its turn comes. The squared projected distance of a vector at true distance d is d**2 times a chi-square variable
+then cells, by projected distance, and verifies at full length the points of each that its stopping test still leaves
+by their own projected distance. The squared projected distance of a vector at true distance d is d**2 times a chi-square variable
 of PROJECTIONS degrees of freedom; where the next point, leaf or cell lies so far off that a vector nearer than the K-th best
 so far would be nearer in projection with probability CONFIDENCE, the query stops.
 
@@ -45,8 +45,6 @@ BLOCK_ROWS, CHUNK_VISITS, LEAF = 12_000, 20_000, 64
 #: Rows of the sample that the tree of cells is fitted on: so many a cell, and at most so many in all.
 CELL_SAMPLE, SAMPLE_ROWS = 256, 400_000
 _SLAB = 20_000
-#: Points of a query that are verified between two looks at its stopping test.
-STRIDE = 64
 
 
 def chi_square_cdf(x: np.ndarray | float, degrees: int) -> np.ndarray:
@@ -105,6 +103,7 @@ class _Best:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> None:
         self.ids, self.vectors, self.norms, self.query_ids, self.queries, self.k = ids, vectors, norms, query_ids, queries, k
+        self.repeated = len(np.unique(ids)) < len(ids)
         self.lengths = np.sqrt((queries * queries).sum(axis=1))
         self.scores = np.full((len(queries), k), -np.inf)
         self.rows = np.full((len(queries), k), -1, dtype=np.int64)
@@ -127,9 +126,11 @@ class _Best:
         scores = np.concatenate((scores, self.scores[touched].ravel()[some]))
         order = np.lexsort((self.ids[rows], -scores, q))
         q, rows, scores = q[order], rows[order], scores[order]
-        # of rows of one id only the best counts, or they would push out others
-        once = np.sort(np.unique(np.stack((q, self.ids[rows])), axis=1, return_index=True)[1])
-        q, rows, scores = q[once], rows[once], scores[once]
+        if self.repeated:  # of rows of one id only the best counts, or they would push out others
+            by_id = np.lexsort((self.ids[rows], q))  # stable: the best of an id comes first
+            again = (np.diff(q[by_id], prepend=-1) == 0) & (np.diff(self.ids[rows[by_id]], prepend=0) == 0)
+            once = np.sort(by_id[~again])
+            q, rows, scores = q[once], rows[once], scores[once]
         first = np.flatnonzero(np.diff(q, prepend=-1))
         place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
         top = place < self.k
@@ -145,6 +146,7 @@ class Block:
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
         self.units = vectors / self.norms[:, None]
         self.points = self.units @ self.plane
+        self.spread = (self.points * self.points).sum(axis=1)
         self.tree = KdTree(self.points)
         self.verified = 0
 
@@ -152,10 +154,12 @@ class Block:
         """The k nearest found here of each query; known is the K-th score that a query has from elsewhere (or -inf).
 
         Queries advance together: each round every query that goes on takes its next leaves by projected distance, and of
-        their points those that its stopping test still leaves, nearest in projection first; only these are verified."""
+        their points those that its stopping test still leaves; only these are verified. Queries that take the same leaf
+        share the products with its points and vectors."""
         stop = chi_square_quantile(confidence, self.plane.shape[1])
         best = _Best(self.ids, self.vectors, self.norms, query_ids, queries, k)
-        asked = (queries / best.lengths[:, None]) @ self.plane
+        units = queries / best.lengths[:, None]
+        asked = units @ self.plane
         far = self.tree.distances(asked)
         order = np.argsort(far, axis=1, kind="stable")
         far = np.take_along_axis(far, order, axis=1)
@@ -172,37 +176,22 @@ class Block:
             by_leaf = np.argsort(leaf, kind="stable")
             q, leaf = q[by_leaf], leaf[by_leaf]
             edges = np.flatnonzero(np.diff(leaf, prepend=-1, append=-2))
-            found_q, found_rows, found_far = [], [], []
+            found_q, found_rows = [], []
             for a, b in zip(edges[:-1], edges[1:]):
                 members, rows = q[a:b], self.tree.leaves[leaf[a]]
-                apart = ((asked[going[members]][:, None, :] - self.points[rows][None, :, :]) ** 2).sum(axis=2)
-                near, which = np.nonzero(apart <= reach[members, None])
-                found_q.append(members[near])
+                here = asked[going[members]]
+                apart = (here * here).sum(axis=1)[:, None] + self.spread[rows] - 2 * (here @ self.points[rows].T)
+                due = apart <= reach[members, None] + 1e-9  # the points that the test still leaves: these are verified
+                self.verified += int(due.sum())
+                near, which = np.nonzero(due & (units[going[members]] @ self.units[rows].T >= kth[members, None] - 1e-9))
+                found_q.append(going[members[near]])
                 found_rows.append(rows[which])
-                found_far.append(apart[near, which])
             if found_q:
-                self._verify(best, going, np.concatenate(found_q), np.concatenate(found_rows), np.concatenate(found_far), floor, stop)
+                best.offer(np.concatenate(found_q), np.concatenate(found_rows))
             at, step = at + step, min(2 * step, 64)
         return best
 
 
-    def _verify(self, best: _Best, going: np.ndarray, q: np.ndarray, rows: np.ndarray, far: np.ndarray, floor: np.ndarray, stop: float) -> None:
-        """Verify points in the order of their projected distance, STRIDE of a query at a time, until its test stops it."""
-        order = np.lexsort((far, q))
-        q, rows, far = q[order], rows[order], far[order]
-        first = np.flatnonzero(np.diff(q, prepend=-1))
-        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-        turn = place // STRIDE
-        for t in range(int(turn.max(initial=-1)) + 1):
-            now = np.flatnonzero(turn == t)
-            reach = within(np.maximum(best.scores[going[q[now]], best.k - 1], floor[going[q[now]]]), stop)
-            now = now[far[now] <= reach]
-            if not len(now):
-                break  # later points lie farther off
-            self.verified += len(now)
-            best.offer(going[q[now]], rows[now])
-
-
 def within(kth: np.ndarray, stop: float) -> np.ndarray:
     """The squared projected distance up to which a query with this K-th score goes on."""
     return np.where(np.isfinite(kth), stop * np.maximum(0.0, 2 - 2 * kth) + 1e-12, np.inf)
