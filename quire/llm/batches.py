@@ -5,26 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows and bytes of one Arrow batch; a batch of long texts is cut by the bytes.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-
-
-def bounded(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches small, so that a worker's memory depends on neither partition nor text lengths."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return spark
-
+from quire.session import bound_batches
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict | Iterator[dict]], schema: str) -> DataFrame:
     """Apply work to each batch; it returns columns by name, in any order."""
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    bounded(df.sparkSession)
+    bound_batches(df.sparkSession)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,8 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.batches import bounded, column, texts_of
-from quire.session import scratch_path
+from quire.llm.batches import column, texts_of
+from quire.session import bound_batches, open_fs, scratch_path
 
 LENGTH, BATCH = 2048, 64
 SHARD_BYTES = 256 << 20
@@ -145,15 +145,6 @@ def encoder(content: bytes) -> WordEncoder:
     return _encoders[key]
 
 
-def _open_fs(path: str):
-    """File system and path of a shared folder's URI; anything that pyarrow can write to."""
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), re.sub(r"^file:/*", "/", path)
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 def _write(fs, path: str, batches: Iterator[pa.RecordBatch], schema: pa.Schema, attempt: int) -> None:
     part = f"{path}.{attempt}.tmp"
     with fs.open_output_stream(part) as sink, pa.ipc.new_file(sink, schema) as writer:
@@ -193,7 +184,7 @@ class _Sequences:
 
 def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, length: int = LENGTH, shards: int | None = None) -> DataFrame:
     """Encode every text and write the data set; the manifest (shard, path, index_path, n_docs, n_tokens, item) as a table of one row a shard."""
-    spark = bounded(docs.sparkSession)
+    spark = bound_batches(docs.sparkSession)
     folder = folder or scratch_path(spark, "tokens")
     with open(vocabulary, "rb") as f:  # a file of the driver; executors get its content
         sent = spark.sparkContext.broadcast(f.read())
@@ -221,7 +212,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | No
                     total += counts[-1]
                     yield packed
 
-        fs, base = _open_fs(folder)
+        fs, base = open_fs(folder)
         fs.create_dir(base, recursive=True)
         form = _Sequences(coder.dtype, length)
         path, index_path = f"{base}/part-{shard:05d}.tokens.arrow", f"{base}/part-{shard:05d}.index.arrow"
@@ -254,7 +245,7 @@ class TokenShard:
     """A shard opened for random access; on a local file system nothing is copied."""
 
     def __init__(self, path: str) -> None:
-        fs, base = _open_fs(path)
+        fs, base = open_fs(path)
         self.source = pa.memory_map(base) if type(fs).__name__ == "LocalFileSystem" else fs.open_input_file(base)
         self.reader = pa.ipc.open_file(self.source)
         self.length = self.reader.schema.field("ids").type.list_size
@@ -284,14 +275,23 @@ class TokenShard:
 
 
 def read_index(path: str) -> pa.Table:
-    fs, base = _open_fs(path)
+    fs, base = open_fs(path)
     with fs.open_input_file(base) as source:
         return pa.ipc.open_file(source).read_all()
 
 
+def _stretches(counts: np.ndarray, rows: int = 1000, tokens: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Stretches of documents of so many rows and ids at most; a longer document is one of its own."""
+    at, before = 0, np.concatenate(([0], np.cumsum(counts)))
+    while at < len(counts):
+        end = min(at + rows, max(at + 1, int(np.searchsorted(before, before[at] + tokens, side="right")) - 1))
+        yield at, end
+        at = end
+
+
 def read_documents(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) and with_ids the ids."""
-    bounded(manifest.sparkSession)
+    bound_batches(manifest.sparkSession)
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
     schema = pa.schema(fields)
 
@@ -299,8 +299,8 @@ def read_documents(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 shard, index = TokenShard(row["path"]), read_index(row["index_path"])
-                for at in range(0, index.num_rows, 1000):
-                    part = index.slice(at, 1000)
+                for at, end in _stretches(index["n_tokens"].to_numpy()):
+                    part = index.slice(at, end - at)
                     spans = [shard.span(o, n) for o, n in zip(part["offset"].to_pylist(), part["n_tokens"].to_pylist())]
                     crc = [zlib.crc32(s.astype("<u4").tobytes()) for s in spans]
                     columns = [part["doc_id"].combine_chunks(), pa.array(part["offset"].to_numpy() + row["start"]), part["n_tokens"].combine_chunks(), pa.array(crc, pa.int64())]

@@ -73,3 +73,11 @@ def test_added_tokens_have_the_untouched_library_s_ids(spark):
         assert (got[doc_id].ids, got[doc_id].start) == (ids, start), text
         start += len(ids)
     assert got[0].ids == [806, 49407, 539, 2]
+
+
+def test_stretches_are_bounded_by_tokens():
+    counts = np.array([1] * 2500 + [50, 10, 60, 5, 200, 1, 1])
+    found = list(token_files._stretches(counts, rows=1000, tokens=100))
+    assert found[0][0] == 0 and found[-1][1] == len(counts) and all(a[1] == b[0] for a, b in zip(found, found[1:]))
+    assert all(end - at <= 1000 and (counts[at:end].sum() <= 100 or end == at + 1) for at, end in found)
+    assert list(token_files._stretches(np.array([], dtype=np.int64))) == []
