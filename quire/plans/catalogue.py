@@ -62,8 +62,8 @@ def pdf_first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pdf_parted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page texts where files of over 4 kB are dealt out to several tasks by shares of their pages, each seeking its own."""
-    return loader.page_texts(_seen_pages(spark, sf_dir, part_bytes=4096))
+    """Page texts where files of over 16 kB are dealt out to several tasks by shares of their pages, each seeking its own."""
+    return loader.page_texts(_seen_pages(spark, sf_dir, part_bytes=16_384))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:

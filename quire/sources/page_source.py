@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 NAME = "quire_pdf_pages"
 #: Bytes of files that make a partition, and of which a great file's parts are.
 PART_BYTES = 8 << 20
+_LEAST_BYTES = 1 << 16
 
 
 @dataclass
@@ -76,6 +77,7 @@ class PageReader(DataSourceReader):
         self.path, self.suffix = options["path"], options.get("suffix", ".pdf")
         self.images = str(options.get("images", "false")).lower() == "true"
         self.part_bytes = max(1, int(options.get("part_bytes", PART_BYTES)))
+        self.slots = max(1, int(options.get("slots", 1)))
         self.wanted = Wanted()
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -91,13 +93,15 @@ class PageReader(DataSourceReader):
         store, base = open_fs(self.path)
         prefix = self.path[: len(self.path) - len(base)] if self.path.endswith(base) else ""
         found = sorted((f.path, f.size) for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.is_file and f.path.endswith(self.suffix))
+        # small files fill partitions of a part's size, or less where there would be fewer partitions than slots to run them
+        full = min(max(self.part_bytes, PART_BYTES), max(_LEAST_BYTES, sum(size for _, size in found) // (2 * self.slots)))
         out, held = [], _Bin()
         for path, size in found:
             if size > self.part_bytes:
                 shares = -(-size // self.part_bytes)
                 out += [Share([prefix + path], n, shares) for n in range(shares)]
                 continue
-            if held.paths and held.size + size > self.part_bytes:
+            if held.paths and held.size + size > full:
                 out.append(Share(held.paths))
                 held = _Bin()
             held.paths.append(prefix + path)
@@ -121,7 +125,7 @@ class PageReader(DataSourceReader):
 class PdfPages(DataSource):
     """Rows of loader.PAGES, keyed by path: a head for each file, a row for each page, a row for each image object.
 
-    Options: path (a folder), suffix (.pdf), images (false), part_bytes."""
+    Options: path (a folder), suffix (.pdf), images (false), part_bytes, slots (tasks that run at once)."""
 
     @classmethod
     def name(cls) -> str:
@@ -140,4 +144,4 @@ def pages(spark: SparkSession, folder: str, images: bool = False, part_bytes: in
     """The pages of all files of a folder; filters on page reach the reader."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # Spark refuses to plan a reader that can push otherwise
     spark.dataSource.register(PdfPages)
-    return spark.read.format(NAME).option("path", folder).option("images", str(images).lower()).option("part_bytes", str(part_bytes)).load()
+    return spark.read.format(NAME).option("path", folder).option("images", str(images).lower()).option("part_bytes", str(part_bytes)).option("slots", str(spark.sparkContext.defaultParallelism)).load()
