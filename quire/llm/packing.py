@@ -9,9 +9,9 @@ sequence, the price of its positions padded or not, and that of attention, which
 
 Documents are dealt by a hash of the row into blocks of about BLOCK_ROWS documents, and each block is
 packed as a whole by one task, so memory and time a task don't grow with the input and the loss by cutting into
-blocks is at most one badly filled bin of each capacity a block. Only ids and lengths are shuffled for it. pack()
-places documents by their words; sequences() encodes them, places their token ids, and brings the ids of each bin
-together into one padded sequence with its mask and segments.
+blocks is at most one badly filled bin of each capacity a block. pack() places documents by their words, for which only
+ids and lengths are shuffled; sequences() encodes them, places their token ids, and writes each bin as one padded
+sequence with its mask and segments.
 
 Results: a document without words (null, empty) has one piece of length 0 in bin null in pack(), and is its end id in
 sequences(). Repeated rows are packed as often as they come. Of open bins with equal room the one opened or used last
@@ -22,7 +22,7 @@ whatever their names.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.batches import column, map_batches, texts_of
-from quire.session import materialise
+from quire.llm.batches import column, texts_of
+from quire.session import bound_batches
 
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD, ATTENTION = 32, 16_384
@@ -138,43 +138,97 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: in
     return placed.select("doc_id", F.col("n").alias("n_words"), "piece", F.col("length").alias("piece_words"), "bin_id", "offset", "capacity")
 
 
+_PIECES = pa.schema([("doc_id", pa.int64()), ("deal", pa.int64()), ("piece", pa.int32()), ("length", pa.int64()), ("ids", pa.binary())])
+_SEQUENCE = "bin_id long, capacity int, n_tokens long, ids array<int>, mask array<tinyint>, segments array<struct<doc_id:long,piece:int,start:long,length:long>>"
+#: Rows of a batch of pieces or of sequences.
+_BATCH = 256
+#: Numbers within a block of the bins that are one full piece begin here, above those that are packed.
+_FULL = 1 << 31
+
+
+def _sequence_batch(made: list[tuple[int, int, list[tuple[int, int, np.ndarray]]]], pad_id: int) -> pa.RecordBatch:
+    """Sequences (bin_id, capacity, parts (doc_id, piece, ids) in their order) as rows."""
+    columns: dict[str, list] = {c: [] for c in ("bin_id", "capacity", "n_tokens", "ids", "mask", "segments")}
+    for bin_id, size, parts in made:
+        held = np.concatenate([p[2] for p in parts]).astype(np.int32)
+        ids, mask = np.full(size, pad_id, dtype=np.int32), np.zeros(size, dtype=np.int8)
+        ids[: len(held)], mask[: len(held)] = held, 1
+        starts = np.cumsum([0, *(len(p[2]) for p in parts)])
+        segments = [{"doc_id": d, "piece": k, "start": int(at), "length": len(x)} for (d, k, x), at in zip(parts, starts)]
+        for name, value in (("bin_id", bin_id), ("capacity", size), ("n_tokens", len(held)), ("ids", ids), ("mask", mask), ("segments", segments)):
+            columns[name].append(value)
+    kinds = {"bin_id": pa.int64(), "capacity": pa.int32(), "n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "mask": pa.list_(pa.int8()), "segments": pa.list_(pa.struct({"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64()}))}
+    return pa.RecordBatch.from_arrays([pa.array(columns[n], type=t) for n, t in kinds.items()], names=list(kinds))
+
+
 def sequences(docs: DataFrame, vocabulary: str, end_id: int, pad_id: int = 0, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, attention: int = ATTENTION, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The training sequences of docs: texts encoded by the vocabulary, an end id after each, packed and written out.
 
     bin_id, capacity, n_tokens, ids (capacity of them, pad_id after the last), mask (1 where an id stands, else 0), and
-    segments: doc_id, piece, start and length of each piece in its order. A bin is at most the greatest capacity long,
-    so the pieces that are brought together for it are bounded."""
+    segments: doc_id, piece, start and length of each piece in its order. Pieces are shuffled once, with their ids, to their
+    blocks. A piece of the greatest capacity is written at once; a task holds only the rests of one block, which are under the
+    greatest capacity each, and writes its sequences batch by batch."""
     from quire.llm import token_files
 
-    spark = docs.sparkSession
+    spark = bound_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:  # a file of the driver; executors get its content
         sent = spark.sparkContext.broadcast(f.read())
-
-    def encode(batch: pa.RecordBatch) -> dict:
-        encoder = token_files.encoder(sent.value)
-        end = np.array([end_id], dtype=encoder.dtype).tobytes()
-        ids = [np.frombuffer(encoder.encode(t) + end, dtype=encoder.dtype).astype("<u4") for t in texts_of(batch)]
-        return {"doc_id": column(batch, "doc_id"), "deal": column(batch, "deal"), "n": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]}
-
+    top, packer = max(capacities), Packer(capacities, overhead, attention)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            encoder = token_files.encoder(sent.value)
+            end = np.array([end_id], dtype=encoder.dtype).tobytes()
+            rows: list[tuple] = []
+            for doc_id, deal, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "deal").to_pylist(), texts_of(batch)):
+                ids = encoder.encode(text) + end
+                step = top * encoder.dtype.itemsize
+                for k, at in enumerate(range(0, len(ids), step)):
+                    part = ids[at : at + step]
+                    rows.append((doc_id, deal, k, len(part) // encoder.dtype.itemsize, part))
+                    if len(rows) == _BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, block, held, full, alone = None, None, [], 0, []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            bins: dict[int, tuple[int, list]] = {}
+            for (doc_id, piece, ids), (which, _, size) in zip(held, packer.pack([len(p[2]) for p in held])):
+                bins.setdefault(which, (size, []))[1].append((doc_id, piece, ids))
+            made = [((block << 32) + which, size, parts) for which, (size, parts) in bins.items()]
+            for at in range(0, len(made), _BATCH):
+                yield _sequence_batch(made[at : at + _BATCH], pad_id)
+
+        for batch in batches:
+            kind = kind or token_files.encoder(sent.value).dtype
+            for doc_id, piece, ids, here in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "piece", "ids", "block"))):
+                if here != block:
+                    if held:
+                        yield from packed()
+                    block, held, full = here, [], 0
+                part = (doc_id, piece, np.frombuffer(ids, dtype=kind))
+                if len(part[2]) < top:
+                    held.append(part)
+                    continue
+                alone.append(((block << 32) + _FULL + full, top, [part]))
+                full += 1
+                if len(alone) == _BATCH:
+                    yield _sequence_batch(alone, pad_id)
+                    alone = []
+        if alone:
+            yield _sequence_batch(alone, pad_id)
+        if held:
+            yield from packed()
+
+    blocks = max(1, math.ceil(docs.count() / block_rows))
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("deal"))
-    encoded = map_batches(keyed, encode, "doc_id long, deal long, n long, ids binary")
-    encoded = materialise(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
-    placed = _placed(encoded.select("row", "doc_id", "n", "deal"), encoded.count(), capacities, overhead, attention, block_rows)
-    top = max(capacities)
-    cut = F.expr(f"substring(ids, 4 * {top} * piece + 1, cast(4 * length as int))")
-    parts = placed.join(encoded.select("row", "ids"), "row").select("bin_id", "capacity", F.struct("offset", "doc_id", "piece", "length", cut.alias("ids")).alias("p"))
-    bins = parts.groupBy("bin_id", "capacity").agg(F.array_sort(F.collect_list("p")).alias("parts"))
-
-    def write(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"n_tokens": [], "ids": [], "mask": [], "segments": []}
-        for size, parts in zip(column(batch, "capacity").to_pylist(), column(batch, "parts").to_pylist()):
-            held = np.frombuffer(b"".join([p["ids"] for p in parts]), dtype="<u4").astype(np.int32)
-            ids, mask = np.full(size, pad_id, dtype=np.int32), np.zeros(size, dtype=np.int8)
-            ids[: len(held)], mask[: len(held)] = held, 1
-            out["n_tokens"].append(len(held))
-            out["ids"].append(ids)
-            out["mask"].append(mask)
-            out["segments"].append([{"doc_id": p["doc_id"], "piece": p["piece"], "start": p["offset"], "length": p["length"]} for p in parts])
-        return out | {"bin_id": column(batch, "bin_id"), "capacity": column(batch, "capacity")}
-
-    return map_batches(bins, write, "bin_id long, capacity int, n_tokens long, ids array<int>, mask array<tinyint>, segments array<struct<doc_id:long,piece:int,start:long,length:long>>")
+    pieces = keyed.mapInArrow(encode, "doc_id long, deal long, piece int, length long, ids binary")
+    # by the row, not by the text alone: copies are no hot block
+    block = F.pmod(F.xxhash64("deal", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    spread = max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))) if blocks > 1 else 1
+    dealt = pieces.withColumn("block", block).repartition(spread, "block").sortWithinPartitions("block", F.desc("length"), "deal", "doc_id", "piece")
+    return dealt.select("doc_id", "piece", "ids", "block").mapInArrow(write, _SEQUENCE)
