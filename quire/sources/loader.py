@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ PART_BYTES = 8 << 20
 
 _RUNS = "array<struct<seq:long,str:string,y:double>>"
 _PAINTS = "array<struct<op_pos:int,fn:int,obj_name:string,y:double>>"
-_OBJECT = "struct<name:string,width:int,height:int,kind:int,data:binary>"
+_OBJECT = "struct<name:string,width:int,height:int,kind:int,data:binary,problem:string>"
 _HEAD = "struct<num_pages:int,info:string,metadata:string,error:string>"
 #: A row with the head for each document, a row for each page, and a row for each image object of a page.
 PAGES = f"head {_HEAD}, page int, error string, runs {_RUNS}, paints {_PAINTS}, object {_OBJECT}"
@@ -34,7 +35,7 @@ _ARROW = {
     "error": pa.string(),
     "runs": pa.list_(pa.struct({"seq": pa.int64(), "str": pa.string(), "y": pa.float64()})),
     "paints": pa.list_(pa.struct({"op_pos": pa.int32(), "fn": pa.int32(), "obj_name": pa.string(), "y": pa.float64()})),
-    "object": pa.struct({"name": pa.string(), "width": pa.int32(), "height": pa.int32(), "kind": pa.int32(), "data": pa.binary()}),
+    "object": pa.struct({"name": pa.string(), "width": pa.int32(), "height": pa.int32(), "kind": pa.int32(), "data": pa.binary(), "problem": pa.string()}),
 }
 #: Pages of a batch of decoded rows at most; an image is a batch of its own.
 _BATCH_PAGES = 64
@@ -64,7 +65,7 @@ def listed(folders: DataFrame) -> DataFrame:
     return folders.select("folder").distinct().repartition(spread, "folder").mapInArrow(run, "path string")
 
 
-def decode_one(source: bytes | ranged.Source, wanted: Callable[[int], list[int]], with_images: bool, with_head: bool = True, share: tuple[int, int] = (0, 1)) -> Iterator[dict]:
+def decode_one(source: bytes | ranged.Source, wanted: Callable[[int], list[int]], with_images: bool, with_head: bool = True, share: tuple[int, int] = (0, 1), object_seconds: float = math.inf) -> Iterator[dict]:
     """One document's rows: an unreadable file is an error of its head, an unreadable page an error of that page, unreadable metadata absent.
 
     wanted gives the page numbers for a number of pages; of these the share (number, of how many) is decoded."""
@@ -87,7 +88,7 @@ def decode_one(source: bytes | ranged.Source, wanted: Callable[[int], list[int]]
     chosen, (number, shares) = wanted(len(doc.pages)), share
     for page in chosen[number * len(chosen) // shares : (number + 1) * len(chosen) // shares]:
         try:
-            found = pdf.page_layout(doc, page, with_images)
+            found = pdf.page_layout(doc, page, with_images, object_seconds=object_seconds)
         except Exception as e:
             yield {"page": page, "error": str(e)}
             continue
@@ -97,7 +98,7 @@ def decode_one(source: bytes | ranged.Source, wanted: Callable[[int], list[int]]
             "paints": [{"op_pos": i, "fn": code, "obj_name": name, "y": m[5]} for i, (code, name, m) in enumerate(found.paints)] if with_images else [],
         }
         for name, o in found.images.items():
-            yield {"page": page, "object": {"name": name} | o}
+            yield {"page": page, "object": {"name": name, "problem": found.lost.get(name)} | o}
         doc.release()
 
 
@@ -132,7 +133,7 @@ def batches(rows: Iterator[dict], key: str = "doc_id") -> Iterator[pa.RecordBatc
         yield batch()
 
 
-def decode(files: DataFrame, every_page: bool = True, with_images: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
+def decode(files: DataFrame, every_page: bool = True, with_images: bool = False, part_bytes: int = PART_BYTES, object_seconds: float = math.inf) -> DataFrame:
     """The rows of DECODED for each row of files (doc_id, content, target: pages wanted or null; path and length if they are known).
 
     Only the pages wanted are decoded: the selection goes into the decoder, as nothing prunes behind it. A file of over
@@ -145,13 +146,13 @@ def decode(files: DataFrame, every_page: bool = True, with_images: bool = False,
     def whole(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in given:
             for row in batch.to_pylist():
-                yield from batches({"doc_id": row["doc_id"]} | found for found in decode_one(row["content"] or b"", _wanted(row["target"], every_page), with_images))
+                yield from batches({"doc_id": row["doc_id"]} | found for found in decode_one(row["content"] or b"", _wanted(row["target"], every_page), with_images, object_seconds=object_seconds))
 
     def shared(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in given:
             for row in batch.to_pylist():
                 source = ranged.Ranged(row["path"])
-                found = decode_one(source, _wanted(row["target"], every_page), with_images, row["number"] == 0, (row["number"], row["shares"]))
+                found = decode_one(source, _wanted(row["target"], every_page), with_images, row["number"] == 0, (row["number"], row["shares"]), object_seconds)
                 yield from batches({"doc_id": row["doc_id"]} | r for r in found)
                 source.close()
 
@@ -182,7 +183,12 @@ def paint_ops(decoded: DataFrame) -> DataFrame:
 
 def image_objects(decoded: DataFrame) -> DataFrame:
     """scope, doc_id, page, name, width, height, kind, data."""
-    return decoded.where("object is not null").select(F.lit("page").alias("scope"), "doc_id", "page", "object.*")
+    return decoded.where("object is not null").select(F.lit("page").alias("scope"), "doc_id", "page", "object.*").drop("problem")
+
+
+def lost_images(decoded: DataFrame) -> DataFrame:
+    """doc_id, page, name, message of the images that are reported without data: no decoder, damage, or the deadline of an object."""
+    return decoded.where("object.problem is not null").select("doc_id", "page", "object.name", F.concat(F.lit("Image "), "object.name", F.lit(" was not decoded: "), "object.problem").alias("message"))
 
 
 def page_errors(decoded: DataFrame) -> DataFrame:

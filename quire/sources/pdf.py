@@ -14,12 +14,15 @@ matrix, and image objects.
 from __future__ import annotations
 
 import base64
+import contextlib
 import math
 import re
+import signal
 import struct
+import threading
 import time
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -772,11 +775,13 @@ def product(a: Matrix, b: Matrix) -> Matrix:
 
 @dataclass
 class PageLayout:
-    """Runs (text, matrix), painting operations (code, name, matrix) and image objects by name."""
+    """Runs (text, matrix), painting operations (code, name, matrix), image objects by name and the reasons of those lost."""
 
     runs: list[tuple[str, list[float]]] = field(default_factory=list)
     paints: list[tuple[int, str, list[float]]] = field(default_factory=list)
     images: dict[str, dict] = field(default_factory=dict)
+    #: Why the images without data have none.
+    lost: dict[str, str] = field(default_factory=dict)
 
 
 def image_object(doc: Document, stream: Stream) -> dict:
@@ -914,8 +919,8 @@ _WORDS = {b"true": True, b"false": False, b"null": None}
 class _Interpreter:
     """Runs the content of one page."""
 
-    def __init__(self, doc: Document, with_images: bool, image_seconds: float) -> None:
-        self.doc, self.with_images, self.seconds_left = doc, with_images, image_seconds
+    def __init__(self, doc: Document, with_images: bool, image_seconds: float, object_seconds: float) -> None:
+        self.doc, self.with_images, self.seconds_left, self.object_seconds = doc, with_images, image_seconds, object_seconds
         self.out, self.state, self.saved = PageLayout(), _State(), []
         self.tm = self.line = UNIT
         self.named: dict[tuple[str, int], str] = {}
@@ -1071,22 +1076,53 @@ class _Interpreter:
             self._decode(name, Stream(info, lexer.data[begin:end]))
 
     def _decode(self, name: str, stream: Stream) -> None:
-        """Add an image object, without data where it can't be decoded or once a caller's limit of seconds is used up."""
+        """Add an image object; without data, and with the reason, where it can't be decoded within its seconds or its page's."""
         began = time.monotonic()
         absent = {"width": None, "height": None, "kind": None, "data": None}
+        limit = min(self.seconds_left, self.object_seconds)
         try:
-            self.out.images[name] = image_object(self.doc, stream) if self.seconds_left > 0 else absent
-        except (PdfError, ValueError, TypeError, KeyError, IndexError, AttributeError, zlib.error):
-            self.out.images[name] = absent
+            with within_seconds(limit):
+                self.out.images[name] = image_object(self.doc, stream)
+            if self.out.images[name]["data"] is None:
+                self.out.lost[name] = "no decoder for its format or colours"
+        except OutOfTime:
+            self.out.images[name], self.out.lost[name] = absent, f"not decoded within {limit:.3g} s"
+        except (PdfError, ValueError, TypeError, KeyError, IndexError, AttributeError, zlib.error) as e:
+            self.out.images[name], self.out.lost[name] = absent, str(e) or type(e).__name__
         self.seconds_left -= time.monotonic() - began
 
 
-def page_layout(doc: Document, number: int, with_images: bool = False, image_seconds: float = math.inf) -> PageLayout:
-    """The layout of a page (from 1); every image is decoded unless the caller limits the page's seconds for them."""
+class OutOfTime(Exception):
+    """A deadline has passed."""
+
+
+@contextlib.contextmanager
+def within_seconds(limit: float) -> Iterator[None]:
+    """Raise OutOfTime in the body once limit seconds have passed. Timers need the main thread, which tasks run in; elsewhere only a limit that is used up already counts."""
+    if limit <= 0:
+        raise OutOfTime
+    if limit == math.inf or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def ring(*_: object) -> None:
+        raise OutOfTime
+
+    before = signal.signal(signal.SIGALRM, ring)
+    signal.setitimer(signal.ITIMER_REAL, limit)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def page_layout(doc: Document, number: int, with_images: bool = False, image_seconds: float = math.inf, object_seconds: float = math.inf) -> PageLayout:
+    """The layout of a page (from 1); every image is decoded unless the caller limits the page's seconds for them, or an object's."""
     page, get = doc.pages[number - 1], doc.get
     contents = get(page.get("Contents"), [])
     parts = [get(c) for c in contents] if isinstance(contents, list) else [contents]
     body = b"\n".join([doc.decoded(c) for c in parts if isinstance(c, Stream)])
-    worker = _Interpreter(doc, with_images, image_seconds)
+    worker = _Interpreter(doc, with_images, image_seconds, object_seconds)
     worker.run(body, get(page.get("Resources"), {}))
     return worker.out

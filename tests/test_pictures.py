@@ -165,3 +165,35 @@ def test_predictors_agree_with_a_byte_at_a_time(colours, depth, columns, rules):
     rows = [bytes([rules[i % len(rules)]]) + rng.integers(0, 256, width, dtype=np.uint8).tobytes() for i in range(13)]
     for data in (b"".join(rows), b"".join(rows)[:-3], b""):
         assert pdf._predict(data, {"Predictor": 15, "Colors": colours, "BitsPerComponent": depth, "Columns": columns}) == _by_bytes(data, step, width)
+
+
+def test_an_image_has_a_deadline_and_its_loss_is_told(spark, monkeypatch):
+    import time
+
+    from quire.sources import loader
+
+    gray = ("/Width 1 /Height 1 /BitsPerComponent 8 /ColorSpace /DeviceGray", b"\x10")
+    fax = ("/Width 9 /Height 9 /BitsPerComponent 1 /Filter /CCITTFaxDecode", b"\x10")
+    raw = build(["/Quick Do /Slow Do /Fax Do /Quick Do"], {"Quick": gray, "Slow": gray, "Fax": fax})
+    plain, calls = pdf.image_object, []
+
+    def slow(doc, stream):
+        calls.append(1)
+        if len(calls) == 2:
+            until = time.monotonic() + 5
+            while time.monotonic() < until:
+                pass
+        return plain(doc, stream)
+
+    monkeypatch.setattr(pdf, "image_object", slow)
+    began = time.monotonic()
+    found = pdf.page_layout(pdf.Document(raw), 1, with_images=True, object_seconds=0.2)
+    assert time.monotonic() - began < 3
+    assert {n: o["data"] for n, o in found.images.items()} == {"Quick": b"\x10", "Slow": None, "Fax": None}
+    assert found.lost == {"Slow": "not decoded within 0.2 s", "Fax": "no decoder for its format or colours"}
+    assert set(pdf.page_layout(pdf.Document(raw), 1, with_images=True, image_seconds=0).lost) == {"Quick", "Slow", "Fax"}
+    monkeypatch.undo()
+    files = spark.createDataFrame([(1, bytearray(raw), None)], "doc_id long, content binary, target array<long>")
+    decoded = loader.decode(files, with_images=True, object_seconds=30.0)
+    assert [(r.page, r.name, r.message) for r in loader.lost_images(decoded).collect()] == [(1, "Fax", "Image Fax was not decoded: no decoder for its format or colours")]
+    assert loader.image_objects(decoded).columns == ["scope", "doc_id", "page", "name", "width", "height", "kind", "data"]
