@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import near_copies, packing, pii, quality, substring_dedup
-from quire.session import scratch_path, ship
+from quire.session import discard, scratch_path, ship
 
 #: SQL can't express the forest or the trees; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -65,9 +65,12 @@ STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("substr
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)  # nothing reads it any more
+        before = path
     return docs
