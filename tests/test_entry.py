@@ -20,7 +20,7 @@ def test_entry_works_without_the_optional_parts(tmp_path, gone):
     done = subprocess.run([sys.executable, "-B", "-c", CODE], cwd=copy, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, timeout=300)
     assert done.returncode == 0, done.stderr
     found = done.stdout.split()
-    assert found == [] if "llm" in gone or not os.path.exists(os.path.join(REPO, "quire", "llm")) else len(found) == 10 and "pipeline" not in found
+    assert found == [] if "llm" in gone or not os.path.exists(os.path.join(REPO, "quire", "llm")) else len(found) == 13 and "pipeline" not in found
 
 
 def test_flagship(spark):

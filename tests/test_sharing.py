@@ -186,6 +186,6 @@ def test_only_pages_that_filters_leave_are_decoded(tmp_path, monkeypatch):
     assert [type(f) for f in left] == [IsNotNull, EqualTo]
     decoded = []
     plain = pdf.page_layout
-    monkeypatch.setattr(pdf, "page_layout", lambda doc, n, *a: decoded.append(n) or plain(doc, n, *a))
+    monkeypatch.setattr(pdf, "page_layout", lambda doc, n, *a, **b: decoded.append(n) or plain(doc, n, *a, **b))
     rows = [r for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()]
     assert sorted(decoded) == [5, 9] == sorted(r["page"] for r in rows)
