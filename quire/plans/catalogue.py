@@ -43,8 +43,8 @@ def _number() -> Column:
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, path, length, content of the documents' PDF files."""
-    return loader.scan(spark, fx.pdf_folder(spark, sf_dir), pathGlobFilter="*.pdf").select(_number().alias("doc_id"), "path", "length", "content")
+    """doc_id, path, length of the documents' PDF files, listed by the executors; who decodes a file reads it."""
+    return loader.under(spark, fx.pdf_folder(spark, sf_dir)).select(_number().alias("doc_id"), "path", "length")
 
 
 def _decoded_files(spark: SparkSession, sf_dir: str, every_page: bool) -> DataFrame:

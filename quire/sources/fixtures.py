@@ -68,10 +68,12 @@ def _placed(doc_id: int, text: str) -> list[list[tuple[str, float, float]]]:
 
 
 _folders: dict[tuple[str, str], str] = {}
+#: Files of one folder, about; more documents are more folders, which tasks list each.
+_FOLDER_FILES = 1000
 
 
 def pdf_folder(spark: SparkSession, sf_dir: str) -> str:
-    """A folder in the shared space with a PDF file <doc_id>.pdf for each document, whose runs are those of runs(); written once a session."""
+    """A folder in the shared space with a PDF file <folder>/<doc_id>.pdf for each document, whose runs are those of runs(); written once a session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _folders:
         folder = scratch_path(spark, "pdf")
@@ -80,10 +82,13 @@ def pdf_folder(spark: SparkSession, sf_dir: str) -> str:
             from quire.sources import pdf_writer
 
             fs, base = open_fs(folder)
-            fs.create_dir(base, recursive=True)
+            made = set()
             for frame in frames:
-                for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                    target = f"{base}/{doc_id}.pdf"
+                for doc_id, text, number in zip(frame["doc_id"], frame["text"], frame["folder"]):
+                    if number not in made:
+                        fs.create_dir(f"{base}/{number}", recursive=True)
+                        made.add(number)
+                    target = f"{base}/{number}/{doc_id}.pdf"
                     part = f"{target}.{uuid.uuid4().hex}.part"  # renamed when whole, so that a repeated task does no harm
                     with fs.open_output_stream(part) as sink:
                         sink.write(pdf_writer.write(_placed(int(doc_id), text)))
@@ -91,8 +96,10 @@ def pdf_folder(spark: SparkSession, sf_dir: str) -> str:
                 yield frame[["doc_id"]]
 
         bound_batches(spark)
-        docs = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null").select("doc_id", "text")
-        docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(write, "doc_id long").write.format("noop").mode("overwrite").save()
+        docs, tasks = table(spark, sf_dir, "documents"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        folders = max(4 * tasks, -(-docs.count() // _FOLDER_FILES))
+        docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(folders)).alias("folder"))
+        docs.repartition(tasks, "folder").mapInPandas(write, "doc_id long").write.format("noop").mode("overwrite").save()
         _folders[key] = folder
     return _folders[key]
 

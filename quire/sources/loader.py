@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ _ARROW = {
     "paints": pa.list_(pa.struct({"op_pos": pa.int32(), "fn": pa.int32(), "obj_name": pa.string(), "y": pa.float64()})),
     "object": pa.struct({"name": pa.string(), "width": pa.int32(), "height": pa.int32(), "kind": pa.int32(), "data": pa.binary(), "problem": pa.string()}),
 }
+_LISTED = pa.schema([("path", pa.string()), ("length", pa.int64()), ("folder", pa.bool_())])
 #: Pages of a batch of decoded rows at most; an image is a batch of its own.
 _BATCH_PAGES = 64
 
@@ -65,6 +67,42 @@ def listed(folders: DataFrame) -> DataFrame:
     return folders.select("folder").distinct().repartition(spread, "folder").mapInArrow(run, "path string")
 
 
+def tasks_of(spark: SparkSession) -> int:
+    """Tasks that paths are dealt to: told by number, as Spark would join partitions that hold a few bytes of names."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def under(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataFrame:
+    """path, length of the files in folder and below whose names end in suffix.
+
+    One task lists the folder itself, others the folders in it: no name passes through the driver, whose memory doesn't
+    depend on the number of files."""
+
+    def listing(given: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in given:
+            yield batch.filter(pc.invert(batch.column("folder")))
+            for path in batch.filter(batch.column("folder")).column("path").to_pylist():
+                store, base = open_fs(path)
+                prefix = path[: len(path) - len(base)] if path.endswith(base) else ""
+                found = store.get_file_info(fs.FileSelector(base, recursive=deep))
+                found = [f for f in found if f.path.endswith(suffix) and f.is_file or not deep and f.type == fs.FileType.Directory]
+                for at in range(0, len(found), 10_000):
+                    some = found[at : at + 10_000]
+                    yield pa.RecordBatch.from_pydict({"path": [prefix + f.path for f in some], "length": [f.size if f.is_file else None for f in some], "folder": [not f.is_file for f in some]}, schema=_LISTED)
+
+    names = "path string, length long, folder boolean"
+    top = spark.createDataFrame([(folder, None, True)], names).coalesce(1).mapInArrow(lambda given: listing(given, False), names)
+    return top.repartition(tasks_of(spark), "path").mapInArrow(lambda given: listing(given, True), names).select("path", "length")
+
+
+def shares_of(files: DataFrame, part_bytes: int) -> DataFrame:
+    """files (length, others) with shares, into how many parts of part_bytes each goes, and number: a row for each share."""
+    shares = F.greatest(F.lit(1), F.ceil(F.col("length") / max(1, part_bytes))).cast("int")
+    return files.withColumn("shares", shares).withColumn("number", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+
+
 def decode_one(source: bytes | ranged.Source, wanted: Callable[[int], list[int]], with_images: bool, with_head: bool = True, share: tuple[int, int] = (0, 1), object_seconds: float = math.inf) -> Iterator[dict]:
     """One document's rows: an unreadable file is an error of its head, an unreadable page an error of that page, unreadable metadata absent.
 
@@ -134,14 +172,16 @@ def batches(rows: Iterator[dict], key: str = "doc_id") -> Iterator[pa.RecordBatc
 
 
 def decode(files: DataFrame, every_page: bool = True, with_images: bool = False, part_bytes: int = PART_BYTES, object_seconds: float = math.inf) -> DataFrame:
-    """The rows of DECODED for each row of files (doc_id, content, target: pages wanted or null; path and length if they are known).
+    """The rows of DECODED for each row of files (doc_id, target: pages wanted or null; content, or path and length, or all three).
 
     Only the pages wanted are decoded: the selection goes into the decoder, as nothing prunes behind it. A file of over
     part_bytes bytes whose path is known is dealt out by shares of its pages: only its path is shuffled, each task seeks what
-    its pages need, and the scan doesn't read such contents. Other files stay where they were read."""
+    its pages need, and the scan doesn't read such contents. Other files stay where they were read; without a column content
+every file is read by the task that its path is dealt to."""
     bound_batches(files.sparkSession)
     seekable = {"path", "length"} <= set(files.columns)
     plain = files.where(F.col("length") <= part_bytes) if seekable else files
+    columns = ["doc_id", "path", "target", "shares", "number"]
 
     def whole(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in given:
@@ -151,17 +191,17 @@ def decode(files: DataFrame, every_page: bool = True, with_images: bool = False,
     def shared(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in given:
             for row in batch.to_pylist():
-                source = ranged.Ranged(row["path"])
+                source = ranged.opened(row["path"])
                 found = decode_one(source, _wanted(row["target"], every_page), with_images, row["number"] == 0, (row["number"], row["shares"]), object_seconds)
                 yield from batches({"doc_id": row["doc_id"]} | r for r in found)
                 source.close()
 
+    if "content" not in files.columns:
+        return shares_of(files, part_bytes).select(columns).repartition(tasks_of(files.sparkSession), "path", "number").mapInArrow(shared, DECODED)
     out = plain.select("doc_id", "content", "target").mapInArrow(whole, DECODED)
     if not seekable:
         return out
-    shares = F.ceil(F.col("length") / max(1, part_bytes)).cast("int")
-    great = files.where(F.col("length") > part_bytes).select("doc_id", "path", "target", shares.alias("shares"))
-    great = great.select("*", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("number")).repartition("doc_id", "number")
+    great = shares_of(files.where(F.col("length") > part_bytes), part_bytes).select(columns).repartition("doc_id", "number")
     return out.unionByName(great.mapInArrow(shared, DECODED))
 
 
