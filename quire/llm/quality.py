@@ -6,9 +6,11 @@ few splits, so a short mean path means an anomaly. The threshold on the anomaly
 labelled rows: among all cuts, that with the best balanced accuracy while at least MIN_KEPT of the good
 labelled rows stay; documents above it are rejected.
 
-Training reads the statistics of at most TRAIN_ROWS labelled rows (chosen by a hash of doc_id), a documented
-bound; scoring and the rules cover every document. Without labels of both kinds no cut is made and only the
-fixed rules reject.
+Training takes every labelled row, in Spark. The statistics are scaled by exact quantiles of all good rows. Half of these,
+by a hash of doc_id, are dealt to the trees, each row to one at least and to more while trees would have fewer than SUBSAMPLE
+rows; a tree grows where its rows meet and is cut at the depth of SUBSAMPLE rows, so the model keeps its size however many
+rows there are. The threshold is sought among the scores of all the rows that no tree has seen. Without labels of both kinds
+no cut is made and only the fixed rules reject.
 
 An empty table gives no rows; a very long text is one row of a batch that is cut by bytes. Columns are kept whatever
 their names. Equal scores at the cut stay.
@@ -20,18 +22,20 @@ doc_id is judged like any other. Conflicting labels of one doc_id count as rejec
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.batches import column, map_batches, texts_of
-from quire.session import bound_batches
+from quire.llm.ranks import running
+from quire.session import Scratch, bound_batches
 from quire.llm.textops import WindowHasher, word_bounds, word_hashes
 
-TRAIN_ROWS = 4000
 TREES, SUBSAMPLE, SEED = 200, 256, 20240917
 MIN_KEPT = 0.995
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -40,6 +44,9 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Statistics that the forest splits on, all independent of the document's length.
 FEATURES = ["symbols_per_word", "dup_line_share", "repeat_share", "mean_word", "upper_share", "exclaim_share", "bar_share", "distinct_share", "digit_share", "mark_share"]
 
+#: The columns of a tree's nodes, in the order of IsolationForest.grow.
+_NODES = {"feature": "int", "cut": "double", "left": "int", "right": "int", "depth": "double"}
+
 _SYMBOL, _CONT, _UPPER, _DIGIT = (np.zeros(256, dtype=bool) for _ in range(4))
 _SYMBOL[list(b"#*$%&|<>")] = True
 _CONT[0x80:0xC0] = True
@@ -92,20 +99,30 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 
 
 class IsolationForest:
-    """Random trees stored as arrays; score near 1 for points isolated early, about 0.5 for ordinary ones."""
+    """Random trees stored as arrays; score near 1 for points isolated early, about 0.5 for ordinary ones.
+
+    A split value is drawn from the range of the data widened by half of it, so that points outside what the trees have seen are isolated too."""
 
     def __init__(self, points: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED) -> None:
         rng = np.random.default_rng(seed)
         self.subsample = min(subsample, len(points))
-        limit = max(1, math.ceil(math.log2(max(2, self.subsample))))
-        # a split value is drawn from the range of the data widened by half of it, so that points outside what the trees have seen are isolated too
-        self.trees = [self._grow(points[rng.choice(len(points), self.subsample, replace=False)], limit, rng) for _ in range(trees)]
+        self.trees = [self.grow(points[rng.choice(len(points), self.subsample, replace=False)], rng, subsample) for _ in range(trees)]
+
+    @classmethod
+    def of(cls, trees: list[tuple[np.ndarray, ...]], rows: int) -> IsolationForest:
+        """The forest of trees that have grown elsewhere, each on about so many rows."""
+        forest = cls.__new__(cls)
+        forest.subsample, forest.trees = rows, trees
+        return forest
 
     @staticmethod
     def _expected(n: float) -> float:
         return 0.0 if n <= 1 else 2.0 * (math.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n
 
-    def _grow(self, points: np.ndarray, limit: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+    @classmethod
+    def grow(cls, points: np.ndarray, rng: np.random.Generator, subsample: int = SUBSAMPLE) -> tuple[np.ndarray, ...]:
+        """A tree on all points, no deeper than one on subsample points: rows that share a leaf count by the length they would still need."""
+        limit = max(1, math.ceil(math.log2(max(2, min(subsample, len(points))))))
         feature, cut, left, right, depth = [], [], [], [], []
 
         def node(rows: np.ndarray, level: int) -> int:
@@ -114,7 +131,7 @@ class IsolationForest:
                 column_.append(value)
             low, high = (rows.min(axis=0), rows.max(axis=0)) if len(rows) else (np.zeros(1), np.zeros(1))
             if level >= limit or not len(rows):
-                depth[at] = level + self._expected(len(rows))
+                depth[at] = level + cls._expected(len(rows))
                 return at
             f = int(rng.integers(len(low)))
             width = high[f] - low[f]
@@ -162,85 +179,142 @@ def calibrate(scores: np.ndarray, good: np.ndarray, min_kept: float = MIN_KEPT)
 
 
 class Model:
-    """A forest on standardised statistics and its threshold; without both kinds of labels it keeps all."""
-
-    def __init__(self, features: np.ndarray, good: np.ndarray, usable: np.ndarray) -> None:
-        self.threshold, self.forest = float("inf"), None
-        good_rows = features[good & usable]
-        if len(good_rows) < 8 or good[usable].all():
-            return
-        self.low = np.quantile(good_rows, 0.01, axis=0)
-        self.span = np.maximum(np.quantile(good_rows, 0.99, axis=0) - self.low, 1e-3)
-        # fit on one half of the good rows and calibrate on the rest, so that the cut isn't set on what the trees have seen
-        half = np.cumsum(good & usable) % 2 == 0
-        fit = good & usable & half
-        self.forest = IsolationForest(self._scale(features[fit]))
-        held = usable & ~fit
-        self.threshold = calibrate(self.score(features[held]), good[held])
-
-    def _scale(self, features: np.ndarray) -> np.ndarray:
+    """A forest on standardised statistics and its threshold; without a forest it keeps all."""
+
+    def __init__(self, forest: IsolationForest | None = None, low: np.ndarray | None = None, span: np.ndarray | None = None) -> None:
+        self.forest, self.low, self.span, self.threshold = forest, low, span, float("inf")
+
+    def scale(self, features: np.ndarray) -> np.ndarray:
         return np.clip((features - self.low) / self.span, -3.0, 4.0)
 
     def score(self, features: np.ndarray) -> np.ndarray:
-        return self.forest.score(self._scale(features)) if self.forest is not None else np.zeros(len(features))
+        return self.forest.score(self.scale(features)) if self.forest is not None else np.zeros(len(features))
 
     def keeps(self, features: np.ndarray) -> np.ndarray:
         return self.score(features) <= self.threshold
 
 
 def rule_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts and the features (an array) of every document."""
+    """doc_id, the base counts, the features (an array) and a hash of the text of every document."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        rows = [statistics(t) for t in texts_of(batch)]
-        return {"doc_id": column(batch, "doc_id"), "features": [r[1] for r in rows]} | {name: [r[0][i] for r in rows] for i, name in enumerate(BASE)}
+        texts = texts_of(batch)
+        rows = [statistics(t) for t in texts]
+        return {"doc_id": column(batch, "doc_id"), "features": [r[1] for r in rows], "h": [xxhash.xxh64_intdigest(t) >> 1 for t in texts]} | {name: [r[0][i] for r in rows] for i, name in enumerate(BASE)}
 
-    return map_batches(docs.select("doc_id", "text"), work, "doc_id long, " + ", ".join(f"{x} long" for x in BASE) + ", features array<double>")
+    return map_batches(docs.select("doc_id", "text"), work, "doc_id long, " + ", ".join(f"{x} long" for x in BASE) + ", features array<double>, h long")
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fit and calibrate on at most `rows` labelled documents."""
-    marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")  # at most TRAIN_ROWS ids
-    # of several rows of one id always the same one, so that every run fits the same model
-    one = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
-    seen = rule_statistics(one).join(chosen, "doc_id").orderBy("doc_id").collect()
-    features = np.array([r.features for r in seen], dtype=float).reshape(-1, len(FEATURES))
-    good = np.array([r.quality > 0 for r in seen], dtype=bool)
-    usable = np.array([not base_failed(r.n_words, r.n_repeat_words) for r in seen], dtype=bool)
-    return Model(features, good, usable)
+def _failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def judge(docs: DataFrame, labels: DataFrame | None, rows: int = TRAIN_ROWS, keep_columns: bool = False) -> DataFrame:
-    """doc_id, the base counts, base_failed, score and kept; with keep_columns the kept rows of docs instead."""
-    model = train(docs, labels, rows) if labels is not None else Model(np.zeros((0, len(FEATURES))), np.zeros(0, bool), np.zeros(0, bool))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def quantiles(rows: DataFrame, shares: tuple[float, ...], tables: Scratch) -> np.ndarray:
+    """The quantiles of each place of features over all rows (one row a share, as numpy interpolates them)."""
+    valued = rows.select(F.posexplode("features").alias("f", "v")).groupBy("f", "v").agg(F.count("*").alias("n"))
+    ranked = tables.keep(running(valued, ["f"], "v", ["n"], tables, "values"), "ranked")
+    count = rows.count()
+    places = [share * (count - 1) for share in shares]
+    ranks = sorted({r for place in places for r in (math.floor(place), math.ceil(place))})
+    held = " or ".join(f"(upto_n > {r} and upto_n - n <= {r})" for r in ranks)
+    found = ranked.where(held).collect()  # a few values of each statistic
+    at = {(r, x.f): x.v for x in found for r in ranks if x.upto_n - x.n <= r < x.upto_n}
+    tables.drop("values", "ranked")
+    return np.array([[at[math.floor(p), f] + (at[math.ceil(p), f] - at[math.floor(p), f]) * (p - math.floor(p)) for f in range(len(FEATURES))] for p in places])
+
+
+def calibrated(scored: DataFrame, tables: Scratch, min_kept: float = MIN_KEPT) -> float:
+    """calibrate() over all rows (score, good) of a table."""
+    grouped = scored.groupBy("score").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    total = scored.agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).first()
+    if not total.good or not total.bad:
+        return float("inf")
+    summed = tables.keep(running(grouped, [], "score", ["good", "bad"], tables, "scores"), "summed")
+    kept = F.col("upto_good") / total.good
+    best = summed.where(kept >= min_kept).select((kept - F.col("upto_bad") / total.bad).alias("merit"), "score").orderBy(F.desc("merit"), "score").limit(1).collect()
+    after = summed.where(F.col("score") > best[0].score).agg(F.min("score")).first()[0]
+    tables.drop("scores", "summed")
+    return (best[0].score + after) / 2 if best[0].merit > 0 and after is not None else float("inf")
+
+
+def forest_of(rows: DataFrame, count: int, scale: Callable[[np.ndarray], np.ndarray]) -> IsolationForest:
+    """A forest on all of `count` rows (doc_id, features), each tree grown where its rows meet."""
+    copies = min(TREES, max(1, -(-TREES * SUBSAMPLE // count)))
+    # a row's trees are apart by a step that has no divisor in common with their number, so they differ and no two trees have the same rows
+    steps = [x for x in range(1, TREES) if math.gcd(x, TREES) == 1]
+    first, step = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(TREES)), F.get(F.array(*map(F.lit, steps)), F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(len(steps))).cast("int"))
+    dealt = rows.select("doc_id", "features", first.alias("first"), step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+    dealt = dealt.select("doc_id", "features", ((F.col("first") + F.col("step") * F.col("copy")) % TREES).cast("int").alias("tree"))
+
+    def grown(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("doc_id")
+        number = int(frame["tree"].iloc[0])
+        tree = IsolationForest.grow(scale(np.stack(frame["features"])), np.random.default_rng([SEED, number]))
+        return pd.DataFrame({"tree": [number]} | {name: [part] for name, part in zip(_NODES, tree)})
+
+    found = dealt.groupBy("tree").applyInPandas(grown, "tree int, " + ", ".join(f"{name} array<{kind}>" for name, kind in _NODES.items()))
+    trees = [tuple(np.array(r[name]) for name in _NODES) for r in found.orderBy("tree").collect()]  # TREES rows
+    return IsolationForest.of(trees, round(count * copies / TREES))
 
-    def decide(batch: pa.RecordBatch) -> dict:
-        counts, features = zip(*[statistics(t) for t in texts_of(batch)])
-        failed = np.array([base_failed(c[0], c[4]) for c in counts])
-        matrix = np.array(features)
-        score = sent.value.score(matrix)
-        return {name: [c[i] for c in counts] for i, name in enumerate(BASE)} | {"base_failed": failed, "score": score, "kept": ~failed & (score <= sent.value.threshold)}
 
-    if keep_columns:
-        bound_batches(docs.sparkSession)
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit and calibrate on all labelled documents."""
+    return _trained(rule_statistics(docs), labels)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    yield batch.filter(pa.array(decide(batch)["kept"]))
 
-        return docs.mapInArrow(run, docs.schema)
+def _trained(stats: DataFrame, labels: DataFrame) -> Model:
+    tables = Scratch(stats.sparkSession, "quality")
+    marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    # of several rows of one id always the same one, so that every run fits the same model
+    one = stats.groupBy("doc_id").agg(F.min(F.struct("h", "n_words", "n_repeat_words", "features")).alias("s")).join(marked, "doc_id")
+    usable = one.select("doc_id", "s.*", (F.col("quality") > 0).alias("good")).where(~_failed())
+    rows = tables.keep(usable.select("doc_id", "good", "features", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("half")), "labelled")
+    # fit on one half of the good rows and calibrate on the rest, so that the cut isn't set on what the trees have seen
+    fit = F.col("good") & F.col("half")
+    n = rows.agg(F.count("*").alias("rows"), F.count_if("good").alias("good"), F.count_if(fit).alias("fit")).first()
+    model = Model()
+    if n.good >= 8 and n.good < n.rows and n.fit:
+        low, high = quantiles(rows.where("good"), (0.01, 0.99), tables)
+        model = Model(None, low, np.maximum(high - low, 1e-3))
+        model.forest = forest_of(rows.where(fit), n.fit, model.scale)
+        sent = stats.sparkSession.sparkContext.broadcast(model)
+        held = map_batches(rows.where(~fit).select("good", "features"), lambda batch: {"good": column(batch, "good"), "score": sent.value.score(_matrix(batch))}, "good boolean, score double")
+        model.threshold = calibrated(tables.keep(held, "held"), tables)
+    tables.drop("labelled", "held")
+    return model
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+
+
+def judge(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """doc_id, the base counts, base_failed, score and kept of every document; statistics are taken once."""
+    stats = rule_statistics(docs)
+    if labels is not None:
+        stats = Scratch(docs.sparkSession, "quality-statistics").keep(stats, "documents")
+    model = _trained(stats, labels) if labels is not None else Model()
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> dict:
-        return decide(batch) | {"doc_id": column(batch, "doc_id")}
+        score = sent.value.score(_matrix(batch))
+        return {name: column(batch, name) for name in ("doc_id", *BASE)} | {"score": score, "normal": score <= sent.value.threshold}
 
-    return map_batches(docs.select("doc_id", "text"), work, "doc_id long, " + ", ".join(f"{x} long" for x in BASE) + ", base_failed boolean, score double, kept boolean")
+    scored = map_batches(stats.drop("h"), work, "doc_id long, " + ", ".join(f"{x} long" for x in BASE) + ", score double, normal boolean")
+    return scored.select("doc_id", *BASE, _failed().alias("base_failed"), "score", (~_failed() & F.col("normal")).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The documents that the rules and the forest keep, with their columns."""
-    return judge(docs, labels, keep_columns=True)
+    model = train(docs, labels) if labels is not None else Model()
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                counts, features = zip(*[statistics(t) for t in texts_of(batch)])
+                failed = np.array([base_failed(c[0], c[4]) for c in counts])
+                yield batch.filter(pa.array(~failed & sent.value.keeps(np.array(features))))
 
+    return docs.mapInArrow(run, docs.schema)
