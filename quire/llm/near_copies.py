@@ -9,10 +9,13 @@ candidate in one of three ways, and every candidate is verified on the whole set
 2. Two sets of similarity 4/5 share one of the first n // 5 + 1 shingles of each in any one order of all shingles,
    its prefix. The order is: rare shingles by their hash, then frequent ones by theirs, so a passage that thousands
    of unlike documents share, or a common phrase, is in no prefix unless four fifths of the document are such. On
-   each prefix shingle every set meets the least one.
+   each prefix shingle every set meets the least one, and the one next to it in size.
 3. The components of these links are found, and pairs of different components that share a prefix shingle are
-   candidates; within a component no pair is needed any more. With this no link between components is lost. Pairs whose
-   parity signatures (512 bits of all shingles) prove them unlike never leave the join.
+   candidates; within a component no pair is needed any more. With this no link between components is lost. The least set
+   of a shingle has met all others there and takes no part; of shingles that the same sets have only the first in the
+   order is taken; and a pair meets only where enough of both sets comes after, as it does on the first shingle that two
+   similar sets share. Pairs whose parity signatures (of one to two bits a shingle) prove them unlike never leave the join, and no candidate that they prove
+   unlike is verified.
 
 Frequent is what over GROUP sets have among their least hashes (a quarter more than a prefix, so that most sets know
 a whole prefix of rare ones), and what over GROUP of those sets have at all that know too few, unless another set's
@@ -39,8 +42,8 @@ from quire.llm.batches import column, free_name, map_batches, texts_of, with_row
 from quire.session import Scratch
 
 SHINGLE, GROUP = 5, 16
-#: Longs of a set's parity signature.
-SIGNATURE = 8
+#: Longs of a set's parity signature at least.
+LEAST = 8
 
 
 def _unique(hashes: np.ndarray) -> np.ndarray:
@@ -53,8 +56,12 @@ def shingle_set(raw: bytes) -> np.ndarray:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """For each of 64 * SIGNATURE bits the parity of the shingles that hash to it: two sets' signatures differ in no more bits than the sets differ in shingles."""
-    odd = np.bincount((found.view(np.uint64) >> np.uint64(7)).astype(np.int64) % (64 * SIGNATURE), minlength=64 * SIGNATURE) & 1
+    """For each bit the parity of the shingles that hash to it: two sets' signatures differ in no more bits than the sets differ in shingles.
+
+    There are 64 * LEAST bits, or as many as a power of two gives between one and two a shingle; a signature of half the
+    length is made by xor of its halves."""
+    bits = 64 * LEAST << (len(found) // (64 * LEAST)).bit_length()
+    odd = np.bincount((found.view(np.uint64) >> np.uint64(7)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -112,14 +119,14 @@ def _late(rows: DataFrame, frequent: DataFrame) -> DataFrame:
 
 
 def prefix_rows(docs: DataFrame, sets: DataFrame, tables: Scratch) -> DataFrame:
-    """id, n, h, first: the prefix shingles that more than one set has, with the least (n, id) of each shingle's sets."""
+    """id, n, pos, h, first: the prefix shingles (h, the pos-th) that more than one set has, with the least (n, id) of each shingle's sets."""
     known = sets.select("id", F.explode("least").alias("h"))
     frequent = tables.keep(_frequent(known), "frequent")
     own = sets.join(_late(known, frequent), "id", "left")
     rare = F.expr("size(least) - coalesce(size(array_intersect(least, late)), 0)")
     enough = (rare >= F.expr("n div 5 + 1")) | (F.size("least") == F.col("n"))
     own = tables.keep(own.select("id", "_k", "n", F.when(enough, F.expr(_ordered("least"))).alias("prefix")), "own")
-    rows = own.where("prefix is not null").select("id", "n", F.explode("prefix").alias("h"))
+    rows = own.where("prefix is not null").select("id", "n", F.posexplode("prefix").alias("pos", "h"))
     whole = tables.keep(_whole(docs, own.where("prefix is null").select("_k")), "whole")
     every = whole.select("id", F.explode("whole").alias("h"))
     crowd = tables.keep(_frequent(every), "crowd")
@@ -127,7 +134,7 @@ def prefix_rows(docs: DataFrame, sets: DataFrame, tables: Scratch) -> DataFrame:
     settled = rows.join(crowd, "h", "left_semi").select("h").distinct()
     frequent = tables.keep(frequent.union(crowd.join(settled, "h", "left_anti")).distinct(), "all-frequent")
     more = whole.join(_late(every, frequent), "id", "left").withColumn("n", F.size("whole"))
-    rows = tables.keep(rows.union(more.select("id", "n", F.expr(f"explode({_ordered('whole')})").alias("h"))), "rows")
+    rows = tables.keep(rows.union(more.select("id", "n", F.posexplode(F.expr(_ordered("whole"))).alias("pos", "h"))), "rows")
     tables.drop("frequent", "own", "whole", "crowd")
     with_h = Window.partitionBy("h")
     least = F.min(F.struct("n", "id"))
@@ -135,26 +142,42 @@ def prefix_rows(docs: DataFrame, sets: DataFrame, tables: Scratch) -> DataFrame:
     crowded = tables.keep(_frequent(rows), "crowded")
     few = rows.join(crowded, "h", "left_anti").withColumn("c", F.count("*").over(with_h)).withColumn("first", least.over(with_h))
     many = rows.join(crowded, "h", "left_semi")
-    many = many.join(many.groupBy("h").agg(F.count("*").alias("c"), least.alias("first")), "h").select("id", "n", "h", "c", "first")
-    shared = tables.keep(few.unionByName(many).where("c > 1").select("id", "n", "h", "first"), "shared")
+    many = many.join(many.groupBy("h").agg(F.count("*").alias("c"), least.alias("first")), "h").select("id", "n", "pos", "h", "c", "first")
+    shared = tables.keep(few.unionByName(many).where("c > 1").select("id", "n", "pos", "h", "first"), "shared")
     tables.drop("rows", "all-frequent", "crowded")
     return shared
 
 
-def _possible(pairs: DataFrame) -> DataFrame:
-    """Ids (a, b) of the pairs (x, y), one row a shared prefix shingle, that may be similar enough.
-
-    The whole prefix of the set whose prefix ends first is known to be in the other set or not, and of n shingles no
-    more than n - least may be missing there."""
-    least = "(4 * (x.n + y.n) + 8) div 9"
-    fit = " or ".join(f"{s}.n div 5 + 1 - seen <= {s}.n - {least}" for s in "xy")
-    sized = pairs.where("5 * x.n >= 4 * y.n and 5 * y.n >= 4 * x.n")
-    return sized.groupBy("x", "y").agg(F.count("*").alias("seen")).where(fit).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+def _sized(pairs: DataFrame) -> DataFrame:
+    """Ids (a, b), a < b, of the different pairs (x, y) whose sizes allow a similarity of 4/5."""
+    return pairs.where("5 * x.n >= 4 * y.n and 5 * y.n >= 4 * x.n").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def starred(shared: DataFrame) -> DataFrame:
     """Candidates (a, b), a < b: on each prefix shingle every set and the least one."""
-    return _possible(shared.where("id <> first.id").select(F.col("first").alias("x"), F.struct("n", "id").alias("y")))
+    return _sized(shared.where("id <> first.id").select(F.col("first").alias("x"), F.struct("n", "id").alias("y")))
+
+
+def neighbours(shared: DataFrame) -> DataFrame:
+    """Candidates (a, b), a < b: on each prefix shingle every set and that before it in size. They chain up groups whose least
+    set is unlike; sets of one shingle may lie in several ranges, between which no neighbours are sought."""
+    ranges = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = shared.repartitionByRange(ranges, "h", "n", "id").withColumn("range", F.spark_partition_id())
+    before = F.lag(F.struct("n", "id")).over(Window.partitionBy("h", "range").orderBy("n", "id"))
+    return _sized(dealt.select(before.alias("x"), F.struct("n", "id").alias("y")).where("x is not null"))
+
+
+def _differ(x: str, y: str) -> str:
+    """The bits in which two signatures differ, a lower bound of the shingles in which the sets do; the longer has at most twice the length."""
+    halved = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (u, v) -> u ^ v), {0})"
+    return f"aggregate(zip_with({halved.format(x, y)}, {halved.format(y, x)}, (u, v) -> bit_count(u ^ v)), 0, (s, c) -> s + c)"
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The candidates (a, b) that signatures don't prove unlike: sets of similarity 4/5 differ in a ninth of their shingles together at most."""
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("sig").alias("p")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("sig").alias("q")), "b")
+    return both.where(f"5 * an >= 4 * bn and 5 * bn >= 4 * an and 9 * {_differ('p', 'q')} <= an + bn").select("a", "b")
 
 
 def ball_pairs(sets: DataFrame) -> DataFrame:
@@ -166,23 +189,23 @@ def ball_pairs(sets: DataFrame) -> DataFrame:
     return same.union(met).select(F.least("first", "other").alias("a"), F.greatest("first", "other").alias("b"))
 
 
-def _differ(x: str, y: str) -> str:
-    """The bits in which two signatures differ, a lower bound of the shingles in which the sets do."""
-    return " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(SIGNATURE))
-
-
 def apart(sets: DataFrame, shared: DataFrame, roots: DataFrame) -> DataFrame:
     """Candidates (a, b), a < b, of different components that share a prefix shingle.
 
     Sets of similarity 4/5 differ in a ninth of their shingles together at most; where the signatures already differ in more
-    the pair leaves the join at once, so a group of near misses gives no rows."""
+    the pair leaves the join at once, so a group of near misses gives no rows. They share four ninths of both their numbers,
+    and all of these from the first one that they share on."""
     of = sets.select("id", "name", "sig").join(roots, sets.name == roots.node, "left").select("id", "sig", F.coalesce("root", F.encode(F.col("id").cast("string"), "UTF-8")).alias("root"))
-    rooted = shared.select("h", "id", "n").join(of.select("id", "root"), "id")
-    mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-    left = rooted.join(mixed, "h").join(of.select("id", "sig"), "id").select("h", F.struct("n", "id").alias("s"), "root", "sig")
-    one, other = left.select("h", F.col("s").alias("x"), F.col("root").alias("xr"), F.col("sig").alias("xs")), left.select(F.col("h").alias("_h"), F.col("s").alias("y"), F.col("root").alias("yr"), F.col("sig").alias("ys"))
-    fits = F.expr(f"h = _h and x < y and xr <> yr and 5 * x.n >= 4 * y.n and 9 * ({_differ('xs', 'ys')}) <= x.n + y.n")
-    return _possible(one.join(other, fits).select("x", "y"))
+    # the least set of a shingle has met all others there
+    rooted = shared.where("id <> first.id").select("h", "id", "n", "pos").join(of.select("id", "root"), "id")
+    same = [F.count("*").alias("c"), *[F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(f"l{seed}") for seed in (1, 2)]]
+    mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("pos").alias("at"), *same).where("low <> high")
+    # shingles of the same sets (by their number and 128 bits of hashes) would give the same pairs
+    mixed = mixed.groupBy("c", "l1", "l2").agg(F.min_by("h", "at").alias("h")).select("h")
+    left = rooted.join(mixed, "h").join(of.select("id", "sig"), "id").select("h", F.struct("n", "id").alias("s"), F.expr("n - pos").alias("rest"), "root", "sig")
+    one, other = left.select("h", F.col("s").alias("x"), F.col("rest").alias("xl"), F.col("root").alias("xr"), F.col("sig").alias("xs")), left.select(F.col("h").alias("_h"), F.col("s").alias("y"), F.col("rest").alias("yl"), F.col("root").alias("yr"), F.col("sig").alias("ys"))
+    fits = F.expr(f"h = _h and x < y and xr <> yr and 5 * x.n >= 4 * y.n and 9 * least(xl, yl) >= 4 * (x.n + y.n) and 9 * {_differ('xs', 'ys')} <= x.n + y.n")
+    return _sized(one.join(other, fits).select("x", "y"))
 
 
 def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, tables: Scratch, name: str) -> DataFrame:
@@ -206,7 +229,8 @@ def classes(docs: DataFrame) -> DataFrame:
     of = tables.keep(per_doc.select("doc_id", "_k", "name"), "names")
     tables.drop("documents")
     shared = prefix_rows(docs, sets, tables)
-    first = verified(docs, sets, ball_pairs(sets).union(starred(shared)), tables, "first")
+    met = ball_pairs(sets).union(starred(shared)).union(neighbours(shared)).distinct()
+    first = verified(docs, sets, alike(met, sets), tables, "first")
     rest = verified(docs, sets, apart(sets, shared, simhash.components(first)), tables, "rest")
     roots = simhash.components(first.union(rest))
     tables.drop("shared", "sets")

@@ -96,3 +96,37 @@ def test_near_misses_give_no_rows(spark):
     none = spark.createDataFrame([], "a binary, b binary")
     assert near_copies.apart(sets, shared, simhash.components(none)).count() == 0
     assert near_copies.deduplicate(docs).count() == 120
+
+
+def test_signatures_of_long_sets_tell_near_misses_apart():
+    """Sets of 4,000 shingles of which a quarter differ: 512 bits are the same as chance, one to two bits a shingle prove it."""
+    rng = np.random.default_rng(10)
+    base = rng.integers(-(2**62), 2**62, 4000)
+    other = np.concatenate((base[:3000], rng.integers(-(2**62), 2**62, 1000)))
+    a, b = (near_copies.signature(near_copies._unique(x)) for x in (base, other))
+    bits = sum(bin(int(x) & (2**64 - 1)).count("1") for x in a ^ b)
+    assert 9 * bits > 8000
+
+
+def test_pairs_of_unlike_lengths_keep_their_links(spark):
+    """Chains around the lengths at which signatures double, in groups where the least set is unlike the rest; the join gives few rows a pair."""
+    rng, rows = random.Random(11), []
+    for length in (505, 512, 1024, 1030):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(length)]
+        for k in range(10):
+            cut = rng.randrange(0, length // 12)
+            rows.append((len(rows), " ".join(edited(rng, words, rng.choice((0, 3, 9))).split()[cut:])))
+        rows += [(len(rows) + k, " ".join(words[: length // 3] + [f"v{rng.randrange(10**6)}" for _ in range(length // 3)])) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.deduplicate(docs).collect()) == kept(rows)
+    tables = Scratch(spark, "few-rows")
+    sets = near_copies.shingle_sets(docs).groupBy("name").agg(*[F.first(c).alias(c) for c in ("id", "_k", "n", "least", "fp", "sig")])
+    shared = tables.keep(near_copies.prefix_rows(docs, sets, tables), "s")
+    none = spark.createDataFrame([], "a binary, b binary")
+    found = {(r.a, r.b) for r in near_copies.apart(sets, shared, simhash.components(none)).union(near_copies.starred(shared)).collect()}
+    ids = {i: near_copies._id(near_copies._name(near_copies.shingle_set(t.encode()))) for i, t in rows}
+    for i, t in rows:
+        for j, u in rows:
+            x, y = shingles(t), shingles(u)
+            if i < j and ids[i] != ids[j] and 5 * len(x & y) >= 4 * len(x | y):
+                assert tuple(sorted((ids[i], ids[j]))) in found  # by the least set or by the join, whatever the components
