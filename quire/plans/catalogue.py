@@ -94,8 +94,8 @@ def asked_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pdf_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page texts out of PDF files: scan, decoding, a row a page, lines, pages."""
-    return loader.page_texts(_decoded_files(spark, sf_dir, every_page=True))
+    """Page texts out of PDF files: scan, decoding, a row a page, whose lines are joined where it is decoded."""
+    return loader.texts(_files(spark, sf_dir).withColumn("target", F.lit(None).cast("array<long>")))
 
 
 def pdf_page_count(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,12 +58,15 @@ def _placed(doc_id: int, text: str) -> list[list[tuple[str, float, float]]]:
     """The runs of a document by page, as runs() has them; those without a height are left out."""
     lines = text.split("\n")
     pages: list[list[tuple[str, float, float]]] = [[] for _ in range((len(lines) - 1) // 5 + 1 + (doc_id % 3 == 0))]
+    lost = 3 if doc_id % 11 == 0 else -1
     for pos, line in enumerate(lines):
-        for wpos, word in enumerate(line.split(" ")):
-            if doc_id % 11 == 0 and wpos == 3:
-                continue
-            shown = "\t\xa0" if doc_id % 13 == 0 and pos % 5 == 2 else word + " "
-            pages[pos // 5].append((shown, 10.0 * wpos, 700.0 - 20 * (pos % 5) + (wpos % 4) * 0.25 - 0.5 - (1000 if doc_id % 7 == 0 else 0)))
+        words, top = line.split(" "), 700.0 - 20 * (pos % 5) - 0.5 - (1000 if doc_id % 7 == 0 else 0)
+        if doc_id % 13 == 0 and pos % 5 == 2:
+            shown = ["\t\xa0"] * len(words)
+        else:
+            shown = [word + " " for word in words]
+        heights = (top, top + 0.25, top + 0.5, top + 0.75)
+        pages[pos // 5] += [(word, 10.0 * wpos, heights[wpos % 4]) for wpos, word in enumerate(shown) if wpos != lost]
     return pages
 
 

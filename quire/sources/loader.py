@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from quire.functions import js
 from quire.operators import layout
 from quire.operators.paths import RequestError
-from quire.session import bound_batches, open_fs
+from quire.session import BATCH_ROWS, bound_batches, open_fs
 from quire.sources import ranged
 
 #: A file of more bytes is dealt out by shares of its pages, one for so many bytes.
@@ -41,6 +42,8 @@ _ARROW = {
 _LISTED = pa.schema([("path", pa.string()), ("length", pa.int64()), ("folder", pa.bool_())])
 #: Pages of a batch of decoded rows at most; an image is a batch of its own.
 _BATCH_PAGES = 64
+#: Characters of a batch of finished texts, about.
+_BATCH_CHARS = 1 << 20
 
 
 def scan(spark: SparkSession, paths: list[str] | str, **options: str) -> DataFrame:
@@ -132,7 +135,7 @@ def decode_one(source: bytes | ranged.Source, wanted: Callable[[int], list[int]]
             continue
         yield {
             "page": page,
-            "runs": found.runs,
+            "runs": (found.texts, found.heights),
             "paints": [{"op_pos": i, "fn": code, "obj_name": name, "y": m[5]} for i, (code, name, m) in enumerate(found.paints)] if with_images else [],
         }
         for name, o in found.images.items():
@@ -144,12 +147,12 @@ def _wanted(target: list[int] | None, every_page: bool) -> Callable[[int], list[
     return lambda count: [p for p in target if p <= count] if target is not None else list(range(1, count + 1)) if every_page else []
 
 
-def _run_lists(pages: list[list[tuple[str, list[float]]] | None]) -> pa.Array:
-    """The runs of pages as a list column, made of flat columns."""
-    sizes = [len(runs or ()) for runs in pages]
-    flat = [run for runs in pages for run in runs or ()]
+def _run_lists(pages: list[tuple[list[str], list[float]] | None]) -> pa.Array:
+    """The runs of pages, by their texts and heights, as a list column, made of flat columns."""
+    sizes = [len(runs[0]) if runs else 0 for runs in pages]
     seq = np.concatenate([np.arange(n) for n in sizes]) if sizes else np.empty(0, dtype=np.int64)
-    values = pa.StructArray.from_arrays([pa.array(seq, pa.int64()), pa.array([s for s, _ in flat], pa.string()), pa.array([m[5] for _, m in flat], pa.float64())], fields=list(_ARROW["runs"].value_type))
+    texts, heights = ([v for runs in pages if runs for v in runs[at]] for at in (0, 1))
+    values = pa.StructArray.from_arrays([pa.array(seq, pa.int64()), pa.array(texts, pa.string()), pa.array(heights, pa.float64())], fields=list(_ARROW["runs"].value_type))
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values, type=_ARROW["runs"], mask=pa.array([runs is None for runs in pages]))
 
 
@@ -171,6 +174,24 @@ def batches(rows: Iterator[dict], key: str = "doc_id") -> Iterator[pa.RecordBatc
         yield batch()
 
 
+_DEALT = ["doc_id", "path", "target", "shares", "number"]
+
+
+def _dealt(files: DataFrame, part_bytes: int) -> DataFrame:
+    """The shares of files (doc_id, path, length, target), each in the task that reads it."""
+    return shares_of(files, part_bytes).select(_DEALT).repartition(tasks_of(files.sparkSession), "path", "number")
+
+
+def _decoded(given: Iterator[pa.RecordBatch], every_page: bool, with_images: bool = False, with_heads: bool = False, object_seconds: float = math.inf) -> Iterator[dict]:
+    """The rows of the shares that are dealt to a task, keyed by doc_id; the head of a file is told by its first share."""
+    for batch in given:
+        for row in batch.to_pylist():
+            source = ranged.opened(row["path"])
+            for found in decode_one(source, _wanted(row["target"], every_page), with_images, with_heads and row["number"] == 0, (row["number"], row["shares"]), object_seconds):
+                yield {"doc_id": row["doc_id"]} | found
+            source.close()
+
+
 def decode(files: DataFrame, every_page: bool = True, with_images: bool = False, part_bytes: int = PART_BYTES, object_seconds: float = math.inf) -> DataFrame:
     """The rows of DECODED for each row of files (doc_id, target: pages wanted or null; content, or path and length, or all three).
 
@@ -181,27 +202,21 @@ every file is read by the task that its path is dealt to."""
     bound_batches(files.sparkSession)
     seekable = {"path", "length"} <= set(files.columns)
     plain = files.where(F.col("length") <= part_bytes) if seekable else files
-    columns = ["doc_id", "path", "target", "shares", "number"]
 
     def whole(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in given:
-            for row in batch.to_pylist():
-                yield from batches({"doc_id": row["doc_id"]} | found for found in decode_one(row["content"] or b"", _wanted(row["target"], every_page), with_images, object_seconds=object_seconds))
+        rows = (row for batch in given for row in batch.to_pylist())
+        # a batch holds pages of many files
+        yield from batches({"doc_id": row["doc_id"]} | found for row in rows for found in decode_one(row["content"] or b"", _wanted(row["target"], every_page), with_images, object_seconds=object_seconds))
 
     def shared(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in given:
-            for row in batch.to_pylist():
-                source = ranged.opened(row["path"])
-                found = decode_one(source, _wanted(row["target"], every_page), with_images, row["number"] == 0, (row["number"], row["shares"]), object_seconds)
-                yield from batches({"doc_id": row["doc_id"]} | r for r in found)
-                source.close()
+        yield from batches(_decoded(given, every_page, with_images, True, object_seconds))
 
     if "content" not in files.columns:
-        return shares_of(files, part_bytes).select(columns).repartition(tasks_of(files.sparkSession), "path", "number").mapInArrow(shared, DECODED)
+        return _dealt(files, part_bytes).mapInArrow(shared, DECODED)
     out = plain.select("doc_id", "content", "target").mapInArrow(whole, DECODED)
     if not seekable:
         return out
-    great = shares_of(files.where(F.col("length") > part_bytes), part_bytes).select(columns).repartition("doc_id", "number")
+    great = shares_of(files.where(F.col("length") > part_bytes), part_bytes).select(_DEALT).repartition("doc_id", "number")
     return out.unionByName(great.mapInArrow(shared, DECODED))
 
 
@@ -253,5 +268,48 @@ def page_texts(decoded: DataFrame) -> DataFrame:
     return lines.select("doc_id", "block", "page", "y", shown.alias("line")).groupBy("doc_id", "block", "page").agg(F.coalesce(F.expr("listagg(line, '') WITHIN GROUP (ORDER BY y DESC)"), F.lit("")).alias("text")).select("doc_id", "page", "text")
 
 
+_SHOWN = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", f"[^{js.WHITE_SPACE}]"))
+
+
+def _nearest(y: float) -> float:
+    """js.round_half_up of a number."""
+    if not math.isfinite(y):
+        return 1 if math.isnan(y) else y
+    below = math.floor(y)
+    return below + (y - below >= 0.5)
+
+
+def page_text(texts: list[str], heights: list[float]) -> str:
+    """The text of a page by its runs in stream order, as layout.lines and layout.page_texts have it."""
+    rounded = {y: _nearest(y) for y in set(heights)}
+    lines: dict[float, list[str]] = {}
+    for text, y in zip(texts, heights):
+        lines.setdefault(rounded[y], []).append(text)
+    return "".join([line for y in sorted(lines, reverse=True) if _SHOWN.search(line := "".join(lines[y]))])
+
+
+def texts(files: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """doc_id, page, text of every page of each of files (doc_id, path, length, target: pages wanted or null for all).
+
+    The rows of page_texts(decode(files)); the task that decodes a page has all of its runs and joins them, so that only
+    finished texts leave it and nothing but names is shuffled."""
+    schema = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("text", pa.string())])
+
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, str]] = []
+        size = 0
+        for row in _decoded(given, every_page=True):
+            held.append((row["doc_id"], row["page"], page_text(*row.get("runs") or ((), ()))))
+            size += len(held[-1][2])
+            if len(held) == BATCH_ROWS or size > _BATCH_CHARS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+    bound_batches(files.sparkSession)
+    return _dealt(files, part_bytes).mapInArrow(run, "doc_id long, page int, text string")
+
+
 def load_error(source: str, reason: str) -> str:
     return str(RequestError("InvalidRequest", f"Failed to load PDF document from {source}. Reason: {reason or 'Unknown loading error'}"))
