@@ -6,6 +6,8 @@ import json
 import math
 import re
 from collections.abc import Callable, Iterator
+from itertools import compress, count, islice, pairwise
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -282,9 +284,12 @@ def _nearest(y: float) -> float:
 def page_text(texts: list[str], heights: list[float]) -> str:
     """The text of a page by its runs in stream order, as layout.lines and layout.page_texts have it."""
     rounded = {y: _nearest(y) for y in set(heights)}
+    at = list(map(rounded.__getitem__, heights))
     lines: dict[float, list[str]] = {}
-    for text, y in zip(texts, heights):
-        lines.setdefault(rounded[y], []).append(text)
+    # runs of one line mostly follow one another
+    edges = [0, *compress(count(1), map(ne, at, islice(at, 1, None))), len(at)] if at else []
+    for begin, end in pairwise(edges):
+        lines.setdefault(at[begin], []).append("".join(texts[begin:end]))
     return "".join([line for y in sorted(lines, reverse=True) if _SHOWN.search(line := "".join(lines[y]))])
 
 
