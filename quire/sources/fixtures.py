@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,9 +86,11 @@ def pdf_folder(spark: SparkSession, sf_dir: str) -> str:
             from quire.sources import pdf_writer
 
             fs, base = open_fs(folder)
-            made = set()
+            made, written, task = set(), 0, TaskContext.get().partitionId()
             for frame in frames:
                 for doc_id, text, number in zip(frame["doc_id"], frame["text"], frame["folder"]):
+                    if number < 0:
+                        number, written = f"{task}-{written // _FOLDER_FILES}", written + 1
                     if number not in made:
                         fs.create_dir(f"{base}/{number}", recursive=True)
                         made.add(number)
@@ -100,9 +103,15 @@ def pdf_folder(spark: SparkSession, sf_dir: str) -> str:
 
         bound_batches(spark)
         docs, tasks = table(spark, sf_dir, "documents"), int(spark.conf.get("spark.sql.shuffle.partitions"))
-        folders = max(4 * tasks, -(-docs.count() // _FOLDER_FILES))
-        docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(folders)).alias("folder"))
-        docs.repartition(tasks, "folder").mapInPandas(write, "doc_id long").write.format("noop").mode("overwrite").save()
+        docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+        rows = [n for _, n in docs.groupBy(F.spark_partition_id()).count().collect()]
+        slots = spark.sparkContext.defaultParallelism
+        if 2 * slots * max(rows, default=0) <= sum(rows):  # the scan's own tasks are as good: each writes to folders of its own
+            docs = docs.withColumn("folder", F.lit(-1))
+        else:
+            folders = max(4 * tasks, -(-sum(rows) // _FOLDER_FILES))
+            docs = docs.withColumn("folder", F.pmod(F.xxhash64("doc_id"), F.lit(folders))).repartition(tasks, "folder")
+        docs.mapInPandas(write, "doc_id long").write.format("noop").mode("overwrite").save()
         _folders[key] = folder
     return _folders[key]
 

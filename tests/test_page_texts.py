@@ -128,3 +128,34 @@ def test_written_files_hold_the_runs_of_the_documents():
                     want[pos // 5].append(("\t\xa0" if doc_id % 13 == 0 and pos % 5 == 2 else word + " ", y))
         doc = pdf.Document(pdf_writer.write(pages))
         assert [list(zip((found := pdf.page_layout(doc, n)).texts, found.heights)) for n in range(1, len(doc.pages) + 1)] == want
+
+
+@pytest.mark.parametrize("entry", ["/A 1/B/C/D 12 0 R", "/A 1.5", "/A 1 2", "/A 1 0 Rx", "/B#20 /C /D#41", "/A true /B null", "/A 1 /A 2", "/A [1 2 0 R] /B 3", "/A <</B 1 /C 2 0 R>> /D (x)", "/A %note\n 1", "/A -1 /B +2", "/A"])
+def test_dictionaries_are_as_token_by_token(monkeypatch, entry):
+    found = []
+    for plain in (pdf._PLAIN_DICT, NEVER):
+        monkeypatch.setattr(pdf, "_PLAIN_DICT", plain)
+        lexer = pdf.Lexer(f"<< {entry} >> after".encode())
+        found.append((lexer.next(), lexer.at, lexer.next()))
+    assert found[0] == found[1] and found[0][2] == b"after"
+
+
+@pytest.mark.parametrize("direct", [True, False])
+def test_files_are_written_by_the_scan_where_it_has_tasks_enough(spark, tmp_path, direct):
+    rows = [(n, f"text {n}\nof a document" if n % 50 else None) for n in range(1, 201)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(20).write.parquet(f"{tmp_path}/documents.parquet")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    held = [spark.conf.get(name) for name in names]
+    try:
+        if direct:
+            for name, value in zip(names, (max(f.stat().st_size for f in tmp_path.glob("documents.parquet/*.parquet")), 0)):
+                spark.conf.set(name, str(value))
+        folder = fixtures.pdf_folder(spark, str(tmp_path))
+        files = [r.path for r in loader.under(spark, folder).collect()]
+        assert len({p.rpartition("/")[0] for p in files if re.search(r"/[0-9]+-0/", p)}) == (20 if direct else 0)
+        assert sorted(int(re.search(r"([0-9]+)\.pdf$", p)[1]) for p in files) == [n for n in range(1, 201) if n % 50]
+        got = {(r.doc_id, r.page): r.text for r in catalogue.pdf_page_texts(spark, str(tmp_path)).collect()}
+        assert got[8, 1] == "text 8 of a document " and len({d for d, _ in got}) == 196
+    finally:
+        for name, value in zip(names, held):
+            spark.conf.set(name, value)
